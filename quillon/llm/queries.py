@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, line_dedup, mixing, secret_scan
+from quillon.llm import exact_dedup, jaccard, line_dedup, mixing, packing, secret_scan, toxicity
 
 
 def queries() -> dict:
@@ -10,9 +10,17 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_packing": packing.op6_packing,
         "op7_mixing": mixing.op7_mixing,
+        "op9_jaccard": jaccard.op9_jaccard,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": secret_scan.oracle(), "op5_exact_dedup": exact_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {
+        "op4_secret_scan": secret_scan.oracle(),
+        "op5_exact_dedup": exact_dedup.ORACLE,
+        "op7_mixing": mixing.ORACLE,
+        "op9_jaccard": jaccard.ORACLE,
+    }
