@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, jaccard, line_dedup, mixing, packing, secret_scan, toxicity
+from quillon.llm import exact_dedup, html_extract, jaccard, line_dedup, mixing, packing, secret_scan, toxicity, vector_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_vector_dedup": vector_dedup.op1_vector_dedup,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_html": html_extract.op3_html,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_packing": packing.op6_packing,
@@ -19,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_vector_dedup": vector_dedup.ORACLE,
         "op4_secret_scan": secret_scan.oracle(),
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op7_mixing": mixing.ORACLE,
