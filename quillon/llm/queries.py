@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, html_extract, jaccard, line_dedup, mixing, packing, secret_scan, toxicity, vector_dedup
+from quillon.llm import exact_dedup, html_extract, jaccard, line_dedup, lm_score, mixing, packing, secret_scan, toxicity, vector_dedup
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_packing": packing.op6_packing,
         "op7_mixing": mixing.op7_mixing,
+        "op8_lm_score": lm_score.op8_lm_score,
         "op9_jaccard": jaccard.op9_jaccard,
         "op10_toxicity": toxicity.op10_toxicity,
     }

@@ -190,3 +190,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def _accepted(model: Model) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.document(t.as_py() or "")[0] < 0.5 for t in batch.column("__text")], pa.bool_()))
+
+    return run
+
+
+def passing(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below 0.5, all columns as they were."""
+    marked = docs.withColumn("__text", text_or_empty(text_col))
+    return marked.mapInArrow(_accepted(model), marked.schema).drop("__text")
