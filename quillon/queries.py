@@ -1,26 +1,4 @@
-"""The engine's queries by name, each with the SQL that DuckDB runs for comparison."""
+"""All queries of the engine outside the training-data subpackage."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under name."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query("tripwire_by_lang", "select lang, count(*) n from documents group by lang")
-def tripwire_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+from quillon.plans import privacy  # noqa: F401
+from quillon.registry import COVERS, ORACLES, QUERIES  # noqa: F401
