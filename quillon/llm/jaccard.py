@@ -4,8 +4,8 @@ A document's sketch is a bit string as long as its size band needs, in which eve
 hash names; sketches of two documents differ in at most as many bits as the documents have shingles not in common.
 The sketch is cut into blocks, each kept as the XOR of the codes of its set bits. Documents that link differ by at
 most (n1 + n2) / 7 shingles, so of the blocks of either that hold anything at most so many find no equal in the other:
-in any common order of blocks, the first that both share is among the first (n1 + n2) / 7 + 1 of each. These are the
-keys that are joined. The order takes full blocks first and blocks of shingles that are frequent in a sample last;
+in any common order of blocks, the first s that both share are among the first (n1 + n2) / 7 + s of each. These are the
+keys that are joined, and pairs that share fewer than s of them cannot link. The order takes full blocks first and blocks of shingles that are frequent in a sample last;
 only speed hangs on it.
 """
 
@@ -16,12 +16,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.base import components, cut, drop_cut, text_or_empty
+from quillon.llm.words import mixed, shingle_sets
 
-WORDS_PER_SHINGLE = 5
 #: Documents link when SHARE[0] * intersection >= SHARE[1] * union.
 SHARE = (100, 75)
 #: Below this size every shingle is a block of its own; from here on bands grow by BAND_RATIO.
@@ -34,36 +34,19 @@ KEYS_PER_BUCKET = 1_000_000
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4_000, 12, 200_000
 #: Others that are compared with one copy of a centre.
 PER_CENTRE = 400
-STAR_ROUNDS = 3
-
-_STEPS = (np.arange(1, 2 * WORDS_PER_SHINGLE, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = x.astype(np.uint64, copy=True)
-    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x ^= x >> np.uint64(shift)
-        x *= np.uint64(times)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a UTF-8 text."""
-    words = text.lower().split()  # of bytes: lowers A-Z and parts at \x20 and \x09-\x0d only
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    if not len(h):
-        return h
-    if len(h) < WORDS_PER_SHINGLE:
-        code = np.uint64(len(h))
-        for v, step in zip(h, _STEPS, strict=False):
-            code = np.uint64((int(code) * 0x100000001B3 + int(v) * int(step)) & 0xFFFFFFFFFFFFFFFF)
-        return mixed(np.array([code], dtype=np.uint64))
-    n = len(h) - WORDS_PER_SHINGLE + 1
-    total = np.zeros(n, dtype=np.uint64)
-    for k, step in enumerate(_STEPS):
-        total += mixed(h[k : k + n] + np.uint64(k)) * step
-    return np.unique(mixed(total))
+STAR_ROUNDS = 2
+#: The list of documents whose text is needed again is broadcast up to so many rows.
+BROADCAST_ROWS = 500_000
+
+
+
+def surplus(n: int) -> int:
+    """Keys beyond the pigeonhole's one that documents of this size send, and so share if they link."""
+    return n // 24 + 1 if n >= 16 else 0
+
+
+def surplus_of(n: Column) -> Column:
+    return F.when(n >= 16, F.floor(n / 24) + 1).otherwise(0)
 
 
 def bands(n: int) -> list[tuple[int, int]]:
@@ -94,10 +77,11 @@ def keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             held = np.diff(np.r_[starts, n])
             plain = np.minimum.reduceat(heavy, starts)
             key = mixed(np.bitwise_xor.reduceat(code, starts) ^ mixed(block[starts] ^ salt))
-        if len(key) > differ + 1:
-            key = key[np.lexsort((key, -held, plain))[: differ + 1]]
-        elif len(key) <= differ:  # too few blocks to promise an equal one: such documents of a band all meet
-            key = np.append(key, mixed(np.array([salt + np.uint64(1)], dtype=np.uint64)))
+        send = differ + 1 + surplus(n)
+        if len(key) > send:
+            key = key[np.lexsort((key, -held, plain))[:send]]
+        elif len(key) < send:  # too few blocks to promise enough equal ones: such documents of a band all meet
+            key = np.append(key, mixed(salt + np.arange(1, 2 + surplus(n), dtype=np.uint64)))
         out.append(key)
     return np.concatenate(out)
 
@@ -106,8 +90,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, th, n, cls: size and hash of each document's set (null for an empty one)."""
     for batch in batches:
         n, cls = [], []
-        for text in batch.column("text").cast(pa.large_binary()):
-            s = shingles(text.as_py())
+        for s in shingle_sets(batch.column("text")):
             n.append(len(s))
             cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "th", "n", "cls"])
@@ -115,8 +98,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column("text").cast(pa.large_binary()):
-            yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["s"])
+        for s in shingle_sets(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
 
 
 def _dealt(frequent: np.ndarray, buckets: int) -> Callable:
@@ -126,8 +109,7 @@ def _dealt(frequent: np.ndarray, buckets: int) -> Callable:
         sent: set[int] = set()
         for batch in batches:
             cls, parts = [], []
-            for text in batch.column("text").cast(pa.large_binary()):
-                s = shingles(text.as_py())
+            for s in shingle_sets(batch.column("text")):
                 if len(s) and (c := xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63) not in sent:
                     sent.add(c)
                     cls.append(c)
@@ -184,8 +166,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
         ids = zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "id")), strict=True)
-        for (at, salt, role, other), text in zip(ids, batch.column("text").cast(pa.large_binary()), strict=True):
-            s = shingles(text.as_py())
+        for (at, salt, role, other), s in zip(ids, shingle_sets(batch.column("text")), strict=True):
             if role == 0:
                 centre, own = (at, salt), s
             elif centre == (at, salt):
@@ -232,7 +213,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     dealt = rows.select("text").mapInArrow(_dealt(frequent, buckets), "bucket int, classes binary, place binary, low binary, high binary")
     met = cut(dealt.repartitionById(buckets, "bucket").mapInArrow(_met, "key long, id long"), "met")
-    wanted = met.select("id").distinct().join(by_class, F.col("id") == F.col("cls")).select("id", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"))
+    # a class that shares fewer keys in all than the smallest partner it could link with must share has no link
+    sizes = by_class.select(F.col("cls").alias("sid"), "n")
+    enough = met.groupBy("id").agg(F.count("*").alias("met")).join(sizes, F.col("id") == F.col("sid")).where(F.col("met") > surplus_of(F.floor(F.col("n") * SHARE[1] / SHARE[0])))
+    few = met
+    met = cut(met.join(enough.select(F.col("sid")), F.col("id") == F.col("sid"), "left_semi"), "met")
+    drop_cut(few)
+    wanted = cut(met.select("id").distinct().join(by_class, F.col("id") == F.col("cls")).select("id", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "wanted")
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("th") == F.col("one_th"))).select("id", "text").dropDuplicates(["id"])
     texts = cut(texts, "met-texts")
 
@@ -245,15 +233,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed_keys = mixed_keys.select(F.concat(F.lit("k"), "key").alias("mk"), "centre")
         unlike = placed.withColumn("k", F.concat(F.lit("k"), "key")).join(mixed_keys, F.col("k") == F.col("mk"))
         if turn < STAR_ROUNDS:
-            near = unlike.where("comp <> centre.comp").groupBy(F.col("centre.id").alias("a"), F.col("id").alias("b")).count()
+            near = unlike.where("comp <> centre.comp").groupBy(F.col("centre.id").alias("a"), F.col("id").alias("b")).count().where("count > 1")
             best = near.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
             pairs = best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"]).select("a", "b")
         else:
-            sizes = by_class.select(F.col("cls").alias("sid"), "n")
             left = unlike.select("k", "id", "comp").join(sizes, F.col("id") == F.col("sid")).select("k", "id", "comp", "n")
             right = left.select(F.col("k").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
             fits = F.lit(SHARE[0]) * F.least("n", "n2") >= F.lit(SHARE[1]) * F.greatest("n", "n2")
-            pairs = left.withColumnRenamed("id", "a").join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & fits).select("a", "b").distinct()
+            pairs = left.withColumnRenamed("id", "a").join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("n"), F.first("n2")).alias("least"))
+            pairs = pairs.where(F.col("shared") > surplus_of(F.col("least"))).select("a", "b")
         if tried is not None:
             done = tried.select(F.least("a", "b").alias("da"), F.greatest("a", "b").alias("db"))
             pairs = pairs.join(done, (F.least("a", "b") == F.col("da")) & (F.greatest("a", "b") == F.col("db")), "left_anti")
