@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,41 +22,85 @@ CAPACITY, OPEN_BINS, END_ID = 4096, 1024, 1
 DOCS_PER_PACKER = 250_000
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, and the longest of them; then it forgets all and begins anew.
-REMEMBERED, LONGEST = 250_000, 40
+REMEMBERED, LONGEST = 1_000_000, 40
+#: Bytes of texts whose new words are learnt at once.
+GROUPED = 1 << 20
+# The vocabulary's own split of lower-case text into words, for the characters of Latin-1.
+LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\x09-\x0d\x20\x85\xa0"
+LATIN_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + LATIN_LETTER + rb"]+|[" + LATIN_NUMBER + rb"]|[^" + LATIN_SPACE + LATIN_LETTER + LATIN_NUMBER + rb"]+")
+LATIN_LOWER = bytes(ord(chr(i).lower()) if len(chr(i).lower()) == 1 and ord(chr(i).lower()) < 256 else i for i in range(256))
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of a text as little-endian bytes, word by word.
+    """Ids of a text as little-endian bytes.
 
-    The vocabulary's merges never cross a space, so the ids of a text are those of its parts between spaces in a row;
-    parts seen before are looked up, which is what makes this cheap.
+    A text of Latin-1 characters is cut into lower-case words as the vocabulary's own rules cut it; merges never cross
+    words, so its ids are those of its words in a row, and words seen before are looked up. New ones are encoded
+    together and parted where a token ends a word. Any other text, and one with a special token's string, is encoded
+    as a whole.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
-        self.known: dict[str, bytes] = {"": b""}
+        path = public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; their new words are learnt together."""
+        cut = []
+        for text in texts:
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                raw = None
+            special = raw is None or (b"<|" in raw and any(t in raw for t in self.special))
+            cut.append(None if special else LATIN_WORDS.findall(raw.translate(LATIN_LOWER)))
         known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        extra: dict[str, bytes] = {}
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = [p for p in dict.fromkeys(parts) if p]
-            for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                got = b"".join(i.to_bytes(4, "little") for i in e.ids)
-                (known if len(part) <= LONGEST else extra)[part] = got
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = set().union(*[c for c in cut if c]).difference(known)
+        extra = self._learn(sorted(new)) if new else {}
         if extra:
-            return b"".join([known[p] if p in known else extra[p] for p in parts])
-        return b"".join([known[p] for p in parts])
+            return [self._whole(t) if c is None else b"".join([known[w] if w in known else extra[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
+        return [self._whole(t) if c is None else b"".join([known[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Remembers new words; returns those too long to be kept."""
+        ids = np.array(self.plain.encode_batch_fast([b"\n".join(new).decode("latin-1")], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(new):
+            raise ValueError("words and ends of words do not agree")
+        raw, extra = ids.tobytes(), {}
+        for w, a, b in zip(new, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            (self.known if len(w) <= LONGEST else extra)[w] = raw[4 * a : 4 * b]
+        return extra
+
+
+def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold GROUPED bytes of text or one row."""
+    size = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())).to_numpy()
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(size, (size[row - 1] if row else 0) + GROUPED, side="right")))
+        yield batch.slice(row, end - row)
+        row = end
 
 
 def pieces_of(vocabulary: str, capacity: int, end_id: int) -> Callable:
@@ -60,12 +108,14 @@ def pieces_of(vocabulary: str, capacity: int, end_id: int) -> Callable:
         encoder, last = WordEncoder(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + last
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(v)
+            for rows in groups(batch):
+                found = encoder.all_ids([t or "" for t in rows.column(1).to_pylist()])
+                for doc, ids in zip(rows.column(0).to_pylist(), found, strict=True):
+                    ids += last
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
