@@ -137,7 +137,7 @@ def fit_bags(toxic: np.ndarray, plain: np.ndarray, hits: list[list[list[int]]],
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
     """Fits the model on labelled documents that are not held out.
 
-    At most train_docs of them are used, chosen by a hash of the id (all, if there are fewer). Features are the words
+    About train_docs of them are used at most, chosen by a hash of the id (all, if there are fewer). Features are the words
     and prefixes most over-represented in toxic ones by a log-odds score, at most FEATURES: the driver gets these and,
     of each training document, the numbers of its kept features. Rows without id, label or with an unknown label are
     left out. Without labels of both kinds the score is the share of toxic ones (0.5 if none) whatever the text.
@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if total > train_docs:
         ids = ids.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(train_docs / total * (1 << 20)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    train = rows.join(ids, F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    # the sample is bounded whatever the corpus, so its ids may go to every task and no text is shuffled for it
+    train = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
     seen = train.mapInArrow(_feature_rows, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     lift = F.log((F.col("a") + 0.5) / n[1]) - F.log((F.col("b") + 0.5) / n[0])
     top = seen.where(F.col("a") >= LEAST_DOCS).withColumn("score", lift * F.sqrt("a")).where(lift > 1.0)
