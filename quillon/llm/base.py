@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,17 +54,44 @@ def uniform(col: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), col)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: every node but the smallest of its component here, and that smallest one."""
+    root: dict[int, int] = {}
+
+    def up(i: int) -> int:
+        while (j := root.setdefault(i, i)) != i:
+            root[i] = root[j]
+            i = root[i]
+        return i
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            x, y = up(u), up(v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = [i for i in root if up(i) != i]
+    for at in range(0, len(nodes), 100_000):
+        part = nodes[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([up(i) for i in part], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (two long columns): (id, component), component the smallest id.
 
-    Alternating star contraction: every round each node's larger neighbours are hung on the smallest neighbour,
-    then its smaller ones are; chains halve, stars stay. Each round is a written table; only counts reach the driver.
-    Hot nodes: the smallest neighbour comes from a partially aggregated minimum joined back, so no neighbour list is
-    ever gathered. Null ids are ignored.
+    Every partition first turns its edges into stars, which keeps what they connect; small inputs are one partition
+    after coalescing and done with that. Then alternating star contraction: each node's larger neighbours are hung on
+    its smallest neighbour, then its smaller ones are; chains halve, stars stay. Each round is a written table; only
+    whether anything moved reaches the driver. Hot nodes: the smallest neighbour comes from a partially aggregated
+    minimum joined back, so no neighbour list is ever gathered. Null ids are ignored.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = cut(e.repartition("u").mapInArrow(_forest, "u long, v long"), "edges")
     for _ in range(max_rounds):
+        # at rest once every child has one parent and no parent is a child
+        roles = e.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(e.select("v", F.lit(0), F.lit(1)))
+        if not roles.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 or (c > 0 and p > 0)").limit(1).count():
+            break
         # large star: from both directions, larger neighbours of u get u's smallest neighbour (or u itself)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -70,13 +99,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: smaller neighbours of u, and u, get u's smallest neighbour
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low2.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = cut(hung.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        # stable once every child has one parent and no parent is a child
-        moved = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or nxt.join(nxt.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi").limit(1).count()
+        stars = hung.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        nxt = cut(stars.repartition("u").mapInArrow(_forest, "u long, v long"), "edges")
         drop_cut(e)
         e = nxt
-        if not moved:
-            break
     else:
         raise RuntimeError("components did not settle")
     out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
