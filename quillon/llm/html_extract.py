@@ -44,7 +44,7 @@ BAD_WORDS = {
 ROOT_WORDS = {"article", "content", "post", "entry", "story", "main"}
 #: Alignment keeps at most so many different groups at one place, and so deep; classes are then left out, or the depth.
 MOST_KINDS, DEEPEST = 64, 60
-#: A text is taken for the template's if so many pages of the host show it, always alike, and all such are a small part.
+#: Where a host marks no article, a text is the template's if so many pages show it, always alike, and all such are a small part.
 LITERAL_PAGES, LITERAL_SHARE = 5, 0.2
 #: Wrappers of all hosts together may be broadcast up to this size; beyond it pages are joined with them by host.
 BROADCAST_BYTES = 16 << 20
@@ -254,7 +254,7 @@ def rules(w: dict) -> dict:
 
     walk(w, "", False)
     few = sum(t for _, t in literals) <= LITERAL_SHARE * max(1, body[0])
-    return {"root": roots[0], "literals": [p for p, _ in literals] if few else []}
+    return {"root": roots[0], "literals": [p for p, _ in literals] if few and not roots[0] else []}
 
 
 def extracted(top: Group, rule: dict) -> str:
