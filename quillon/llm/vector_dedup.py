@@ -24,8 +24,8 @@ SLACK = 1e-9
 #: Vectors that shape the cells at most, and rows of a cell a leaf is meant to have.
 SAMPLE, LEAF_ROWS = 20_000, 4_000
 MOST_LEAVES = 4_096
-#: Rows of a tile: a cell is compared in pairs of tiles.
-TILE = 2_000
+#: Rows of a tile: a cell is compared in pairs of tiles, STRIP rows of one with all of the other at a time.
+TILE, STRIP = 16_000, 1_000
 SEED = 20_240_901
 
 
@@ -139,35 +139,38 @@ def _compared(dims_cells: dict[int, tuple[np.ndarray, int]], least: float) -> Ca
     in the cell where the row with the smaller class is at home.
     """
 
-    def flush(cell: int, first: int, second: int, rows: list[tuple]) -> pa.RecordBatch:
+    def flush(cell: int, first: int, second: int, parts: list[tuple]) -> pa.RecordBatch:
         dim, k = cell >> 32, (cell >> 24) & 0xFF
         q, blocks = dims_cells[dim]
         columns = np.array_split(np.arange(dim), blocks)
-        side = np.array([r[0] for r in rows])
-        home = np.array([r[1] for r in rows])
-        cls = np.array([r[2] for r in rows], np.int64)
-        weight = np.array([r[3] for r in rows], np.int64)
-        u = np.frombuffer(b"".join(r[4] for r in rows)).reshape(-1, dim)
-        turned = u @ q
+        side, home, cls, weight = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        u = np.frombuffer(b"".join(p[4] for p in parts)).reshape(-1, dim)
         a = np.flatnonzero(side == 0)
         b = a if first == second else np.flatnonzero(side == 1)
         if not len(a) or not len(b):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["cls", "n", "low"])
         budget = [2 * (1 - least) * len(c) / dim for c in columns]
         # x.y - |x|^2/2 - |y|^2/2 >= -budget/2 as one product; single precision with room for its rounding
-        x = turned[:, columns[k]].astype(np.float32)
+        x = (u @ q[:, columns[k]]).astype(np.float32)
         half, one = (x * x).sum(1, keepdims=True) / -2, np.ones((len(x), 1), np.float32)
-        hit = np.hstack([x[a], half[a], one[a]]) @ np.hstack([x[b], one[b], half[b]]).T >= np.float32(-budget[k] / 2 - 1e-5)
-        i, j = np.nonzero(hit)
-        ca, cb = a[i], b[j]
-        # one of the two cells' rows of a pair counts: the smaller class must be at home here
-        keep = np.where(cls[ca] < cls[cb], home[ca], home[cb]) & ((cls[ca] < cls[cb]) if first == second else (cls[ca] != cls[cb]))
-        ca, cb = ca[keep], cb[keep]
-        gaps = [((turned[ca][:, c] - turned[cb][:, c]) ** 2).sum(1) <= m + SLACK for c, m in zip(columns[: k + 1], budget, strict=False)]
-        good = gaps[k] & (np.einsum("ij,ij->i", u[ca], u[cb]) >= least)
-        for earlier in gaps[:k]:
-            good &= ~earlier
-        ca, cb = ca[good], cb[good]
+        left, right = np.hstack([x[a], half[a], one[a]]), np.ascontiguousarray(np.hstack([x[b], one[b], half[b]]).T)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(a), STRIP):
+            i, j = np.nonzero(left[at : at + STRIP] @ right >= np.float32(-budget[k] / 2 - 1e-5))
+            i, j = a[at + i], b[j]
+            # of a pair's two cells the one where the smaller class is at home counts
+            keep = np.where(cls[i] < cls[j], home[i], home[j]) & ((cls[i] < cls[j]) if first == second else (cls[i] != cls[j]))
+            i, j = i[keep], j[keep]
+            for lo in range(0, len(i), 100_000):  # crowds of copies: a bounded number of pairs at a time
+                ca, cb = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                away = u[ca] - u[cb]
+                turned = away @ q
+                gaps = [(turned[:, c] ** 2).sum(1) <= m + SLACK for c, m in zip(columns[: k + 1], budget, strict=False)]
+                good = gaps[k] & (np.einsum("ij,ij->i", u[ca], u[cb]) >= least)
+                for earlier in gaps[:k]:
+                    good &= ~earlier
+                found.append((ca[good], cb[good]))
+        ca, cb = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         node, other = np.concatenate([ca, cb]), np.concatenate([cb, ca])
         n, low = np.zeros(len(cls), np.int64), cls.copy()
         np.add.at(n, node, weight[other])
@@ -183,17 +186,21 @@ def _compared(dims_cells: dict[int, tuple[np.ndarray, int]], least: float) -> Ca
         return pa.RecordBatch.from_arrays([pa.array(cls[linked]), pa.array(n[linked]), pa.array(low[linked])], names=["cls", "n", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+        at, parts = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cell", "first", "second", "side", "home", "cls", "weight", "unit")]
-            for cell, first, second, *row in zip(*columns, strict=True):
-                if (cell, first, second) != at:
-                    if rows:
-                        yield flush(*at, rows)
-                    at, rows = (cell, first, second), []
-                rows.append(tuple(row))
-        if rows:
-            yield flush(*at, rows)
+            cell, first, second = (batch.column(c).to_numpy() for c in ("cell", "first", "second"))
+            cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if batch.num_rows else []
+            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                key = (int(cell[lo]), int(first[lo]), int(second[lo]))
+                if key != at:
+                    if parts:
+                        yield flush(*at, parts)
+                    at, parts = key, []
+                part = batch.slice(lo, hi - lo)
+                columns = [part.column(c).to_numpy(zero_copy_only=False) for c in ("side", "home", "cls", "weight")]
+                parts.append((*columns, b"".join(part.column("unit").to_pylist())))
+        if parts:
+            yield flush(*at, parts)
 
     return run
 
