@@ -268,11 +268,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of every component the document with the smallest id. Columns of docs are kept."""
-    keep = similar_classes(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("keep_id"), F.col("th").alias("keep_th")).distinct()
+    """The rows of docs that stay: of every component the document with the smallest id. Columns of docs are kept.
+
+    The list of those that go is broadcast if it has at most BROADCAST_ROWS rows, so that texts need not move.
+    """
+    gone = similar_classes(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
     hashed = docs.withColumn("__th", F.xxhash64(text_or_empty(text_col)))
-    return hashed.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__th") == F.col("keep_th")), "left_semi").select(*docs.columns)
+    return hashed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (F.col("__th") == F.col("gone_th")), "left_anti").select(*docs.columns)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

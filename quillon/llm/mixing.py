@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.base import WORD, cut, text_or_empty, uniform
@@ -16,9 +16,12 @@ BROADCAST_SOURCES = 10_000
 SEED = "mix-1"
 
 
+def word_count(text_col: str) -> Column:
+    return F.size(F.regexp_extract_all(text_or_empty(text_col), F.lit(f"({WORD})"))).cast("long")
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    size = F.size(F.regexp_extract_all(text_or_empty(text_col), F.lit(f"({WORD})"))).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
 
 
 def rates(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
@@ -54,6 +57,18 @@ def rates(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: in
     return weighed.select("source", "source_size", F.least(top.cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
+def _rated(rows: DataFrame, id_col: str, size_col: str, source_col: str, seed: str) -> DataFrame:
+    """rows with __source_size, __target and __copies; only sums per source are shuffled."""
+    source = F.col(source_col).cast("string")
+    per = rates(rows.groupBy(source.alias("source")).agg(F.sum(size_col).alias("source_size")))
+    per = per.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    per = F.broadcast(per) if per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else per
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    draw = uniform(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), seed)
+    out = rows.join(per, source.eqNullSafe(F.col("__s"))).drop("__s").withColumn("__rate", rate)
+    return out.withColumn("__copies", (F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """How often each document is taken: doc_id, source, size, source_size, target, copies, taken.
 
@@ -62,21 +77,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     has rate 0. Repeated rows of one id share their draw. Hot sources: sums are partially aggregated, and the table of
     sources is broadcast only if it has at most BROADCAST_SOURCES rows; else Spark joins it and splits hot keys.
     """
-    rows = sizes(docs, id_col, text_col, source_col)
-    per = rates(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
-    per = F.broadcast(per) if per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else per
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
-    out = rows.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
-    out = out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def emit_copies(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """The mixed corpus itself: the rows of docs, each as often as it is taken."""
-    plan = mix(docs, id_col, **kwargs).select(F.col("doc_id").alias("mix_id"), "copies").dropDuplicates(["mix_id"])
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col("mix_id")))
-    return out.withColumn("mix_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))))).drop("mix_id", "copies", "mix_copy")
+    out = _rated(sizes(docs, id_col, text_col, source_col), "doc_id", "size", "source", seed)
+    return out.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("size") * F.col("__copies")).alias("taken"))
+
+
+def emit_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The mixed corpus itself: the rows of docs, all columns, each as often as mix() takes it."""
+    out = _rated(docs.withColumn("__size", word_count(text_col)), id_col, "__size", source_col, seed)
+    return out.withColumn("__copy", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__copies"))))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
