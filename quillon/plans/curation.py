@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.geometry import Box
 from quillon.plans.boxes import BOXES, inter, iou
+from quillon.plans.detection import gt
 from quillon.registry import both, query, run_sql, table
 
 M32 = 4294967295
@@ -81,21 +82,21 @@ both("suspicious_repetition", "A-19 D-11", f"""with {BOXES}, s as (select count(
 select cls, gx, gy, samples, samples >= 2 and samples * 10 >= s.n suspicious from k cross join s""")
 
 
-@query("layout_similarity", "J-11 D-10", f"""with recursive {BOXES}, e as (select * from gt where sample % 40 < 12 and sample < 4000), n as (select sample, count(*) n from e group by sample),
-cand as (select a.sample sa, b.sample sb, a.uid i, b.uid j, {iou('a', 'b')} v from e a join e b on a.cls = b.cls and a.sample < b.sample and cast(floor(a.sample / 40) as bigint) = cast(floor(b.sample / 40) as bigint) and 2 * {inter('a', 'b')} >= a.w * a.h + b.w * b.h - {inter('a', 'b')}),
+@query("layout_similarity", "J-11 D-10", f"""with recursive {BOXES}, e as (select *, cast(floor(sample / 12) as bigint) session from gt), n as (select sample, count(*) n from e group by sample),
+cand as (select a.sample sa, b.sample sb, a.uid i, b.uid j, {iou('a', 'b')} v from e a join e b on a.cls = b.cls and a.sample < b.sample and a.session = b.session and 2 * {inter('a', 'b')} >= a.w * a.h + b.w * b.h - {inter('a', 'b')}),
 ranked as materialized (select *, row_number() over (partition by sa, sb order by v desc, i, j) rn from cand),
 w as (select sa, sb, 0::bigint rn, []::bigint[] ui, []::bigint[] uj from ranked where rn = 1 union all select r.sa, r.sb, r.rn, case when list_contains(w.ui, r.i) or list_contains(w.uj, r.j) then w.ui else list_append(w.ui, r.i) end,
   case when list_contains(w.ui, r.i) or list_contains(w.uj, r.j) then w.uj else list_append(w.uj, r.j) end from w join ranked r on r.sa = w.sa and r.sb = w.sb and r.rn = w.rn + 1),
 f as (select sa, sb, arg_max(len(ui), rn) matched from w group by sa, sb)
 select sa, sb, matched::int matched, round(matched::double / greatest(a.n, b.n), 9) similarity from f join n a on a.sample = sa join n b on b.sample = sb""")
 def layout_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of layouts in a block: elements matched one to one, best overlap first, as a share of the larger layout."""
-    e = run_sql(spark, sf_dir, f"with {BOXES} select * from gt where sample % 40 < 12 and sample < 4000").withColumn("block", F.floor(F.col("sample") / 40))
+    """Pairs of layouts of one session of captures: elements matched one to one, best overlap first, as a share of the larger layout."""
+    e = gt(spark, sf_dir).withColumn("session", F.floor(F.col("sample") / 12))
     n = e.groupBy("sample").agg(F.count("*").alias("n"))
-    o = e.select("cls", "block", F.col("sample").alias("sb"), F.col("uid").alias("j"), *[F.col(c).alias("o" + c) for c in "xywh"])
+    o = e.select("cls", "session", F.col("sample").alias("sb"), F.col("uid").alias("j"), *[F.col(c).alias("o" + c) for c in "xywh"])
     a, b = Box.of(), Box.of("o")
     half = 2 * a.overlap(b) >= a.w * a.h + b.w * b.h - a.overlap(b)
-    pairs = e.join(o, ["cls", "block"]).where((F.col("sample") < F.col("sb")) & half).select(F.col("sample").alias("sa"), "sb", F.struct((-a.iou(b)).alias("v"), F.col("uid").alias("i"), "j").alias("c"))
+    pairs = e.join(o, ["cls", "session"]).where((F.col("sample") < F.col("sb")) & half).select(F.col("sample").alias("sa"), "sb", F.struct((-a.iou(b)).alias("v"), F.col("uid").alias("i"), "j").alias("c"))
     start = F.struct(F.array().cast("array<bigint>").alias("i"), F.array().cast("array<bigint>").alias("j"))
 
     def step(s: Column, c: Column) -> Column:

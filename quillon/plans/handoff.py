@@ -63,7 +63,7 @@ d as (select *, row_number() over (partition by body, stop is null order by id)
 select id, case when stop is not null then 'STOP' when nth > 1 then 'STOP' else 'STRUCTURE_ONLY' end mode, coalesce(stop, case when nth > 1 then 'DUPLICATE_SEND' end) cause,
   case when stop is null and nth = 1 then case frame when 0 then 'NO_SANITIZED_ARTIFACT' when 1 then 'FRAME_NOT_ATTESTED' when 2 then 'EMPTY_FRAME' else 'FRAME_EGRESS_DISABLED' end end frame_refusal from d""")
 
-both("clarification", "P-15 P-17 P-18 E-13 E-14", """with c as (select o_custkey task, o_orderkey ref, lower(trim(o_orderpriority)) label, o_orderstatus status, o_totalprice v from orders where o_custkey % 4 = 0),
+both("clarification", "P-15 P-17 P-18 E-13 E-14", """with c as (select o_custkey task, o_orderkey ref, lower(trim(o_orderpriority)) label, o_orderstatus status, o_totalprice v from orders),
 g as (select task, count(*) candidates, count(distinct label) labels, min(ref) first_ref, min(case when status = 'O' then ref end) first_open, max(v) top from c group by task)
 select task, candidates, labels, case when candidates < 2 then 'NOT_NEEDED' when labels < candidates then 'LABELS_NOT_DISTINCT' else 'ASK' end state, coalesce(first_open, first_ref) pick, '<' || cast(first_ref as string) || '>' shown, top > 300000 offers from g""")
 

@@ -156,14 +156,14 @@ def literal_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("field_fill", "P-07 J-07 J-24 U-04", f"""with {DUCK_CLASSIFIED}, r as (select session, effective cls, ref from c where ref is not null),
-g as (select c.id, c.field_class accepts, list_sort(list_distinct(list(r.ref) filter (r.ref is not null))) refs from c left join r on r.session = c.session and r.cls = c.field_class and c.id % 5 = 0 and c.field_class not in ('OTP','UNKNOWN','FREE_TEXT') where c.id % 5 = 0 group by all)
+g as (select c.id, c.field_class accepts, list_sort(list_distinct(list(r.ref) filter (r.ref is not null))) refs from c left join r on r.session = c.session and r.cls = c.field_class and c.field_class not in ('OTP','UNKNOWN','FREE_TEXT') group by all)
 select id, accepts, case when accepts = 'OTP' then 'CRITICAL_FIELD' when accepts in ('UNKNOWN', 'FREE_TEXT') then 'AMBIGUOUS_FIELD' when coalesce(len(refs), 0) = 0 then 'NO_MATCHING_REFERENCE' when len(refs) > 1 then 'CONFLICTING_REFERENCES' end cause,
   case when len(refs) = 1 then refs[1] end fill, coalesce(len(refs), 0)::int candidates from g""")
 def field_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each empty field (every fifth): the one reference of its session that fits, or why none is filled in."""
+    """For each field, taken as empty: the one reference of its session that fits, or why none is filled in."""
     c = classified(spark, sf_dir)
     r = c.where(F.col("ref").isNotNull()).select(F.col("session").alias("rs"), F.col("effective").alias("cls"), "ref")
-    e = c.where("id % 5 = 0").select("id", "session", F.col("field_class").alias("accepts"))
+    e = c.select("id", "session", F.col("field_class").alias("accepts"))
     j = e.join(r, (F.col("session") == F.col("rs")) & (F.col("accepts") == F.col("cls")) & (pii.field_fit(F.col("accepts"), F.col("cls")) == "FITS"), "left")
     g = j.groupBy("id", "accepts").agg(F.collect_set("ref").alias("refs"))
     n = F.size("refs")
