@@ -273,10 +273,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The list of those that go is broadcast if it has at most BROADCAST_ROWS rows, so that texts need not move.
     """
     gone = similar_classes(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "gone")
+    gone = cut(gone.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
     hashed = docs.withColumn("__th", F.xxhash64(text_or_empty(text_col)))
-    return hashed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (F.col("__th") == F.col("gone_th")), "left_anti").select(*docs.columns)
+    return hashed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__th") == F.col("__gone_th")), "left_anti").select(*docs.columns)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from quillon.llm import exact_dedup, html_extract, jaccard, line_dedup, lm_score
 from quillon.llm.base import components
 
 SPACE = " \t\n\x0b\x0c\r"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, best string, members long, h long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, gone string, best string, left_over long, size long"
 
 
 def words(rnd, n):
