@@ -160,11 +160,14 @@ g as (select c.id, c.field_class accepts, list_sort(list_distinct(list(r.ref) fi
 select id, accepts, case when accepts = 'OTP' then 'CRITICAL_FIELD' when accepts in ('UNKNOWN', 'FREE_TEXT') then 'AMBIGUOUS_FIELD' when coalesce(len(refs), 0) = 0 then 'NO_MATCHING_REFERENCE' when len(refs) > 1 then 'CONFLICTING_REFERENCES' end cause,
   case when len(refs) = 1 then refs[1] end fill, coalesce(len(refs), 0)::int candidates from g""")
 def field_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each field, taken as empty: the one reference of its session that fits, or why none is filled in."""
+    """For each field, taken as empty: the one reference of its session that fits, or why none is filled in.
+
+    References are of tokenisable classes, so one of the class that the field accepts always fits (pii.field_fit).
+    """
     c = classified(spark, sf_dir)
     r = c.where(F.col("ref").isNotNull()).select(F.col("session").alias("rs"), F.col("effective").alias("cls"), "ref")
     e = c.select("id", "session", F.col("field_class").alias("accepts"))
-    j = e.join(r, (F.col("session") == F.col("rs")) & (F.col("accepts") == F.col("cls")) & (pii.field_fit(F.col("accepts"), F.col("cls")) == "FITS"), "left")
+    j = e.join(r, (F.col("session") == F.col("rs")) & (F.col("accepts") == F.col("cls")), "left")
     g = j.groupBy("id", "accepts").agg(F.collect_set("ref").alias("refs"))
     n = F.size("refs")
     cause = F.when(F.col("accepts") == "OTP", "CRITICAL_FIELD").when(F.col("accepts").isin("UNKNOWN", "FREE_TEXT"), "AMBIGUOUS_FIELD").when(n == 0, "NO_MATCHING_REFERENCE").when(n > 1, "CONFLICTING_REFERENCES")
