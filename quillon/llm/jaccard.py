@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import components, cut, drop_cut, text_or_empty
+from quillon.llm.base import components, cut, drop_cut, small_batches, text_or_empty
 from quillon.llm.words import mixed, shingle_sets
 
 #: Documents link when SHARE[0] * intersection >= SHARE[1] * union.
@@ -198,7 +198,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared with one centre per key first and joined into components; what then still lies in different components
     of a key is compared in full, so no link that would join two components is missed.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
     sized = cut(rows.mapInArrow(_classes, "doc_id long, th long, n long, cls long"), "sized")
     total, classes = sized.where("n > 0").groupBy("cls").agg(F.first("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import text_or_empty
+from quillon.llm.base import small_batches, text_or_empty
 
 #: Tokens of a sequence, open bins of a packer, the id that ends a document.
 CAPACITY, OPEN_BINS, END_ID = 4096, 1024, 1
@@ -170,7 +170,7 @@ def packed(capacity: int, most: int) -> Callable:
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document: doc_id, piece, start, length, ids_crc32."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(pieces_of(vocabulary, capacity, end_id), PIECES)
 
 

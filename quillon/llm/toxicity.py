@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import text_or_empty
+from quillon.llm.base import small_batches, text_or_empty
 
 #: A sentence ends after these or at a line's end, and after so many words at the latest.
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(float(np.log(share / (1 - share))))
     if total > train_docs:
         ids = ids.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(train_docs / total * (1 << 20)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # the sample is bounded whatever the corpus, so its ids may go to every task and no text is shuffled for it
     train = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
     seen = train.mapInArrow(_feature_rows, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
@@ -182,7 +182,7 @@ def _scored(model: Model) -> Callable:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, offending (spans of sentences in code points). Null texts count as empty and get the base score."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_scored(model), "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>")
 
 
@@ -203,5 +203,5 @@ def _accepted(model: Model) -> Callable:
 
 def passing(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below 0.5, all columns as they were."""
-    marked = docs.withColumn("__text", text_or_empty(text_col))
+    marked = small_batches(docs).withColumn("__text", text_or_empty(text_col))
     return marked.mapInArrow(_accepted(model), marked.schema).drop("__text")

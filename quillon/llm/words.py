@@ -9,7 +9,7 @@ import pyarrow as pa
 
 WORDS_PER_SHINGLE = 5
 #: Texts are taken together up to so many bytes; a longer one stands alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
