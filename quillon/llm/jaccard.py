@@ -189,6 +189,20 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id").mapInArrow(_verified, "a long, b long")
 
 
+def crowded(rows: DataFrame, times: int = 2) -> DataFrame:
+    """Rows (k, id, comp, n) of keys with several components, without ids that share too few of them to link across.
+
+    A link between components has all its shared keys among these rows, more than the surplus of the smaller size, so
+    neither end is ever left out; keys that one component has to itself by then go too.
+    """
+    for _ in range(times):
+        enough = rows.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") > surplus_of(F.floor(F.col("n") * SHARE[1] / SHARE[0])))
+        rows = rows.join(enough.select("id"), "id", "left_semi")
+        several = rows.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        rows = rows.join(several.select("k"), "k", "left_semi")
+    return rows
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, n_shingles, component_id of every row of docs; th is a hash of the text.
 
@@ -237,7 +251,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             best = near.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
             pairs = best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"]).select("a", "b")
         else:
-            left = unlike.select("k", "id", "comp").join(sizes, F.col("id") == F.col("sid")).select("k", "id", "comp", "n")
+            left = cut(crowded(unlike.select("k", "id", "comp").join(sizes, F.col("id") == F.col("sid")).select("k", "id", "comp", "n")), "crowded")
             right = left.select(F.col("k").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
             fits = F.lit(SHARE[0]) * F.least("n", "n2") >= F.lit(SHARE[1]) * F.greatest("n", "n2")
             pairs = left.withColumnRenamed("id", "a").join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("n"), F.first("n2")).alias("least"))
