@@ -163,6 +163,19 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_keeps_documents_of_short_lines(spark):
+    notice, cjk = "all rights are reserved here", "\u7248\u6743\u6240\u6709\u672a\u7ecf\u8bb8\u53ef\u4e0d\u5f97\u8f6c\u8f7d"
+    texts = [
+        (1, notice), (2, f"apple\npear tree\n{notice}\nplum"), (3, f" \n{notice}\n\t"), (4, f"\u4eca\u65e5\u306f\n{notice}"), (5, cjk), (6, cjk + "\n\u6625"), (7, cjk),
+        (8, "\u4eca\u5929\u662f2024\u5e74\u7684\u7b2c\u4e00\u5929\u554a"), (9, "\u660e\u5929\u662f2025\u5e74\u7684\u7b2c\u4e8c\u5929\u5440"), (10, "apple"),
+    ]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(make(spark, texts)).collect()}
+    assert {i: r["kept"] for i, r in got.items()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True, 9: True, 10: True}
+    assert got[2]["text"] == "apple\npear tree\nplum"
+    assert got[4]["text"] == "\u4eca\u65e5\u306f"
+    assert got[6]["text"] == "\u6625"
+
+
 def shingle_set(t):
     w = [x for x in re.split(r"[ \t\n\x0b\x0c\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
