@@ -176,6 +176,31 @@ def test_line_dedup_keeps_documents_of_short_lines(spark):
     assert got[6]["text"] == "\u6625"
 
 
+def test_line_templates_of_one_leaf(spark):
+    rnd = random.Random(12)
+
+    def line(n, alike=()):
+        return ["log", "entry", "of", *([rnd.choice("abcdefghijkl") + "x" for _ in range(n - 3)] if not alike else alike)]
+
+    lines = []
+    for n in (4, 5, 6, 7, 8, 9, 12, 13, 60):  # several templates and unrelated lines in every leaf
+        for _ in range(5):
+            base = line(n)
+            lines.append(base)
+            for _ in range(4):
+                lines.append([rnd.choice("yz") + "x" if i > 2 and rnd.random() < 0.2 else t for i, t in enumerate(base)])
+        lines += [line(n) for _ in range(5)]
+    lines = list(map(list, dict.fromkeys(map(tuple, lines))))
+    rnd.shuffle(lines)
+    # two lines of 8 tokens that share 4 are not one template
+    lines += [["new"] * 3 + ["item", "p", "q", "r", "s"], ["new"] * 3 + ["item", "t", "u", "v", "w"]]
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.line_dedup(make(spark, [(i, " ".join(x)) for i, x in enumerate(lines)])).collect()}
+    want = {i: not any(len(a) == len(b) and a[:3] == b[:3] and 4 * sum(x == y for x, y in zip(a, b, strict=True)) >= 3 * len(b) for a in lines[:i]) for i, b in enumerate(lines)}
+    assert got == want
+    assert Counter(want.values())[False] > 80
+    assert got[len(lines) - 1]
+
+
 def shingle_set(t):
     w = [x for x in re.split(r"[ \t\n\x0b\x0c\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
