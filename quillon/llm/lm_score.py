@@ -19,8 +19,8 @@ from quillon.llm.words import word_hashes
 ROWS, WIDTH, SIDE = 1 << 15, 16, 2
 #: Rows are put into so many classes of about equal count: a token is its class, given both sides, then its word in the class.
 CLASSES = 32
-#: Rounds of averaged training, and the share of all places that a round trains on (by place, in every text).
-ROUNDS, SHARE = 2, 8
+#: Rounds of averaged training; each takes every ROUNDS-th place of every text, all rounds together every place once.
+ROUNDS = 2
 BATCH, RATE = 2048, 0.08
 SEED = 7
 
@@ -122,15 +122,19 @@ _PART = "part int, run int, used binary, value binary"
 _PARTS = 64
 
 
+def places(rows: np.ndarray, turn: int) -> np.ndarray:
+    """The places of a text that a round trains on; the rounds share them all out."""
+    return np.arange((xxhash.xxh3_64_intdigest(rows.tobytes()) + turn) % ROUNDS, len(rows), ROUNDS)
+
+
 def _trained(net: Network, turn: int) -> Callable:
-    """Trains on every SHARE-th place of every text and sends the weights in parts: rows of the embedding, then the rest."""
+    """Trains on the turn's places of every text and sends the weights in parts: rows of the embedding, then the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, around, target, n = Trainer(net), [], [], 0
         for batch in batches:
             for rows in text_rows(batch.column("text")):
-                first = (xxhash.xxh3_64_intdigest(rows.tobytes()) + turn * (SHARE // ROUNDS)) % SHARE
-                at = np.arange(first, len(rows), SHARE) + SIDE
+                at = places(rows, turn) + SIDE
                 if len(at):
                     padded = np.concatenate([np.zeros(SIDE, np.int32), rows, np.zeros(SIDE, np.int32)])
                     around.append(net.contexts(padded, at))
@@ -177,7 +181,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Network:
-    """The network, trained on all of docs.
+    """The network, trained on all of docs: with ROUNDS rounds every token is a target once.
 
     Counts cover every token. In each round every task trains from the same weights on its own texts, and the tasks'
     weights are averaged per embedding row by use; what is gathered grows with the corpus, what the driver gets is one

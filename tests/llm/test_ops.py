@@ -335,6 +335,12 @@ def test_lm(spark):
     assert lm_score.score(empty(spark), lm_score.train(empty(spark))).count() == 0
 
 
+def test_lm_trains_on_every_place():
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        rows = np.arange(n, dtype=np.int32)
+        assert sorted(np.concatenate([lm_score.places(rows, turn) for turn in range(lm_score.ROUNDS)]).tolist()) == list(range(n))
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script><style>p{}</style></head><body><nav><ul><li><a>Home</a></ul></nav><div class="sidebar">side</div><!-- <p>no --><article><h1>Head &amp; %d</h1>
 <p><b>First  block<br>of %s<p>Second &lt;block&gt;</p><aside>aside</aside><div class="comments"><p>reader</p></div><form><label>x</label><input></form><ul><li>one<li>two</ul></article><footer>&copy;</footer></body></html>"""
 
