@@ -17,7 +17,7 @@ from quillon.llm.words import word_hashes
 
 #: Words share so many rows of the embedding by hash; row 0 stands for places before and after a text.
 ROWS, WIDTH, SIDE = 1 << 15, 16, 2
-#: Rows are put into so many classes of about equal count: a token is its class, given both sides, then its word in the class.
+#: Rows are put into so many classes of about equal count: a token is its class, then its word in the class by a binary tree, both given both sides.
 CLASSES = 32
 #: Rounds of averaged training; each takes every ROUNDS-th place of every text, all rounds together every place once.
 ROUNDS = 2
@@ -25,33 +25,82 @@ BATCH, RATE = 2048, 0.08
 SEED = 7
 
 
+@dataclass
+class Tree:
+    """Per row the nodes from its class down to it: nodes[start[row] : start[row + 1]], the side taken at each (1 or -1), and the log odds of side 1 by counts."""
+
+    start: np.ndarray
+    nodes: np.ndarray
+    side: np.ndarray
+    odds: np.ndarray
+
+    def paths(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and sides on the ways to the targets, one after another, and the place of each one's target."""
+        n = self.start[target + 1] - self.start[target]
+        of = np.repeat(np.arange(len(target)), n)
+        at = np.arange(len(of)) + np.repeat(self.start[target] - (np.cumsum(n) - n), n)
+        return self.nodes[at], self.side[at], of
+
+
+def grown(order: np.ndarray, smooth: np.ndarray, of_row: np.ndarray) -> Tree:
+    """A tree for each class, its rows split by half of their count again and again; without training a word gets its share of the class."""
+    mass = np.r_[0.0, np.cumsum(smooth[order])]
+    cuts = np.r_[0, np.flatnonzero(np.diff(of_row[order])) + 1, len(order)].tolist()
+    todo, spans, odds = list(zip(cuts[:-1], cuts[1:], strict=True)), [], []
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            half = min(max(int(np.searchsorted(mass, (mass[a] + mass[b]) / 2)), a + 1), b - 1)
+            odds.append(np.log((mass[b] - mass[half]) / (mass[half] - mass[a])))
+            spans.append((a, half, b))
+            todo += [(a, half), (half, b)]
+    a, half, b = np.array(spans).reshape(-1, 3).T
+    node = np.repeat(np.arange(len(a)), b - a)
+    leaf = np.arange(len(node)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
+    row = order[leaf]
+    by_row = np.argsort(row, kind="stable")
+    side = np.where(leaf >= half[node], 1, -1).astype(np.float32)
+    start = np.r_[0, np.cumsum(np.bincount(row, minlength=ROWS))]
+    return Tree(start, node[by_row].astype(np.int32), side[by_row], np.array(odds, np.float32))
+
+
 @dataclass
 class Network:
+    """embedding has the words' rows, then those of the trees' nodes; weights and bias give the classes, then what nodes are multiplied with."""
+
     embedding: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     of_row: np.ndarray
-    log_in_class: np.ndarray
+    tree: Tree
 
     def contexts(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows of the embedding around places of a padded text."""
         steps = np.array([k for k in range(-SIDE, SIDE + 1) if k])
         return rows[at[:, None] + steps[None, :]]
 
-    def log_classes(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def log_classes(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hidden layer, log P of the classes, and the vectors that nodes are multiplied with."""
         h = np.tanh(self.embedding[around].reshape(len(around), -1))
         z = h @ self.weights + self.bias
-        z -= z.max(1, keepdims=True)
-        return h, z - np.log(np.exp(z).sum(1, keepdims=True))
+        c = z[:, CLASSES:]
+        z = z[:, :CLASSES] - z[:, :CLASSES].max(1, keepdims=True)
+        return h, z - np.log(np.exp(z).sum(1, keepdims=True)), c
+
+    def astray(self, c: np.ndarray, nodes: np.ndarray, side: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """exp(-s) for each node on a way, 1 / (1 + exp(-s)) being the probability of the side taken."""
+        s = side * (self.tree.odds[nodes] + np.einsum("ij,ij->i", self.embedding[ROWS + nodes], c[of]))
+        return np.exp(np.minimum(-s, 60))
 
     def score(self, rows: np.ndarray) -> float:
         """Sum over all tokens of log P(token | both sides); rows: of the bare text."""
         total, padded = 0.0, np.concatenate([np.zeros(SIDE, np.int32), rows, np.zeros(SIDE, np.int32)])
         for a in range(0, len(rows), 1 << 14):
             at = np.arange(a, min(a + (1 << 14), len(rows))) + SIDE
-            _, logp = self.log_classes(self.contexts(padded, at))
+            _, logp, c = self.log_classes(self.contexts(padded, at))
             target = padded[at]
-            total += float(logp[np.arange(len(at)), self.of_row[target]].sum(dtype=np.float64)) + float(self.log_in_class[target].sum())
+            total += float(logp[np.arange(len(at)), self.of_row[target]].sum(dtype=np.float64))
+            total -= float(np.log1p(self.astray(c, *self.tree.paths(target))).sum(dtype=np.float64))
         return total
 
 
@@ -73,9 +122,10 @@ def fresh(counts: np.ndarray) -> Network:
     in_class = np.bincount(of_row, smooth, CLASSES)
     rng = np.random.default_rng(SEED)
     share = np.maximum(in_class, 1e-9) / in_class.sum()
+    words = (rng.standard_normal((ROWS, WIDTH)) * 0.1).astype(np.float32)
     return Network(
-        (rng.standard_normal((ROWS, WIDTH)) * 0.1).astype(np.float32), (rng.standard_normal((2 * SIDE * WIDTH, CLASSES)) * 0.1).astype(np.float32),
-        np.log(share).astype(np.float32), of_row, np.log(smooth / in_class[of_row]),
+        np.concatenate([words, np.zeros_like(words)]), (rng.standard_normal((2 * SIDE * WIDTH, CLASSES + WIDTH)) * 0.1).astype(np.float32),
+        np.r_[np.log(share), np.zeros(WIDTH)].astype(np.float32), of_row, grown(order, smooth, of_row),
     )
 
 
@@ -83,25 +133,34 @@ class Trainer:
     """Adagrad on cross entropy over batches of places; remembers how often each row was used."""
 
     def __init__(self, net: Network):
-        self.net = Network(net.embedding.copy(), net.weights.copy(), net.bias.copy(), net.of_row, net.log_in_class)
-        self.g_e = np.full(ROWS, 1e-3, np.float32)
+        self.net = Network(net.embedding.copy(), net.weights.copy(), net.bias.copy(), net.of_row, net.tree)
+        self.g_e = np.full(2 * ROWS, 1e-3, np.float32)
         self.g_w, self.g_b = np.full_like(net.weights, 1e-3), np.full_like(net.bias, 1e-3)
-        self.used, self.steps = np.zeros(ROWS, np.int64), 0
+        self.used, self.steps = np.zeros(2 * ROWS, np.int64), 0
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
-        h, logp = net.log_classes(around)
+        h, logp, c = net.log_classes(around)
         d = np.exp(logp)
         d[np.arange(n), net.of_row[target]] -= 1
+        nodes, side, of = net.tree.paths(target)
+        e = net.astray(c, nodes, side, of)
+        d_s = (-side * (e / (1 + e)))[:, None]
+        d_c = np.zeros_like(c)
+        if len(of):  # the ways of one target are neighbours
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            d_c[of[first]] = np.add.reduceat(d_s * net.embedding[ROWS + nodes], first, axis=0)
+        d_node = d_s * c[of]
+        d = np.concatenate([d, d_c], axis=1)
         d_h = (d @ net.weights.T) * (1 - h * h)
         for value, total, g in ((net.weights, self.g_w, h.T @ d / n), (net.bias, self.g_b, d.sum(0) / n)):
             total += g * g
             value -= RATE * g / np.sqrt(total)
-        flat = around.ravel()
+        flat = np.concatenate([around.ravel(), ROWS + nodes])
         order = np.argsort(flat, kind="stable")
         row = flat[order]
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        g = np.add.reduceat(d_h.reshape(-1, WIDTH)[order], starts, axis=0) / n
+        g = np.add.reduceat(np.concatenate([d_h.reshape(-1, WIDTH), d_node])[order], starts, axis=0) / n
         rows = row[starts]
         self.g_e[rows] += (g * g).mean(1) * n
         net.embedding[rows] -= RATE * g * np.sqrt(n) / np.sqrt(self.g_e[rows])[:, None]
@@ -149,7 +208,7 @@ def _trained(net: Network, turn: int) -> Callable:
             t.step(np.concatenate(around), np.concatenate(target))
         if not t.steps:
             return
-        task, per = TaskContext.get().partitionId(), ROWS // _PARTS
+        task, per = TaskContext.get().partitionId(), 2 * ROWS // _PARTS
         parts = [(k, t.used[k * per : (k + 1) * per], t.net.embedding[k * per : (k + 1) * per]) for k in range(_PARTS)]
         parts.append((_PARTS, np.array([t.steps]), np.concatenate([t.net.weights.ravel(), t.net.bias])[None, :]))
         columns = zip(*[(k, task, used.astype(np.int64).tobytes(), value.astype(np.float32).tobytes()) for k, used, value in parts], strict=True)
@@ -192,7 +251,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Netw
     table = texts.mapInArrow(_counted, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
     counts[table["row"].to_numpy()] = table["n"].to_numpy()
     net = fresh(counts)
-    per = ROWS // _PARTS
+    per = 2 * ROWS // _PARTS
     for turn in range(rounds):
         parts = texts.mapInArrow(_trained(net, turn), _PART)
         mean = cut(parts.repartition("part").sortWithinPartitions("part", "run").mapInArrow(_averaged, _PART), "network")
@@ -205,7 +264,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Netw
                 rows = slice(r["part"] * per, (r["part"] + 1) * per)
                 embedding[rows] = np.where(used[:, None] > 0, v.reshape(per, WIDTH), embedding[rows])
         drop_cut(mean)
-        net = Network(embedding, weights, bias, net.of_row, net.log_in_class)
+        net = Network(embedding, weights, bias, net.of_row, net.tree)
     return net
 
 

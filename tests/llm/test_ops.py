@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,6 +342,32 @@ def test_lm_trains_on_every_place():
         assert sorted(np.concatenate([lm_score.places(rows, turn) for turn in range(lm_score.ROUNDS)]).tolist()) == list(range(n))
 
 
+def test_lm_tells_words_of_one_band_apart(spark):
+    rnd = random.Random(4)
+    left, right = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(64)], ["".join(rnd.choices("mnopqrst", k=6)) for _ in range(64)]
+    lines = [(i, " ".join(f"{left[k]} {right[k]}" for k in (rnd.randrange(64) for _ in range(60)))) for i in range(2000)]
+    net = lm_score.train(make(spark, lines).coalesce(1))
+    of = {w: next(lm_score.text_rows(pa.array([w])))[0] for w in left + right}
+    cost = []
+    for k in range(64):
+        for j in range(64):
+            if j != k and net.of_row[of[right[j]]] == net.of_row[of[right[k]]]:
+                padded = np.array([0, 0, of[left[1]], of[right[1]], of[left[k]], of[right[k]], of[left[2]], of[right[2]], 0, 0], np.int32)
+                _, _, c = net.log_classes(net.contexts(padded, np.array([5, 5])))
+                nodes, side, at = net.tree.paths(np.array([of[right[k]], of[right[j]]]))
+                log_word = -np.bincount(at, np.log1p(net.astray(c, nodes, side, at)), 2)
+                cost.append(log_word[0] - log_word[1])
+    assert len(cost) > 20
+    assert np.mean(cost) > 1
+    # in one place the words' probabilities add up to one
+    padded = np.array([0, 0, of[left[1]], 0, 0], np.int32)
+    _, logp, c = net.log_classes(net.contexts(padded, np.array([2])))
+    every = np.arange(lm_score.ROWS)
+    nodes, side, at = net.tree.paths(every)
+    log_word = -np.bincount(at, np.log1p(net.astray(np.repeat(c, len(every), 0), nodes, side, at)), len(every))
+    assert np.exp(logp[0, net.of_row] + log_word).sum() == pytest.approx(1, abs=1e-3)
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script><style>p{}</style></head><body><nav><ul><li><a>Home</a></ul></nav><div class="sidebar">side</div><!-- <p>no --><article><h1>Head &amp; %d</h1>
 <p><b>First  block<br>of %s<p>Second &lt;block&gt;</p><aside>aside</aside><div class="comments"><p>reader</p></div><form><label>x</label><input></form><ul><li>one<li>two</ul></article><footer>&copy;</footer></body></html>"""
 
