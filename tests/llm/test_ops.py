@@ -224,6 +224,14 @@ def test_jaccard(spark, texts):
     assert jaccard.similar_classes(empty(spark)).count() == 0
 
 
+def test_jaccard_single_shared_key(spark):
+    """Short documents that share one key only are linked when no other documents share more."""
+    texts = [(i, t) for k, b in enumerate(("a", "k", "r", "v")) for i, t in ((2 * k, " ".join(f"{b}{j}" for j in range(8))), (2 * k + 1, " ".join(f"{b}{j}" for j in range(9))))]
+    for pair in range(4):
+        got = jaccard.similar_classes(make(spark, texts[2 * pair : 2 * pair + 2])).collect()
+        assert {r["component_id"] for r in got} == {2 * pair}
+
+
 def test_jaccard_pigeonhole():
     """Pairs that link share more keys than their surplus, at every size."""
     rnd = np.random.default_rng(2)
