@@ -50,7 +50,7 @@ def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 both("capped_allocation", "D-06", """with w as (select c_nationkey k, count(*) weight from customer group by 1), t as (select count(*) n, sum(weight) total from w),
-s as (select w.k, w.weight, t.n, row_number() over (order by w.weight desc, w.k) rn, sum(w.weight) over (order by w.weight desc, w.k rows between current row and unbounded following) rest_w from w cross join t),
+s as (select w.k, w.weight, t.n, row_number() over (order by w.weight desc, w.k) rn, sum(w.weight) over (order by w.weight, w.k desc rows between unbounded preceding and current row) rest_w from w cross join t),
 l as (select *, 6 as extra_cap, n * 3 rest, cast(n * 3 - (rn - 1) * 6 as double) / rest_w lam from s),
 pick as (select min(rn) first_free from l where lam * weight < extra_cap), lam as (select l.lam, p.first_free from l join pick p on l.rn = p.first_free),
 r as (select l.k, l.weight, l.rest, l.extra_cap, l.rn < lam.first_free fixed, case when l.rn < lam.first_free then cast(l.extra_cap as double) else lam.lam * l.weight end re from l cross join lam),

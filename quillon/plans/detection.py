@@ -76,7 +76,7 @@ METRICS = """o as (select p.cls, p.pid, p.conf, p.sample, p.x, p.y, case when m.
 n as (select cls, count(*) g from gt group by cls),
 c as (select o.*, n.g, sum(tp) over w tps, count(*) over w seen from o join n on n.cls = o.cls window w as (partition by o.cls order by conf desc, sample, x, y, pid rows between unbounded preceding and current row)),
 pr as (select *, cast(tps as double) / seen prec, cast(tps as double) / g rec from c),
-en as (select *, max(prec) over (partition by cls order by seen rows between current row and unbounded following) env, lag(rec, 1, cast(0 as double)) over (partition by cls order by seen) prev from pr),
+en as (select *, max(prec) over (partition by cls order by seen desc rows between unbounded preceding and current row) env, lag(rec, 1, cast(0 as double)) over (partition by cls order by seen) prev from pr),
 k as (select cls, max(g) ground_truth, count(*) predictions, sum(tp) true_positives, sum((rec - prev) * env) ap from en group by cls)"""
 METRICS_OUT = """select cls, ground_truth, predictions, cast(true_positives as bigint) true_positives, cast(predictions - true_positives as bigint) false_positives, cast(ground_truth - true_positives as bigint) false_negatives,
   round(ap, 9) ap50, round(cast(true_positives as double) / nullif(ground_truth, 0), 9) recall, round(cast(true_positives as double) / nullif(predictions, 0), 9) as "precision", round(avg(ap) over (), 9) map50 from k"""
