@@ -1,16 +1,18 @@
 """N-gram Jaccard join by parity sketches, a pigeonhole join of their blocks per size band, and exact verification.
 
-A document's sketch is a bit string as long as its size band needs, in which every shingle flips the bit that its
-hash names; sketches of two documents differ in at most as many bits as the documents have shingles not in common.
-The sketch is cut into blocks, each kept as the XOR of the codes of its set bits. Documents that link differ by at
-most (n1 + n2) / 7 shingles, so of the blocks of either that hold anything at most so many find no equal in the other:
-in any common order of blocks, the first s that both share are among the first (n1 + n2) / 7 + s of each. These are the
-keys that are joined, and pairs that share fewer than s of them cannot link. The order takes full blocks first and blocks of shingles that are frequent in a sample last;
-only speed hangs on it.
+A document's sketch is a bit string about as long as it has shingles, in which every shingle flips the bit that its hash
+names: two sketches differ in at most as many bits as the documents have shingles not in common, and documents that
+link differ by at most (n1 + n2) / 7 shingles. Sketches meet by pigeonhole per size band: the sketch is cut into blocks,
+each kept as the XOR of the codes of its shingles. At most (n1 + n2) / 7 blocks of either document find no equal in the
+other: in any common order of blocks, the first s that both share are among the first (n1 + n2) / 7 + s of each. These
+are the keys that are joined. The order takes blocks of shingles first that few documents have, as counted over the
+whole corpus; only speed hangs on it. Pairs that meet are compared by the Hamming distance of their sketches, and what
+it lets through is verified on the texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,18 +30,21 @@ SHARE = (100, 75)
 SMALL, BAND_RATIO = 64, 4
 #: Blocks of a band's sketch, as a share of the band's largest size.
 BLOCK_SHARE = 0.5
-#: Keys of a bucket, for the number of buckets.
-KEYS_PER_BUCKET = 1_000_000
-#: Documents in the sample that tells frequent shingles, and in how many of them one is frequent; at most so many.
-SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4_000, 12, 200_000
+#: Keys of a bucket, for the number of buckets; buckets at most.
+KEYS_PER_BUCKET, MOST_BUCKETS = 1_000_000, 1 << 17
+#: Keys that a task gathers before it deals them out, and that a bucket's task takes together.
+KEYS_DEALT, KEYS_MET = 4_000_000, 2_000_000
+#: Counters of shingles, over all documents, and the rows they are sent in.
+CELLS, CELL_ROWS = 1 << 21, 64
 #: Others that are compared with one copy of a centre.
 PER_CENTRE = 400
 STAR_ROUNDS = 2
+#: Sketches of a key that are compared at once: larger groups are compared in pairs of tiles.
+TILE = 2_000
 #: The list of documents whose text is needed again is broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
 
 
-
 def surplus(n: int) -> int:
     """Keys beyond the pigeonhole's one that documents of this size send, and so share if they link."""
     return n // 24 + 1 if n >= 16 else 0
@@ -57,25 +62,22 @@ def bands(n: int) -> list[tuple[int, int]]:
     return [(band, top)] + ([(band + 1, (top + 1) * BAND_RATIO - 1)] if SHARE[0] * n >= SHARE[1] * (top + 1) else [])
 
 
-def keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The block keys of a document with sorted shingles s."""
+def keys(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The block keys of a document with sorted shingles s; level says of each counter how frequent its shingles are."""
     n, out = len(s), []
-    if len(frequent):
-        heavy = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-    else:
-        heavy = np.zeros(n, dtype=bool)
+    frequent = level[cells(s)] if len(level) else np.zeros(n, dtype=np.uint8)
     code = mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     for band, top in bands(n):
         largest = min(SHARE[0] * n // SHARE[1], top)
         differ = (n + largest) * (SHARE[0] - SHARE[1]) // (SHARE[0] + SHARE[1])
         salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         if band == 0:
-            key, held, plain = mixed(code ^ salt), np.ones(n, dtype=np.int64), heavy
+            key, held, plain = mixed(code ^ salt), np.ones(n, dtype=np.int64), frequent
         else:
             block = (s >> np.uint64(32)) * np.uint64(int(BLOCK_SHARE * (top + 1))) >> np.uint64(32)
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             held = np.diff(np.r_[starts, n])
-            plain = np.minimum.reduceat(heavy, starts)
+            plain = np.minimum.reduceat(frequent, starts)
             key = mixed(np.bitwise_xor.reduceat(code, starts) ^ mixed(block[starts] ^ salt))
         send = differ + 1 + surplus(n)
         if len(key) > send:
@@ -86,78 +88,232 @@ def keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def cells(s: np.ndarray) -> np.ndarray:
+    """The counters of shingles."""
+    return (s >> np.uint64(11)).astype(np.int64) & (CELLS - 1)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Of each counter: 0 if it holds what chance brings, else the more the more it holds."""
+    usual = counts.mean()
+    usual += 4 * np.sqrt(usual) + 4
+    return np.where(counts > usual, 1 + 2 * np.log2(np.maximum(counts / usual, 1)), 0).astype(np.uint8)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of the shingles: as many as the next power of two to their number, 64 at least."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the shorter; never more than the shingles not in common."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), len(a) * 8
+    while n > len(b) * 8:
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def may_link(n1: int, n2: int, apart: int) -> bool:
+    """Whether documents of these sizes whose sketches are so far apart can link."""
+    return SHARE[0] * min(n1, n2) >= SHARE[1] * max(n1, n2) and (SHARE[0] + SHARE[1]) * apart <= (SHARE[0] - SHARE[1]) * (n1 + n2)
+
+
+_CLASSES = "doc_id long, th long, n long, cls long, sketch binary"
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, th, n, cls: size and hash of each document's set (null for an empty one)."""
+    """doc_id, th, n, cls, sketch: size, hash and sketch of each document's set (null for an empty one).
+
+    Rows of n = -1 follow: the task's counters of shingles, compressed, in CELL_ROWS parts numbered by th.
+    """
+    names, counts = ["doc_id", "th", "n", "cls", "sketch"], np.zeros(CELLS, np.uint32)
     for batch in batches:
-        n, cls = [], []
+        n, cls, bits, seen = [], [], [], [np.zeros(0, np.int64)]
         for s in shingle_sets(batch.column("text")):
             n.append(len(s))
             cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "th", "n", "cls"])
-
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits.append(sketch(s) if len(s) else None)
+            seen.append(cells(s))
+        counts += np.bincount(np.concatenate(seen), minlength=CELLS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())], names=names)
+    for k, part in enumerate(counts.reshape(CELL_ROWS, -1)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([k], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the parts of counters: th, counts (64-bit, compressed)."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for s in shingle_sets(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
-
-
-def _dealt(frequent: np.ndarray, buckets: int) -> Callable:
-    """One row per batch and bucket: classes, and of every key its class's place and its 48 bits. A task sends a class once."""
+        for k, part in zip(batch.column("th").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(part), np.uint32).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["th", "sketch"])
+
+
+def _dealt(level: np.ndarray, buckets: int) -> Callable:
+    """A row per bucket for every few million keys of a task: classes, and of every key its class's place and itself. A class is sent once while the task remembers it."""
+    names, kinds = ["bucket", "classes", "place", "keys"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    def dealt(cls: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        every, of, ids = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.array(cls, dtype=np.int64)
+        bucket = (every >> np.uint64(40)).astype(np.int64) * buckets >> 24
+        order = np.argsort(bucket, kind="stable")
+        every, of, bucket = every[order], of[order], bucket[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        rows = []
+        for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
+            have, place = np.unique(of[a:b], return_inverse=True)
+            rows.append((int(bucket[a]), ids[have].tobytes(), place.astype(np.uint16).tobytes(), every[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent, cls, parts, n, enough = set(), [], [], 0, min(KEYS_DEALT, max(200_000, 64 * buckets))
         for batch in batches:
-            cls, parts = [], []
             for s in shingle_sets(batch.column("text")):
                 if len(s) and (c := xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63) not in sent:
                     sent.add(c)
                     cls.append(c)
-                    parts.append(keys(s, frequent))
-            if not parts:
-                continue
-            every, of, ids = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.array(cls, dtype=np.int64)
-            bucket = (every >> np.uint64(48)).astype(np.int64) * buckets >> 16
-            order = np.argsort(bucket, kind="stable")
-            every, of, bucket = every[order], of[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows = []
-            for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
-                have, place = np.unique(of[a:b], return_inverse=True)
-                low = np.ascontiguousarray(every[a:b]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                rows.append((int(bucket[a]), ids[have].tobytes(), place.astype(np.uint16).tobytes(), low, (every[a:b] >> np.uint64(48)).astype(np.uint16).tobytes() if buckets < 1 << 16 else b""))
-            # the top 16 bits choose the bucket; with fewer buckets than their values they are told apart by a byte or two more
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                names=["bucket", "classes", "place", "low", "high"],
-            )
+                    parts.append(keys(s, level))
+                    n += len(parts[-1])
+                    if n >= enough or len(cls) >= 1 << 16:
+                        yield dealt(cls, parts)
+                        cls, parts, n = [], [], 0
+                        sent = sent if len(sent) < 1 << 20 else set()
+        if parts:
+            yield dealt(cls, parts)
 
     return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, id of all classes that share a key of this bucket with another."""
-    found = []
+    """key, id of all classes that share a key of this bucket with another.
+
+    KEYS_MET keys are taken together; of what was taken one class per key is held, so a key with very many classes
+    fills no memory. A row may come twice if a class was sent twice.
+    """
+    key, ids, old = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)  # old: 1 held, 2 held and given out
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        nonlocal key, ids, old, n
+        key = np.concatenate([key, *(p[0] for p in pending)])
+        ids = np.concatenate([ids, *(p[1] for p in pending)])
+        old = np.concatenate([old, np.zeros(len(key) - len(old), np.int8)])
+        pending.clear()
+        n = 0
+        order = np.lexsort((-old, ids, key))
+        key, ids, old = key[order], ids[order], old[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
+        key, ids, old = key[new], ids[new], old[new]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[starts, len(key)])
+        met = (size > 1) | (np.maximum.reduceat(old, starts) == 2)
+        out = np.repeat(met, size) & (old < 2)
+        k, i = key[out].view(np.int64), ids[out]
+        for at in range(0, len(k), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000]), pa.array(i[at : at + 100_000])], names=["key", "id"])
+        key, ids, old = key[starts], ids[starts], np.where(met, 2, 1).astype(np.int8)
+
     for batch in batches:
-        for classes, place, low, high in zip(*(batch.column(c).to_pylist() for c in ("classes", "place", "low", "high")), strict=True):
-            p = np.frombuffer(place, np.uint16)
-            raw = np.zeros((len(p), 8), np.uint8)
-            raw[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-            raw[:, 6:] = np.frombuffer(high, np.uint8).reshape(-1, 2)
-            found.append((raw.view(np.uint64).ravel(), np.frombuffer(classes, np.int64)[p]))
-    if not found:
-        return
-    key, ids = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    found.clear()
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
-    key, ids = key[new], ids[new]
-    same = key[1:] == key[:-1]
-    keep = np.r_[False, same] | np.r_[same, False]
-    key, ids = key[keep].view(np.int64), ids[keep]
-    for at in range(0, len(key), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(ids[at : at + 100_000])], names=["key", "id"])
+        for classes, place, every in zip(*(batch.column(c).to_pylist() for c in ("classes", "place", "keys")), strict=True):
+            pending.append((np.frombuffer(every, np.uint64), np.frombuffer(classes, np.int64)[np.frombuffer(place, np.uint16)]))
+            n += len(pending[-1][0])
+            if n >= KEYS_MET:
+                yield from settled()
+    if pending:
+        yield from settled()
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those of the pairs a, b that their sizes na, nb and sketches sa, sb let link."""
+    for batch in batches:
+        a, b, na, nb, sa, sb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "sa", "sb"))
+        keep = [may_link(n, m, distance(x, y)) for n, m, x, y in zip(na, nb, sa, sb, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def possible(pairs: DataFrame, by_class: DataFrame) -> DataFrame:
+    one = by_class.select(F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    other = by_class.select(F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(one, F.col("a") == F.col("ca")).join(other, F.col("b") == F.col("cb"))
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that may link within groups of rows (kk, first, second): one of home, of different components, by size and sketch."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        tiled = any(r[0] for r in rows)
+        if len(rows) <= 12:
+            return [
+                (r[2], q[2])
+                for i, r in enumerate(rows)
+                for q in rows[i + 1 :]
+                if (r[0] != q[0] or not tiled) and (r[1] or q[1]) and r[3] != q[3] and r[2] != q[2] and may_link(r[4], q[4], distance(r[5], q[5]))
+            ]
+        side, home, ids, comp, n = (np.array([r[i] for r in rows]) for i in range(5))
+        bits = []
+        short = min(len(r[5]) for r in rows)
+        for r in rows:
+            x = np.frombuffer(r[5], np.uint64)
+            while len(x) * 8 > short:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            bits.append(x)
+        x, out = np.stack(bits), []
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if tiled else left
+        for i in left:
+            j = right[right > i] if not tiled else right
+            j = j[(comp[j] != comp[i]) & (ids[j] != ids[i]) & (home[j] | home[i]) & (SHARE[0] * np.minimum(n[j], n[i]) >= SHARE[1] * np.maximum(n[j], n[i]))]
+            if len(j):
+                apart = np.bitwise_count(x[j] ^ x[i]).sum(axis=1, dtype=np.int64)
+                j = j[(SHARE[0] + SHARE[1]) * apart <= (SHARE[0] - SHARE[1]) * (n[j] + n[i])]
+                out += [(int(ids[i]), int(ids[k])) for k in j]
+        return out
+
+    def given(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
+
+    at, rows, found = None, [], []
+    for batch in batches:
+        group = zip(*(batch.column(c).to_pylist() for c in ("kk", "first", "second")), strict=True)
+        for g, row in zip(group, zip(*(batch.column(c).to_pylist() for c in ("side", "home", "id", "comp", "n", "sketch")), strict=True), strict=True):
+            if g != at:
+                found += pairs(rows) if len(rows) > 1 else []
+                at, rows = g, []
+                if len(found) > 50_000:
+                    yield given(found)
+                    found = []
+            rows.append(row)
+    found += pairs(rows) if len(rows) > 1 else []
+    yield given(found)
+
+
+def met_pairs(left: DataFrame, by_class: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of rows (k, id, comp, n) that share a key, lie in different components and may link by sketch.
+
+    Within a key only documents of about one size meet: each is at home in the step of its size and a guest in the next
+    one, steps being as far apart as sizes of linked documents can be. A step with more than TILE rows is compared in pairs of tiles.
+    """
+    bits = by_class.select(F.col("cls").alias("sid"), "sketch")
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(SHARE[0] / SHARE[1]))).cast("int")
+    rows = left.join(bits, F.col("id") == F.col("sid")).withColumn("step", step)
+    rows = rows.select("k", "id", "comp", "n", "sketch", F.explode(F.array(F.struct(F.col("step").alias("s"), F.lit(True).alias("home")), F.struct((F.col("step") + 1).alias("s"), F.lit(False).alias("home")))).alias("at"))
+    rows = cut(rows.select(F.concat_ws(":", "k", "at.s").alias("kk"), F.col("at.home").alias("home"), "id", "comp", "n", "sketch"), "stepped")
+    groups = rows.groupBy("kk").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("home")).where("lo <> hi and home")
+    groups = groups.select(F.concat(F.lit("g"), "kk").alias("gk"), F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
+    tiled = rows.join(groups, F.concat(F.lit("g"), F.col("kk")) == F.col("gk")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("first"), F.greatest("tile", t).alias("second"), F.when(F.col("tile") > t, 1).otherwise(0).alias("side")))
+    tiled = tiled.withColumn("pair", F.explode(pair)).select("kk", "pair.first", "pair.second", "pair.side", "home", "id", "comp", "n", "sketch")
+    found = tiled.repartition("kk", "first", "second").sortWithinPartitions("kk", "first", "second", "side", "id").mapInArrow(_compared, "a long, b long")
+    drop = cut(found.distinct(), "compared")
+    drop_cut(rows)
+    return drop
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,18 +370,19 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    sized = cut(rows.mapInArrow(_classes, "doc_id long, th long, n long, cls long"), "sized")
-    total, classes = sized.where("n > 0").groupBy("cls").agg(F.first("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    by_class = cut(sized.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("one"), F.first("n").alias("n")), "classes")
+    every = cut(rows.mapInArrow(_classes, _CLASSES), "sized")
+    counts = np.zeros((CELL_ROWS, CELLS // CELL_ROWS), np.int64)
+    summed = every.where("n = -1").select("th", "sketch").repartition("th").mapInArrow(_summed, "th long, sketch binary")
+    for r in summed.toArrow().to_pylist():
+        counts[r["th"]] = np.frombuffer(zlib.decompress(r["sketch"]), np.int64)
+    level = levels(counts.ravel())
+    sized = every.where("n >= 0").select("doc_id", "th", "n", "cls")
+    by_class = cut(every.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    total = by_class.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     spark = docs.sparkSession
-    buckets = min(1 << 15, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * KEYS_PER_BUCKET))))
-
-    share = max(1, classes // SAMPLE_DOCS)
-    sample = rows.where(F.pmod(F.xxhash64("th", F.lit(7)), F.lit(share)) == 0).dropDuplicates(["th"]).select("text")
-    common = sample.mapInArrow(_sampled, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array(common.select("s").toArrow()["s"].to_numpy()).view(np.uint64))
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * KEYS_PER_BUCKET))))
 
-    dealt = rows.select("text").mapInArrow(_dealt(frequent, buckets), "bucket int, classes binary, place binary, low binary, high binary")
+    dealt = rows.select("text").mapInArrow(_dealt(level, buckets), "bucket int, classes binary, place binary, keys binary")
     met = cut(dealt.repartitionById(buckets, "bucket").mapInArrow(_met, "key long, id long"), "met")
     # a class that shares fewer keys in all than the smallest partner it could link with must share has no link
     sizes = by_class.select(F.col("cls").alias("sid"), "n")
@@ -234,11 +391,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = cut(met.join(enough.select(F.col("sid")), F.col("id") == F.col("sid"), "left_semi"), "met")
     drop_cut(few)
     wanted = cut(met.select("id").distinct().join(by_class, F.col("id") == F.col("cls")).select("id", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "wanted")
-    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("th") == F.col("one_th"))).select("id", "text").dropDuplicates(["id"])
+    listed = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    texts = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("th") == F.col("one_th"))).select("id", "text").dropDuplicates(["id"])
     texts = cut(texts, "met-texts")
+    drop_cut(wanted)
 
-    links, comp, tried = None, None, None
+    links, comp, tried, written = None, None, None, [met, texts]
     for turn in range(STAR_ROUNDS + 1):
         placed = met if comp is None else met.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
         placed = placed.select("key", "id", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("comp"))
@@ -249,21 +407,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn < STAR_ROUNDS:
             near = unlike.where("comp <> centre.comp").groupBy(F.col("centre.id").alias("a"), F.col("id").alias("b")).count().where("count > 1")
             best = near.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
-            pairs = best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"]).select("a", "b")
+            pairs = possible(best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"]).select("a", "b"), by_class)
         else:
             left = cut(crowded(unlike.select("k", "id", "comp").join(sizes, F.col("id") == F.col("sid")).select("k", "id", "comp", "n")), "crowded")
-            right = left.select(F.col("k").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-            fits = F.lit(SHARE[0]) * F.least("n", "n2") >= F.lit(SHARE[1]) * F.greatest("n", "n2")
-            pairs = left.withColumnRenamed("id", "a").join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("n"), F.first("n2")).alias("least"))
-            pairs = pairs.where(F.col("shared") > surplus_of(F.col("least"))).select("a", "b")
+            pairs = met_pairs(left, by_class)
+            written += [left, pairs]
         if tried is not None:
             done = tried.select(F.least("a", "b").alias("da"), F.greatest("a", "b").alias("db"))
             pairs = pairs.join(done, (F.least("a", "b") == F.col("da")) & (F.greatest("a", "b") == F.col("db")), "left_anti")
         pairs = cut(pairs, "pairs")
+        written.append(pairs)
         if not pairs.limit(1).count():
             # pairs of stars share two keys, short documents may share one: only the full round ends it
             continue
         new = cut(verify(pairs, texts), "links")
+        written.append(new)
         tried = pairs if tried is None else tried.union(pairs)
         links = new if links is None else links.union(new)
         drop_cut(comp)
@@ -276,6 +434,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = joined.groupBy("c").agg(F.min("doc_id").alias("component_id"))
         root = joined.join(least.select(F.concat(F.lit("c"), "c").alias("lc"), "component_id"), F.concat(F.lit("c"), F.col("c")) == F.col("lc")).select("cls", "component_id")
     root = cut(root.withColumnRenamed("cls", "root_cls"), "roots")
+    for df in (*written, comp, by_class):
+        drop_cut(df)
     out = sized.join(root, F.col("cls") == F.col("root_cls"), "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

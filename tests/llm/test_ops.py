@@ -245,7 +245,7 @@ def test_jaccard_pigeonhole():
             both = len(np.intersect1d(a, b))
             if not both or 100 * both < 75 * (len(a) + len(b) - both):
                 continue
-            shared = np.intersect1d(jaccard.keys(a, np.zeros(0, np.uint64)), jaccard.keys(b, np.zeros(0, np.uint64)))
+            shared = np.intersect1d(jaccard.keys(a, np.zeros(0, np.uint8)), jaccard.keys(b, np.zeros(0, np.uint8)))
             assert len(shared) > jaccard.surplus(min(len(a), len(b)))
 
 
