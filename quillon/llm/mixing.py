@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 CEILING = 3
 #: Source tables of at most so many rows may be broadcast.
 BROADCAST_SOURCES = 10_000
+#: Ids that come more than once are broadcast up to so many.
+BROADCAST_IDS = 500_000
 SEED = "mix-1"
 
 
@@ -64,8 +66,14 @@ def _rated(rows: DataFrame, id_col: str, size_col: str, source_col: str, seed: s
     per = per.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     per = F.broadcast(per) if per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else per
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    draw = uniform(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), seed)
-    out = rows.join(per, source.eqNullSafe(F.col("__s"))).drop("__s").withColumn("__rate", rate)
+    ids = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))
+    several = rows.groupBy(ids.alias("__several")).agg(F.count("*").alias("__n")).where("__n > 1").select("__several")
+    several = cut(several, "repeated-ids")
+    several = F.broadcast(several) if several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else several
+    # the row's number is given where the rows are read, before any join deals them anew
+    out = rows.withColumn("__row", F.monotonically_increasing_id().cast("string")).join(several, ids == F.col("__several"), "left")
+    draw = uniform(F.when(F.col("__several").isNull(), ids).otherwise(F.concat_ws(":", ids, "__row")), seed)
+    out = out.join(per, source.eqNullSafe(F.col("__s"))).withColumn("__rate", rate)
     return out.withColumn("__copies", (F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("long"))
 
 
@@ -74,7 +82,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     rate = target / source_size; a document is taken floor(rate) times and once more when a hash of its id falls under
     the fraction. Null texts have no words, a null source is a source of its own and the last. A source without words
-    has rate 0. Repeated rows of one id share their draw. Hot sources: sums are partially aggregated, and the table of
+    has rate 0. Rows of an id that comes once are drawn by the id alone; of an id (or of null) that comes more often each
+    row is drawn by itself, by its id and its number in the files read, which stays from run to run. An empty table
+    gives an empty result. Long texts only count words. Hot sources: sums are partially aggregated, and the table of
     sources is broadcast only if it has at most BROADCAST_SOURCES rows; else Spark joins it and splits hot keys.
     """
     out = _rated(sizes(docs, id_col, text_col, source_col), "doc_id", "size", "source", seed)
@@ -82,7 +92,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def emit_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """The mixed corpus itself: the rows of docs, all columns, each as often as mix() takes it."""
+    """The mixed corpus itself: the rows of docs, all columns, each as often as mix() takes it.
+
+    Nulls, empty texts, repeated rows and empty tables as in mix(); a document taken no time is not in the result.
+    """
     out = _rated(docs.withColumn("__size", word_count(text_col)), id_col, "__size", source_col, seed)
     return out.withColumn("__copy", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__copies"))))).select(*docs.columns)
 

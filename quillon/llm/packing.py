@@ -74,6 +74,8 @@ class WordEncoder:
             known.clear()
         new = set().union(*[c for c in cut if c]).difference(known)
         extra = self._learn(sorted(new)) if new else {}
+        if extra is None:
+            return [self._whole(t) for t in texts]
         if extra:
             return [self._whole(t) if c is None else b"".join([known[w] if w in known else extra[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
         return [self._whole(t) if c is None else b"".join([known[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
@@ -81,12 +83,12 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Remembers new words; returns those too long to be kept."""
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes] | None:
+        """Remembers new words; returns those too long to be kept, or None if ends of tokens do not part the words."""
         ids = np.array(self.plain.encode_batch_fast([b"\n".join(new).decode("latin-1")], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(new):
-            raise ValueError("words and ends of words do not agree")
+            return None
         raw, extra = ids.tobytes(), {}
         for w, a, b in zip(new, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
             (self.known if len(w) <= LONGEST else extra)[w] = raw[4 * a : 4 * b]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.base import small_batches, text_or_empty
 
-#: A sentence ends after these or at a line's end, and after so many words at the latest.
+#: A sentence ends after these or at a line's end; a text without either is one sentence.
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 WORDS = re.compile(r"[^\W\d_]+")
 #: Word and prefix features that are kept at most, and the least share of labelled documents that have one.
@@ -40,33 +41,52 @@ def held_out(doc_id: object) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+#: Words whose weighted features are remembered at most.
+REMEMBERED = 200_000
+
+
 @dataclass
 class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
+
+    def weighted(self, words: set[str]) -> set[str]:
+        """Those features of words in lower case that have a weight."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in words.difference(known):
+            known[w] = tuple(f for f in features(w) if f in self.weights)
+        return {f for w in words for f in known[w]}
+
+    def probability(self, found: set[str]) -> float:
+        z = self.bias + sum(self.weights[f] for f in sorted(found))
+        return 1 / (1 + math.exp(-min(max(z, -40.0), 40.0)))
 
     def sentence(self, s: str) -> float:
         """Probability that the sentence alone makes a document toxic."""
-        z = self.bias
-        if self.weights:
-            for f in features(s):
-                z += self.weights.get(f, 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return self.probability(self.weighted(set(WORDS.findall(s.lower()))))
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Noisy-or over the sentences, and (start, end, score) of those that offend by themselves."""
-        miss, bad, at = 0.0, [], 0
         if not text:
-            return self.sentence(""), bad
+            return self.sentence(""), []
+        if not self.weighted(set(WORDS.findall(text.lower()))):  # no sentence has a feature: all score alike
+            p = self.probability(set())
+            cuts = [(m.start(), m.end()) for m in SENTENCE_END.finditer(text)]
+            spans = [(a, b) for a, b in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(text)], strict=True) if b > a]
+            return float(-math.expm1(len(spans) * math.log1p(-min(p, 1 - 1e-12)))), [(a, b, p) for a, b in spans] if p >= 0.5 else []
+        miss, bad, at = 0.0, [], 0
         for m in [*SENTENCE_END.finditer(text), None]:
             end = m.start() if m else len(text)
             if end > at:
                 p = self.sentence(text[at:end])
-                miss += np.log1p(-min(p, 1 - 1e-12))
+                miss += math.log1p(-min(p, 1 - 1e-12))
                 if p >= 0.5:
                     bad.append((at, end, p))
             at = m.end() if m else end
-        return float(1 - np.exp(miss)), bad
+        return float(-math.expm1(miss)), bad
 
 
 def sentences(text: str) -> list[str]:
@@ -102,7 +122,8 @@ def _bags(index: dict[str, int]) -> Callable:
                         rows.append(got)
                 plain.append(n - len(rows))
                 hits.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(plain, pa.int32()), pa.array(hits, pa.list_(pa.list_(pa.int32())))], names=["toxic", "plain", "hits"])
+            columns = [batch.column("label_id"), batch.column("toxic"), pa.array(plain, pa.int32()), pa.array(hits, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["label_id", "toxic", "plain", "hits"])
 
     return run
 
@@ -113,6 +134,8 @@ def fit_bags(toxic: np.ndarray, plain: np.ndarray, hits: list[list[list[int]]],
     flat = [(s, f) for s, row in enumerate(r for rows in hits for r in rows) for f in row]
     si, fi = (np.array([x[k] for x in flat], dtype=np.int64) for k in (0, 1))
     n_sent, n_doc = len(sent_doc), len(toxic)
+    if len(np.unique(toxic)) < 2:
+        raise ValueError("documents of both labels are needed")
     w = np.zeros(n_features + 1)
     w[-1] = -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -134,6 +157,11 @@ def fit_bags(toxic: np.ndarray, plain: np.ndarray, hits: list[list[list[int]]],
     return float(w[-1]), w[:-1]
 
 
+def prior(n: dict[int, int]) -> Model:
+    """A model that tells nothing but how many documents of either label there are."""
+    return Model(math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
     """Fits the model on labelled documents that are not held out.
 
@@ -143,25 +171,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     left out. Without labels of both kinds the score is the share of toxic ones (0.5 if none) whatever the text.
     """
     ids = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    ids = ids.where(F.col("label_id").isNotNull() & (F.crc32(F.col("label_id").cast("string")) % 5 != 0)).dropDuplicates(["label_id"])
+    ids = ids.where(F.col("label_id").isNotNull() & (F.crc32(F.col("label_id").cast("string")) % 5 != 0)).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     counts = ids.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in counts}
     total = sum(n.values())
     if len(n) < 2:
-        share = (n.get(1, 0) + 1) / (total + 2)
-        return Model(float(np.log(share / (1 - share))))
+        return prior(n)
     if total > train_docs:
         ids = ids.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(train_docs / total * (1 << 20)))
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # the sample is bounded whatever the corpus, so its ids may go to every task and no text is shuffled for it
-    train = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    train = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
     seen = train.mapInArrow(_feature_rows, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     lift = F.log((F.col("a") + 0.5) / n[1]) - F.log((F.col("b") + 0.5) / n[0])
     top = seen.where(F.col("a") >= LEAST_DOCS).withColumn("score", lift * F.sqrt("a")).where(lift > 1.0)
     names = [r["feature"] for r in top.orderBy(F.desc("score"), "feature").limit(FEATURES).select("feature").collect()]
     index = {f: i for i, f in enumerate(names)}
-    bags = train.mapInArrow(_bags(index), "toxic int, plain int, hits array<array<int>>").toArrow()
-    bias, weights = fit_bags(np.array(bags["toxic"].to_pylist()), np.array(bags["plain"].to_pylist()), bags["hits"].to_pylist(), len(names))
+    # one bag for an id before any reaches the driver: an id may come very often
+    bags = train.mapInArrow(_bags(index), "label_id long, toxic int, plain int, hits array<array<int>>").dropDuplicates(["label_id"]).orderBy("label_id").select("toxic", "plain", "hits").toArrow()
+    toxic = np.array(bags["toxic"].to_pylist(), dtype=np.int64)
+    if len(np.unique(toxic)) < 2:
+        return prior({k: int((toxic == k).sum()) for k in (0, 1)})
+    bias, weights = fit_bags(toxic, np.array(bags["plain"].to_pylist()), bags["hits"].to_pylist(), len(names))
     return Model(bias, {f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-3})
 
 
@@ -181,7 +212,11 @@ def _scored(model: Model) -> Callable:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, offending (spans of sentences in code points). Null texts count as empty and get the base score."""
+    """doc_id, score, offending (spans of sentences in code points) of every row of docs.
+
+    Null texts count as empty and get the base score; repeated rows score alike, as do texts that tie. Whole texts are
+    read, however long. An empty table gives an empty result; other columns are ignored.
+    """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_scored(model), "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>")
 

@@ -363,7 +363,7 @@ def test_lm_tells_words_of_one_band_apart(spark):
                 padded = np.array([0, 0, of[left[1]], of[right[1]], of[left[k]], of[right[k]], of[left[2]], of[right[2]], 0, 0], np.int32)
                 _, _, c = net.log_classes(net.contexts(padded, np.array([5, 5])))
                 nodes, side, at = net.tree.paths(np.array([of[right[k]], of[right[j]]]))
-                log_word = -np.bincount(at, np.log1p(net.astray(c, nodes, side, at)), 2)
+                log_word = -np.bincount(at, np.log1p(net.astray(c, nodes, side, at)[0]), 2)
                 cost.append(log_word[0] - log_word[1])
     assert len(cost) > 20
     assert np.mean(cost) > 1
@@ -372,7 +372,7 @@ def test_lm_tells_words_of_one_band_apart(spark):
     _, logp, c = net.log_classes(net.contexts(padded, np.array([2])))
     every = np.arange(lm_score.ROWS)
     nodes, side, at = net.tree.paths(every)
-    log_word = -np.bincount(at, np.log1p(net.astray(np.repeat(c, len(every), 0), nodes, side, at)), len(every))
+    log_word = -np.bincount(at, np.log1p(net.astray(np.repeat(c, len(every), 0), nodes, side, at)[0]), len(every))
     assert np.exp(logp[0, net.of_row] + log_word).sum() == pytest.approx(1, abs=1e-3)
 
 
@@ -430,3 +430,42 @@ def test_pipeline(spark, tmp_path, texts):
     ids = {r["doc_id"] for r in out}
     assert ids
     assert not ids & {600 + i for i in range(0, 120, 3)}
+
+
+def test_mixing_draws_rows_of_one_id_each(spark):
+    docs = make(spark, [(1, f"w{i} " * (50 + i)) for i in range(50)] + [(i, "a b c d") for i in range(2, 40)], {i: "s0" if i == 1 else "s1" for i in range(40)})
+    got = [r for r in mixing.mix(docs).collect() if r["source"] == "s0"]
+    target, taken = got[0]["target"], sum(r["taken"] for r in got)
+    assert abs(taken - target) < 0.35 * target
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
+
+
+def test_toxicity_of_labels_without_documents(spark):
+    docs = make(spark, [(i, words(random.Random(i), 30)) for i in range(20)])
+    labels = spark.createDataFrame([(1000 + i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.passing(docs, model).count() in (0, 20)
+    assert all(0 < r["score"] <= 1 for r in toxicity.score(docs, model).collect())
+    assert model == toxicity.Model(0.0)
+    assert toxicity.score(empty(spark), toxicity.fit(empty(spark), labels)).count() == 0
+
+
+def test_toxicity_shortcut_equals_the_sentences():
+    m = toxicity.Model(-3.0, {"zz": 4.0, "abcd*": 1.5})
+    rnd = random.Random(3)
+    for _ in range(300):
+        text = "".join(rnd.choice([words(rnd, 3), ". ", "! ", "\n", "\n\n", " zz ", "abcdef", "İ", "."]) for _ in range(rnd.randint(1, 14)))
+        miss = 1.0
+        for s in toxicity.sentences(text):
+            miss *= 1 - 1 / (1 + np.exp(-(m.bias + sum(m.weights.get(f, 0) for f in toxicity.features(s)))))
+        assert m.document(text)[0] == pytest.approx(1 - miss)
+
+
+def test_line_dedup_columns_that_clash(spark):
+    rows = [(i, "one two three four five\nown line of " + words(random.Random(i), 6)) for i in range(4)]
+    docs = make(spark, rows).withColumn("kept", F.lit("mine")).withColumn("N_lines", F.lit("mine")).withColumn("leaf", F.lit(1))
+    got = line_dedup.line_dedup(docs).collect()
+    assert {r["kept"] for r in got} == {True}
+    assert sum(r["n_dropped"] for r in got) == 3
+    assert line_dedup.without_lines(docs).columns == docs.columns
+    assert {r["kept"] for r in line_dedup.without_lines(docs).collect()} == {"mine"}
