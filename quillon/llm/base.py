@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,12 @@ def drop_cut(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver find the shuffles of jobs that are done, so that their files go now and not at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows that Python gets at once at most: texts are long.
 BATCH_ROWS = 1_000
 

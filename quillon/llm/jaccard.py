@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import components, cut, drop_cut, small_batches, text_or_empty
+from quillon.llm.base import components, cut, drop_cut, free_shuffles, small_batches, text_or_empty
 from quillon.llm.words import mixed, shingle_sets
 
 #: Documents link when SHARE[0] * intersection >= SHARE[1] * union.
@@ -190,12 +190,13 @@ def _dealt(level: np.ndarray, buckets: int) -> Callable:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, id of all classes that share a key of this bucket with another.
+    """key, id, centre of all classes that share a key of this bucket with another, centre being one of the key's.
 
-    KEYS_MET keys are taken together; of what was taken one class per key is held, so a key with very many classes
-    fills no memory. A row may come twice if a class was sent twice.
+    KEYS_MET keys are taken together; of what was taken one class per key is held, its centre, so a key with very many
+    classes fills no memory. A row may come twice if a class was sent twice.
     """
     key, ids, old = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)  # old: 1 held, 2 held and given out
+    names = ["key", "id", "centre"]
     pending: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
 
@@ -213,11 +214,15 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[starts, len(key)])
         met = (size > 1) | (np.maximum.reduceat(old, starts) == 2)
+        # the class that is held stays the centre; else it is the one that a hash of key and class puts first
+        rank = mixed(key ^ ids.view(np.uint64))
+        rank[old > 0] = 0
+        first = np.lexsort((rank, np.repeat(np.arange(len(starts)), size)))[starts]
         out = np.repeat(met, size) & (old < 2)
-        k, i = key[out].view(np.int64), ids[out]
+        k, i, c = key[out].view(np.int64), ids[out], np.repeat(ids[first], size)[out]
         for at in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000]), pa.array(i[at : at + 100_000])], names=["key", "id"])
-        key, ids, old = key[starts], ids[starts], np.where(met, 2, 1).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (k, i, c)], names=names)
+        key, ids, old = key[starts], ids[first], np.where(met, 2, 1).astype(np.int8)
 
     for batch in batches:
         for classes, place, every in zip(*(batch.column(c).to_pylist() for c in ("classes", "place", "keys")), strict=True):
@@ -298,22 +303,29 @@ def met_pairs(left: DataFrame, by_class: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of rows (k, id, comp, n) that share a key, lie in different components and may link by sketch.
 
     Within a key only documents of about one size meet: each is at home in the step of its size and a guest in the next
-    one, steps being as far apart as sizes of linked documents can be. A step with more than TILE rows is compared in pairs of tiles.
+    one, steps being as far apart as sizes of linked documents can be. A step with more than TILE rows is compared in
+    pairs of tiles. Sketches join when it is known which rows meet others at all.
     """
-    bits = by_class.select(F.col("cls").alias("sid"), "sketch")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(SHARE[0] / SHARE[1]))).cast("int")
-    rows = left.join(bits, F.col("id") == F.col("sid")).withColumn("step", step)
-    rows = rows.select("k", "id", "comp", "n", "sketch", F.explode(F.array(F.struct(F.col("step").alias("s"), F.lit(True).alias("home")), F.struct((F.col("step") + 1).alias("s"), F.lit(False).alias("home")))).alias("at"))
-    rows = cut(rows.select(F.concat_ws(":", "k", "at.s").alias("kk"), F.col("at.home").alias("home"), "id", "comp", "n", "sketch"), "stepped")
+    steps = F.array(F.struct(step.alias("s"), F.lit(True).alias("home")), F.struct((step + 1).alias("s"), F.lit(False).alias("home")))
+    rows = left.select("k", "id", "comp", "n", F.explode(steps).alias("at")).select(F.xxhash64("k", "at.s").alias("kk"), F.col("at.home").alias("home"), "id", "comp", "n")
     groups = rows.groupBy("kk").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("home")).where("lo <> hi and home")
-    groups = groups.select(F.concat(F.lit("g"), "kk").alias("gk"), F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
-    tiled = rows.join(groups, F.concat(F.lit("g"), F.col("kk")) == F.col("gk")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    groups = groups.select(other_key("kk").alias("gk"), F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
+    tiled = cut(rows.join(groups, other_key("kk") == F.col("gk")).select("kk", "home", "id", "comp", "n", "tiles"), "stepped")
+    bits = by_class.select(F.col("cls").alias("sid"), "sketch")
+    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("first"), F.greatest("tile", t).alias("second"), F.when(F.col("tile") > t, 1).otherwise(0).alias("side")))
-    tiled = tiled.withColumn("pair", F.explode(pair)).select("kk", "pair.first", "pair.second", "pair.side", "home", "id", "comp", "n", "sketch")
-    found = tiled.repartition("kk", "first", "second").sortWithinPartitions("kk", "first", "second", "side", "id").mapInArrow(_compared, "a long, b long")
-    drop = cut(found.distinct(), "compared")
-    drop_cut(rows)
-    return drop
+    rows = tiled.join(bits, F.col("id") == F.col("sid")).withColumn("tile", tile).withColumn("pair", F.explode(pair))
+    rows = rows.select("kk", "pair.first", "pair.second", "pair.side", "home", "id", "comp", "n", "sketch")
+    found = rows.repartition("kk", "first", "second").sortWithinPartitions("kk", "first", "second", "side", "id").mapInArrow(_compared, "a long, b long")
+    found = cut(found.distinct(), "compared")
+    drop_cut(tiled)
+    return found
+
+
+def other_key(name: str) -> Column:
+    """A key made anew: joined on it, both sides are dealt for the join itself, and Spark can split a hot key."""
+    return F.col(name).bitwiseXOR(F.lit(1))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +395,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * KEYS_PER_BUCKET))))
 
     dealt = rows.select("text").mapInArrow(_dealt(level, buckets), "bucket int, classes binary, place binary, keys binary")
-    met = cut(dealt.repartitionById(buckets, "bucket").mapInArrow(_met, "key long, id long"), "met")
+    met = cut(dealt.repartitionById(buckets, "bucket").mapInArrow(_met, "key long, id long, centre long"), "met")
     # a class that shares fewer keys in all than the smallest partner it could link with must share has no link
     sizes = by_class.select(F.col("cls").alias("sid"), "n")
     enough = met.groupBy("id").agg(F.count("*").alias("met")).join(sizes, F.col("id") == F.col("sid")).where(F.col("met") > surplus_of(F.floor(F.col("n") * SHARE[1] / SHARE[0])))
@@ -394,22 +406,27 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
     texts = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("th") == F.col("one_th"))).select("id", "text").dropDuplicates(["id"])
     texts = cut(texts, "met-texts")
-    drop_cut(wanted)
 
-    links, comp, tried, written = None, None, None, [met, texts]
+    links, comp, tried, written = None, None, None, [texts, wanted]
     for turn in range(STAR_ROUNDS + 1):
-        placed = met if comp is None else met.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
-        placed = placed.select("key", "id", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("comp"))
-        centre = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("centre")
-        mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre).where("lo <> hi")
-        mixed_keys = mixed_keys.select(F.concat(F.lit("k"), "key").alias("mk"), "centre")
-        unlike = placed.withColumn("k", F.concat(F.lit("k"), "key")).join(mixed_keys, F.col("k") == F.col("mk"))
+        if turn == 0:
+            near = met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        else:
+            # of keys whose classes are of one component by now nothing is left to find: they go for good
+            placed = met.select("key", "id") if comp is None else met.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
+            placed = placed.select("key", "id", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("comp"))
+            centre = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("centre")
+            mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre).where("lo <> hi").select(other_key("key").alias("mk"), "centre")
+            unlike = cut(placed.join(mixed_keys, other_key("key") == F.col("mk")).select("key", "id", "comp", F.col("centre.id").alias("centre"), F.col("centre.comp").alias("centre_comp")), "unlike")
+            drop_cut(met)
+            met = unlike
+            near = unlike.where("comp <> centre_comp").select(F.col("centre").alias("a"), F.col("id").alias("b"))
         if turn < STAR_ROUNDS:
-            near = unlike.where("comp <> centre.comp").groupBy(F.col("centre.id").alias("a"), F.col("id").alias("b")).count().where("count > 1")
-            best = near.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
+            best = near.groupBy("a", "b").count().where("count > 1").groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
+            best = best.join(wanted.select(F.col("id").alias("a")), "a", "left_semi")  # a first centre may share too little with all others
             pairs = possible(best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"]).select("a", "b"), by_class)
         else:
-            left = cut(crowded(unlike.select("k", "id", "comp").join(sizes, F.col("id") == F.col("sid")).select("k", "id", "comp", "n")), "crowded")
+            left = cut(crowded(met.join(sizes, F.col("id") == F.col("sid")).select(F.col("key").alias("k"), "id", "comp", "n")), "crowded")
             pairs = met_pairs(left, by_class)
             written += [left, pairs]
         if tried is not None:
@@ -417,6 +434,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(done, (F.least("a", "b") == F.col("da")) & (F.greatest("a", "b") == F.col("db")), "left_anti")
         pairs = cut(pairs, "pairs")
         written.append(pairs)
+        free_shuffles(spark)
         if not pairs.limit(1).count():
             # pairs of stars share two keys, short documents may share one: only the full round ends it
             continue
@@ -426,6 +444,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = new if links is None else links.union(new)
         drop_cut(comp)
         comp = cut(components(links), "components")
+        free_shuffles(spark)
+    written.append(met)
 
     if comp is None:
         root = by_class.select("cls", F.col("one.doc_id").alias("component_id"))
