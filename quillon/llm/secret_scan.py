@@ -6,12 +6,13 @@ does not hold for it yet, and findings are joined back to every path that ever h
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import text_or_empty
+from quillon.llm.base import cut, shared_dir, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,8 @@ MORE_RULES = (
     Rule("url_login", r"://[A-Za-z0-9._%+-]+:[^\x20\x09-\x0D/@:]{6,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Rows with less to scan than every rule are broadcast up to so many.
+BROADCAST_ROWS = 500_000
 
 
 def found_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -75,30 +78,66 @@ def content_addressed(versions: DataFrame, path_col: str = "doc_id", text_col: s
     return versions.select(F.col(path_col).alias("path"), body.alias("body")).withColumn("blob", F.sha2("body", 256))
 
 
-def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger rows to add) for the blobs of versions.
+LEDGER = "blob string, pairs array<string>"
+
 
-    findings: blob, spans (all kinds, by start, then rule order), one row per newly scanned blob with any; ledger rows:
-    blob, rule, rule_version. Only one version of a blob is read for its text: the one with the smallest path, found
-    from hashes alone, so copies cost a hash and no scan. A blob the ledger already holds for all rules is not
-    scanned; a new version of one rule scans for that rule alone.
+def unseen(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(what is left to scan: path, blob, body, todo; what the ledger then holds more: blob, pairs).
+
+    todo has the rules, at their versions, that the ledger does not hold for the blob. Of equal versions the one with the
+    smallest path (null last) is scanned, of rows repeated with one path each, as nothing tells them apart. All of
+    this is found from hashes. Rows with less to scan than every rule are listed: the list is broadcast up to
+    BROADCAST_ROWS rows, so that texts need not move, and joined beyond it. What is scanned depends on a column of the
+    list, so no filter on findings can be moved below the join and scan the rest after all.
     """
+    pairs = F.array(*[F.lit(r.pair) for r in rules])
     rows = content_addressed(versions, path_col, text_col)
-    one = rows.groupBy("blob").agg(F.min("path").alias("first"))
-    if ledger is not None:
-        seen = ledger.groupBy(F.col("blob").alias("seen_blob")).agg(F.collect_set(F.concat_ws("@", "rule", "rule_version")).alias("seen"))
-        one = one.join(seen, F.col("blob") == F.col("seen_blob"), "left").drop("seen_blob")
-        one = one.withColumn("todo", F.array_except(F.array(*[F.lit(r.pair) for r in rules]), F.coalesce("seen", F.array().cast("array<string>"))))
-        one = one.where(F.size("todo") > 0)
-    else:
-        one = one.withColumn("todo", F.array(*[F.lit(r.pair) for r in rules]))
-    one = one.select(F.col("blob").alias("b"), "first", "todo")
-    unseen = rows.join(one, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("first"))).select("blob", "body", "todo")
-    spans = [F.when(F.array_contains("todo", r.pair), found_spans(F.col("body"), r, i)).otherwise(F.array()) if ledger is not None else found_spans(F.col("body"), r, i) for i, r in enumerate(rules)]
-    found = unseen.select("blob", F.array_sort(F.concat(*spans)).alias("spans")).where(F.size("spans") > 0)
-    pair = F.split("pair", "@")
-    added = one.select(F.col("b").alias("blob"), F.explode("todo").alias("pair")).select("blob", pair[0].alias("rule"), pair[1].cast("int").alias("rule_version"))
-    return found.dropDuplicates(["blob"]), added
+    one = rows.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("none"), "path")).alias("first"), F.count("*").alias("copies"))
+    held = ledger.groupBy(F.col("blob").alias("held_blob")).agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("held"))
+    one = one.join(held, F.col("blob") == F.col("held_blob"), "left").drop("held_blob")
+    one = cut(one.select("blob", F.col("first.path").alias("first"), "copies", F.array_except(pairs, F.coalesce("held", F.array().cast("array<string>"))).alias("rest")), "blobs")
+    odd = one.where((F.col("copies") > 1) | (F.size("rest") < len(rules))).select(F.col("blob").alias("odd_blob"), "first", "rest")
+    listed = content_addressed(versions, path_col, text_col).select("path", "blob").distinct().join(odd, F.col("blob") == F.col("odd_blob"))
+    listed = listed.withColumn("todo", F.when(F.col("path").eqNullSafe(F.col("first")), F.col("rest")).otherwise(F.array().cast("array<string>"))).where(F.size("todo") < len(rules))
+    listed = cut(listed.select(F.col("path").alias("odd_path"), "odd_blob", "todo"), "seen-paths")
+    listed = F.broadcast(listed) if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else listed
+    left = rows.join(listed, (F.col("blob") == F.col("odd_blob")) & F.col("path").eqNullSafe(F.col("odd_path")), "left").withColumn("todo", F.coalesce("todo", pairs))
+    return left.where(F.size("todo") > 0).select("path", "blob", "body", "todo"), one.where(F.size("rest") > 0).select("blob", F.col("rest").alias("pairs"))
+
+
+def scanned(left: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, spans (all kinds, by start, then rule order) and pairs scanned of the blobs left to scan that have any, for their todo rules alone."""
+    spans = [F.when(F.array_contains("todo", r.pair), found_spans(F.col("body"), r, i)).otherwise(F.array()) for i, r in enumerate(rules)]
+    return left.select("blob", F.array_sort(F.concat(*spans)).alias("spans"), F.col("todo").alias("pairs")).where(F.size("spans") > 0).dropDuplicates(["blob"])
+
+
+def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings: blob, spans; ledger rows to add: blob, pairs) for the blobs of versions that the ledger does not hold."""
+    left, added = unseen(versions, ledger if ledger is not None else versions.sparkSession.createDataFrame([], LEDGER), path_col, text_col, rules)
+    return scanned(left, rules).select("blob", "spans"), added
+
+
+def update_ledger(versions: DataFrame, folder: str, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger in a folder does not hold, writes it there, and returns all findings: blob, spans.
+
+    The folder has two tables: pairs (blob, pairs) and findings (blob, spans, pairs). Findings are written first: a run
+    that is lost before the pairs are written scans these blobs again, and equal findings count once. Findings of a
+    rule count as long as they are of its present version.
+    """
+    spark = versions.sparkSession
+    span = "array<struct<start:bigint,ord:int,kind:string,end:bigint>>"
+
+    def read(name: str, schema: str) -> DataFrame:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        return spark.read.schema(schema).parquet(f"{folder}/{name}") if there else spark.createDataFrame([], schema)
+
+    left, added = unseen(versions, read("pairs", LEDGER), path_col, text_col, rules)
+    scanned(left, rules).write.mode("append").parquet(f"{folder}/findings")
+    added.write.mode("append").parquet(f"{folder}/pairs")
+    now = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.pair)])
+    found = read("findings", f"blob string, spans {span}, pairs array<string>").withColumn("spans", F.filter("spans", lambda s: F.array_contains(F.col("pairs"), now[s["kind"]])))
+    return found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def findings_by_path(versions: DataFrame, findings: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,13 +155,11 @@ def listed(spans: Column) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every document, scanned against an empty ledger. Null ids keep their row; repeated rows repeat."""
+    """Findings of every document, by a ledger that begins empty. Null ids keep their row; repeated rows repeat; null and empty texts have none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    findings, _ = scan_blobs(docs)
-    out = findings_by_path(docs, findings)
+    out = findings_by_path(docs, update_ledger(docs, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"))
     base = F.filter("spans", lambda s: s["ord"] < len(BASE_RULES))
 
-
     def count(order: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["ord"] == order)).cast("long").alias(f"n_{BASE_RULES[order].kind}")
 

@@ -135,10 +135,35 @@ def test_secrets(spark):
     newer = tuple(secret_scan.Rule(r.kind, r.pattern, r.group, r.least, 2) if r.kind == "hex" else r for r in secret_scan.RULES)
     again, more = secret_scan.scan_blobs(df, ledger, rules=newer)
     assert {s["kind"] for r in again.collect() for s in r["spans"]} == {"hex"}
-    assert {r["rule"] for r in more.collect()} == {"hex"}
+    assert {p for r in more.collect() for p in r["pairs"]} == {"hex@2"}
     assert secret_scan.scan_blobs(empty(spark))[0].count() == 0
 
 
+def test_secret_ledger_drives_the_scan(spark, tmp_path):
+    rows = [(i, f"password: {'k' * 14}{i % 7}" if i < 40 else f"plain {i}") for i in range(60)]
+    df = make(spark, rows)
+    none = spark.createDataFrame([], secret_scan.LEDGER)
+    for limit in (500_000, 0):  # with the list broadcast, and joined
+        secret_scan.BROADCAST_ROWS, before = limit, secret_scan.BROADCAST_ROWS
+        left, added = secret_scan.unseen(df, none)
+        assert left.count() == added.count() == len({t for _, t in rows})
+        plan = secret_scan.scanned(left)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join LeftOuter") > plan.index("array_sort")  # the patterns run above the join
+        assert plan.count("AKIA") == plan[: plan.index("Join LeftOuter")].count("AKIA")
+        secret_scan.BROADCAST_ROWS = before
+    folder = str(tmp_path / "ledger")
+    first = {r["blob"]: r["spans"] for r in secret_scan.update_ledger(df, folder).collect()}
+    assert len(first) == 7
+    more = df.union(make(spark, [(100, "password: another-one-here"), (101, rows[0][1])]))
+    pairs = spark.read.parquet(folder + "/pairs")
+    assert secret_scan.unseen(more, pairs)[0].count() == 1
+    again = {r["blob"]: r["spans"] for r in secret_scan.update_ledger(more, folder).collect()}
+    assert len(again) == 8
+    assert all(again[b] == s for b, s in first.items())
+    newer = tuple(secret_scan.Rule("assign", "never-there", version=2) if r.kind == "assign" else r for r in secret_scan.RULES)
+    assert secret_scan.update_ledger(more, folder, rules=newer).where("size(spans) > 0").count() == 0
+
+
 def test_line_dedup(spark):
     rnd = random.Random(3)
     passage = words(rnd, 60)
