@@ -428,6 +428,60 @@ def test_literals_of_hosts_without_article(spark):
     assert all(r["text"] == words(random.Random(r["page_id"]), 30) for r in got)
 
 
+def test_html_words_are_evidence_only(spark):
+    def body(i, n=40):
+        return words(random.Random(i), n)
+
+    def page(i):
+        return {
+            "a.example": f"<main class='content no-sidebar'><p>{body(i)}</p></main>",
+            "b.example": f"<article class='post has-comments'><p>{body(i)}</p><article class='comment'><p>reader</p></article></article>",
+            "c.example": f"<header>site</header><article><header><h1>Title {i}</h1></header><p>{body(i)}</p></article>",
+            "d.example": f"<div class='social-care-legal'><p>{body(i)}</p></div><div class='ad'>buy</div>",
+            "e.example": f"<p>x &am<i>p; {body(i)}</i></p>",
+            "f.example": f"<div class='x1'><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News {i}</a></li></ul></div><div class='x2'><p>{body(i)} <a href='/c'>see</a></p></div><div class='x3'>" + "All rights of this long site notice are reserved. " * 3 + "</div>",
+            "g.example": f"<article><p>{body(i, 200)}</p><p class='legal-x'></p><div class='n'>A notice that all pages of the host carry</div></article>",
+            "h.example": "<div>" * 700 + f"<p>{body(i)}</p>" + "</div>" * 700,
+        }
+
+    rows = [(k * 100 + i, f"http://{host}/{i}", page(i)[host]) for k, host in enumerate(page(0)) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash"))
+    want = {"a": "{0}", "b": "{0}", "c": "Title {1}\n{0}", "d": "{0}", "e": "x &amp; {0}", "f": "{0} see", "g": "{2}\nA notice that all pages of the host carry", "h": "{0}"}
+    for r in html_extract.extract(df).collect():
+        i = r["page_id"] % 100
+        assert r["text"] == want[r["url"][7]].format(body(i), i, body(i, 200)), r["url"]
+    assert html_extract.extract(df.where("false")).count() == 0
+
+
+def test_alignment_matches_every_page():
+    """The expression of a host's wrapper matches the token stream of each of its pages."""
+    rnd = random.Random(12)
+
+    def part(depth):
+        return "".join(rnd.choice([f"<p>{rnd.choice('ab')}</p>", "<hr>", f"<ul>{'<li>x</li>' * rnd.randint(1, 3)}</ul>", f"<div>{part(depth + 1) if depth < 2 else 'z'}</div>"]) for _ in range(rnd.randint(1, 4)))
+
+    def stream(g):
+        return "".join("#" if isinstance(x, str) else f"<{x.key}>{stream(x)}</{x.tag}>" for x in g.items)
+
+    def pattern(w, key="", pages=None):
+        if key == "#":
+            return "(#)*"
+        out = ""
+        for group in w["o"]:
+            inner = [pattern(w["k"][k], k, w["n"]) for k in group]
+            out += f"({'|'.join(inner)})*" if len(group) > 1 else inner[0]
+        body = f"<{key}>{out}</{key.split('.')[0]}>" if key else out
+        return f"({body}){'*' if w['r'] else '?' if pages and (w['n'] < pages or w.get('q')) else ''}"
+
+    for _ in range(60):
+        pages = [html_extract.grouped(part(0)) for _ in range(5)]
+        w = html_extract.of_page(pages[0])
+        for g in pages[1:]:
+            w = html_extract.aligned(w, html_extract.of_page(g))
+        for g in pages:
+            assert re.fullmatch(pattern(w), stream(g)), (pattern(w), stream(g))
+
+
 def test_wrapper_alignment():
     def w(page):
         return html_extract.of_page(html_extract.grouped(page))
