@@ -1,38 +1,55 @@
 """Embedding near-dedup: a subspace pigeonhole join of rotated vectors.
 
-Unit vectors at a cosine of 0.9 or more are at a squared distance of at most 0.2. After a fixed rotation they are split
-into low-dimensional blocks, and each block gets a share of that budget in proportion to its dimensions: a linked pair
-keeps within the budget of at least one block. Each block is range-joined on its own over cells of a k-d tree, and
-the union of what the blocks let through is verified with the whole vectors in double precision.
+Unit vectors at a cosine of 0.9 or more are at a squared distance of at most 0.2. After a rotation to the principal axes
+of a bounded sample they are split into low-dimensional blocks of about equal variance, and each block gets a share of
+that budget in proportion to its variance: a linked pair keeps within the budget of at least one block, whatever the
+rotation and the shares. Each block is range-joined on its own over cells of a k-d tree, and the union of what the blocks
+let through is verified with the whole vectors in double precision. Blocks that no cell can part are joined together,
+over one copy of the vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import components, cut
+from quillon.llm.base import components, cut, drop_cut
 
 COSINE = 0.9
 BLOCKS = 4
 #: Added to every range, so that rounding never loses a pair; verification decides.
 SLACK = 1e-9
-#: Vectors that shape the cells at most, and rows of a cell a leaf is meant to have.
+#: Vectors that shape the axes and cells at most, and rows of a cell a leaf is meant to have.
 SAMPLE, LEAF_ROWS = 20_000, 4_000
 MOST_LEAVES = 4_096
 #: Rows of a tile: a cell is compared in pairs of tiles, STRIP rows of one with all of the other at a time.
 TILE, STRIP = 16_000, 1_000
 SEED = 20_240_901
+#: The number of the cell in which all blocks that are not parted are joined together.
+TOGETHER = 0xFF
 
 
-def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A fixed random orthogonal matrix."""
+def rotation(sample: np.ndarray, dim: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(orthogonal matrix, variance along its columns): the principal axes of a sample, or a fixed random matrix if it is too small to have any."""
+    if len(sample) > dim:
+        variance, q = np.linalg.eigh(np.cov(sample.T).reshape(dim, dim))
+        return np.ascontiguousarray(q[:, ::-1]), np.maximum(variance[::-1], 0)
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    return q * np.sign(np.diag(r)), np.ones(dim)
+
+
+def parted(variance: np.ndarray, blocks: int, budget: float) -> list[tuple[np.ndarray, float]]:
+    """(columns, squared budget) of each block: neighbouring axes of about equal variance together; budgets are in proportion to it and add up."""
+    variance = variance + 1e-6 * max(float(variance.sum()), 1e-12) / len(variance) + 1e-12
+    share = np.cumsum(variance) / variance.sum()
+    block = np.minimum((share - variance / variance.sum() / 2) * blocks, blocks - 1).astype(int)
+    columns = [np.flatnonzero(block == k) for k in range(blocks) if (block == k).any()]
+    return [(c, budget * float(variance[c].sum() / variance.sum())) for c in columns]
 
 
 def unit_rows(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,80 +126,125 @@ class Cells:
         return np.concatenate([r for r, _, _ in out]), np.concatenate([np.full(len(r), leaf) for r, leaf, _ in out]), np.concatenate([h for _, _, h in out])
 
 
-def _spread(trees: dict[int, tuple[np.ndarray, list[Cells]]]) -> Callable:
-    """A row per block and cell that a class touches: cell, home, cls, weight, unit."""
+@dataclass
+class Shape:
+    """How vectors of one length are turned, split and parted into cells."""
+
+    q: np.ndarray
+    blocks: list[tuple[np.ndarray, float]]
+    cells: list[Cells]
+
+    @property
+    def whole(self) -> list[int]:
+        """Blocks of one cell only."""
+        return [k for k, c in enumerate(self.cells) if not c.cuts]
+
+
+def shaped(sample: np.ndarray, dim: int, n: int, blocks: int, cosine: float) -> Shape:
+    q, variance = rotation(sample, dim)
+    split = parted(variance, min(blocks, dim), 2 * (1 - cosine))
+    turned, leaves = sample @ q, min(MOST_LEAVES, max(1, n // LEAF_ROWS))
+    return Shape(q, split, [Cells(turned[:, c], np.sqrt(m) + SLACK, leaves) for c, m in split])
+
+
+def _spread(shapes: dict[int, Shape]) -> Callable:
+    """A row per cell that a class touches, and one for all blocks that are not parted: cell, home, cls, weight, unit."""
+    names = ["cell", "home", "cls", "weight", "unit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                u = np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(-1, dim)
-                q, cells = trees[int(dim)]
-                turned = u @ q
-                at = 0
-                for k, (tree, columns) in enumerate(zip(cells, np.array_split(np.arange(dim), len(cells)), strict=True)):
+                part, shape = batch.filter(pa.array(dims == dim)), shapes[int(dim)]
+                if shape.whole:
+                    cell = np.full(part.num_rows, (int(dim) << 32) + (TOGETHER << 24))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(np.ones(part.num_rows, bool)), *(part.column(c) for c in names[2:])], names=names)
+                if len(shape.whole) == len(shape.blocks):
+                    continue
+                turned = np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(-1, dim) @ shape.q
+                for k, (tree, (columns, _)) in enumerate(zip(shape.cells, shape.blocks, strict=True)):
+                    if not tree.cuts:
+                        continue
                     rows, leaf, home = tree.place(turned[:, columns])
                     for i in range(0, len(rows), 5_000):
                         r = pa.array(rows[i : i + 5_000])
                         cell = (int(dim) << 32) + (k << 24) + leaf[i : i + 5_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(home[i : i + 5_000]), part.column("cls").take(r), part.column("weight").take(r), part.column("unit").take(r)], names=["cell", "home", "cls", "weight", "unit"])
-                    at += len(columns)
+                        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(home[i : i + 5_000]), *(part.column(c).take(r) for c in names[2:])], names=names)
 
     return run
 
 
-def _compared(dims_cells: dict[int, tuple[np.ndarray, int]], least: float) -> Callable:
+def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The forest of parents, smaller numbers being roots, with the edges (a, b) added."""
+    while True:
+        while (parent != (up := parent[parent])).any():
+            parent = up
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        parent = parent.copy()
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+
+
+def _compared(shapes: dict[int, Shape], least: float) -> Callable:
     """Links within tiles: (cls, n, low): vectors linked to cls in this pair of tiles, and a class it links with.
 
-    Rows come sorted by (cell, first, second, side). A pair counts in the first of its blocks that lets it through, and
-    in the cell where the row with the smaller class is at home.
+    Rows come sorted by (cell, first, second, side). A pair counts in the first of its parted blocks that lets it
+    through, or where all other blocks are, and in the cell where the row with the smaller class is at home. Links are
+    counted and joined as they are found; none is kept.
     """
 
     def flush(cell: int, first: int, second: int, parts: list[tuple]) -> pa.RecordBatch:
-        dim, k = cell >> 32, (cell >> 24) & 0xFF
-        q, blocks = dims_cells[dim]
-        columns = np.array_split(np.arange(dim), blocks)
+        shape, k = shapes[cell >> 32], (cell >> 24) & 0xFF
         side, home, cls, weight = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        u = np.frombuffer(b"".join(p[4] for p in parts)).reshape(-1, dim)
+        u = np.frombuffer(b"".join(p[4] for p in parts)).reshape(-1, cell >> 32)
         a = np.flatnonzero(side == 0)
         b = a if first == second else np.flatnonzero(side == 1)
         if not len(a) or not len(b):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["cls", "n", "low"])
-        budget = [2 * (1 - least) * len(c) / dim for c in columns]
-        # x.y - |x|^2/2 - |y|^2/2 >= -budget/2 as one product; single precision with room for its rounding
-        x = (u @ q[:, columns[k]]).astype(np.float32)
-        half, one = (x * x).sum(1, keepdims=True) / -2, np.ones((len(x), 1), np.float32)
-        left, right = np.hstack([x[a], half[a], one[a]]), np.ascontiguousarray(np.hstack([x[b], one[b], half[b]]).T)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        here = shape.whole if k == TOGETHER else [k]
+        before = [j for j in range(len(shape.blocks)) if j not in shape.whole and (k == TOGETHER or j < k)]
+        sides = []
+        for j in here:
+            # x.y - |x|^2/2 - |y|^2/2 >= -budget/2 as one product; single precision with room for its rounding
+            x = (u @ shape.q[:, shape.blocks[j][0]]).astype(np.float32)
+            half, one = (x * x).sum(1, keepdims=True) / -2, np.ones((len(x), 1), np.float32)
+            sides.append((np.hstack([x[a], half[a], one[a]]), np.ascontiguousarray(np.hstack([x[b], one[b], half[b]]).T), np.float32(-shape.blocks[j][1] / 2 - 1e-5)))
+        n, parent = np.zeros(len(cls), np.int64), np.arange(len(cls))
         for at in range(0, len(a), STRIP):
-            i, j = np.nonzero(left[at : at + STRIP] @ right >= np.float32(-budget[k] / 2 - 1e-5))
-            i, j = a[at + i], b[j]
-            # of a pair's two cells the one where the smaller class is at home counts
-            keep = np.where(cls[i] < cls[j], home[i], home[j]) & ((cls[i] < cls[j]) if first == second else (cls[i] != cls[j]))
-            i, j = i[keep], j[keep]
-            for lo in range(0, len(i), 100_000):  # crowds of copies: a bounded number of pairs at a time
-                ca, cb = i[lo : lo + 100_000], j[lo : lo + 100_000]
-                away = u[ca] - u[cb]
-                turned = away @ q
-                gaps = [(turned[:, c] ** 2).sum(1) <= m + SLACK for c, m in zip(columns[: k + 1], budget, strict=False)]
-                good = gaps[k] & (np.einsum("ij,ij->i", u[ca], u[cb]) >= least)
-                for earlier in gaps[:k]:
-                    good &= ~earlier
-                found.append((ca[good], cb[good]))
-        ca, cb = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        node, other = np.concatenate([ca, cb]), np.concatenate([cb, ca])
-        n, low = np.zeros(len(cls), np.int64), cls.copy()
-        np.add.at(n, node, weight[other])
-        np.minimum.at(low, node, cls[other])
-        linked = n > 0
-        # a tile's own components, so that every link's two ends stay joined: spread the smallest class until it rests
-        while linked.any():
-            nxt = low.copy()
-            np.minimum.at(nxt, node, low[other])
-            if (nxt == low).all():
-                break
-            low = nxt
+            near = None
+            for left, right, bound in sides:
+                within = left[at : at + STRIP] @ right >= bound
+                near = within if near is None else np.logical_or(near, within, out=near)
+            places = np.flatnonzero(near)
+            for lo in range(0, len(places), 100_000):  # crowds of copies: a bounded number of pairs at a time
+                i, j = np.divmod(places[lo : lo + 100_000], len(b))
+                i, j = a[at + i], b[j]
+                # of a pair's two cells the one where the smaller class is at home counts
+                keep = np.where(cls[i] < cls[j], home[i], home[j]) & ((cls[i] < cls[j]) if first == second else (cls[i] != cls[j]))
+                i, j = i[keep], j[keep]
+                good = np.einsum("ij,ij->i", u[i], u[j]) >= least
+                i, j = i[good], j[good]
+                if not len(i):
+                    continue
+                turned = (u[i] - u[j]) @ shape.q
+
+                def gap(block: int, turned: np.ndarray = turned) -> np.ndarray:
+                    columns, budget = shape.blocks[block]
+                    return (turned[:, columns] ** 2).sum(1) <= budget + SLACK
+
+                good = np.logical_or.reduce([gap(x) for x in here])
+                for x in before:
+                    good &= ~gap(x)
+                i, j = i[good], j[good]
+                np.add.at(n, i, weight[j])
+                np.add.at(n, j, weight[i])
+                parent = joined(parent, i, j)
+        low = np.full(len(cls), np.iinfo(np.int64).max)
+        np.minimum.at(low, parent, cls)
+        low, linked = low[parent], n > 0
         return pa.RecordBatch.from_arrays([pa.array(cls[linked]), pa.array(n[linked]), pa.array(low[linked])], names=["cls", "n", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +272,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing; vectors of
     different lengths do not link. Equal unit vectors are one class: they link with each other and are compared once,
-    however many there are. Rows repeated with one id count as vectors of their own; null ids lose against any other. The cells' shape comes from a
-    bounded sample and only decides where a pair is compared. Crowded cells are compared in pairs of tiles, so a task
+    however many there are. Rows repeated with one id count as vectors of their own; null ids lose against any other. An
+    empty table gives an empty result; other columns are ignored. Axes and cells come from a bounded sample and only
+    decide where a pair is compared. Crowded cells are compared in pairs of tiles, so a task
     holds two tiles, and only counts and one link per row leave it.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -220,28 +283,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = units.groupBy("h").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
     classes = cut(classes.withColumn("cls", F.xxhash64("h")), "vector-classes")
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    trees, held = {}, {}
+    shapes = {}
     for dim, n in sizes.items():
         share = max(1, n // SAMPLE)
         picked = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("h"), F.lit(share)) == 0)).orderBy("h").limit(SAMPLE).select("unit").toArrow()["unit"].to_pylist()
-        k, q = min(blocks, dim), rotation(dim)
-        sample = np.frombuffer(b"".join(picked)).reshape(-1, dim) @ q if picked else np.zeros((0, dim))
-        leaves = min(MOST_LEAVES, max(1, n // LEAF_ROWS))
-        radius = [np.sqrt(2 * (1 - cosine) * len(c) / dim) + SLACK for c in np.array_split(np.arange(dim), k)]
-        trees[dim] = (q, [Cells(sample[:, c], r, leaves) for c, r in zip(np.array_split(np.arange(dim), k), radius, strict=True)])
-        held[dim] = (q, k)
-    placed = cut(classes.select("cls", "dim", "weight", "unit").mapInArrow(_spread(trees), "cell long, home boolean, cls long, weight long, unit binary"), "cells")
+        shapes[dim] = shaped(np.frombuffer(b"".join(picked)).reshape(-1, dim) if picked else np.zeros((0, dim)), dim, n, blocks, cosine)
+    placed = cut(classes.select("cls", "dim", "weight", "unit").mapInArrow(_spread(shapes), "cell long, home boolean, cls long, weight long, unit binary"), "cells")
     tiles = placed.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).select(F.concat(F.lit("c"), "cell").alias("tc"), "tiles")
     tiled = placed.join(tiles, F.concat(F.lit("c"), F.col("cell")) == F.col("tc")).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("first"), F.greatest("tile", t).alias("second"), F.when(F.col("tile") > t, 1).otherwise(0).alias("side")))
     tiled = tiled.withColumn("pair", F.explode(pair)).select("cell", "pair.first", "pair.second", "pair.side", "home", "cls", "weight", "unit")
-    found = tiled.repartition("cell", "first", "second").sortWithinPartitions("cell", "first", "second", "side", "cls").mapInArrow(_compared(held, cosine), "cls long, n long, low long")
+    found = tiled.repartition("cell", "first", "second").sortWithinPartitions("cell", "first", "second", "side", "cls").mapInArrow(_compared(shapes, cosine), "cls long, n long, low long")
     found = cut(found, "vector-links")
     degree = found.groupBy("cls").agg(F.sum("n").alias("n"))
     comp = components(found.where("cls <> low"), "cls", "low")
     per = classes.join(degree.withColumnRenamed("cls", "d"), F.col("cls") == F.col("d"), "left").join(comp, F.col("cls") == F.col("id"), "left")
     per = per.select("h", "least_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cls").alias("c"))
     root = per.groupBy("c").agg(F.min("least_id").alias("component_id")).select(F.concat(F.lit("c"), "c").alias("rc"), "component_id")
+    drop_cut(placed)
     per = cut(per.join(root, F.concat(F.lit("c"), F.col("c")) == F.col("rc")).select(F.col("h").alias("ch"), "n_links", "component_id"), "per-class")
     linked = units.select("vec_id", "h").join(per, F.col("h") == F.col("ch"))
     # rows without a usable vector come back from the input

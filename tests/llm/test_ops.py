@@ -289,6 +289,36 @@ def test_vectors(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (degree[i], root[i], root[i] == i), i
 
 
+@pytest.mark.parametrize("kind", ["clusters", "even", "flat"])
+def test_vectors_in_cells_and_tiles(spark, monkeypatch, kind):
+    """Parted blocks, unparted ones and tiles give all links: against brute force, with repeated ids and clashing columns."""
+    monkeypatch.setattr(vector_dedup, "LEAF_ROWS", 40)
+    monkeypatch.setattr(vector_dedup, "TILE", 60)
+    monkeypatch.setattr(vector_dedup, "STRIP", 16)
+    rnd = np.random.default_rng(6)
+    if kind == "clusters":
+        x = rnd.standard_normal((12, 12))[rnd.integers(0, 12, 400)] * np.linspace(3, 0.3, 12) + rnd.standard_normal((400, 12)) * 0.25
+    elif kind == "even":
+        x = rnd.standard_normal((300, 12))
+        x[200:] = x[:100] + rnd.standard_normal((100, 12)) * 0.3
+    else:
+        x = np.c_[rnd.standard_normal((300, 2)), rnd.standard_normal((300, 10)) * 0.02]
+    x[7] = x[8]
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)] + [(3, [float(v) for v in x[9]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cls", F.lit("x")).withColumn("cell", F.lit("y"))
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(df).collect())
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = find(list(zip(*np.nonzero(near), strict=True)), range(len(rows)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root[k]] = min(least.get(root[k], i), i)
+    assert got == Counter((i, int(near[k].sum()), least[root[k]]) for k, (i, _) in enumerate(rows))
+    assert vector_dedup.near_vectors(df.where("false")).count() == 0
+
+
 def test_packing(spark, texts):
     import public_tokenizers as P
     from tokenizers import Tokenizer
