@@ -68,6 +68,11 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def other_key(name: str) -> Column:
+    """A key made anew: joined on it, both sides are dealt for the join itself, and Spark can split a hot key."""
+    return F.col(name).bitwiseXOR(F.lit(1))
+
+
 def uniform(col: Column, seed: str) -> Column:
     """A number in [0, 1) from a hash of the column's text and a seed; any engine with MD5 gets the same one."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), col)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
@@ -113,11 +118,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             break
         # large star: from both directions, larger neighbours of u get u's smallest neighbour (or u itself)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # joined on a key made anew, so that Spark can split the rows of a hot node
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(other_key("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.join(low, other_key("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours of u, and u, get u's smallest neighbour
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low2.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = large.join(low2.select(other_key("u").alias("k"), "m"), other_key("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = hung.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = cut(stars.repartition("u").mapInArrow(_forest, "u long, v long"), "edges")
         drop_cut(e)

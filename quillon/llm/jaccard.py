@@ -1,6 +1,6 @@
 """N-gram Jaccard join by parity sketches, a pigeonhole join of their blocks per size band, and exact verification.
 
-A document's sketch is a bit string about as long as it has shingles, in which every shingle flips the bit that its hash
+A document's sketch is a bit string some times as long as it has shingles, in which every shingle flips the bit that its hash
 names: two sketches differ in at most as many bits as the documents have shingles not in common, and documents that
 link differ by at most (n1 + n2) / 7 shingles. Sketches meet by pigeonhole per size band: the sketch is cut into blocks,
 each kept as the XOR of the codes of its shingles. At most (n1 + n2) / 7 blocks of either document find no equal in the
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import components, cut, drop_cut, free_shuffles, small_batches, text_or_empty
+from quillon.llm.base import components, cut, drop_cut, free_shuffles, other_key, small_batches, text_or_empty
 from quillon.llm.words import mixed, shingle_sets
 
 #: Documents link when SHARE[0] * intersection >= SHARE[1] * union.
@@ -39,6 +39,8 @@ CELLS, CELL_ROWS = 1 << 21, 64
 #: Others that are compared with one copy of a centre.
 PER_CENTRE = 400
 STAR_ROUNDS = 2
+#: Bits of a sketch a shingle, and in all at least: the fewer, the more pairs under the threshold pass for shingles that meet in a bit.
+SKETCH_BITS, LEAST_BITS = 4, 256
 #: Sketches of a key that are compared at once: larger groups are compared in pairs of tiles.
 TILE = 2_000
 #: The list of documents whose text is needed again is broadcast up to so many rows.
@@ -101,8 +103,8 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits of the shingles: as many as the next power of two to their number, 64 at least."""
-    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    """Parity bits of the shingles: SKETCH_BITS a shingle or up to twice as many, LEAST_BITS at least."""
+    bits = max(LEAST_BITS, 1 << (SKETCH_BITS * len(s) - 1).bit_length()) if len(s) else LEAST_BITS
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -323,11 +325,6 @@ def met_pairs(left: DataFrame, by_class: DataFrame) -> DataFrame:
     return found
 
 
-def other_key(name: str) -> Column:
-    """A key made anew: joined on it, both sides are dealt for the join itself, and Spark can split a hot key."""
-    return F.col(name).bitwiseXOR(F.lit(1))
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among rows sorted by (a, salt, role): first a centre's text, then those of the others."""
     centre, own = None, np.zeros(0, np.uint64)
