@@ -81,3 +81,63 @@ def luminance(rgb: Column) -> Column:
 def contrast(a: Column, b: Column) -> Column:
     x, y = luminance(a), luminance(b)
     return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+
+
+#: Share by which the scales of the two axes may differ: rounding of device pixels.
+ASPECT_TOLERANCE = 0.01
+
+
+def geometry_cause(dpr: Column, zoom: Column, w: Column, h: Column, capture_w: Column, capture_h: Column, scroll_x: Column, scroll_y: Column) -> Column:
+    """OK, or why a capture and its viewport allow no transform."""
+    def finite(c: Column) -> Column:
+        return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+    sound = finite(scroll_x.cast("double")) & finite(scroll_y.cast("double"))
+    for c in (dpr, zoom, w, h, capture_w, capture_h):
+        sound &= finite(c) & (c > 0)
+    sx, sy = w / capture_w, F.when(capture_h > 0, h / capture_h)
+    return F.when(~sound, "COORDINATE_TRANSFORM_AMBIGUOUS").when(F.abs(sx - sy) / F.greatest(sx, sy) > ASPECT_TOLERANCE, "CAPTURE_DIMENSION_MISMATCH").otherwise("OK")
+
+
+def grid_hits(region: Box, occluder: Box, n: int) -> Column:
+    """Points of an n x n grid at the centres of the region's parts that an occluder (null: none) leaves free."""
+    def hidden(start: Column, size: Column, lo: Column, extent: Column) -> Column:
+        at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: start + (k + 0.5) * size / n)
+        return F.size(F.filter(at, lambda p: (p >= lo) & (p < lo + extent)))
+
+    cols, rows = hidden(region.x, region.w, occluder.x, occluder.w), hidden(region.y, region.h, occluder.y, occluder.h)
+    return F.lit(n * n) - F.when(occluder.x.isNull(), 0).otherwise(cols * rows)
+
+
+def pieces(box: Box, hole: Box) -> Column:
+    """array<struct<x, y, w, h>>: what is left of a box without a hole, up to four rectangles."""
+    x0, y0 = F.greatest(hole.x, box.x), F.greatest(hole.y, box.y)
+    x1, y1 = F.least(hole.x + hole.w, box.x + box.w), F.least(hole.y + hole.h, box.y + box.h)
+    parts = [
+        Box(box.x, box.y, box.w, y0 - box.y), Box(box.x, y1, box.w, box.y + box.h - y1),
+        Box(box.x, y0, x0 - box.x, y1 - y0), Box(x1, y0, box.x + box.w - x1, y1 - y0),
+    ]
+    left = F.filter(F.array(*[p.struct() for p in parts]), lambda s: (s["w"] > 0) & (s["h"] > 0))
+    return F.when((x0 >= x1) | (y0 >= y1), F.array(box.struct())).otherwise(left)
+
+
+def union_area(boxes: Column) -> Column:
+    """Area of the union of an array of boxes, by strips between their vertical edges."""
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x"]), F.transform(boxes, lambda b: b["x"] + b["w"]))))
+
+    def strip(a: Column, i: Column) -> Column:
+        b = F.get(edges, i + 1)
+        spans = F.array_sort(F.transform(F.filter(boxes, lambda s: (s["x"] <= a) & (s["x"] + s["w"] >= b)), lambda s: F.struct(s["y"].cast("long").alias("lo"), (s["y"] + s["h"]).cast("long").alias("hi"))))
+        start = F.struct(F.lit(-(1 << 40)).cast("long").alias("reach"), F.lit(0).cast("long").alias("sum"))
+        total = F.aggregate(spans, start, lambda acc, s: F.struct(F.greatest(acc["reach"], s["hi"]).alias("reach"), (acc["sum"] + F.greatest(s["hi"] - F.greatest(s["lo"], acc["reach"]), F.lit(0).cast("long"))).alias("sum")), lambda acc: acc["sum"])
+        return F.coalesce((b - a) * total, F.lit(0)).cast("long")
+
+    return F.aggregate(F.transform(edges, strip), F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def focal(z: Column, t: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+    """Focal loss of a logit against a target of 0 or 1."""
+    p = 1 / (1 + F.exp(-z))
+    p_t = p * t + (1 - p) * (1 - t)
+    ce = F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))
+    return (alpha * t + (1 - alpha) * (1 - t)) * F.pow(1 - p_t, F.lit(gamma)) * ce

@@ -1,4 +1,4 @@
 """All queries of the engine outside the training-data subpackage."""
 
-from quillon.plans import curation, detection, events, frames, handoff, privacy, stats  # noqa: F401
+from quillon.plans import curation, detection, evaluation, events, frames, handoff, privacy, stats  # noqa: F401
 from quillon.registry import COVERS, ORACLES, QUERIES  # noqa: F401
