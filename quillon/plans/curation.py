@@ -82,30 +82,47 @@ both("suspicious_repetition", "A-19 D-11", f"""with {BOXES}, s as (select count(
 select cls, gx, gy, samples, samples >= 2 and samples * 10 >= s.n suspicious from k cross join s""")
 
 
-@query("layout_similarity", "J-11 D-10", f"""with recursive {BOXES}, e as (select *, cast(floor(sample / 12) as bigint) session from gt), n as (select sample, count(*) n from e group by sample),
-cand as (select a.sample sa, b.sample sb, a.uid i, b.uid j, {iou('a', 'b')} v from e a join e b on a.cls = b.cls and a.sample < b.sample and a.session = b.session and 2 * {inter('a', 'b')} >= a.w * a.h + b.w * b.h - {inter('a', 'b')}),
-ranked as materialized (select *, row_number() over (partition by sa, sb order by v desc, i, j) rn from cand),
+#: Layouts are near if this share of the larger one's elements match at an overlap of a half.
+LAYOUT_SHARE = 0.25
+
+
+@query("layout_similarity", "J-11 D-10", f"""with recursive {BOXES}, n as (select sample, count(*) n from gt group by sample),
+cand as (select a.sample sa, b.sample sb, a.uid i, b.uid j, {iou('a', 'b')} v from gt a join gt b on a.cls = b.cls and a.sample < b.sample and 2 * {inter('a', 'b')} >= a.w * a.h + b.w * b.h - {inter('a', 'b')}),
+able as (select sa, sb from cand join n a on a.sample = sa join n b on b.sample = sb group by sa, sb having least(count(distinct i), count(distinct j)) >= {LAYOUT_SHARE} * max(greatest(a.n, b.n))),
+ranked as materialized (select cand.*, row_number() over (partition by sa, sb order by v desc, i, j) rn from cand join able using (sa, sb)),
 w as (select sa, sb, 0::bigint rn, []::bigint[] ui, []::bigint[] uj from ranked where rn = 1 union all select r.sa, r.sb, r.rn, case when list_contains(w.ui, r.i) or list_contains(w.uj, r.j) then w.ui else list_append(w.ui, r.i) end,
   case when list_contains(w.ui, r.i) or list_contains(w.uj, r.j) then w.uj else list_append(w.uj, r.j) end from w join ranked r on r.sa = w.sa and r.sb = w.sb and r.rn = w.rn + 1),
 f as (select sa, sb, arg_max(len(ui), rn) matched from w group by sa, sb)
-select sa, sb, matched::int matched, round(matched::double / greatest(a.n, b.n), 9) similarity from f join n a on a.sample = sa join n b on b.sample = sb""")
+select sa, sb, matched::int matched, round(matched::double / greatest(a.n, b.n), 9) similarity, sa % 3 <> sb % 3 cross_split from f join n a on a.sample = sa join n b on b.sample = sb where matched >= {LAYOUT_SHARE} * greatest(a.n, b.n)""")
 def layout_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of layouts of one session of captures: elements matched one to one, best overlap first, as a share of the larger layout."""
-    e = gt(spark, sf_dir).withColumn("session", F.floor(F.col("sample") / 12))
+    """All pairs of near layouts: elements matched one to one, best overlap first, as a share of the larger layout.
+
+    Boxes that overlap by a half are less than half the largest extent apart, so a box meets those of its own and the
+    neighbouring cells of a grid that wide; counts of elements that could match leave out most pairs before any is matched.
+    """
+    e = gt(spark, sf_dir)
+    reach = F.ceil(F.max(F.greatest("w", "h")) / 2)
     n = e.groupBy("sample").agg(F.count("*").alias("n"))
-    o = e.select("cls", "session", F.col("sample").alias("sb"), F.col("uid").alias("j"), *[F.col(c).alias("o" + c) for c in "xywh"])
+    e = e.crossJoin(F.broadcast(e.agg(F.greatest(reach, F.lit(1)).alias("reach"))))  # one row
+    cx, cy = F.floor(F.col("x") / F.col("reach")), F.floor(F.col("y") / F.col("reach"))
+    near = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    own = e.withColumn("cx", cx).withColumn("cy", cy).drop("reach")
+    o = e.select("cls", F.col("sample").alias("sb"), F.col("uid").alias("j"), *[F.col(c).alias("o" + c) for c in "xywh"], cx.alias("c0"), cy.alias("c1"))
+    o = o.withColumn("cx", F.explode(F.transform(near, lambda d: F.col("c0") + d))).withColumn("cy", F.explode(F.transform(near, lambda d: F.col("c1") + d))).drop("c0", "c1")
     a, b = Box.of(), Box.of("o")
     half = 2 * a.overlap(b) >= a.w * a.h + b.w * b.h - a.overlap(b)
-    pairs = e.join(o, ["cls", "session"]).where((F.col("sample") < F.col("sb")) & half).select(F.col("sample").alias("sa"), "sb", F.struct((-a.iou(b)).alias("v"), F.col("uid").alias("i"), "j").alias("c"))
+    pairs = own.join(o, ["cls", "cx", "cy"]).where((F.col("sample") < F.col("sb")) & half).select(F.col("sample").alias("sa"), "sb", F.struct((-a.iou(b)).alias("v"), F.col("uid").alias("i"), "j").alias("c"))
     start = F.struct(F.array().cast("array<bigint>").alias("i"), F.array().cast("array<bigint>").alias("j"))
 
     def step(s: Column, c: Column) -> Column:
         used = F.array_contains(s["i"], c["i"]) | F.array_contains(s["j"], c["j"])
         return F.when(used, s).otherwise(F.struct(F.array_append(s["i"], c["i"]).alias("i"), F.array_append(s["j"], c["j"]).alias("j")))
 
-    m = pairs.groupBy("sa", "sb").agg(F.size(F.aggregate(F.array_sort(F.collect_list("c")), start, step)["i"]).alias("matched"))
+    m = pairs.groupBy("sa", "sb").agg(F.collect_list("c").alias("cs"))
     m = m.join(n.select(F.col("sample").alias("sa"), F.col("n").alias("na")), "sa").join(n.select(F.col("sample").alias("sb"), F.col("n").alias("nb")), "sb")
-    return m.select("sa", "sb", "matched", F.round(F.col("matched") / F.greatest("na", "nb"), 9).alias("similarity"))
+    able = F.least(*[F.size(F.array_distinct(F.col(f"cs.{k}"))) for k in "ij"]) >= LAYOUT_SHARE * F.greatest("na", "nb")
+    m = m.where(able).withColumn("matched", F.size(F.aggregate(F.array_sort("cs"), start, step)["i"])).where(F.col("matched") >= LAYOUT_SHARE * F.greatest("na", "nb"))
+    return m.select("sa", "sb", "matched", F.round(F.col("matched") / F.greatest("na", "nb"), 9).alias("similarity"), (F.col("sa") % 3 != F.col("sb") % 3).alias("cross_split"))
 
 
 _GATE = """with p as (select count(*) n, sum(case when length(text) = 0 then 1 else 0 end) empty, sum(case when n_chars <> length(text) then 1 else 0 end) wrong, count(distinct doc_id) ids, count(distinct lang) langs from documents),
@@ -121,18 +138,50 @@ both("document_profile", "D-12 D-15 A-16", """select lang, source, count(*) n, m
 both("metric_regression", "D-17 A-10", """with m as (select l_linenumber cls, round(avg(case when l_returnflag = 'A' then 1.0 else 0.0 end), 6) cur, round(avg(case when l_returnflag = 'R' then 1.0 else 0.0 end), 6) base from lineitem group by 1)
 select cls, cast(cur as double) cur, cast(base as double) base, cur < base - 0.02 regressed from m""".replace("avg(case", "avg(case").replace("1.0 else 0.0", "cast(1 as double) else cast(0 as double)").replace("0.02", "cast(0.02 as double)"))
 
-# Greedy set cover: each turn takes the supplier that covers most nations' parts not covered yet; the candidate table is small.
-_COVER = "select l_suppkey % 40 s, l_partkey % 60 k from lineitem where l_quantity >= 48 group by 1, 2"
+# Greedy set cover over all samples: a sample covers the cells (class, size, place) of its elements. There are COVER_CELLS
+# cells whatever the data, so a sample is a bit string and what is covered so far one more.
+COVER_CELLS = 3 * 4 * 12
+_CELL = "cls * 48 + least(cast(floor((w - 41) / 13) as bigint), 3) * 12 + least(cast(floor(x / 100) as bigint), 3) * 3 + least(cast(floor(y / 100) as bigint), 2)"
 
 
-@query("greedy_cover", "K-06")
+@query("greedy_cover", "K-06", f"""with recursive {BOXES}, c as materialized (select distinct sample, {_CELL} cell from gt), s as materialized (select sample, list(cell) cells from c group by sample),
+w as (select 0 turn, null::bigint pick, 0::bigint covers, []::bigint[] done
+  union all select w.turn + 1, b.sample, b.n, list_concat(w.done, b.fresh) from w, lateral (select sample, list_filter(cells, lambda x: not list_contains(w.done, x)) fresh, len(list_filter(cells, lambda x: not list_contains(w.done, x))) n from s order by n desc, sample limit 1) b where b.n > 0)
+select turn, pick, covers from w where turn > 0""")
 def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Picks in order until every key is covered. A bounded loop over an aggregate of at most 40 x 60 rows; ties go to the smaller id."""
-    left = run_sql(spark, sf_dir, _COVER).toPandas()
-    picks, turn = [], 0
-    while len(left):
-        best = left.groupby("s").k.nunique().reset_index().sort_values(["k", "s"], ascending=[False, True]).iloc[0]
-        turn += 1
-        picks.append((turn, int(best.s), int(best.k)))
-        left = left[~left.k.isin(set(left[left.s == best.s].k))]
-    return spark.createDataFrame(picks, "turn int, pick long, covers int")
+    """Samples in the order in which each covers most cells not covered yet, ties to the smaller; at most COVER_CELLS turns, each one aggregate of one row."""
+    cell = F.expr(_CELL)
+    words = [F.bit_or(F.when(F.floor(cell / 48) == k, F.expr(f"shiftleft(1L, cast(({_CELL}) % 48 as int))")).otherwise(0)).alias(f"w{k}") for k in range(COVER_CELLS // 48)]
+    samples = gt(spark, sf_dir).groupBy("sample").agg(*words).persist()
+    done, picks = [0] * len(words), []
+    while True:
+        fresh = sum((F.bit_count(F.col(f"w{k}").bitwiseAND(F.lit(~d))) for k, d in enumerate(done)), F.lit(0))
+        best = samples.agg(F.max(F.struct(fresh.alias("n"), (-F.col("sample")).alias("s"), *[f"w{k}" for k in range(len(words))])).alias("b")).first()["b"]
+        if not best or not best["n"]:
+            break
+        picks.append((len(picks) + 1, -best["s"], best["n"]))
+        done = [d | best[f"w{k}"] for k, d in enumerate(done)]
+    samples.unpersist()
+    return spark.createDataFrame(picks, "turn int, pick long, covers long")
+
+
+# Canonical text of a record: keys in order, no blanks. A parsed record keeps its keys in order.
+@query("canonical_records", "C-21 D-03", """with r as (select event_id id, '{"a":{"t":"' || event_type || '","z":null},"k":[' || event_id % 5 || ',true,"x y"],"u":' || user_id || '}' want from events) select id, want canonical, sha256(want) seal from r""")
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messy = F.format_string('{ "u": %s, "k": [ %s, true, "x y" ],\n "a": {"z": null, "t": "%s"} }', F.col("user_id"), F.col("event_id") % 5, F.col("event_type"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.to_json(F.parse_json(messy)).alias("canonical")).withColumn("seal", F.sha2("canonical", 256))
+
+
+# Named streams: a seed is the digest of an identity, a stream's state that of seed and name; the first number of each.
+@query("named_streams", "C-25", """with s as (select p_partkey id, sha256('["' || p_brand || '",' || p_partkey || ']') seed from part), n as (select id, seed, unnest(['place', 'style']) stream from s),
+h as (select *, sha256('["' || seed || '","' || stream || '"]') h from n), b as (select *, ('0x' || substr(h, 9, 8))::bigint * 5 % 4294967296 b5 from h),
+u as (select *, (((b5 << 7) % 4294967296) | (b5 >> 25)) * 9 % 4294967296 u from b) select id, stream, seed, u, (floor(u / 4294967296.0::double * 10))::bigint digit from u""")
+def named_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First number of each stream: the second word of the state times five, turned by seven bits, times nine."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.sha2(F.concat(F.lit('["'), "p_brand", F.lit('",'), F.col("p_partkey").cast("string"), F.lit("]")), 256).alias("seed"))
+    d = p.withColumn("stream", F.explode(F.array(F.lit("place"), F.lit("style")))).withColumn("h", F.sha2(F.concat(F.lit('["'), "seed", F.lit('","'), "stream", F.lit('"]')), 256))
+    word = F.conv(F.substring("h", 9, 8), 16, 10).cast("long")
+    five = (word * 5).bitwiseAND(F.lit(0xFFFFFFFF))
+    turned = F.shiftleft(five, 7).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftright(five, 25))
+    u = (turned * 9).bitwiseAND(F.lit(0xFFFFFFFF))
+    return d.select("id", "stream", "seed", u.alias("u"), F.floor(u / 4294967296.0 * 10).alias("digit"))
