@@ -38,9 +38,10 @@ KEYS_DEALT, KEYS_MET = 4_000_000, 2_000_000
 CELLS, CELL_ROWS = 1 << 21, 64
 #: Others that are compared with one copy of a centre.
 PER_CENTRE = 400
-STAR_ROUNDS = 2
+#: Rounds with centres at most; they end when less than STAR_GAIN of the pairs tried link. Centres of a key in a round but the first.
+STAR_ROUNDS, STAR_GAIN, CENTRES = 8, 0.1, 3
 #: Bits of a sketch a shingle, and in all at least: the fewer, the more pairs under the threshold pass for shingles that meet in a bit.
-SKETCH_BITS, LEAST_BITS = 4, 256
+SKETCH_BITS, LEAST_BITS = 2, 256
 #: Sketches of a key that are compared at once: larger groups are compared in pairs of tiles.
 TILE = 2_000
 #: The list of documents whose text is needed again is broadcast up to so many rows.
@@ -216,8 +217,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[starts, len(key)])
         met = (size > 1) | (np.maximum.reduceat(old, starts) == 2)
-        # the class that is held stays the centre; else it is the one that a hash of key and class puts first
-        rank = mixed(key ^ ids.view(np.uint64))
+        # the class that is held stays the centre; else it is the one that a hash puts first, alike for all keys of a group
+        rank = mixed(ids.view(np.uint64))
         rank[old > 0] = 0
         first = np.lexsort((rank, np.repeat(np.arange(len(starts)), size)))[starts]
         out = np.repeat(met, size) & (old < 2)
@@ -405,21 +406,25 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(texts, "met-texts")
 
     links, comp, tried, written = None, None, None, [texts, wanted]
-    for turn in range(STAR_ROUNDS + 1):
+    turn, stars = 0, True
+    while True:
         if turn == 0:
             near = met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
         else:
             # of keys whose classes are of one component by now nothing is left to find: they go for good
-            placed = met.select("key", "id") if comp is None else met.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
+            placed = met.select("key", "id") if comp is None else met.select("key", "id").join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
             placed = placed.select("key", "id", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("comp"))
-            centre = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("centre")
-            mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre).where("lo <> hi").select(other_key("key").alias("mk"), "centre")
-            unlike = cut(placed.join(mixed_keys, other_key("key") == F.col("mk")).select("key", "id", "comp", F.col("centre.id").alias("centre"), F.col("centre.comp").alias("centre_comp")), "unlike")
+            centres = F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * CENTRES + k)).alias("h"), "id", "comp")) for k in range(CENTRES if stars else 1)])
+            centres = F.transform(centres, lambda c: F.struct(c["id"].alias("id"), c["comp"].alias("comp"))).alias("centres")
+            mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centres).where("lo <> hi").select(other_key("key").alias("mk"), "centres")
+            unlike = cut(placed.join(mixed_keys, other_key("key") == F.col("mk")).select("key", "id", "comp", *(["centres"] if stars else [])), "unlike")
             drop_cut(met)
             met = unlike
-            near = unlike.where("comp <> centre_comp").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        if turn < STAR_ROUNDS:
-            best = near.groupBy("a", "b").count().where("count > 1").groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
+            if stars:
+                near = unlike.select("comp", F.col("id").alias("b"), F.explode(F.array_distinct("centres")).alias("c")).where("comp <> c.comp").select(F.col("c.id").alias("a"), "b")
+        if stars:
+            top = F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), asc=False), 1, CENTRES)
+            best = near.groupBy("a", "b").count().where("count > 1").groupBy("b").agg(top.alias("top")).select(F.explode("top.a").alias("a"), "b")
             best = best.join(wanted.select(F.col("id").alias("a")), "a", "left_semi")  # a first centre may share too little with all others
             pairs = possible(best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"]).select("a", "b"), by_class)
         else:
@@ -432,16 +437,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = cut(pairs, "pairs")
         written.append(pairs)
         free_shuffles(spark)
-        if not pairs.limit(1).count():
-            # pairs of stars share two keys, short documents may share one: only the full round ends it
-            continue
-        new = cut(verify(pairs, texts), "links")
-        written.append(new)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = new if links is None else links.union(new)
-        drop_cut(comp)
-        comp = cut(components(links), "components")
-        free_shuffles(spark)
+        found, of = 0, pairs.count()
+        if of:
+            new = cut(verify(pairs, texts), "links")
+            written.append(new)
+            found = new.count()
+            tried = pairs if tried is None else tried.union(pairs)
+            links = new if links is None else links.union(new)
+            drop_cut(comp)
+            comp = cut(components(links), "components")
+            free_shuffles(spark)
+        if not stars:
+            break
+        # pairs of stars share two keys, short documents may share one: only the full round ends it
+        turn += 1
+        stars = turn < STAR_ROUNDS and (turn == 1 or found > STAR_GAIN * of)
     written.append(met)
 
     if comp is None:
