@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -94,16 +95,19 @@ class Network:
         s = side * (self.tree.odds.take(nodes) + np.einsum("ij,ij->i", node, own))
         return np.exp(np.minimum(-s, 60)), node, own
 
-    def score(self, rows: np.ndarray) -> float:
-        """Sum over all tokens of log P(token | both sides); rows: of the bare text."""
-        total, padded = 0.0, np.concatenate([np.zeros(SIDE, np.int32), rows, np.zeros(SIDE, np.int32)])
-        for a in range(0, len(rows), 1 << 14):
-            at = np.arange(a, min(a + (1 << 14), len(rows))) + SIDE
-            _, logp, c = self.log_classes(self.contexts(padded, at))
-            target = padded[at]
-            total += float(logp[np.arange(len(at)), self.of_row[target]].sum(dtype=np.float64))
-            total -= float(np.log1p(self.astray(c, *self.tree.paths(target))[0]).sum(dtype=np.float64))
-        return total
+    def log_tokens(self, rows: np.ndarray) -> np.ndarray:
+        """log P(token | both sides) at every place of padded rows but the first and last SIDE."""
+        n, width = len(rows) - 2 * SIDE, self.weights.shape[1]
+        # every place's share in the sums of the places around it, in one product
+        share = np.tanh(self.embedding.take(rows, axis=0)) @ self.weights.reshape(2 * SIDE, WIDTH, width).transpose(1, 0, 2).reshape(WIDTH, -1)
+        z = np.repeat(self.bias[None, :], n, axis=0)
+        for j, k in enumerate(k for k in range(2 * SIDE + 1) if k != SIDE):
+            z += share[k : k + n, j * width : (j + 1) * width]
+        logp, target = np.minimum(z[:, :CLASSES], 60), rows[SIDE : SIDE + n].astype(np.int64)
+        norm = np.log(np.exp(logp).sum(1))
+        nodes, side, of = self.tree.paths(target)
+        away = np.log1p(self.astray(np.ascontiguousarray(z[:, CLASSES:]), nodes, side, of)[0])
+        return logp[np.arange(n), self.of_row.take(target)].astype(np.float64) - norm - np.bincount(of, away, n)
 
 
 def text_rows(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -145,10 +149,16 @@ class Trainer:
         self.g_w, self.g_b = np.full_like(net.weights, 1e-3), np.full_like(net.bias, 1e-3)
         self.used, self.steps = np.zeros(2 * ROWS, np.int64), 0
 
-    def step(self, around: np.ndarray, target: np.ndarray) -> None:
-        net, n = self.net, len(target)
-        h, logp, c = net.log_classes(around)
+    def step(self, rows: np.ndarray, at: np.ndarray) -> None:
+        """Learns the tokens at the places of padded rows. A place's row is fetched once, and once changed, for all windows it is in."""
+        net, n = self.net, len(at)
+        steps = np.array([k for k in range(-SIDE, SIDE + 1) if k])
+        seen, target = np.tanh(net.embedding.take(rows, axis=0)), rows.take(at).astype(np.int64)
+        h = seen.take((at[:, None] + steps).ravel(), axis=0).reshape(n, -1)
+        z = h @ net.weights + net.bias
+        logp, c = np.minimum(z[:, :CLASSES], 60), np.ascontiguousarray(z[:, CLASSES:])
         d = np.exp(logp)
+        d /= d.sum(1, keepdims=True)
         d[np.arange(n), net.of_row[target]] -= 1
         nodes, side, of = net.tree.paths(target)
         e, node, own = net.astray(c, nodes, side, of)
@@ -159,16 +169,19 @@ class Trainer:
             d_c[of[first]] = summed(node * d_s, first)
         d_node = np.multiply(own, d_s, out=own)
         d = np.concatenate([d, d_c], axis=1)
-        d_h = (d @ net.weights.T) * (1 - h * h)
+        d_h, d_seen = d @ net.weights.T, np.zeros_like(seen)
+        for j, k in enumerate(steps):
+            d_seen[at + k] += d_h[:, j * WIDTH : (j + 1) * WIDTH]
+        d_seen *= 1 - seen * seen
         for value, total, g in ((net.weights, self.g_w, h.T @ d / n), (net.bias, self.g_b, d.sum(0) / n)):
             total += g * g
             value -= RATE * g / np.sqrt(total)
         # row numbers fit 16 bits, which are sorted by radix
-        flat = np.concatenate([around.ravel(), ROWS + nodes]).astype(np.uint16)
+        flat = np.concatenate([rows, ROWS + nodes]).astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         row = flat.take(order)
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        g = summed(np.concatenate([d_h.reshape(-1, WIDTH), d_node]).take(order, axis=0), starts) / n
+        g = summed(np.concatenate([d_seen, d_node]).take(order, axis=0), starts) / n
         rows = row.take(starts).astype(np.int64)
         total = self.g_e.take(rows) + np.einsum("ij,ij->i", g, g) * np.float32(n / WIDTH)
         self.g_e[rows] = total
@@ -177,44 +190,74 @@ class Trainer:
         self.steps += n
 
 
+_TOKENS = "doc_id long, n long, rows binary"
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, rows: each text's embedding rows, two bytes a token. A row of n = -1 follows: the task's counts of rows, compressed."""
+    counts = np.zeros(ROWS, np.int64)
+    for batch in batches:
+        n, every = [], []
+        for rows in text_rows(batch.column("text")):
+            n.append(len(rows))
+            every.append(rows.astype("<u2").tobytes())
+        counts += np.bincount(np.frombuffer(b"".join(every), "<u2"), minlength=ROWS)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(every, pa.binary())], names=["doc_id", "n", "rows"])
+    if counts.any():
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["doc_id", "n", "rows"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(ROWS, np.int64)
     for batch in batches:
-        for _, _, h in word_hashes(batch.column("text")):
-            counts += np.bincount((h % np.uint64(ROWS - 1)).astype(np.int32) + 1, minlength=ROWS)
+        for part in batch.column("rows").to_pylist():
+            counts += np.frombuffer(zlib.decompress(part), np.int64)
     rows = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(counts[rows])], names=["row", "n"])
 
 
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the rows of texts one after another with SIDE empty places around each, where each begins, how many it has)."""
+    gap = bytes(2 * SIDE)
+    n = np.array([len(t) // 2 for t in texts], np.int64)
+    return np.frombuffer(gap + gap.join(texts) + gap, "<u2"), np.cumsum(n + SIDE) - n, n
+
+
+def gathered(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[list[bytes]]:
+    """Lists of texts with about so many tokens together."""
+    texts, n = [], 0
+    for batch in batches:
+        for t in batch.column("rows").to_pylist():
+            texts.append(t)
+            n += len(t) // 2
+            if n >= tokens:
+                yield texts
+                texts, n = [], 0
+    if texts:
+        yield texts
+
+
 _PART = "part int, run int, used binary, value binary"
 _PARTS = 64
 
 
-def places(rows: np.ndarray, turn: int) -> np.ndarray:
+def places(rows: bytes, turn: int) -> np.ndarray:
     """The places of a text that a round trains on; the rounds share them all out."""
-    return np.arange((xxhash.xxh3_64_intdigest(rows.tobytes()) + turn) % ROUNDS, len(rows), ROUNDS)
+    return np.arange((xxhash.xxh3_64_intdigest(rows) + turn) % ROUNDS, len(rows) // 2, ROUNDS)
 
 
 def _trained(net: Network, turn: int) -> Callable:
     """Trains on the turn's places of every text and sends the weights in parts: rows of the embedding, then the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, around, target, n = Trainer(net), [], [], 0
-        for batch in batches:
-            for rows in text_rows(batch.column("text")):
-                at = places(rows, turn) + SIDE
-                if len(at):
-                    padded = np.concatenate([np.zeros(SIDE, np.int32), rows, np.zeros(SIDE, np.int32)])
-                    around.append(net.contexts(padded, at))
-                    target.append(padded[at])
-                    n += len(at)
-                if n >= BATCH:
-                    x, y = np.concatenate(around), np.concatenate(target)
-                    for a in range(0, len(y), BATCH):
-                        t.step(x[a : a + BATCH], y[a : a + BATCH])
-                    around, target, n = [], [], 0
-        if n:
-            t.step(np.concatenate(around), np.concatenate(target))
+        t = Trainer(net)
+        for texts in gathered(batches, 8 * BATCH):
+            rows, starts, _ = padded(texts)
+            at = np.concatenate([places(text, turn) + a for text, a in zip(texts, starts.tolist(), strict=True)])
+            for a in range(0, len(at), BATCH):
+                here = at[a : a + BATCH]
+                first = here[0] - SIDE
+                t.step(rows[first : here[-1] + SIDE + 1], here - first)
         if not t.steps:
             return
         task, per = TaskContext.get().partitionId(), 2 * ROWS // _PARTS
@@ -253,11 +296,24 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Netw
 
     Counts cover every token. In each round every task trains from the same weights on its own texts, and the tasks'
     weights are averaged per embedding row by use; what is gathered grows with the corpus, what the driver gets is one
-    network. Without any token the network is the untrained one.
+    network. Null and empty texts have no place, repeated rows are trained on as often as they come, long ones whole.
+    Without any token, or any row, the network is the untrained one.
     """
-    texts = small_batches(docs).select(text_or_empty(text_col).alias("text"))
-    counts = np.zeros(ROWS, np.int64)
-    table = texts.mapInArrow(_counted, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
+    tokens = tokenised(docs, text_col=text_col)
+    net = trained(tokens, rounds)
+    drop_cut(tokens)
+    return net
+
+
+def tokenised(docs: DataFrame, id_col: str | None = None, text_col: str = "text") -> DataFrame:
+    """A written table of the tokens of all docs, and their counts, so that texts are read and hashed once."""
+    ids = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    return cut(small_batches(docs).select(ids.alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_tokens, _TOKENS), "tokens")
+
+
+def trained(tokens: DataFrame, rounds: int = ROUNDS) -> Network:
+    counts, texts = np.zeros(ROWS, np.int64), tokens.where("n > 0").select("rows")
+    table = tokens.where("n = -1").select("rows").mapInArrow(_counted, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
     counts[table["row"].to_numpy()] = table["n"].to_numpy()
     net = fresh(counts)
     per = 2 * ROWS // _PARTS
@@ -280,22 +336,33 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Netw
 def _scores(net: Network) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, total = [], []
-            for rows in text_rows(batch.column("text")):
-                n.append(len(rows))
-                total.append(net.score(rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "log_prob"])
+            total, texts, row = np.zeros(batch.num_rows), batch.column("rows").to_pylist(), 0
+            for part in gathered(iter([batch]), 1 << 14):
+                rows, starts, n = padded(part)
+                logs = [net.log_tokens(rows[a : a + (1 << 12) + 2 * SIDE]) for a in range(0, len(rows) - 2 * SIDE, 1 << 12)]
+                sums = np.r_[np.zeros(SIDE + 1), np.cumsum(np.concatenate(logs))] if logs else np.zeros(SIDE + 1)
+                total[row : row + len(part)] = np.where(n > 0, sums[np.minimum(starts + n, len(sums) - 1)] - sums[np.minimum(starts, len(sums) - 1)], 0)
+                row += len(part)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) // 2 for t in texts], pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "log_prob"])
 
     return run
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_prob (the pseudo-log-likelihood), mean_log_prob of every row; a text without tokens has 0 and a null mean."""
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    out = rows.mapInArrow(_scores(net), "doc_id long, n_tokens long, log_prob double")
+def scored(tokens: DataFrame, net: Network) -> DataFrame:
+    out = small_batches(tokens).where("n >= 0").select("doc_id", "rows").mapInArrow(_scores(net), "doc_id long, n_tokens long, log_prob double")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, log_prob (the pseudo-log-likelihood), mean_log_prob of every row.
+
+    A null or empty text, or one of blanks only, has 0 tokens, 0 and a null mean. Whole texts are scored, however long;
+    repeated rows and ties get equal scores. An empty table gives an empty result; other columns are ignored.
+    """
+    return scored(tokenised(docs, id_col, text_col), net)
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs))
+    """Scores of all documents by the network that was trained on them; texts are read once, their tokens written for the rounds."""
+    tokens = tokenised(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return scored(tokens, trained(tokens))

@@ -401,10 +401,30 @@ def test_lm(spark):
 
 def test_lm_trains_on_every_place():
     for n in (0, 1, 2, 3, 7, 8, 100):
-        rows = np.arange(n, dtype=np.int32)
+        rows = np.arange(n, dtype="<u2").tobytes()
         assert sorted(np.concatenate([lm_score.places(rows, turn) for turn in range(lm_score.ROUNDS)]).tolist()) == list(range(n))
 
 
+def test_lm_scores_equal_a_plain_loop(spark):
+    """The scores are sums over places of what the network says with both sides in sight; texts of any length, rows repeated."""
+    rnd = random.Random(14)
+    rows = [(i, words(rnd, rnd.choice([0, 1, 2, 3, 40, 200]))) for i in range(60)] + [(70, words(rnd, 9000)), (71, None), (5, "x y"), (5, "x y"), (72, " \n\t")]
+    docs = make(spark, rows).withColumn("rows", F.lit("clash")).withColumn("n", F.lit(-1))
+    net = lm_score.train(docs)
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["log_prob"], 2)) for r in lm_score.score(docs, net).collect())
+    want: Counter = Counter()
+    for i, t in rows:
+        own = next(lm_score.text_rows(pa.array([t or ""])))
+        around, total = np.r_[0, 0, own, 0, 0].astype(np.int64), 0.0
+        for k in range(len(own)):
+            _, logp, c = net.log_classes(net.contexts(around, np.array([k + 2])))
+            nodes, side, of = net.tree.paths(own[k : k + 1].astype(np.int64))
+            total += float(logp[0, net.of_row[own[k]]]) - float(np.log1p(net.astray(c, nodes, side, of)[0]).sum())
+        want[(i, len(own), round(total, 2))] += 1
+    assert sum((got & want).values()) >= len(rows) - 2  # two roundings may fall apart
+    assert sorted((i, n) for i, n, _ in got.elements()) == sorted((i, n) for i, n, _ in want.elements())
+
+
 def test_lm_tells_words_of_one_band_apart(spark):
     rnd = random.Random(4)
     left, right = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(64)], ["".join(rnd.choices("mnopqrst", k=6)) for _ in range(64)]
