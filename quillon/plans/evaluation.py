@@ -11,7 +11,12 @@ from quillon.plans.boxes import BOXES, at_least_half, inter, iou
 from quillon.plans.detection import gt, pred
 from quillon.registry import query, table
 
-VIEW = Box(F.lit(0), F.lit(0), F.lit(400), F.lit(300))
+
+
+def view() -> Box:
+    """The viewport of all screens."""
+    return Box(F.lit(0), F.lit(0), F.lit(400), F.lit(300))
+
 
 GEOMETRIES = """g as (select o_orderkey id, (320 + o_custkey % 1600)::double w, (240 + o_orderkey % 900)::double h, ([1.0, 1.25, 1.5, 2.0])[o_orderkey % 4 + 1]::double dpr, case when o_orderstatus = 'P' then 0 else 1 end::double zoom, o_totalprice scroll,
   case o_orderpriority when '1-URGENT' then 0.985 when '2-HIGH' then 0.995 when '5-LOW' then 0 else 1 end::double squeeze from orders),
@@ -47,7 +52,7 @@ def occlusion_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = p.where("cls = 1").groupBy("sample").agg(F.min("pid").alias("first"))
     occ = p.join(first.withColumnRenamed("sample", "s2"), (F.col("pid") == F.col("first")) & (F.col("sample") == F.col("s2"))).select("sample", *[F.col(c).alias("o" + c) for c in "xywh"])
     d = gt(spark, sf_dir).where("cls = 0").withColumn("x", F.col("x") - 20).withColumn("y", F.col("y") - 15).join(occ, "sample", "left")
-    region = Box.of().clipped(VIEW)
+    region = Box.of().clipped(view())
     seen = (region.w > 0) & (region.h > 0)
     h5, h9 = grid_hits(region, Box.of("o"), 5), grid_hits(region, Box.of("o"), 9)
 
@@ -56,7 +61,7 @@ def occlusion_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = d.withColumn("h5", F.when(seen, h5)).withColumn("h9", F.when(seen, h9))
     c5, c9 = category(F.col("h5"), 5), category(F.col("h9"), 9)
-    kind = F.when(~seen, "OFFSCREEN").when(Box.of().containment(VIEW) != "INSIDE", "PARTIALLY_CLIPPED").when(c5 == c9, c5).otherwise("SAMPLING_SENSITIVE")
+    kind = F.when(~seen, "OFFSCREEN").when(Box.of().containment(view()) != "INSIDE", "PARTIALLY_CLIPPED").when(c5 == c9, c5).otherwise("SAMPLING_SENSITIVE")
     return d.select("uid", kind.alias("category"), F.round(F.col("h5") / 25.0, 9).alias("fraction5"), F.round(F.col("h9") / 81.0, 9).alias("fraction9"))
 
 
@@ -100,7 +105,7 @@ def miss_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     found = pairs.groupBy("uid").agg(*[F.max(v).alias(k) for k, v in flags.items()])
     d = gt(spark, sf_dir).join(found, "uid", "left").fillna(False, list(flags))
-    where = g.containment(VIEW)
+    where = g.containment(view())
     miss = F.when(where != "INSIDE", "PREPROCESSING")
     for name, cause in (("localised", "INFERENCE_NOT_LOCALIZED"), ("same", "INFERENCE_WRONG_CLASS"), ("scored", "SCORE_FILTER"), ("survived", "NMS"), ("shown", "INVERSE_GEOMETRY")):
         miss = miss.when(~F.col(name), cause)
@@ -269,7 +274,7 @@ def text_region_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per screen: is every text region found, covered by the union of the boxes, and is the canvas not flooded."""
     reg, bx = gt(spark, sf_dir).where("cls = 0"), pred(spark, sf_dir).where("conf >= 40")
     b = Box.of()
-    boxes = bx.groupBy("sample").agg(F.collect_list(b.struct()).alias("boxes"), F.sum(b.overlap(VIEW)).alias("predicted"), (F.max(b.overlap(VIEW)) / 120000.0).alias("widest"))
+    boxes = bx.groupBy("sample").agg(F.collect_list(b.struct()).alias("boxes"), F.sum(b.overlap(view())).alias("predicted"), (F.max(b.overlap(view())) / 120000.0).alias("widest"))
     d = reg.join(boxes, "sample", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<x:bigint,y:bigint,w:bigint,h:bigint>>")))
     inside = F.transform(F.filter("boxes", lambda s: Box.within(s).overlap(b) > 0), lambda s: Box.within(s).clipped(b).struct())
     best = F.coalesce(F.array_max(F.transform("boxes", lambda s: Box.within(s).iou(b))), F.lit(0.0))
