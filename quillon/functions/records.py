@@ -81,31 +81,38 @@ def must_redact(json: Column) -> Column:
     return F.when(text_at(v, "$.kind") == "UNREAD_REGION", True).otherwise(text_at(v, "$.piiClass").isNotNull())
 
 
-# Keys of the two answers to a request for consent, and what each must repeat, with the cause if it does not.
-ALLOW_KEYS = ("consentId", "documentId", "kind", "origin", "sessionId", "target")
-DENY_KEYS = ("consentId", "kind")
-BOUND = (("consentId", "NOT_THIS_CONSENT"), ("sessionId", "SESSION_MISMATCH"), ("origin", "ORIGIN_MISMATCH"), ("documentId", "DOCUMENT_CHANGED"), ("target", "TARGET_MISMATCH"))
+def answer_cause(answer: Column, request: dict[str, Column], bound: tuple[tuple[str, str], ...], yes: str, more: tuple[str, ...], no: str, malformed: str, declined: str) -> Column:
+    """OK, or why an answer does not accept a request.
 
-
-def consent_cause(answer: Column, request: dict[str, Column]) -> Column:
-    """OK, or why an answer gives no consent to the request."""
+    An answer of kind yes has exactly the bound keys, kind and more, all strings, and repeats the request's values, each
+    with its cause if it does not; one of kind no has the first bound key and kind.
+    """
     v, keys = F.try_parse_json(answer), F.json_object_keys(answer)
-    kind = F.coalesce(text_at(v, "$.kind"), F.lit(""))
+    kind, first = F.coalesce(text_at(v, "$.kind"), F.lit("")), bound[0]
 
     def exact(allowed: tuple[str, ...]) -> Column:
         strings = F.lit(True)
         for k in allowed:
             strings &= text_at(v, f"$.{k}").isNotNull()
-        return F.coalesce(F.array_sort(keys) == listed(allowed), F.lit(False)) & strings
+        return F.coalesce(F.array_sort(keys) == listed(tuple(sorted(allowed))), F.lit(False)) & strings
 
-    found = F.when(F.coalesce(kind_of(v, "$") != "OBJECT", F.lit(True)), "MALFORMED_CONSENT")
-    found = found.when((kind == "DENY") & ~exact(DENY_KEYS), "MALFORMED_CONSENT").when((kind == "DENY") & (text_at(v, "$.consentId") != request["consentId"]), "NOT_THIS_CONSENT").when(kind == "DENY", "CONSENT_DENIED")
-    found = found.when((kind != "ALLOW_ONCE") | ~exact(ALLOW_KEYS), "MALFORMED_CONSENT")
-    for name, cause in BOUND:
+    found = F.when(F.coalesce(kind_of(v, "$") != "OBJECT", F.lit(True)), malformed)
+    found = found.when((kind == no) & ~exact((first[0], "kind")), malformed).when((kind == no) & (text_at(v, f"$.{first[0]}") != request[first[0]]), first[1]).when(kind == no, declined)
+    found = found.when((kind != yes) | ~exact((*(k for k, _ in bound), "kind", *more)), malformed)
+    for name, cause in bound:
         found = found.when(text_at(v, f"$.{name}") != request[name], cause)
     return found.otherwise("OK")
 
 
+# What an answer to a request for consent must repeat, with the cause if it does not.
+CONSENT_BOUND = (("consentId", "NOT_THIS_CONSENT"), ("sessionId", "SESSION_MISMATCH"), ("origin", "ORIGIN_MISMATCH"), ("documentId", "DOCUMENT_CHANGED"), ("target", "TARGET_MISMATCH"))
+
+
+def consent_cause(answer: Column, request: dict[str, Column]) -> Column:
+    """OK, or why an answer gives no consent to the request."""
+    return answer_cause(answer, request, CONSENT_BOUND, "ALLOW_ONCE", (), "DENY", "MALFORMED_CONSENT", "CONSENT_DENIED")
+
+
 def output_cause(dims: Column, data: Column, height: Column, width: Column) -> Column:
     """OK, or why a map of probabilities is refused: its dimensions, its length or a value."""
     bad = F.when(dims.isNull(), "NO_DIMS").when((F.size(dims) != 4) | (F.get(dims, F.lit(0)) != 1) | (F.get(dims, F.lit(1)) != 1), "NOT_ONE_MAP")
