@@ -1,4 +1,4 @@
 """All queries of the engine outside the training-data subpackage."""
 
-from quillon.plans import actions, audits, curation, detection, evaluation, events, flows, frames, handoff, privacy, records, stats  # noqa: F401
+from quillon.plans import actions, audits, curation, detection, evaluation, events, flows, frames, handoff, privacy, records, stats, wire  # noqa: F401
 from quillon.registry import COVERS, ORACLES, QUERIES  # noqa: F401
