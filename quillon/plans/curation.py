@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.geometry import Box
 from quillon.plans.boxes import BOXES, inter, iou
 from quillon.plans.detection import gt
-from quillon.registry import both, query, run_sql, table
+from quillon.registry import both, query, table
 
 M32 = 4294967295
 
@@ -33,7 +33,7 @@ SEED_IDX = "idx as (select p_partkey id, p_partkey % 3 split, cast(floor(p_partk
 SEED = "42 + split * 1000000 + i + 1831565813"
 for _n, _body in (("seeded_numbers", "select id, a, round(u, 12) u from rnd"), ("seeded_samples", """select id, case split when 0 then 'train' when 1 then 'dev' else 'test' end || '-' || lpad(cast(i as string), 4, '0') sample_id, case i % 3 when 0 then 'sparse' when 1 then 'normal' else 'dense' end density,
   round((u - 0.5) * 6, 6) jitter, 40 + round((u - 0.5) * 6, 6) + 12 x, case when 40 + (u - 0.5) * 6 + 122 <= 1024 then 'VISIBLE' else 'CLIPPED' end visibility, 52 + round((u - 0.5) * 6, 6) + 20 shifted_x, case when split = 1 then 'icon' else 'button' end swapped from rnd""")):
-    both(_n, "C-24 C-25 E-10" if _n == "seeded_numbers" else "D-01 D-02 C-26 D-03", f"with {SEED_IDX}, {mulberry(SEED, False)} {_body}", f"with {SEED_IDX}, {mulberry(SEED, True)} {_body}".replace("0.5", "0.5::double"))
+    both(_n, "C-24" if _n == "seeded_numbers" else "D-01 C-26", f"with {SEED_IDX}, {mulberry(SEED, False)} {_body}", f"with {SEED_IDX}, {mulberry(SEED, True)} {_body}".replace("0.5", "0.5::double"))
 
 
 @query("fnv_hash", "C-23 C-21", """with recursive p as (select p_partkey id, p_name t from part), w as (select id, t, 1 i, 2166136261::bigint h from p union all select id, t, i + 1, (xor(h, ascii(substr(t, i, 1)) & 255) * 16777619) & 4294967295 from w where i <= length(t))
@@ -58,7 +58,7 @@ f as (select *, cast(floor(re) as bigint) base, row_number() over (partition by
 select k, weight, base + case when not fixed and ord <= rest - given then 1 else 0 end + 1 targets from f""")
 
 both(
-    "quota_expansion", "D-05 D-07 D-08",
+    "quota_expansion", "D-07",
     """with q as (select p_brand cls, p_type bucket, count(*) % 7 n from part group by 1, 2), t as (select cls, bucket, explode(sequence(1L, n)) k from q where n > 0), o as (select *, row_number() over (order by cls, bucket, k) - 1 pos from t)
 select cls, bucket, k, cast(floor(pos / 8) as bigint) sample, pos % 8 place from o""",
     """with q as (select p_brand cls, p_type bucket, count(*) % 7 n from part group by 1, 2), t as (select cls, bucket, unnest(generate_series(1, n)) k from q where n > 0), o as (select *, row_number() over (order by cls, bucket, k) - 1 pos from t)
@@ -69,16 +69,16 @@ _SHA = "sha2(text, 256)"
 for _n, _c, _q in (
     ("split_leakage", "D-04 W-08 A-20 U-05", """with d as (select doc_id, case doc_id % 3 when 0 then 'train' when 1 then 'dev' else 'test' end split, SHA fp, source seed from documents)
 select fp, count(*) n, count(distinct split) splits, min(doc_id) first_id, min(split) lo, max(split) hi, min(seed) seed from d group by fp having count(distinct split) > 1"""),
-    ("compare_builds", "D-16 U-02 J-12", """with a as (select doc_id, SHA h from documents), b as (select doc_id + doc_id % 2 * 0 id, case when doc_id % 97 = 0 then 'changed' else SHA end h from documents where doc_id % 113 <> 0)
+    ("compare_builds", "U-02 J-12", """with a as (select doc_id, SHA h from documents), b as (select doc_id + doc_id % 2 * 0 id, case when doc_id % 97 = 0 then 'changed' else SHA end h from documents where doc_id % 113 <> 0)
 select coalesce(a.doc_id, b.id) id, case when b.id is null then 'MISSING' when a.doc_id is null then 'UNEXPECTED' else 'DIFFERENT' end kind from a full outer join b on a.doc_id = b.id where b.id is null or a.doc_id is null or a.h <> b.h"""),
-    ("contamination", "D-04 J-16 U-05", """select b.item_id, count(d.doc_id) n, min(d.doc_id) first_doc from benchmark b left join documents d on SHA2D = SHA2B group by b.item_id"""),
+    ("contamination", "D-04 U-05", """select b.item_id, count(d.doc_id) n, min(d.doc_id) first_doc from benchmark b left join documents d on SHA2D = SHA2B group by b.item_id"""),
 ):
     both(_n, _c, _q.replace("SHA2D", "sha2(d.text, 256)").replace("SHA2B", "sha2(b.text, 256)").replace("SHA", _SHA), _q.replace("SHA2D", "sha256(d.text)").replace("SHA2B", "sha256(b.text)").replace("SHA", "sha256(text)"))
 
-both("class_size_coverage", "J-20 D-14 J-21 A-21", """with c as (select distinct p_brand cls from part), b as (select distinct p_type bucket from part), n as (select p_brand cls, p_type bucket, count(*) n, sum(case when p_size > 25 then 1 else 0 end) placed from part group by 1, 2)
+both("class_size_coverage", "J-20 D-14 A-21", """with c as (select distinct p_brand cls from part), b as (select distinct p_type bucket from part), n as (select p_brand cls, p_type bucket, count(*) n, sum(case when p_size > 25 then 1 else 0 end) placed from part group by 1, 2)
 select c.cls, b.bucket, coalesce(n.n, 0) n, coalesce(n.n, 0) < 12 missing, cast(coalesce(n.placed, 0) as bigint) placed, coalesce(n.n, 0) <> coalesce(n.placed, 0) unreconciled from c cross join b left join n on n.cls = c.cls and n.bucket = b.bucket""")
 
-both("suspicious_repetition", "A-19 D-11", f"""with {BOXES}, s as (select count(distinct sample) n from gt), k as (select cls, cast(floor(x / 40) as bigint) gx, cast(floor(y / 40) as bigint) gy, count(distinct sample) samples from gt group by 1, 2, 3)
+both("suspicious_repetition", "A-19", f"""with {BOXES}, s as (select count(distinct sample) n from gt), k as (select cls, cast(floor(x / 40) as bigint) gx, cast(floor(y / 40) as bigint) gy, count(distinct sample) samples from gt group by 1, 2, 3)
 select cls, gx, gy, samples, samples >= 2 and samples * 10 >= s.n suspicious from k cross join s""")
 
 
@@ -125,17 +125,7 @@ def layout_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("sa", "sb", "matched", F.round(F.col("matched") / F.greatest("na", "nb"), 9).alias("similarity"), (F.col("sa") % 3 != F.col("sb") % 3).alias("cross_split"))
 
 
-_GATE = """with p as (select count(*) n, sum(case when length(text) = 0 then 1 else 0 end) empty, sum(case when n_chars <> length(text) then 1 else 0 end) wrong, count(distinct doc_id) ids, count(distinct lang) langs from documents),
-l as (select count(*) n, sum(case when quality not in (0, 1) or toxic not in (0, 1) then 1 else 0 end) bad from labels), o as (select count(*) n from labels left join documents on labels.doc_id = documents.doc_id where documents.doc_id is null),
-c as (select 'G1_NON_DEGENERATE' chk, empty = 0 pass, empty v from p union all select 'G2_LENGTH', wrong = 0, wrong from p union all select 'G7_UNIQUE_IDS', ids = n, n - ids from p union all select 'G4_LANGS', langs >= 3, langs from p
-  union all select 'G3_LABEL_VALUES', bad = 0, bad from l union all select 'G9_ORPHAN_LABELS', n = 0, n from o)
-select chk, case when pass then 'PASS' else 'FAIL' end verdict, cast(v as bigint) observed, min(case when pass then 1 else 0 end) over () = 1 overall from c"""
-both("quality_gate", "D-11 D-12 F-18 F-05", _GATE)
-
-both("document_profile", "D-12 D-15 A-16", """select lang, source, count(*) n, min(n_chars) lo, cast(percentile_disc(0.5) within group (order by n_chars) as double) p50, max(n_chars) hi, cast(sum(n_chars) as bigint) chars,
-  sum(case when text like '%@%' then 1 else 0 end) at_signs from documents group by lang, source""".replace("sum(case when text", "cast(sum(case when text").replace("0 end) at_signs", "0 end) as bigint) at_signs"))
-
-both("metric_regression", "D-17 A-10", """with m as (select l_linenumber cls, round(avg(case when l_returnflag = 'A' then 1.0 else 0.0 end), 6) cur, round(avg(case when l_returnflag = 'R' then 1.0 else 0.0 end), 6) base from lineitem group by 1)
+both("metric_regression", "A-10", """with m as (select l_linenumber cls, round(avg(case when l_returnflag = 'A' then 1.0 else 0.0 end), 6) cur, round(avg(case when l_returnflag = 'R' then 1.0 else 0.0 end), 6) base from lineitem group by 1)
 select cls, cast(cur as double) cur, cast(base as double) base, cur < base - 0.02 regressed from m""".replace("avg(case", "avg(case").replace("1.0 else 0.0", "cast(1 as double) else cast(0 as double)").replace("0.02", "cast(0.02 as double)"))
 
 # Greedy set cover over all samples: a sample covers the cells (class, size, place) of its elements. There are COVER_CELLS

@@ -19,7 +19,7 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, f"with {BOXES} select * from pred")
 
 
-@query("box_algebra", "M-01 M-02 M-03 M-04 M-05 M-22 F-10 C-27 C-28 C-29 C-30 M-08", f"""with {BOXES}, p as (select g.uid, g.x, g.y, g.w, g.h, p.x px, p.y py, p.w pw, p.h ph, {inter('g', 'p')} i from gt g join pred p on p.pid = g.uid),
+@query("box_algebra", "M-01 M-02 M-04 M-05 F-10 C-27 C-28 C-29 C-30", f"""with {BOXES}, p as (select g.uid, g.x, g.y, g.w, g.h, p.x px, p.y py, p.w pw, p.h ph, {inter('g', 'p')} i from gt g join pred p on p.pid = g.uid),
 s as (select *, least(640.0::double / 800, 640.0::double / 600) sc from p)
 select uid, case when i > 0 then i::double / (w * h + pw * ph - i) else 0 end iou, greatest(least(x + w, 380) - greatest(x, 20), 0)::bigint clip_w, greatest(least(y + h, 280) - greatest(y, 10), 0)::bigint clip_h,
   case when least(x + w, 380) - greatest(x, 20) <= 0 or least(y + h, 280) - greatest(y, 10) <= 0 then 'OUTSIDE' when x >= 20 and y >= 10 and x + w <= 380 and y + h <= 280 then 'INSIDE' else 'CLIPPED' end containment,
@@ -82,7 +82,7 @@ METRICS_OUT = """select cls, ground_truth, predictions, cast(true_positives as b
   round(ap, 9) ap50, round(cast(true_positives as double) / nullif(ground_truth, 0), 9) recall, round(cast(true_positives as double) / nullif(predictions, 0), 9) as "precision", round(avg(ap) over (), 9) map50 from k"""
 
 
-@query("class_metrics", "A-06 A-07 A-08 W-03 W-04 W-05 J-02", f"with recursive {DUCK_MATCH}, {METRICS} {METRICS_OUT}")
+@query("class_metrics", "A-06 A-07 A-08 W-03 W-04 W-05", f"with recursive {DUCK_MATCH}, {METRICS} {METRICS_OUT}")
 def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched(spark, sf_dir).createOrReplaceTempView("m_matched")
     return run_sql(spark, sf_dir, f"with {BOXES}, m as (select * from m_matched), {METRICS} {METRICS_OUT}".replace('"precision"', "`precision`"))
@@ -120,7 +120,7 @@ def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUSE_OVER = f"2 * {inter('g', 'p')} > g.w * g.h + p.w * p.h - {inter('g', 'p')}"
 
 
-@query("fusion", "J-04 U-01 J-19", f"""with recursive {BOXES}, g4 as (select * from gt), p4 as (select * from pred),
+@query("fusion", "J-04 U-01", f"""with recursive {BOXES}, g4 as (select * from gt), p4 as (select * from pred),
 cand as (select g.sample, g.uid, list(p.pid order by {iou('g', 'p')} desc, p.pid) c from g4 g join p4 p on p.sample = g.sample and {FUSE_OVER} group by all),
 ranked as materialized (select *, row_number() over (partition by sample order by uid) rn from cand),
 walk as (select sample, 0::bigint rn, []::bigint[] claimed, null::bigint uid, null::bigint pid from ranked where rn = 1
@@ -140,7 +140,7 @@ def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.unionByName(alone)
 
 
-both("mask_coverage", "M-11 M-12 M-13 M-02", f"""with {BOXES}, reg as (select sample, 0 x, 0 y, 400 w, 300 h from gt group by sample),
+both("mask_coverage", "M-13 M-02", f"""with {BOXES}, reg as (select sample, 0 x, 0 y, 400 w, 300 h from gt group by sample),
 part as (select g.sample, greatest(g.x, 0) x0, greatest(g.y, 0) y0, least(g.x + g.w, 400) x1, least(g.y + g.h, 300) y1 from gt g where g.cls = 1),
 xs as (select sample, v a, lead(v) over (partition by sample order by v) b from (select sample, x0 v from part union select sample, x1 from part) s),
 ys as (select sample, v a, lead(v) over (partition by sample order by v) b from (select sample, y0 v from part union select sample, y1 from part) s),
@@ -148,7 +148,7 @@ cell as (select distinct xs.sample, xs.a xa, xs.b xb, ys.a ya, ys.b yb from xs j
   where xs.b is not null and ys.b is not null)
 select reg.sample, cast(coalesce(sum((xb - xa) * (yb - ya)), 0) as bigint) covered, coalesce(sum((xb - xa) * (yb - ya)), 0) * 100 >= 120000 * 5 over_mask from reg left join cell on cell.sample = reg.sample group by reg.sample""")
 
-both("survivors", "J-17 M-23 J-10 J-18", f"""with {BOXES}, d as (select sample, pid, greatest(x - 12, 0) rx, greatest(y - 12, 0) ry, least(x + w + 12, 400) rx1, least(y + h + 12, 300) ry1, x, y, w, h from pred)
+both("survivors", "M-23 J-10 J-18", f"""with {BOXES}, d as (select sample, pid, greatest(x - 12, 0) rx, greatest(y - 12, 0) ry, least(x + w + 12, 400) rx1, least(y + h + 12, 300) ry1, x, y, w, h from pred)
 select d.pid, count(*) regions, min(g.uid) first_region, max(greatest(abs(d.x - g.x), abs(d.y - g.y))) worst, min(d.rx1 - d.rx) red_w, min(d.ry1 - d.ry) red_h
 from d join gt g on g.sample = d.sample and {inter('d', 'g')} > 0 group by d.pid""")
 
@@ -163,38 +163,29 @@ select case when o.rid is not null then 'TP' when coalesce(taken, 0) >= 0.5 then
 from o left join best on best.pid = o.pid group by 1"""
 
 
-@query("error_taxonomy", "A-12 J-15 K-04 A-14 M-24", f"with recursive {DUCK_MATCH}, {TAXONOMY}")
+@query("error_taxonomy", "J-15 K-04", f"with recursive {DUCK_MATCH}, {TAXONOMY}")
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched(spark, sf_dir).createOrReplaceTempView("m_matched")
     return run_sql(spark, sf_dir, f"with {BOXES}, m as (select * from m_matched), {TAXONOMY}")
 
 
-both("reachability", "A-13 C-30 M-17", f"""with {BOXES}, v as (select uid, sample, cast(greatest(least(x + w, 390) - greatest(x, 10), 0) * greatest(least(y + h, 290) - greatest(y, 10), 0) as double) / (w * h) frac, w from gt),
+both("reachability", "A-13 C-30", f"""with {BOXES}, v as (select uid, sample, cast(greatest(least(x + w, 390) - greatest(x, 10), 0) * greatest(least(y + h, 290) - greatest(y, 10), 0) as double) / (w * h) frac, w from gt),
 k as (select *, row_number() over (partition by sample % 16 order by frac, uid) rn, count(*) over (partition by sample % 16) n from v where frac < 1)
 select sample % 16 grp, count(*) clipped, sum(case when frac < 0.5 then 1 else 0 end) unreachable, max(case when rn = cast(floor(n / 2) as bigint) + 1 then round(frac, 9) end) upper_median from k group by sample % 16""".replace("sum(case when frac < 0.5 then 1 else 0 end)", "cast(sum(case when frac < 0.5 then 1 else 0 end) as bigint)"))
 
-both("rejection_reasons", "F-06 F-07 A-05 F-09", f"""with {BOXES}, q as (select pid, sample, case when pid % 31 = 0 then 'widget' else 'button' end cls, cast(x - case when pid % 19 = 0 then 900 else 0 end as bigint) x, y, case when pid % 23 = 0 then 0 else w end w, h,
+both("rejection_reasons", "F-06 F-07 A-05", f"""with {BOXES}, q as (select pid, sample, case when pid % 31 = 0 then 'widget' else 'button' end cls, cast(x - case when pid % 19 = 0 then 900 else 0 end as bigint) x, y, case when pid % 23 = 0 then 0 else w end w, h,
   case when pid % 29 = 0 then 150 else conf end conf, case when pid % 37 = 0 then '' else 'f' end frame, case when pid % 41 = 0 then null else 'm' end model from pred),
 k as (select case when cls not in ('button', 'link', 'textbox', 'checkbox', 'radio', 'select', 'tab', 'icon') then 'unknown class' when w <= 0 or h <= 0 then 'non-positive extent' when conf < 0 or conf > 100 then 'confidence outside'
   when frame = '' then 'missing frame' when model is null then 'missing model' when x >= 400 or y >= 300 or x + w <= 0 or y + h <= 0 then 'outside viewport' end reason from q)
 select coalesce(reason, 'OK') reason, count(*) n from k group by 1""")
 
-both("label_validation", "F-08 F-11 F-18", f"""with {BOXES}, a as (select uid, sample, x - 30 x, y, w, h, case when uid % 7 = 0 then 'VISIBLE' when uid % 5 = 0 then 'CLIPPED' when x - 30 >= 0 and y >= 0 and x - 30 + w <= 400 and y + h <= 300 then 'VISIBLE' else 'CLIPPED' end vis from gt),
+both("label_validation", "F-08", f"""with {BOXES}, a as (select uid, sample, x - 30 x, y, w, h, case when uid % 7 = 0 then 'VISIBLE' when uid % 5 = 0 then 'CLIPPED' when x - 30 >= 0 and y >= 0 and x - 30 + w <= 400 and y + h <= 300 then 'VISIBLE' else 'CLIPPED' end vis from gt),
 k as (select *, x >= 0 and y >= 0 and x + w <= 400 and y + h <= 300 fully from a)
 select case when w <= 0 or h <= 0 then 'INVALID_GEOMETRY' when x >= 400 or y >= 300 or x + w <= 0 or y + h <= 0 then 'OUT_OF_VIEWPORT' when vis = 'VISIBLE' and not fully then 'AMBIGUOUS_ANNOTATION' when vis = 'CLIPPED' and fully then 'AMBIGUOUS_ANNOTATION' else 'VALID' end code,
   vis, count(*) n from k group by 1, 2""")
 
-both("target_assignment", "M-19 M-21 D-18", f"""with {BOXES}, b as (select sample, uid, cls, x, y, w, h, w * h area from gt),
-axis as (select cast(floor(p_partkey) as bigint) c from part where p_partkey < 14),
-cells as (select b.sample, b.uid, b.area, cx.c cx, cy.c cy, b.cls from b join axis cx on cx.c * 32 + 16 >= b.x and cx.c * 32 + 16 < b.x + b.w join axis cy on cy.c * 32 + 16 >= b.y and cy.c * 32 + 16 < b.y + b.h),
-r as (select *, row_number() over (partition by sample, cx, cy order by area desc, uid desc) rn, count(*) over (partition by sample, cx, cy) claims from cells)
-select sample, cx, cy, uid, cls, claims from r where rn = 1""")
 
-both("two_pass_match", "J-14 E-08 E-09 E-11", f"""with {BOXES}, v as (select * from gt where uid % 6 <> 0), e as (select * from gt where uid % 6 = 0),
-p as (select *, exists (select 1 from v where v.sample = pred.sample and v.cls = pred.cls and {at_least_half('v', 'pred')}) hit, exists (select 1 from e where e.sample = pred.sample and e.cls = pred.cls and {at_least_half('e', 'pred')}) ign from pred)
-select cls, case when hit then 'TP' when ign then 'IGNORED' else 'FP' end verdict, count(*) n, min(x) lo, max(x) hi from p group by 1, 2""")
-
-both("head_decode", "M-06 K-03 F-22 F-24", """with a as (select event_id id, (event_id * 7919) % 97 s0, (event_id * 104729) % 97 s1, (event_id * 1299709) % 97 s2, event_id % 400 cx, event_id % 300 cy, 20 + event_id % 50 w, 10 + event_id % 30 h from events),
+both("head_decode", "M-06 K-03", """with a as (select event_id id, (event_id * 7919) % 97 s0, (event_id * 104729) % 97 s1, (event_id * 1299709) % 97 s2, event_id % 400 cx, event_id % 300 cy, 20 + event_id % 50 w, 10 + event_id % 30 h from events),
 m as (select *, case when s0 >= s1 and s0 >= s2 then 0 when s1 >= s2 then 1 else 2 end cls, greatest(s0, s1, s2) score from a),
 r as (select *, row_number() over (partition by cast(floor(id / 2000) as bigint) order by id) rn from (select * from m where score >= 55) f)
 select id, cls, score, cx - cast(w as double) / 2 x, cy - cast(h as double) / 2 y, w, h, rn <= 1000 within_cap from r""")

@@ -43,30 +43,19 @@ signals_query("structural_sequence", "T-04 W-02", """q as (select id, doc, cast(
   cast(sum(case when kind = 'VISUAL' then 1 else 0 end) over (partition by doc order by ms, id rows between unbounded preceding and current row) as bigint) visual, row_number() over (partition by doc, kind order by ms, id) ordinal, kind from s)
 select q.id, q.doc, q.seq, q.visual, kind || ':' || cast(ordinal as string) region_id, coalesce(q.seq <> lag(q.seq) over (partition by doc order by q.id), true) stale from q""")
 
-signals_query("frame_lifetime", "T-03 T-13 W-06", f"""l as (select id, doc, ms, lag(ms) over (partition by doc order by id) prev from s)
+signals_query("frame_lifetime", "T-03 W-06", f"""l as (select id, doc, ms, lag(ms) over (partition by doc order by id) prev from s)
 select id, doc, cast(ms - prev as bigint) gap, coalesce(ms - prev > {TTL_MS}, false) stale, coalesce(ms >= prev, true) in_order, case when ms - prev > 30000 then 'DEADLINE' else 'IN_TIME' end deadline from l""")
 
-signals_query("action_freshness", "T-05 T-06 E-15", """a as (select id, doc, mutations, h_old, h_new, id % 29 = 0 other_frame, id % 31 = 0 gone, id % 37 = 0 disabled, id % 41 = 0 hidden, id % 7 moved, id % 11 overlap, id % 43 = 0 outside, case id % 5 when 0 then null when 1 then 'other' else 'same' end top from s)
-select id, case when mutations = 3 then 'SEQUENCE_CHANGED' when other_frame then 'FRAME_CHANGED' when gone then 'TARGET_GONE' when disabled then 'DISABLED' when hidden then 'HIDDEN' when moved > 2 then 'MOVED' when overlap < 8 and overlap > 5 then 'OVERLAP_LOST' when outside then 'POINT_OUTSIDE' else 'FRESH' end freshness,
-  case when top is null then 'UNKNOWN' when top = 'same' then 'MATCH' else 'MISMATCH' end hit, case when h_old is null then 'UNKNOWN' when h_old = h_new then 'HOLDS' else 'DOES_NOT_HOLD' end postcondition from a""")
 
-signals_query("one_use_permits", "T-07 T-08 P-04 P-05", """o as (select id, cast(floor(id / 4) as bigint) permit, case id % 4 when 0 then 'MINT' else 'REDEEM' end op, ms, id % 9 <> 0 fits from s),
+signals_query("one_use_permits", "T-07", """o as (select id, cast(floor(id / 4) as bigint) permit, case id % 4 when 0 then 'MINT' else 'REDEEM' end op, ms, id % 9 <> 0 fits from s),
 m as (select permit, min(ms) minted, min(ms) + 900000 expires from o where op = 'MINT' group by permit),
 r as (select o.*, m.minted, m.expires, row_number() over (partition by o.permit, o.op order by o.id) n from o left join m on m.permit = o.permit)
 select id, permit, op, case when op = 'MINT' then 'LIVE' when minted is null then 'NOT_ISSUED' when n > 1 then 'CONSUMED' when ms >= expires then 'EXPIRED' when not fits then 'SPENT_UNFIT' else 'REDEEMED' end state from r""")
 
-signals_query("guarded_chain", "T-09 T-10 T-16", """g as (select id, id % 3 <> 0 v, id % 5 <> 0 a, id % 7 <> 0 h, id % 11 <> 0 p, id % 13 <> 0 act, case when id % 17 = 0 then null else h_old <> h_new end changed from s)
-select id, case when not v then 'VALIDATE' when not a then 'AUTHORISE' when not h then 'HIT_TEST' when not p then 'PERMIT' when not act then 'ACT' when changed is null or not changed then 'VERIFY' end failed_stage,
-  case when not (v and a and h and p and act) then 'NOT_RUN' when changed is null then 'UNKNOWN' when changed then 'CONFIRMED' else 'NOT_CONFIRMED' end verification from g""")
 
 STATES = "('IDLE', 'OBSERVE', 'SANITIZE', 'VERIFY_PAYLOAD', 'SEND', 'VALIDATE_PLAN', 'AWAIT_GRANT', 'REHYDRATE', 'ACT', 'VERIFY_RESULT', 'DONE', 'FAILED', 'CANCELLED')"
-signals_query("run_states", "T-11 E-06", """t as (select id, doc, ms, row_number() over (partition by doc order by ms, id) - 1 k from s),
-st as (select id, doc, ms, k, cast(floor(k / 11) as bigint) run, case k % 11 when 0 then 'IDLE' when 1 then 'OBSERVE' when 2 then 'SANITIZE' when 3 then 'VERIFY_PAYLOAD' when 4 then 'SEND' when 5 then 'VALIDATE_PLAN' when 6 then case when id % 6 = 0 then 'DONE' else 'AWAIT_GRANT' end
-  when 7 then 'REHYDRATE' when 8 then 'ACT' when 9 then 'VERIFY_RESULT' else 'DONE' end state from t),
-l as (select *, lag(state) over (partition by doc, run order by k) prev, ms - lag(ms) over (partition by doc, run order by k) elapsed from st)
-select coalesce(prev, '-') from_state, state to_state, count(*) n, cast(max(elapsed) as bigint) worst_ms, cast(sum(case when prev = 'DONE' then 1 else 0 end) as bigint) after_terminal from l group by 1, 2""")
 
-signals_query("task_loop", "T-12 P-16 P-12 F-23", """t as (select id, doc, row_number() over (partition by doc order by ms, id) - 1 k from s),
+signals_query("task_loop", "T-12", """t as (select id, doc, row_number() over (partition by doc order by ms, id) - 1 k from s),
 u as (select doc, cast(floor(k / 5) as bigint) task, k % 5 turn, case id % 10 when 0 then 'SUCCEEDED' when 1 then 'REFUSED' when 2 then 'HOSTILE' when 3 then 'TIMEOUT' else 'CONTINUE' end outcome from t),
 f as (select doc, task, min(case when outcome <> 'CONTINUE' then turn end) first_end, count(*) turns from u group by doc, task)
 select f.doc, f.task, f.turns, case when u.outcome is null then case when f.turns >= 5 then 'TURN_LIMIT' else 'RUNNING' end else u.outcome end outcome, case when u.outcome = 'HOSTILE' then 'NEVER' when u.outcome = 'TIMEOUT' then 'LOCAL_RULES' when u.outcome = 'REFUSED' then 'ASK' end fallback

@@ -36,7 +36,7 @@ def text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, ord long, x double, y double, w double, h double, score double")
 
 
-@query("frame_pipeline", "S-04 S-06 M-14 M-15 M-16 M-18 M-25 A-25 P-19 S-13")
+@query("frame_pipeline", "S-04 M-14 M-15 M-16 M-18 M-25 A-25 P-19")
 def frame_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, decode, mask, verify, measure and turn every frame into model input."""
 
@@ -83,7 +83,7 @@ def canary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canaries.scan(d, [("PHONE", "9000000001"), ("DOB", "1990-01-05"), ("NAME", "Asha Verma")])
 
 
-@query("contact_sheet", "S-16 S-12 S-11")
+@query("contact_sheet", "S-16")
 def contact_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One PNG per label of its first 48 vectors' frames: a report of bounded size, made per label."""
 

@@ -17,7 +17,7 @@ _STEP_CAUSE = """case when op is null or op not in ('insert', 'click', 'done') t
   when op = 'click' then null when ref is not null and literal is not null then 'INSERT_NOT_BOTH' when ref is null and literal is null then 'INSERT_NEEDS_REF_OR_LITERAL' end"""
 
 
-@query("plan_parse", "F-15 W-09 F-01", f"""with {PLANS}, d as (select id, doc, len(json_extract(doc, '$.steps')::json[]) n, json_extract_string(doc, '$.planVersion') v, json_extract_string(doc, '$.provenance.sessionId') s from p),
+@query("plan_parse", "F-15 W-09", f"""with {PLANS}, d as (select id, doc, len(json_extract(doc, '$.steps')::json[]) n, json_extract_string(doc, '$.planVersion') v, json_extract_string(doc, '$.provenance.sessionId') s from p),
 s as (select id, n, unnest(json_extract(doc, '$.steps')::json[]) st, unnest(range(0, n)) pos from d),
 c as (select id, pos, {_STEP_CAUSE} cause from (select id, n, pos, json_extract_string(st, '$.op') op, json_extract_string(st, '$.target') target, json_extract_string(st, '$.ref') ref, json_extract_string(st, '$.literal') literal from s)),
 f as (select id, min(pos) filter (cause is not null) pos, arg_min(cause, pos) filter (cause is not null) cause from c group by id)
@@ -35,16 +35,9 @@ def plan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.coalesce(head, "bad.cause", F.lit("OK")).alias("verdict"), F.when(head.isNull(), F.col("bad.at")).alias("at_step"))
 
 
-both("plan_validation", "F-16 W-10 W-07", """with st as (select cast(floor(event_id / 4) as bigint) plan, event_id % 4 idx, case when event_id % 7 < 3 then 'insert' else 'click' end op, 't' || cast(event_id * 13 % 5 as string) target, event_id % 31 = 0 unknown, event_id % 11 <> 0 actionable from events),
-w as (select *, count(*) over (partition by plan, op, target order by idx rows between unbounded preceding and 1 preceding) dup, sum(case when op = 'click' then 1 else 0 end) over (partition by plan order by idx rows between unbounded preceding and 1 preceding) clicks,
-  sum(case when op = 'insert' then 1 else 0 end) over (partition by plan order by idx rows between unbounded preceding and 1 preceding) ins, sum(case when op = 'insert' then 1 else 0 end) over (partition by plan) all_ins from st),
-c as (select plan, idx, op, case when unknown then 'UNKNOWN_TARGET' when dup > 0 then 'DUPLICATE_TARGET' when op = 'click' and coalesce(clicks, 0) > 0 then 'MORE_THAN_ONE_CLICK' when op = 'click' and not actionable then 'TARGET_NOT_ACTIONABLE' when op = 'click' and coalesce(ins, 0) = 0 and all_ins > 0 then 'CLICK_BEFORE_INSERT' end cause from w),
-f as (select plan, min(case when cause is not null then idx end) at_step, sum(case when op = 'click' then 1 else 0 end) clicks from c group by plan)
-select f.plan, coalesce(c.cause, case when f.clicks = 0 then 'NO_EXECUTABLE_STEP' else 'OK' end) verdict, f.at_step from f left join c on c.plan = f.plan and c.idx = f.at_step""")
-
 URLS = r"""u as (select page_id id, case page_id % 6 when 0 then 'http://127.0.0.1:8080/x' when 1 then 'https://localhost/p' when 2 then 'ftp://localhost/p' when 3 then 'not a url' else url end d from pages)"""
 both(
-    "loopback_destinations", "F-17 S-09 S-17 S-18 P-14",
+    "loopback_destinations", "F-17",
     f"""with {URLS} select id, coalesce(try_parse_url(d, 'HOST') in ('127.0.0.1', 'localhost', '::1', '[::1]') and try_parse_url(d, 'PROTOCOL') in ('http', 'https'), false) loopback,
   case when id % 13 = 0 then 'HANDOFF_NOT_VERIFIED' when not coalesce(try_parse_url(d, 'HOST') in ('127.0.0.1', 'localhost', '::1', '[::1]') and try_parse_url(d, 'PROTOCOL') in ('http', 'https'), false) then 'DESTINATION_NOT_LOOPBACK' when id % 7 = 0 then 'UNDECLARED_TOKEN' when id % 5 = 0 then 'VAULT_VALUE_IN_PAYLOAD' else 'SENT' end status from u""",
     rf"""with {URLS}, v as (select id, regexp_matches(d, '^https?://(127\.0\.0\.1|localhost|\[::1\])([:/?#]|$)') loopback from u)
@@ -53,28 +46,16 @@ select id, loopback, case when id % 13 = 0 then 'HANDOFF_NOT_VERIFIED' when not
 
 FINDINGS = """f as (select event_id id, event_id % 2 = 0 unread, event_id % 10 w, event_id % 7 - 1 h, cast(event_id % 14 as double) / 10 score, case event_id % 9 when 0 then '' else 'canvas:1' end region, event_id % 8 - 1 len,
   case event_id % 5 when 0 then null when 1 then 'PHONE' when 2 then 'UNKNOWN' when 3 then 'CARD' else 'OTP' end cls, event_id % 17 = 0 extra, event_id % 19 = 0 missing, case when event_id % 23 = 0 then null when event_id % 29 = 0 then 'BLUR' else 'REDACT_UNREAD' end treatment from events)"""
-both("text_findings", "F-02 F-03 F-04 P-10 J-23", f"""with {FINDINGS}, c as (select *, case when extra then 'EXTRA_FIELD' when missing then 'MISSING_FIELD' when unread and coalesce(treatment, '-') <> 'REDACT_UNREAD' then 'TREATMENT' when w <= 0 or h <= 0 then 'GEOMETRY'
-  when unread and (score < 0 or score > 1) then 'SCORE' when unread and region = '' then 'REGION' when not unread and len < 0 then 'LENGTH' when not unread and cls = 'CARD' then 'UNKNOWN_CLASS' end code from f)
-select id, case when code is null then 'OK' when unread then 'UNREAD_REGION_' || code else 'READ_TEXT_' || code end code, code is not null or unread or coalesce(cls <> 'UNKNOWN', false) must_redact from c""")
-
-both("handoff_decision", "F-12 F-13 F-14 P-13 P-11 E-05", """with h as (select event_id id, event_id % 31 = 0 no_origin, event_id % 29 = 0 bad_url, event_id % 23 = 0 other_origin, event_id % 19 = 0 bad_manifest, event_id % 17 = 0 leak, event_id % 4 frame, cast(event_id * 7 % 400 as bigint) body from events),
-s as (select *, case when no_origin then 'NO_CONFIGURED_PRODUCTION_ORIGIN' when bad_url then 'INVALID_DESTINATION' when other_origin then 'DESTINATION_NOT_CONFIGURED_ORIGIN' when bad_manifest then 'MALFORMED_STRUCTURE' when leak then 'PLAINTEXT_IN_MANIFEST' end stop from h),
-d as (select *, row_number() over (partition by body, stop is null order by id) nth from s)
-select id, case when stop is not null then 'STOP' when nth > 1 then 'STOP' else 'STRUCTURE_ONLY' end mode, coalesce(stop, case when nth > 1 then 'DUPLICATE_SEND' end) cause,
-  case when stop is null and nth = 1 then case frame when 0 then 'NO_SANITIZED_ARTIFACT' when 1 then 'FRAME_NOT_ATTESTED' when 2 then 'EMPTY_FRAME' else 'FRAME_EGRESS_DISABLED' end end frame_refusal from d""")
 
-both("clarification", "P-15 P-17 P-18 E-13 E-14", """with c as (select o_custkey task, o_orderkey ref, lower(trim(o_orderpriority)) label, o_orderstatus status, o_totalprice v from orders),
-g as (select task, count(*) candidates, count(distinct label) labels, min(ref) first_ref, min(case when status = 'O' then ref end) first_open, max(v) top from c group by task)
-select task, candidates, labels, case when candidates < 2 then 'NOT_NEEDED' when labels < candidates then 'LABELS_NOT_DISTINCT' else 'ASK' end state, coalesce(first_open, first_ref) pick, '<' || cast(first_ref as string) || '>' shown, top > 300000 offers from g""")
 
-both("element_graph", "J-22 J-01 F-19 C-32", """with n as (select p_partkey id, case when p_partkey % 10 = 0 then null else cast(floor(p_partkey / 10) as bigint) * 10 end parent, p_name name, p_size size from part),
+both("element_graph", "J-01", """with n as (select p_partkey id, case when p_partkey % 10 = 0 then null else cast(floor(p_partkey / 10) as bigint) * 10 end parent, p_name name, p_size size from part),
 k as (select parent, count(*) kids, min(id) first_kid, max(id) last_kid from n where parent is not null group by parent)
 select n.id, n.parent, p.name parent_name, coalesce(k.kids, 0) kids, k.first_kid, k.last_kid, case when n.name like '%red%' then 'CONFIRM' when n.name like '%blue%' then 'WARN' else 'NONE' end tier from n left join n p on p.id = n.parent left join k on k.parent = n.id""")
 
 both(
-    "visual_regions", "S-07 S-08 S-05 W-02",
+    "visual_regions", "W-02",
     r"""with l as (select page_id, posexplode(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as (i, href) from pages) select page_id, 'link:' || cast(i as string) id, href, length(href) n from l where href <> ''""",
     r"""with l as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) href, unnest(range(0, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) i from pages) select page_id, 'link:' || i id, href, length(href)::int n from l where href <> ''""",
 )
 
-both("deterministic_prefix", "S-03 S-01 S-02", """with r as (select doc_id, lang, row_number() over (partition by lang order by doc_id) rn from documents) select lang, doc_id from r where rn <= 7""")
+both("deterministic_prefix", "S-03", """with r as (select doc_id, lang, row_number() over (partition by lang order by doc_id) rn from documents) select lang, doc_id from r where rn <= 7""")

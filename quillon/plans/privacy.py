@@ -98,7 +98,7 @@ o as (select *, case when effective = 'OTP' then 'MASKED_NO_TOKEN' when effectiv
 c as (select *, case when outcome = 'TOKENISED' then '<PII:' || effective || ':' || row_number() over (partition by session, effective, outcome order by id) || '>' end ref from o)"""
 
 
-@query("classify_tokenise", "C-11 C-13 U-06 W-01 P-01 C-16 D-13", f"with {DUCK_CLASSIFIED} select id, session, field_class, value_class, effective, disagreement, outcome, ref from c")
+@query("classify_tokenise", "C-11 C-13 U-06 W-01 P-01 C-16", f"with {DUCK_CLASSIFIED} select id, session, field_class, value_class, effective, disagreement, outcome, ref from c")
 def classify_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(spark, sf_dir).select("id", "session", "field_class", "value_class", "effective", "disagreement", "outcome", "ref")
 
@@ -130,7 +130,7 @@ def tripwire_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count("*").alias("n"), *wires, F.count_if(F.size("secrets") > 0).alias("secret"))
 
 
-@query("literal_echo", "C-10 J-05 P-09 K-07 C-31 F-25 E-04", f"""with {DUCK_CLASSIFIED},
+@query("literal_echo", "C-10 J-05 P-09 F-25", f"""with {DUCK_CLASSIFIED},
 x as (select id, session, effective, value, regexp_replace(translate(value, 'oOlIiSs', '0011155'), '[^0-9]', '', 'g') sd, regexp_replace(lower(value), '[^\\p{{L}}\\p{{N}}]', '', 'g') st from c where ref is not null),
 l as (select id lid, session ls, 'please use ' || value || ' for ' || coalesce(name, 'it') lit, id % 4 = 0 redacted, value_class lit_class from c),
 lf as (select *, regexp_replace(translate(lit, 'oOlIiSs', '0011155'), '[^0-9]', '', 'g') ld, regexp_replace(lower(lit), '[^\\p{{L}}\\p{{N}}]', '', 'g') lt from l),
@@ -155,7 +155,7 @@ def literal_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("field_fill", "P-07 J-07 J-24 U-04", f"""with {DUCK_CLASSIFIED}, r as (select session, effective cls, ref from c where ref is not null),
+@query("field_fill", "P-07 J-07 U-04", f"""with {DUCK_CLASSIFIED}, r as (select session, effective cls, ref from c where ref is not null),
 g as (select c.id, c.field_class accepts, list_sort(list_distinct(list(r.ref) filter (r.ref is not null))) refs from c left join r on r.session = c.session and r.cls = c.field_class and c.field_class not in ('OTP','UNKNOWN','FREE_TEXT') group by all)
 select id, accepts, case when accepts = 'OTP' then 'CRITICAL_FIELD' when accepts in ('UNKNOWN', 'FREE_TEXT') then 'AMBIGUOUS_FIELD' when coalesce(len(refs), 0) = 0 then 'NO_MATCHING_REFERENCE' when len(refs) > 1 then 'CONFLICTING_REFERENCES' end cause,
   case when len(refs) = 1 then refs[1] end fill, coalesce(len(refs), 0)::int candidates from g""")
@@ -174,29 +174,7 @@ def field_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", "accepts", cause.alias("cause"), F.when(n == 1, F.col("refs")[0]).alias("fill"), n.alias("candidates"))
 
 
-# Bind decisions over derived steps: every rule of the fixed order is hit.
-BIND = f"""b as (select id, session, effective, ref, outcome, field_class, id % 97 = 0 destroyed, id % 89 = 0 wrong_session, id % 83 = 0 stale_view, id % 79 = 0 stale_doc, id % 73 = 0 no_target,
-  id % 7 <> 0 class_grant, id % 3 = 0 use_grant, id % 10 used_at, id % 4 expires, id % 11 = 0 consumed, id % 13 = 0 other_origin from c)"""
-
-
-def _bind_cause(sql: bool) -> str:
-    return """case when destroyed then 'REFUSE:VAULT_DESTROYED' when wrong_session then 'REFUSE:SESSION_MISMATCH' when stale_view then 'REFUSE:STALE_VIEW' when stale_doc then 'REFUSE:STALE_BINDING'
-  when no_target then 'REFUSE:UNKNOWN_TARGET' when ref is null then 'REFUSE:UNKNOWN_TOKEN' when field_class = 'OTP' then 'NEEDS_USER:CRITICAL_FIELD' when field_class in ('UNKNOWN', 'FREE_TEXT') then 'NEEDS_USER:AMBIGUOUS_FIELD'
-  when field_class <> effective then 'REFUSE:CLASS_MISMATCH' when other_origin then 'REFUSE:ORIGIN_MISMATCH' when consumed then 'REFUSE:CONSUMED' when not class_grant then 'NEEDS_USER:CLASS_ORIGIN_GRANT_REQUIRED'
-  when effective = 'AADHAAR' and not (use_grant and used_at <> 5 and expires > 1) then 'NEEDS_HUMAN_GRANT' else 'BIND_OK' end"""
-
-
-@query("bind_decisions", "P-06 J-08 W-09 P-08", f"with {DUCK_CLASSIFIED}, {BIND} select id, {_bind_cause(True)} decision, case when {_bind_cause(True)} = 'BIND_OK' then ref end spent_ref from b")
-def bind_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = classified(spark, sf_dir).selectExpr(
-        "id", "session", "effective", "ref", "field_class", "id % 97 = 0 destroyed", "id % 89 = 0 wrong_session", "id % 83 = 0 stale_view", "id % 79 = 0 stale_doc", "id % 73 = 0 no_target",
-        "id % 7 <> 0 class_grant", "id % 3 = 0 use_grant", "id % 10 used_at", "id % 4 expires", "id % 11 = 0 consumed", "id % 13 = 0 other_origin",
-    )
-    d = b.withColumn("decision", F.expr(_bind_cause(False)))
-    return d.select("id", "decision", F.when(F.col("decision") == "BIND_OK", F.col("ref")).alias("spent_ref"))
-
-
-@query("egress_ledger", "S-14 S-10 C-22 J-06 J-09 U-03 P-02 P-03 S-15", f"""with {DUCK_CLASSIFIED}, h as (select session, string_agg(id || '=' || coalesce(ref, '-'), ';' order by id) body, list_sort(list(ref) filter (ref is not null and id % 17 <> 0)) declared from c group by session),
+@query("egress_ledger", "S-14 C-22 J-06 U-03 P-03", f"""with {DUCK_CLASSIFIED}, h as (select session, string_agg(id || '=' || coalesce(ref, '-'), ';' order by id) body, list_sort(list(ref) filter (ref is not null and id % 17 <> 0)) declared from c group by session),
 u as (select *, list_distinct(regexp_extract_all(body, '<PII:[A-Z]+:[0-9]+>')) carried from h)
 select session, sha256(body) payload_sha256, strlen(body)::int payload_bytes, len(carried)::int n_refs, len(list_filter(carried, lambda t: not list_contains(coalesce(declared, []), t)))::int undeclared, 'b' || substr(sha256(body), 1, 16) boundary from u""")
 def egress_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +190,7 @@ def egress_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 both(
-    "conversation_leaks", "W-07 C-33 C-19",
+    "conversation_leaks", "W-07 C-19",
     """select conv_id, turn, lower(trim(regexp_replace(text, '\\\\s+', ' '))) norm_label, length(text) n, coalesce(text = lag(text) over (partition by conv_id order by turn), false) repeated,
   regexp_like(role, '^(user|human)$') is_user from conversations""",
     r"""select conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) norm_label, length(text)::int n, coalesce(text = lag(text) over (partition by conv_id order by turn), false) repeated,

@@ -143,3 +143,11 @@ def test_streaming_twins(spark, tmp_path):
         assert i < 2
     got = {r["id"]: (r["accepted"], r["hashed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: (True, True), 2: (False, False), 3: (False, False), 4: (True, True)}
+
+
+def test_frame_inventory(spark):
+    from quillon.sources import files
+
+    samples = spark.createDataFrame([("a.png",), ("b.png",)], "frame string")
+    frames = spark.createDataFrame([("b.png", bytearray(b"1")), ("c.png", bytearray(b"2"))], "name string, content binary")
+    assert {(r["frame"], r["kind"]) for r in files.frame_inventory(samples, frames).collect()} == {("a.png", "MISSING"), ("b.png", "PRESENT"), ("c.png", "UNEXPECTED")}
