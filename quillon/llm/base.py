@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,40 +79,55 @@ def uniform(col: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), col)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The forest of parents, smaller numbers being roots, with the edges (a, b) added; every node is a root or hangs on one."""
+    while True:
+        while (parent != (up := parent[parent])).any():
+            parent = up
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        parent = parent.copy()
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition as stars: every node but the smallest of its component here, and that smallest one."""
-    root: dict[int, int] = {}
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = joined(np.arange(len(ids)), place[: len(u)], place[len(u) :])
+    hung = np.flatnonzero(root != np.arange(len(ids)))
+    for at in range(0, len(hung), 100_000):
+        part = hung[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), pa.array(ids[root[part]], pa.int64())], names=["u", "v"])
 
-    def up(i: int) -> int:
-        while (j := root.setdefault(i, i)) != i:
-            root[i] = root[j]
-            i = root[i]
-        return i
 
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            x, y = up(u), up(v)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    nodes = [i for i in root if up(i) != i]
-    for at in range(0, len(nodes), 100_000):
-        part = nodes[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([up(i) for i in part], pa.int64())], names=["u", "v"])
+#: Edges that one task takes.
+EDGES_A_TASK = 1_000_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (two long columns): (id, component), component the smallest id.
 
-    Every partition first turns its edges into stars, which keeps what they connect; small inputs are one partition
-    after coalescing and done with that. Then alternating star contraction: each node's larger neighbours are hung on
+    Up to EDGES_A_TASK edges are joined by one task. Of more, every partition first turns its edges into stars, which
+    keeps what they connect; then alternating star contraction: each node's larger neighbours are hung on
     its smallest neighbour, then its smaller ones are; chains halve, stars stay. Each round is a written table; only
     whether anything moved reaches the driver. Hot nodes: the smallest neighbour comes from a partially aggregated
     minimum joined back, so no neighbour list is ever gathered. Null ids are ignored.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(e.repartition("u").mapInArrow(_forest, "u long, v long"), "edges")
-    for _ in range(max_rounds):
+    e = cut(e, "edges")
+    few = e.limit(EDGES_A_TASK + 1).count() <= EDGES_A_TASK
+    stars = cut((e.coalesce(1) if few else e.repartition("u")).mapInArrow(_forest, "u long, v long"), "edges")
+    drop_cut(e)
+    e = stars
+    for _ in range(0 if few else max_rounds):
         # at rest once every child has one parent and no parent is a child
         roles = e.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(e.select("v", F.lit(0), F.lit(1)))
         if not roles.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 or (c > 0 and p > 0)").limit(1).count():
@@ -129,6 +145,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         drop_cut(e)
         e = nxt
     else:
-        raise RuntimeError("components did not settle")
+        if not few:
+            raise RuntimeError("components did not settle")
     out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return out.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -38,8 +38,8 @@ KEYS_DEALT, KEYS_MET = 4_000_000, 2_000_000
 CELLS, CELL_ROWS = 1 << 21, 64
 #: Others that are compared with one copy of a centre.
 PER_CENTRE = 400
-#: Rounds with centres at most; they end when less than STAR_GAIN of the pairs tried link. Centres of a key in a round but the first.
-STAR_ROUNDS, STAR_GAIN, CENTRES = 8, 0.1, 3
+#: Rounds with centres at most; they end when one links less than STAR_GAIN of the classes that meet others. Centres of a key in a round but the first.
+STAR_ROUNDS, STAR_GAIN, CENTRES = 8, 0.02, 3
 #: Bits of a sketch a shingle, and in all at least: the fewer, the more pairs under the threshold pass for shingles that meet in a bit.
 SKETCH_BITS, LEAST_BITS = 2, 256
 #: Sketches of a key that are compared at once: larger groups are compared in pairs of tiles.
@@ -401,7 +401,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = cut(met.join(enough.select(F.col("sid")), F.col("id") == F.col("sid"), "left_semi"), "met")
     drop_cut(few)
     wanted = cut(met.select("id").distinct().join(by_class, F.col("id") == F.col("cls")).select("id", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "wanted")
-    listed = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    meeting = wanted.count()
+    listed = F.broadcast(wanted) if meeting <= BROADCAST_ROWS else wanted
     texts = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("th") == F.col("one_th"))).select("id", "text").dropDuplicates(["id"])
     texts = cut(texts, "met-texts")
 
@@ -451,7 +452,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         # pairs of stars share two keys, short documents may share one: only the full round ends it
         turn += 1
-        stars = turn < STAR_ROUNDS and (turn == 1 or found > STAR_GAIN * of)
+        stars = turn < STAR_ROUNDS and (turn == 1 or found > STAR_GAIN * meeting)
     written.append(met)
 
     if comp is None:

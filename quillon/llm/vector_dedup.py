@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import components, cut, drop_cut
+from quillon.llm.base import components, cut, drop_cut, joined
 
 COSINE = 0.9
 BLOCKS = 4
@@ -174,20 +174,6 @@ def _spread(shapes: dict[int, Shape]) -> Callable:
     return run
 
 
-def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The forest of parents, smaller numbers being roots, with the edges (a, b) added."""
-    while True:
-        while (parent != (up := parent[parent])).any():
-            parent = up
-        x, y = parent[a], parent[b]
-        apart = x != y
-        if not apart.any():
-            return parent
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        parent = parent.copy()
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-
-
 def _compared(shapes: dict[int, Shape], least: float) -> Callable:
     """Links within tiles: (cls, n, low): vectors linked to cls in this pair of tiles, and a class it links with.
 
