@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.geometry import Box
@@ -57,13 +57,16 @@ r as (select l.k, l.weight, l.rest, l.extra_cap, l.rn < lam.first_free fixed, ca
 f as (select *, cast(floor(re) as bigint) base, row_number() over (partition by fixed order by re - floor(re) desc, k) ord, sum(cast(floor(re) as bigint)) over () given from r)
 select k, weight, base + case when not fixed and ord <= rest - given then 1 else 0 end + 1 targets from f""")
 
-both(
-    "quota_expansion", "D-07",
-    """with q as (select p_brand cls, p_type bucket, count(*) % 7 n from part group by 1, 2), t as (select cls, bucket, explode(sequence(1L, n)) k from q where n > 0), o as (select *, row_number() over (order by cls, bucket, k) - 1 pos from t)
-select cls, bucket, k, cast(floor(pos / 8) as bigint) sample, pos % 8 place from o""",
-    """with q as (select p_brand cls, p_type bucket, count(*) % 7 n from part group by 1, 2), t as (select cls, bucket, unnest(generate_series(1, n)) k from q where n > 0), o as (select *, row_number() over (order by cls, bucket, k) - 1 pos from t)
-select cls, bucket, k, cast(floor(pos / 8) as bigint) sample, cast(pos % 8 as integer) place from o""",
-)
+@query("quota_expansion", "D-07", """with q as (select p_brand cls, p_type bucket, count(*) % 7 n from part group by 1, 2), t as (select cls, bucket, unnest(generate_series(1, n)) k from q where n > 0), o as (select *, row_number() over (order by cls, bucket, k) - 1 pos from t)
+select cls, bucket, k, cast(floor(pos / 8) as bigint) sample, cast(pos % 8 as integer) place from o""")
+def quota_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets in order of class, bucket and number, dealt to samples of eight places. Only the schedule's cells are numbered together, not their targets."""
+    q = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("cls"), F.col("p_type").alias("bucket")).agg((F.count("*") % 7).alias("n")).where("n > 0")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = q.withColumn("before", before).select("cls", "bucket", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    pos = F.col("before") + F.col("k") - 1
+    return t.select("cls", "bucket", "k", F.floor(pos / 8).alias("sample"), (pos % 8).cast("int").alias("place"))
+
 
 _SHA = "sha2(text, 256)"
 for _n, _c, _q in (

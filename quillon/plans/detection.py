@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.geometry import Box, contrast, letterbox
+from quillon.functions.geometry import Box, contrast, letterbox, union_area
 from quillon.operators.matching import greedy_match, suppress
 from quillon.plans.boxes import BOXES, at_least_half, inter, iou
 from quillon.registry import both, query, run_sql, table
@@ -140,13 +140,20 @@ def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.unionByName(alone)
 
 
-both("mask_coverage", "M-13 M-02", f"""with {BOXES}, reg as (select sample, 0 x, 0 y, 400 w, 300 h from gt group by sample),
+@query("mask_coverage", "M-13 M-02", f"""with {BOXES}, reg as (select sample, 0 x, 0 y, 400 w, 300 h from gt group by sample),
 part as (select g.sample, greatest(g.x, 0) x0, greatest(g.y, 0) y0, least(g.x + g.w, 400) x1, least(g.y + g.h, 300) y1 from gt g where g.cls = 1),
 xs as (select sample, v a, lead(v) over (partition by sample order by v) b from (select sample, x0 v from part union select sample, x1 from part) s),
 ys as (select sample, v a, lead(v) over (partition by sample order by v) b from (select sample, y0 v from part union select sample, y1 from part) s),
 cell as (select distinct xs.sample, xs.a xa, xs.b xb, ys.a ya, ys.b yb from xs join ys on xs.sample = ys.sample join part p on p.sample = xs.sample and p.x0 <= xs.a and p.x1 >= xs.b and p.y0 <= ys.a and p.y1 >= ys.b
   where xs.b is not null and ys.b is not null)
 select reg.sample, cast(coalesce(sum((xb - xa) * (yb - ya)), 0) as bigint) covered, coalesce(sum((xb - xa) * (yb - ya)), 0) * 100 >= 120000 * 5 over_mask from reg left join cell on cell.sample = reg.sample group by reg.sample""")
+def mask_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of each screen that the union of its masks covers, by strips of the screen's own masks."""
+    clipped = Box.of().clipped(Box(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(400).cast("long"), F.lit(300).cast("long")))
+    rows = gt(spark, sf_dir).groupBy("sample").agg(F.collect_list(F.when((F.col("cls") == 1) & (clipped.w > 0) & (clipped.h > 0), clipped.struct())).alias("masks"))
+    rows = rows.withColumn("covered", union_area(F.col("masks")))
+    return rows.select("sample", "covered", (F.col("covered") * 100 >= 120000 * 5).alias("over_mask"))
+
 
 both("survivors", "M-23 J-10 J-18", f"""with {BOXES}, d as (select sample, pid, greatest(x - 12, 0) rx, greatest(y - 12, 0) ry, least(x + w + 12, 400) rx1, least(y + h + 12, 300) ry1, x, y, w, h from pred)
 select d.pid, count(*) regions, min(g.uid) first_region, max(greatest(abs(d.x - g.x), abs(d.y - g.y))) worst, min(d.rx1 - d.rx) red_w, min(d.ry1 - d.ry) red_h

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import pii
@@ -144,8 +144,20 @@ def literal_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = c.where(F.col("ref").isNotNull()).select(F.col("id").alias("vid"), F.col("session").alias("vs"), "effective", pii.digit_fold(F.col("value")).alias("sd"), pii.text_fold(F.col("value")).alias("st"))
     lit = F.concat(F.lit("please use "), "value", F.lit(" for "), F.coalesce("name", F.lit("it")))
     l = c.select("id", "session", lit.alias("lit"), (F.col("id") % 4 == 0).alias("redacted"), "value_class").withColumn("ld", pii.digit_fold(F.col("lit"))).withColumn("lt", pii.text_fold(F.col("lit")))
-    holds = ((F.length("sd") >= 4) & F.contains(F.col("ld"), F.col("sd"))) | ((F.length("st") >= 4) & F.contains(F.col("lt"), F.col("st")))
-    held = l.join(v, (F.col("session") == F.col("vs")) & holds).groupBy("id").agg(F.min_by("effective", "vid").alias("held_class"))
+    # a text that holds a value holds the value's beginning: sessions meet on these grams, not every literal on every value
+    def runs(c: str, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))
+        return F.when(F.length(c) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    def grams(c: str) -> Column:
+        return F.array_distinct(F.concat(runs(c, 4), runs(c, 8)))
+
+    fold = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, c in ((0, "sd"), (1, "st"))])).alias("f")
+    keyed = v.select("vid", "vs", "effective", fold).where("length(f.t) >= 4").select("vid", "vs", "effective", "f.kind", "f.t", F.when(F.length("f.t") >= 8, F.left("f.t", F.lit(8))).otherwise(F.left("f.t", F.lit(4))).alias("key"))
+    texts = F.explode(F.array(*[F.struct(F.lit(k).alias("lk"), F.col(c).alias("whole"), grams(c).alias("gs")) for k, c in ((0, "ld"), (1, "lt"))])).alias("g")
+    said = l.select("id", "session", texts).select("id", "session", "g.lk", "g.whole", F.explode("g.gs").alias("gram"))
+    met = said.join(keyed, (F.col("session") == F.col("vs")) & (F.col("lk") == F.col("kind")) & (F.col("gram") == F.col("key"))).where(F.contains("whole", F.col("t")))
+    held = met.groupBy("id").agg(F.min_by("effective", "vid").alias("held_class"))
     out = l.select("id", "redacted", "value_class").join(held, "id", "left")
     is_held = F.col("held_class").isNotNull()
     return out.select(
@@ -165,13 +177,12 @@ def field_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     References are of tokenisable classes, so one of the class that the field accepts always fits (pii.field_fit).
     """
     c = classified(spark, sf_dir)
-    r = c.where(F.col("ref").isNotNull()).select(F.col("session").alias("rs"), F.col("effective").alias("cls"), "ref")
-    e = c.select("id", "session", F.col("field_class").alias("accepts"))
-    j = e.join(r, (F.col("session") == F.col("rs")) & (F.col("accepts") == F.col("cls")), "left")
-    g = j.groupBy("id", "accepts").agg(F.collect_set("ref").alias("refs"))
-    n = F.size("refs")
+    # a session's references of a class are counted before any field meets them: one row each, however many there are
+    r = c.where(F.col("ref").isNotNull()).groupBy(F.col("session").alias("rs"), F.col("effective").alias("cls")).agg(F.countDistinct("ref").cast("int").alias("k"), F.min("ref").alias("ref"))
+    g = c.select("id", "session", F.col("field_class").alias("accepts")).join(r, (F.col("session") == F.col("rs")) & (F.col("accepts") == F.col("cls")), "left")
+    n = F.coalesce("k", F.lit(0))
     cause = F.when(F.col("accepts") == "OTP", "CRITICAL_FIELD").when(F.col("accepts").isin("UNKNOWN", "FREE_TEXT"), "AMBIGUOUS_FIELD").when(n == 0, "NO_MATCHING_REFERENCE").when(n > 1, "CONFLICTING_REFERENCES")
-    return g.select("id", "accepts", cause.alias("cause"), F.when(n == 1, F.col("refs")[0]).alias("fill"), n.alias("candidates"))
+    return g.select("id", "accepts", cause.alias("cause"), F.when(n == 1, F.col("ref")).alias("fill"), n.alias("candidates"))
 
 
 @query("egress_ledger", "S-14 C-22 J-06 U-03 P-03", f"""with {DUCK_CLASSIFIED}, h as (select session, string_agg(id || '=' || coalesce(ref, '-'), ';' order by id) body, list_sort(list(ref) filter (ref is not null and id % 17 <> 0)) declared from c group by session),
