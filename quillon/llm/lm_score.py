@@ -22,7 +22,7 @@ ROWS, WIDTH, SIDE = 1 << 15, 16, 2
 CLASSES = 32
 #: Rounds of averaged training; each takes every ROUNDS-th place of every text, all rounds together every place once.
 ROUNDS = 2
-BATCH, RATE = 2048, 0.08
+BATCH, RATE = 1024, 0.08
 SEED = 7
 
 
@@ -97,12 +97,13 @@ class Network:
 
     def log_tokens(self, rows: np.ndarray) -> np.ndarray:
         """log P(token | both sides) at every place of padded rows but the first and last SIDE."""
-        n, width = len(rows) - 2 * SIDE, self.weights.shape[1]
-        # every place's share in the sums of the places around it, in one product
-        share = np.tanh(self.embedding.take(rows, axis=0)) @ self.weights.reshape(2 * SIDE, WIDTH, width).transpose(1, 0, 2).reshape(WIDTH, -1)
-        z = np.repeat(self.bias[None, :], n, axis=0)
-        for j, k in enumerate(k for k in range(2 * SIDE + 1) if k != SIDE):
-            z += share[k : k + n, j * width : (j + 1) * width]
+        n = len(rows) - 2 * SIDE
+        # a place's window is 2 * SIDE + 1 rows in a row; the place itself counts for nothing
+        half = SIDE * WIDTH
+        weights = np.concatenate([self.weights[:half], np.zeros((WIDTH, self.weights.shape[1]), np.float32), self.weights[half:]])
+        seen = np.tanh(self.embedding.take(rows, axis=0))
+        windows = np.lib.stride_tricks.as_strided(seen, (n, len(weights)), seen.strides, writeable=False)
+        z = np.ascontiguousarray(windows) @ weights + self.bias
         logp, target = np.minimum(z[:, :CLASSES], 60), rows[SIDE : SIDE + n].astype(np.int64)
         norm = np.log(np.exp(logp).sum(1))
         nodes, side, of = self.tree.paths(target)
@@ -251,7 +252,7 @@ def _trained(net: Network, turn: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Trainer(net)
-        for texts in gathered(batches, 8 * BATCH):
+        for texts in gathered(batches, 16 * BATCH):
             rows, starts, _ = padded(texts)
             at = np.concatenate([places(text, turn) + a for text, a in zip(texts, starts.tolist(), strict=True)])
             for a in range(0, len(at), BATCH):
