@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm import exact_dedup, html_extract, jaccard, line_dedup, lm_score, mixing, packing, secret_scan, toxicity, vector_dedup
@@ -598,3 +599,103 @@ def test_line_dedup_columns_that_clash(spark):
     assert sum(r["n_dropped"] for r in got) == 3
     assert line_dedup.without_lines(docs).columns == docs.columns
     assert {r["kept"] for r in line_dedup.without_lines(docs).collect()} == {"mine"}
+
+
+def plain_line_dedup(rows):
+    """What line_dedup says, line by line in plain Python: {(id, text): lines dropped}."""
+
+    def masked(line):
+        tokens = [x for x in re.split(r"[ \t\x0b\x0c\r]+", line) if x]
+        if len(tokens) >= 3:
+            tokens = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
+        return " ".join(tokens) if tokens else ""
+
+    def number(line):
+        return xxhash.xxh64(line.encode(), seed=42).intdigest() - (1 << 64 if xxhash.xxh64(line.encode(), seed=42).intdigest() >= 1 << 63 else 0)
+
+    top = 2**63 - 1
+    seen = [(top if i is None else i, t or "", k, masked(line)) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
+    seen = [x for x in seen if len(x[3].split(" ")) >= 3 or len(x[3].encode()) >= 24]
+    lo, hi = {}, {}
+    for i, _, _, m in seen:
+        lo[m], hi[m] = min(lo.get(m, i), i), max(hi.get(m, i), i)
+    me = {m: (lo[m], number(m)) for m in lo}
+
+    def stretches(m):
+        t = m.split(" ")
+        parts, rest = int(len(t) * 0.25) + 1, len(t) - 3
+        return {(len(t), tuple(t[:3]), k, tuple(t[3 + k * rest // parts : 3 + (k + 1) * rest // parts])) for k in range(parts)}
+
+    general = [m for m in lo if len(m.split(" ")) > 3]
+    holds = defaultdict(set)
+    for m in general:
+        for key in stretches(m):
+            holds[key].add(m)
+
+    def agree(a, b):
+        x, y = a.split(" "), b.split(" ")
+        return sum(p == q for p, q in zip(x, y, strict=True)) >= 0.75 * len(x)
+
+    hung = {}
+    for m in general:
+        firsts = {min(holds[key], key=me.get) for key in stretches(m)} - {m}
+        firsts = {f for f in firsts if me[f] < me[m]}
+        others = {o for key in stretches(m) for o in holds[key] if me[o] < me[m]} - firsts
+        near = [f for f in firsts if agree(m, f)] or [o for o in others if agree(m, o)]
+        if near:
+            hung[m] = min(near, key=me.get)
+    owner = {}
+    for m in lo:
+        root = m
+        while root in hung:
+            root = hung[root]
+        owner[m] = lo[root]
+    gone = defaultdict(set)
+    for i, t, k, m in seen:
+        if (lo[m] != hi[m] or lo[m] != owner[m]) and i != owner[m]:
+            gone[(i, t)].add(k)
+    return gone
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_equals_plain_python(spark, seed):
+    rnd = random.Random(seed)
+    heads = ["the old house of", "a b c d", "x y z"]
+
+    def line():
+        kind = rnd.random()
+        if kind < 0.15:
+            return rnd.choice(["", "  ", "one two", "a", "l" * 30, "\t"])
+        n = rnd.choice([3, 4, 5, 7, 8, 9, 16])
+        t = (rnd.choice(heads).split(" ") + [rnd.choice("pqr") * 3 for _ in range(20)])[:n]
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(n)] = rnd.choice(["zz", "v7", str(rnd.randint(1, 99)), "qq"])
+        return rnd.choice([" ", "  "]).join(t)
+
+    rows = [(i, "\n".join(line() for _ in range(rnd.randint(1, 8)))) for i in range(60)] + [(3, "a b c d\nown words here"), (None, "the old house of ppp\nx"), (70, None), (71, ""), (2, "a b c d"), (2, "a b c d")]
+    want = plain_line_dedup(rows)
+    got = Counter((r["doc_id"], r["text"], r["n_dropped"], r["kept"]) for r in line_dedup.line_dedup(make(spark, rows)).collect())
+    expected: Counter = Counter()
+    for i, t in rows:
+        lines, gone = (t or "").split("\n"), want.get((2**63 - 1 if i is None else i, t or ""), set())
+        text = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        expected[(i, text, len(gone), not gone or bool(re.search(r"[^ \t\n\x0b\x0c\r]", text)))] += 1
+    assert got == expected
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, texts):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in ([], [(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (5, ""), (5, "one two three four five six\nseven"), (7, "x" * 200000)]):
+        docs = make(spark, rows).withColumn("kept", F.lit("mine")).withColumn("id", F.lit(1)).withColumn("h", F.lit(2))
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "packing":
+                assert out.select("length").groupBy().sum().first()[0] is None or rows
+                break
+            assert out.columns == docs.columns, name
+            kept = out.collect()
+            if name == "toxicity":
+                assert len(kept) == len(rows)
+            docs = spark.createDataFrame(kept, docs.schema)
