@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.geometry import Box
 from quillon.functions.records import answer_cause, kind_of, text_at
+from quillon.operators import scheduling
 from quillon.plans.actions import CLAIMS, NODES
 from quillon.plans.boxes import BOXES, at_least_half
 from quillon.plans.detection import gt
@@ -198,3 +199,10 @@ def quad_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("bigint")
     xs, ys = F.array(k % 90, k * 7 % 80, k * 3 % 70, n), F.array(k % 60, k * 5 % 50, n * 2, k * 11 % 40)
     return table(spark, sf_dir, "supplier").select(k.alias("id"), F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+
+
+@query("overflow_plan", "D-08")
+def overflow_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of each split dealt to samples; what does not fit goes to further samples, and the split is refused if these run out. A split's targets are one task's: its schedule is bounded by design."""
+    t = table(spark, sf_dir, "part").select(F.col("p_brand").alias("split"), F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"))
+    return t.groupBy("split").applyInPandas(scheduling.overflow_plan, "split string, id long, sample long, rescheduled boolean, samples long, verdict string")

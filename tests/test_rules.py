@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.actions import FOLLOWS, STATES, hit_agreement, holds_now, transition
 from quillon.functions.geometry import Box, focal, geometry_cause, grid_hits, pieces, union_area
 from quillon.functions.records import consent_cause, exact_record, finding_cause, must_redact, output_cause
+from quillon.operators.scheduling import laid_out, planned
 
 
 def one(spark, c):
@@ -118,3 +119,19 @@ def test_outputs(spark):
     assert cause([1, 3, 1, 2], [0.5, 0.5]) == "NOT_ONE_MAP"
     assert cause(None, [0.5, 0.5]) == "NO_DIMS"
     assert one(spark, exact_record(F.lit('{"x":1,"y":"2","text":"a"}'), ("x", "y"))) == ["box field text is not permitted", "box field y is not a finite number"]
+
+
+def test_overflow():
+    assert laid_out([60, 50, 40, 1], 100) == ([0, 2], [1, 3])
+    assert laid_out([150, 1], 100) == ([0], [1])
+    assert planned([60, 50, 40, 1], 4, 100, 5) == ([0, 1, 0, 1], 2)
+    assert planned([90] * 6, 6, 100, 2) == ([0, 1, 2, None, None, None], 3)
+    rnd = random.Random(1)
+    for _ in range(50):
+        sizes = [rnd.randint(1, 99) for _ in range(rnd.randint(0, 60))]
+        sample, made = planned(sizes, 6, 100, 1000)
+        assert None not in sample
+        for k in range(made):
+            own = [n for n, s in zip(sizes, sample, strict=True) if s == k]
+            assert 0 < len(own) <= 6
+            assert sum(own) <= 100 or len(own) == 1
