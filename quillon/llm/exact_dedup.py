@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import SPACE, text_or_empty
+from quillon.llm.base import SPACE, cut, text_or_empty
 
 KEY = ("digest", "n_norm", "proof")
 
@@ -42,11 +42,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Marks every row of docs with its group of equal texts.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256. Texts are equal when the same without white space; null
-    is an empty text, and empty texts equal each other. Of a group the row with the most code points, then the
+    is an empty text, and empty texts equal each other; texts may be of any length. Of a group the row with the most code points, then the
     smallest doc_id, stays. Rows repeated with one doc_id are members each and share the verdict of their id. An empty
     table gives an empty result; other columns are ignored.
     """
-    rows = digests(docs, id_col, text_col)
+    # written once: texts are read and hashed for the merge and for the result alike
+    rows = cut(digests(docs, id_col, text_col), "digests")
     joined = F.concat_ws(":", *KEY)
     groups = merge_runs(rows, rounds, fan_bits).where("members > 1").select(joined.alias("gk"), F.col("best.doc_id").alias("best_id"), "members")
     out = rows.withColumn("k", joined).join(groups, F.col("k") == F.col("gk"), "left")
