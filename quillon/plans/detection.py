@@ -58,6 +58,14 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_match(left, right, ["sample", "cls"], order, half)
 
 
+def with_matches(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """SQL over the boxes and the match m; the view it is read from goes as soon as the plan is made."""
+    matched(spark, sf_dir).createOrReplaceTempView("quillon_matched")
+    out = run_sql(spark, sf_dir, f"with {BOXES}, m as (select * from quillon_matched), {sql}")
+    spark.catalog.dropTempView("quillon_matched")
+    return out
+
+
 #: The greedy match as a recursive walk over each group's predictions by rank.
 DUCK_MATCH = f"""{BOXES}, cand as (select p.sample, p.cls, p.pid, list(g.uid order by {iou('p', 'g')} desc, g.uid) c from pred p join gt g on p.sample = g.sample and p.cls = g.cls and {at_least_half('p', 'g')} group by all),
 ranked as materialized (select c.*, row_number() over (partition by c.sample, c.cls order by p.conf desc, p.x, p.y, p.pid) rn from cand c join pred p on p.pid = c.pid),
@@ -84,8 +92,7 @@ METRICS_OUT = """select cls, ground_truth, predictions, cast(true_positives as b
 
 @query("class_metrics", "A-06 A-07 A-08 W-03 W-04 W-05", f"with recursive {DUCK_MATCH}, {METRICS} {METRICS_OUT}")
 def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched(spark, sf_dir).createOrReplaceTempView("m_matched")
-    return run_sql(spark, sf_dir, f"with {BOXES}, m as (select * from m_matched), {METRICS} {METRICS_OUT}".replace('"precision"', "`precision`"))
+    return with_matches(spark, sf_dir, f"{METRICS} {METRICS_OUT}".replace('"precision"', "`precision`"))
 
 
 @query("threshold_sweep", "A-09 A-10 A-11", f"""with recursive {DUCK_MATCH}, t as (select unnest([10, 30, 50, 70, 90]) threshold),
@@ -172,8 +179,7 @@ from o left join best on best.pid = o.pid group by 1"""
 
 @query("error_taxonomy", "J-15 K-04", f"with recursive {DUCK_MATCH}, {TAXONOMY}")
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched(spark, sf_dir).createOrReplaceTempView("m_matched")
-    return run_sql(spark, sf_dir, f"with {BOXES}, m as (select * from m_matched), {TAXONOMY}")
+    return with_matches(spark, sf_dir, TAXONOMY)
 
 
 both("reachability", "A-13 C-30", f"""with {BOXES}, v as (select uid, sample, cast(greatest(least(x + w, 390) - greatest(x, 10), 0) * greatest(least(y + h, 290) - greatest(y, 10), 0) as double) / (w * h) frac, w from gt),

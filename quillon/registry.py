@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def query(name: str, covers: str = "", sql: str | None = None):
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Spark SQL over the tables of sf_dir; only those that the text names are registered as views."""
     for name in TABLES:
-        if name in sql:
+        if re.search(rf"\b{name}\b", sql):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sql)
 
