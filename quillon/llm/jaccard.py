@@ -41,7 +41,7 @@ PER_CENTRE = 400
 #: Rounds with centres at most; they end when one links less than STAR_GAIN of the classes that meet others. Centres of a key in a round but the first.
 STAR_ROUNDS, STAR_GAIN, CENTRES = 8, 0.02, 3
 #: Bits of a sketch a shingle, and in all at least: the fewer, the more pairs under the threshold pass for shingles that meet in a bit.
-SKETCH_BITS, LEAST_BITS = 2, 256
+SKETCH_BITS, LEAST_BITS = 2, 512
 #: Sketches of a key that are compared at once: larger groups are compared in pairs of tiles.
 TILE = 2_000
 #: The list of documents whose text is needed again is broadcast up to so many rows.
@@ -253,17 +253,23 @@ def possible(pairs: DataFrame, by_class: DataFrame) -> DataFrame:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that may link within groups of rows (kk, first, second): one of home, of different components, by size and sketch."""
+    """Pairs (a, b) that may link within groups of rows (kk, first, second): one of home, of different components, by size and sketch.
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+    Keys of one leader come one after another: mostly the same documents share them, and their pairs are given once.
+    """
+
+    none = np.zeros((0, 2), np.int64)
+
+    def pairs(rows: list[tuple]) -> np.ndarray:
         tiled = any(r[0] for r in rows)
         if len(rows) <= 12:
-            return [
+            few = [
                 (r[2], q[2])
                 for i, r in enumerate(rows)
                 for q in rows[i + 1 :]
                 if (r[0] != q[0] or not tiled) and (r[1] or q[1]) and r[3] != q[3] and r[2] != q[2] and may_link(r[4], q[4], distance(r[5], q[5]))
             ]
+            return np.array(few, np.int64).reshape(-1, 2)
         side, home, ids, comp, n = (np.array([r[i] for r in rows]) for i in range(5))
         bits = []
         short = min(len(r[5]) for r in rows)
@@ -272,7 +278,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while len(x) * 8 > short:
                 x = x[: len(x) // 2] ^ x[len(x) // 2 :]
             bits.append(x)
-        x, out = np.stack(bits), []
+        x, out = np.stack(bits), [none]
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if tiled else left
         for i in left:
@@ -281,25 +287,35 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(j):
                 apart = np.bitwise_count(x[j] ^ x[i]).sum(axis=1, dtype=np.int64)
                 j = j[(SHARE[0] + SHARE[1]) * apart <= (SHARE[0] - SHARE[1]) * (n[j] + n[i])]
-                out += [(int(ids[i]), int(ids[k])) for k in j]
-        return out
+                out.append(np.column_stack([np.full(len(j), ids[i]), ids[j]]))
+        return np.concatenate(out)
+
+    def once(found: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.sort(np.concatenate([none, *found]), axis=1), axis=0)
 
-    def given(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
+    def given(had: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(had), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(had[at : at + 100_000, k]) for k in (0, 1)], names=["a", "b"])
 
-    at, rows, found = None, [], []
+    at, rows, found, n = None, [], [], 0
     for batch in batches:
-        group = zip(*(batch.column(c).to_pylist() for c in ("kk", "first", "second")), strict=True)
+        group = zip(*(batch.column(c).to_pylist() for c in ("leader", "first", "second", "kk")), strict=True)
         for g, row in zip(group, zip(*(batch.column(c).to_pylist() for c in ("side", "home", "id", "comp", "n", "sketch")), strict=True), strict=True):
             if g != at:
-                found += pairs(rows) if len(rows) > 1 else []
+                if len(rows) > 1:
+                    found.append(pairs(rows))
+                    n += len(found[-1])
+                if n > 1_000_000:
+                    found, n = [once(found)], 0
+                if at is not None and g[:3] != at[:3]:
+                    if any(map(len, found)):
+                        yield from given(once(found))
+                    found, n = [], 0
                 at, rows = g, []
-                if len(found) > 50_000:
-                    yield given(found)
-                    found = []
             rows.append(row)
-    found += pairs(rows) if len(rows) > 1 else []
-    yield given(found)
+    if len(rows) > 1:
+        found.append(pairs(rows))
+    yield from given(once(found))
 
 
 def met_pairs(left: DataFrame, by_class: DataFrame) -> DataFrame:
@@ -307,20 +323,20 @@ def met_pairs(left: DataFrame, by_class: DataFrame) -> DataFrame:
 
     Within a key only documents of about one size meet: each is at home in the step of its size and a guest in the next
     one, steps being as far apart as sizes of linked documents can be. A step with more than TILE rows is compared in
-    pairs of tiles. Sketches join when it is known which rows meet others at all.
+    pairs of tiles. Keys with the same first class are compared by one task, which gives a pair once. Sketches join when it is known which rows meet others at all.
     """
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(SHARE[0] / SHARE[1]))).cast("int")
     steps = F.array(F.struct(step.alias("s"), F.lit(True).alias("home")), F.struct((step + 1).alias("s"), F.lit(False).alias("home")))
     rows = left.select("k", "id", "comp", "n", F.explode(steps).alias("at")).select(F.xxhash64("k", "at.s").alias("kk"), F.col("at.home").alias("home"), "id", "comp", "n")
-    groups = rows.groupBy("kk").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("home")).where("lo <> hi and home")
-    groups = groups.select(other_key("kk").alias("gk"), F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
-    tiled = cut(rows.join(groups, other_key("kk") == F.col("gk")).select("kk", "home", "id", "comp", "n", "tiles"), "stepped")
+    groups = rows.groupBy("kk").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("home"), F.min("id").alias("leader")).where("lo <> hi and home")
+    groups = groups.select(other_key("kk").alias("gk"), F.ceil(F.col("c") / TILE).cast("int").alias("tiles"), "leader")
+    tiled = cut(rows.join(groups, other_key("kk") == F.col("gk")).select("kk", "home", "id", "comp", "n", "tiles", "leader"), "stepped")
     bits = by_class.select(F.col("cls").alias("sid"), "sketch")
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("first"), F.greatest("tile", t).alias("second"), F.when(F.col("tile") > t, 1).otherwise(0).alias("side")))
     rows = tiled.join(bits, F.col("id") == F.col("sid")).withColumn("tile", tile).withColumn("pair", F.explode(pair))
-    rows = rows.select("kk", "pair.first", "pair.second", "pair.side", "home", "id", "comp", "n", "sketch")
-    found = rows.repartition("kk", "first", "second").sortWithinPartitions("kk", "first", "second", "side", "id").mapInArrow(_compared, "a long, b long")
+    rows = rows.select("leader", "kk", "pair.first", "pair.second", "pair.side", "home", "id", "comp", "n", "sketch")
+    found = rows.repartition("leader", "first", "second").sortWithinPartitions("leader", "first", "second", "kk", "side", "id").mapInArrow(_compared, "a long, b long")
     found = cut(found.distinct(), "compared")
     drop_cut(tiled)
     return found
