@@ -20,8 +20,8 @@ from quillon.llm.words import word_hashes
 ROWS, WIDTH, SIDE = 1 << 15, 16, 2
 #: Rows are put into so many classes of about equal count: a token is its class, then its word in the class by a binary tree, both given both sides.
 CLASSES = 32
-#: Rounds of averaged training; each takes every ROUNDS-th place of every text, all rounds together every place once.
-ROUNDS = 2
+#: Rounds of averaged training; each takes every ROUNDS-th run of BLOCK places of every text, all rounds together every place once.
+ROUNDS, BLOCK = 2, 256
 BATCH, RATE = 1024, 0.08
 SEED = 7
 
@@ -242,21 +242,34 @@ _PART = "part int, run int, used binary, value binary"
 _PARTS = 64
 
 
-def places(rows: bytes, turn: int) -> np.ndarray:
+def blocks(n: int, first: int) -> list[tuple[int, int]]:
+    """Every ROUNDS-th run of BLOCK places of a text with n tokens; a place in a run is fetched for its neighbours too."""
+    return [(a, min(a + BLOCK, n)) for a in range(first * BLOCK, n, ROUNDS * BLOCK)]
+
+
+def runs(rows: bytes, turn: int) -> list[tuple[int, int]]:
     """The places of a text that a round trains on; the rounds share them all out."""
-    return np.arange((xxhash.xxh3_64_intdigest(rows) + turn) % ROUNDS, len(rows) // 2, ROUNDS)
+    return blocks(len(rows) // 2, (xxhash.xxh3_64_intdigest(rows) + turn) % ROUNDS)
 
 
 def _trained(net: Network, turn: int) -> Callable:
     """Trains on the turn's places of every text and sends the weights in parts: rows of the embedding, then the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trainer(net)
+        t, gap = Trainer(net), bytes(2 * SIDE)
         for texts in gathered(batches, 16 * BATCH):
-            rows, starts, _ = padded(texts)
-            at = np.concatenate([places(text, turn) + a for text, a in zip(texts, starts.tolist(), strict=True)])
-            for a in range(0, len(at), BATCH):
-                here = at[a : a + BATCH]
+            parts, at, end = [], [], 0
+            for text in texts:
+                around = gap + text + gap
+                for a, b in runs(text, turn):
+                    parts.append(around[2 * a : 2 * (b + 2 * SIDE)])
+                    at.append(np.arange(end + SIDE, end + SIDE + b - a))
+                    end += b - a + 2 * SIDE
+            if not at:
+                continue
+            rows, places = np.frombuffer(b"".join(parts), "<u2"), np.concatenate(at)
+            for a in range(0, len(places), BATCH):
+                here = places[a : a + BATCH]
                 first = here[0] - SIDE
                 t.step(rows[first : here[-1] + SIDE + 1], here - first)
         if not t.steps:

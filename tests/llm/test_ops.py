@@ -401,9 +401,9 @@ def test_lm(spark):
 
 
 def test_lm_trains_on_every_place():
-    for n in (0, 1, 2, 3, 7, 8, 100):
+    for n in (0, 1, 2, 3, 7, 255, 256, 257, 600, 5000):
         rows = np.arange(n, dtype="<u2").tobytes()
-        assert sorted(np.concatenate([lm_score.places(rows, turn) for turn in range(lm_score.ROUNDS)]).tolist()) == list(range(n))
+        assert sorted(k for turn in range(lm_score.ROUNDS) for a, b in lm_score.runs(rows, turn) for k in range(a, b)) == list(range(n))
 
 
 def test_lm_scores_equal_a_plain_loop(spark):
