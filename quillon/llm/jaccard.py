@@ -41,7 +41,7 @@ PER_CENTRE = 400
 #: Rounds with centres at most; they end when one links less than STAR_GAIN of the classes that meet others. Centres of a key in a round but the first.
 STAR_ROUNDS, STAR_GAIN, CENTRES = 8, 0.02, 3
 #: Bits of a sketch a shingle, and in all at least: the fewer, the more pairs under the threshold pass for shingles that meet in a bit.
-SKETCH_BITS, LEAST_BITS = 2, 512
+SKETCH_BITS, LEAST_BITS = 2, 2048
 #: Sketches of a key that are compared at once: larger groups are compared in pairs of tiles.
 TILE = 2_000
 #: The list of documents whose text is needed again is broadcast up to so many rows.
