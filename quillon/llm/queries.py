@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, hard_negatives, html_extract, jaccard, line_dedup, lm_score, mixing, packing, secret_scan, toxicity, vector_dedup
+from quillon.llm import changes, exact_dedup, hard_negatives, html_extract, jaccard, line_dedup, lm_score, mixing, packing, secret_scan, toxicity, vector_dedup
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_jaccard": jaccard.op9_jaccard,
         "op10_toxicity": toxicity.op10_toxicity,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_changes": changes.op13_changes,
     }
 
 
