@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import changes, exact_dedup, hard_negatives, html_extract, jaccard, line_dedup, lm_score, mixing, packing, secret_scan, toxicity, vector_dedup
+from quillon.llm import changes, exact_dedup, hard_negatives, html_extract, jaccard, line_dedup, lm_score, mixing, packing, secret_scan, suffix_dedup, toxicity, vector_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_jaccard": jaccard.op9_jaccard,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_changes": changes.op13_changes,
     }
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op7_mixing": mixing.ORACLE,
         "op9_jaccard": jaccard.ORACLE,
+        "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
         "op12_hard_negatives": hard_negatives.ORACLE,
     }
