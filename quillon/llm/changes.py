@@ -211,7 +211,7 @@ def apply_changes(changes: DataFrame, batches: int = BATCHES, first_day: int = F
         ticks = spark.range(buckets).select(*[{"bucket": F.col("id").cast("int").alias(c), "tick": F.lit(True).alias(c), "batch": F.lit(k).alias(c), "newest": F.lit(newest).cast("int").alias(c), "last": F.lit(k > batches).alias(c)}.get(c, nulls[c]) for c in kinds])
         came = arriving.where(F.col("batch") == k).select(*[{"bucket": bucket, "tick": F.lit(False).alias(c), "newest": nulls[c], "last": F.lit(False).alias(c)}.get(c, F.col(c)) for c in kinds])
         came.union(ticks.coalesce(1)).write.mode("append").parquet(f"{root}/in")
-        fed(spark, root)
+        fed(spark, root, buckets)
         newest = max((d for b, (_, d) in seen.items() if b <= k), default=None)
     done = spark.read.schema(OUTPUT).parquet(f"{root}/out")
     final = done.where("status = 'applied'").groupBy(F.col("client").alias("k")).agg(F.max("n").alias("top"))
@@ -224,11 +224,17 @@ def apply_changes(changes: DataFrame, batches: int = BATCHES, first_day: int = F
     return out
 
 
-def fed(spark: SparkSession, root: str) -> None:
+def fed(spark: SparkSession, root: str, buckets: int) -> None:
     """Starts the query on its checkpoint, gives it all files that it has not seen, and ends it."""
-    rocks = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-    before = {name: spark.conf.get(name, None) for name in rocks}
-    for name, value in rocks.items():
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # each start opens stores of its own; those of ended ones are closed, and their local files go, within seconds
+        "spark.sql.streaming.stateStore.maintenanceInterval": "3s",
+        # no more stores than buckets
+        "spark.sql.shuffle.partitions": str(min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))),
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
         spark.conf.set(name, value)
     try:
         rows = spark.readStream.schema(INPUT).parquet(f"{root}/in")
