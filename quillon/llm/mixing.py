@@ -23,7 +23,7 @@ def word_count(text_col: str) -> Column:
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(*docs.columns).alias("row_hash"))
 
 
 def rates(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
@@ -59,7 +59,24 @@ def rates(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: in
     return weighed.select("source", "source_size", F.least(top.cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def _rated(rows: DataFrame, id_col: str, size_col: str, source_col: str, seed: str) -> DataFrame:
+#: Equal rows that are written out from one at a time.
+EQUAL_ROWS = 10_000
+
+
+def _numbered(rows: DataFrame, ids: Column, hash_col: str) -> DataFrame:
+    """rows with __draw, what each is drawn by: its id, the hash of its row and its number among equal rows.
+
+    Equal rows are counted and written out again by number, so nothing hangs on where they lie; many of one kind are shared out.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"), F.lit(EQUAL_ROWS).cast("long")))
+    dealt = counted.withColumn("__first", first)
+    dealt = dealt.repartition(F.xxhash64(hash_col, "__first"))
+    dealt = dealt.withColumn("__no", F.explode(F.sequence("__first", F.least(F.col("__n"), F.col("__first") + EQUAL_ROWS - 1))))
+    return dealt.withColumn("__draw", F.concat_ws(":", ids, hash_col, "__no")).drop("__n", "__first", "__no")
+
+
+def _rated(rows: DataFrame, id_col: str, size_col: str, source_col: str, hash_col: str, seed: str) -> DataFrame:
     """rows with __source_size, __target and __copies; only sums per source are shuffled."""
     source = F.col(source_col).cast("string")
     per = rates(rows.groupBy(source.alias("source")).agg(F.sum(size_col).alias("source_size")))
@@ -69,10 +86,13 @@ def _rated(rows: DataFrame, id_col: str, size_col: str, source_col: str, seed: s
     ids = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))
     several = rows.groupBy(ids.alias("__several")).agg(F.count("*").alias("__n")).where("__n > 1").select("__several")
     several = cut(several, "repeated-ids")
-    several = F.broadcast(several) if several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else several
-    # the row's number is given where the rows are read, before any join deals them anew
-    out = rows.withColumn("__row", F.monotonically_increasing_id().cast("string")).join(several, ids == F.col("__several"), "left")
-    draw = uniform(F.when(F.col("__several").isNull(), ids).otherwise(F.concat_ws(":", ids, "__row")), seed)
+    if several.limit(1).count():
+        several = F.broadcast(several) if several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else several
+        once = rows.join(several, ids == F.col("__several"), "left_anti").withColumn("__draw", ids)
+        out = once.unionByName(_numbered(rows.join(several, ids == F.col("__several"), "left_semi"), ids, hash_col))
+    else:
+        out = rows.withColumn("__draw", ids)
+    draw = uniform(F.col("__draw"), seed)
     out = out.join(per, source.eqNullSafe(F.col("__s"))).withColumn("__rate", rate)
     return out.withColumn("__copies", (F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("long"))
 
@@ -83,11 +103,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = target / source_size; a document is taken floor(rate) times and once more when a hash of its id falls under
     the fraction. Null texts have no words, a null source is a source of its own and the last. A source without words
     has rate 0. Rows of an id that comes once are drawn by the id alone; of an id (or of null) that comes more often each
-    row is drawn by itself, by its id and its number in the files read, which stays from run to run. An empty table
+    row is drawn by itself, by its id, a hash of all its columns and its number among rows equal in these, so that neither files nor
+    partitions matter. An empty table
     gives an empty result. Long texts only count words. Hot sources: sums are partially aggregated, and the table of
     sources is broadcast only if it has at most BROADCAST_SOURCES rows; else Spark joins it and splits hot keys.
     """
-    out = _rated(sizes(docs, id_col, text_col, source_col), "doc_id", "size", "source", seed)
+    out = _rated(sizes(docs, id_col, text_col, source_col), "doc_id", "size", "source", "row_hash", seed)
     return out.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
@@ -96,7 +117,8 @@ def emit_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Nulls, empty texts, repeated rows and empty tables as in mix(); a document taken no time is not in the result.
     """
-    out = _rated(docs.withColumn("__size", word_count(text_col)), id_col, "__size", source_col, seed)
+    sized = docs.withColumn("__hash", F.xxhash64(*docs.columns)).withColumn("__size", word_count(text_col))
+    out = _rated(sized, id_col, "__size", source_col, "__hash", seed)
     return out.withColumn("__copy", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__copies"))))).select(*docs.columns)
 
 
