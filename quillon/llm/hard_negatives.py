@@ -57,7 +57,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(dim: int, ids: bytes, labels: bytes, q: bytes) -> Packed:
-    return Packed(np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64), np.frombuffer(q, np.int64).reshape(-1, dim))
+    own = np.frombuffer(ids, np.int64)
+    return Packed(own, np.frombuffer(labels, np.int64), np.frombuffer(q, np.int64).reshape(len(own), dim))
 
 
 #: Planes that are left when intervals are first compared: wider ones drop nothing.
