@@ -200,7 +200,7 @@ def test_sequenced_changes(spark):
         at = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i * 165 / 700 + rnd.choice([0, 0, 0, 9]), hours=rnd.randint(0, 23))
         if 60 < i < 120:
             client = 5
-        seq = i if rnd.random() < 0.9 else rnd.choice([i - 7, None])
+        seq = i if rnd.random() < 0.9 else rnd.choice([i - 7, None if client == 4 else i - 15])
         rows.append((i, client, seq, rnd.choice("IUUUUD") if i % 50 else None, at if i % 40 else None, "s", "g", rnd.choice([None, "A", "B", "C"]), rnd.choice([None, 1.005, -2.5, 7.25])))
     rows.append((None, 6, 1, "I", datetime.datetime(2024, 2, 1), "s", "g", "Z", 1.0))
     df = spark.createDataFrame([(*r, "x", "y") for r in rows + rows[:50]], CHANGES)
