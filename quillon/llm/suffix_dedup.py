@@ -140,7 +140,7 @@ def _sent(bucket: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], columns[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    blobs = [columns[lo:hi].tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+    blobs = [shrunk(columns[lo:hi]) for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
@@ -182,7 +182,7 @@ def _scan(k: int, buckets: int) -> Callable:
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of the units of a bucket: start << 12 | number of starts << 1 | whether it is to be sorted (else it is a copy of an earlier one)."""
     for _, rows in _by_key(batches, "bucket"):
-        r = np.concatenate([np.frombuffer(x["blob"], np.int64).reshape(-1, 5) for x in rows])
+        r = np.concatenate([grown(x["blob"], 5) for x in rows])
         g, u, k1, k2, last = r.T
         count, flags, s = last & 4095, last >> 12 & 15, last >> 16
         order = np.lexsort((s, k2, k1, u, g))
@@ -207,20 +207,36 @@ def _filtered(pieces: DataFrame, k: int, size: int, label: str) -> DataFrame:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of text whose passages are to be sorted, of rows (k1, k2, base, body, marks)."""
     for batch in batches:
-        k1s, k2s, bases = (batch.column(c).to_numpy() for c in ("k1", "k2", "base"))
-        body, out = batch.column("body"), []
-        for row in range(batch.num_rows):
-            marks = np.sort(batch.column("marks")[row].values.to_numpy())
-            text = body[row].as_buffer()
-            s, count = (marks >> 12) - bases[row], marks >> 1 & 2047
-            inside = (s >= 0) & (s + PASSAGE <= text.size)
-            s, count = s[inside], count[inside]
-            head = np.flatnonzero(np.r_[True, s[1:] != s[:-1] + count[:-1]][: len(s)])
-            for lo, hi in zip(head, np.r_[head[1:], len(s)][: len(head)], strict=True):
-                a, b = int(s[lo]), int(s[hi - 1] + count[hi - 1]) + PASSAGE - 1
-                out.append((k1s[row], k2s[row], bases[row] + a, text.slice(a, b - a).to_pybytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k1", "k2", "base", "body"])
+        k1, k2, base = (batch.column(c).to_numpy() for c in ("k1", "k2", "base"))
+        body, marks = batch.column("body"), batch.column("marks")
+        _, where, data = body.buffers()
+        where = np.frombuffer(where, np.int32)[body.offset : body.offset + batch.num_rows + 1].astype(np.int64)
+        mark = marks.flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy())
+        s, count = (mark >> 12) - base[row], mark >> 1 & 2047
+        inside = (s >= 0) & (s + PASSAGE <= np.diff(where)[row])
+        order = np.flatnonzero(inside)[np.lexsort((s[inside], row[inside]))]
+        s, count, row = s[order], count[order], row[order]
+        if not len(s):
+            continue
+        head = np.flatnonzero(np.r_[True, (s[1:] != s[:-1] + count[:-1]) | (row[1:] != row[:-1])])
+        last = np.r_[head[1:], len(s)] - 1
+        size, start = s[last] + count[last] - s[head] + PASSAGE - 1, where[row[head]] + s[head]
+        for lo, hi in _parts(size):
+            ends = np.cumsum(size[lo:hi])
+            at = np.arange(ends[-1]) + np.repeat(start[lo:hi] - (ends - size[lo:hi]), size[lo:hi])
+            text = pa.py_buffer(np.frombuffer(data, np.uint8)[at].tobytes())
+            offsets = pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes())
+            of = row[head[lo:hi]]
+            out = [pa.array(k1[of]), pa.array(k2[of]), pa.array(base[of] + s[head[lo:hi]]), pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, text])]
+            yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "base", "body"])
+
+
+def _parts(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces of about SLAB bytes."""
+    group = (np.cumsum(size) - size) // SLAB
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(size)], strict=True)
 
 
 PIECES = "k1 long, k2 long, base long, body binary"
@@ -290,54 +306,88 @@ def placed(c: Chunk, at: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     return np.searchsorted(splitters, c.prefixes(at, n), "right") if len(splitters) else np.zeros(len(at), np.int64)
 
 
-def distinct(keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first places of the distinct rows by bucket and key, number of its distinct row for every row)."""
-    order = np.lexsort((*keys.T[::-1], bucket))
-    k, b = keys[order], bucket[order]
-    new = np.r_[True, (k[1:] != k[:-1]).any(1) | (b[1:] != b[:-1])] if len(k) else np.zeros(0, bool)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places of the distinct rows, number of its distinct row for every row), in an order that the rows alone decide."""
+    h = np.zeros(len(keys), U)
+    for column in keys.T:
+        h = mixed(h * _C1 + column.view(U))
+    order = np.argsort(h, kind="stable")
+    k, h = keys[order], h[order]
+    new, other = np.r_[True, h[1:] != h[:-1]][: len(k)], (k[1:] != k[:-1]).any(1)
+    if (other & ~new[1:]).any():  # two rows of one hash
+        order = np.lexsort(keys.T[::-1])
+        k = keys[order]
+        new = np.r_[True, (k[1:] != k[:-1]).any(1)]
     inverse = np.empty(len(k), np.int64)
     inverse[order] = np.cumsum(new) - 1
     return order[new], inverse
 
 
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """Number of each row's key in the order of the keys."""
+    order = np.lexsort(keys.T[::-1])
+    k = keys[order]
+    out = np.empty(len(k), np.int64)
+    out[order] = np.cumsum(np.r_[False, (k[1:] != k[:-1]).any(1)][: len(k)])
+    return out
+
+
+def shrunk(columns: np.ndarray) -> bytes:
+    """Rows of 8-byte columns as compressed planes of bytes: high bytes are alike, and so are the first ones of sorted text."""
+    n, width = columns.shape
+    planes = np.ascontiguousarray(np.ascontiguousarray(columns.T).view(np.uint8).reshape(width, n, 8).transpose(0, 2, 1))
+    return n.to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if n else b"")
+
+
+def grown(blob: bytes, width: int, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    if not n:
+        return np.zeros((0, width), kind)
+    planes = np.frombuffer(pa.decompress(blob[8:], n * width * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, 8, n).transpose(0, 2, 1)).view(kind).reshape(width, n).T
+
+
 class Step:
     """What a chunk asks at one step: bucket and key of each of its positions, from what it knows so far."""
 
     def __init__(self, c: Chunk, answers: list[list[bytes]], short: np.ndarray, long: np.ndarray) -> None:
         """answers: of each step before, the names of the chunk's distinct keys, bucket by bucket."""
-        known = [np.frombuffer(b"".join(x), np.int64) for x in answers]
         at = c.at[c.cover]
-        if True:
-            v = words8(c.b)
-            keys = np.stack([v[at], v[at + 8], v[at + 16], v[at + 24], v[at + 28]], 1)  # 36 bytes
-            bucket = placed(c, at, short)
-        if known:  # triples of names, at the places that cover the names' strings
-            _, inverse = distinct(keys, bucket)
-            name = c.spread(at, known[0][inverse])
-            every, every_bucket = at, placed(c, at, long)
-            second = c.i[c.cover] // (3 * CHAR) % 3
-            some = second > 0
-            at, bucket = every[some], every_bucket[some]
-            keys = np.stack([name[at], name[at + 3 * CHAR], name[at + 6 * CHAR]], 1)
-        if len(known) > 1:  # the names' other suffixes
-            _, inverse = distinct(keys, bucket)
-            rank = c.spread(at, known[1][inverse])
-            at, bucket = every, every_bucket
-            keys = self.merged_keys(second, at, rank, name, 3 * CHAR)
-        if len(known) > 2:  # the passages' suffixes
-            _, inverse = distinct(keys, bucket)
-            rank = c.spread(at, known[2][inverse])
-            at = c.at[c.start]
-            bucket = placed(c, at, long)
-            kind = c.i[c.start] // CHAR % 3
+        v = words8(c.b)
+        keys = np.stack([v[at], v[at + 8], v[at + 16], v[at + 24], v[at + 28]], 1)  # 36 bytes
+        self.ask(keys, c, at, short, not answers)
+        if answers:  # triples of names, at the places that cover the names' strings
+            name, every = c.spread(at, self.answered(answers[0])), at
+            kinds = c.i[c.cover] // (3 * CHAR) % 3
+            at = every[kinds > 0]
+            self.ask(np.stack([name[at], name[at + 3 * CHAR], name[at + 6 * CHAR]], 1), c, at, long, len(answers) == 1)
+        if len(answers) > 1:  # the names' other suffixes, as far as a passage leans on them
+            rank = c.spread(at, self.answered(answers[1]))
+            near = c.i[c.cover] <= c.lens[c.piece[c.cover]] - PASSAGE + 2 * CHAR
+            at, kind, step = every[near], kinds[near], 3 * CHAR
+            # kind, own rank, first symbol, rank after it, second symbol, rank after both; what is not known is 0
+            keys = [kind, np.where(kind > 0, rank[at], 0), name[at], np.where(kind < 2, rank[at + step], 0), np.where(kind != 1, name[at + step], 0), np.where(kind != 1, rank[at + 2 * step], 0)]
+            self.ask(np.stack(keys, 1), c, at, long, len(answers) == 2)
+        if len(answers) > 2:  # the passages' suffixes
+            rank = c.spread(at, self.answered(answers[2]))
+            at, kind = c.at[c.start], c.i[c.start] // CHAR % 3
+            self.bucket = placed(c, at, long)
             self.kind, self.at = kind, at
             self.r = [np.where(kind > 0, rank[at], 0), np.where(kind < 2, rank[at + CHAR], 0), np.where(kind != 1, rank[at + 2 * CHAR], 0)]
-        self.keys, self.bucket = keys, bucket
 
-    @staticmethod
-    def merged_keys(kind: np.ndarray, at: np.ndarray, rank: np.ndarray, name: np.ndarray, step: int) -> np.ndarray:
-        """kind, own rank, first symbol, rank after it, second symbol, rank after both; what is not known is 0."""
-        return np.stack([kind, np.where(kind > 0, rank[at], 0), name[at], np.where(kind < 2, rank[at + step], 0), np.where(kind != 1, name[at + step], 0), np.where(kind != 1, rank[at + 2 * step], 0)], 1)
+    def ask(self, keys: np.ndarray, c: Chunk, at: np.ndarray, splitters: np.ndarray, last: bool) -> None:
+        """Distinct keys by bucket. A key decides its bucket, so only one position of each is placed; and only what is asked now."""
+        keys = keys.view(np.int64)
+        heads, self.inverse = distinct(keys)
+        bucket = placed(c, at[heads], splitters)
+        self.order = np.argsort(bucket, kind="stable")
+        if last:
+            self.keys, self.bucket = keys[heads][self.order], bucket[self.order]
+
+    def answered(self, blobs: list[bytes]) -> np.ndarray:
+        names = np.empty(len(self.order), np.int64)
+        names[self.order] = np.concatenate([grown(x, 1)[:, 0] for x in blobs]) if blobs else 0
+        return names[self.inverse]
 
 
 def _asks(short: np.ndarray, long: np.ndarray) -> Callable:
@@ -346,8 +396,7 @@ def _asks(short: np.ndarray, long: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (chunk,), c, answers in _with_answers(batches):
             step = Step(c, answers, short, long)
-            heads, _ = distinct(step.keys, step.bucket)
-            out = _sent(step.bucket[heads], step.keys[heads])
+            out = _sent(step.bucket, step.keys)
             yield pa.RecordBatch.from_arrays([out.column(0), pa.array([chunk] * out.num_rows, pa.int64()), out.column(1)], names=["bucket", "chunk", "blob"])
 
     return run
@@ -365,15 +414,11 @@ def _answered(kind: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in _by_key(batches, "bucket"):
             width = {"bytes": 5, "names": 3, "merge": 6}[kind]
-            parts = [np.frombuffer(r["blob"], U if kind == "bytes" else np.int64).reshape(-1, width) for r in rows]
+            parts = [grown(r["blob"], width, U if kind == "bytes" else np.int64) for r in rows]
             keys = np.concatenate(parts)
-            if kind == "merge":
-                names = merged(*keys.T)
-            else:
-                _, names = distinct(keys, np.zeros(len(keys), np.int8))
-            names = names + (bucket << 40) + 1
+            names = (merged(*keys.T) if kind == "merge" else ranked(keys)) + (bucket << 40) + 1
             cuts = np.cumsum([len(p) for p in parts])[:-1]
-            blobs = [x.tobytes() for x in np.split(names, cuts)]
+            blobs = [shrunk(x[:, None]) for x in np.split(names, cuts)]
             yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "blob"])
 
     return run
@@ -429,12 +474,11 @@ def _passages(short: np.ndarray, long: np.ndarray) -> Callable:
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of the passages of a bucket that also start earlier: merge, compare neighbours, keep the first of equal ones."""
     for _, rows in _by_key(batches, "bucket"):
-        r = np.concatenate([np.frombuffer(x["blob"], np.int64).reshape(-1, _RECORD) for x in rows])
+        r = np.concatenate([grown(x["blob"], _RECORD) for x in rows])
         local = r[:, 0] == 3
         marks = [r[local]]
         r = r[~local]
-        chars = np.concatenate([r[:, 4:6], r[:, 6:8]]).view(U)
-        _, char = distinct(chars, np.zeros(len(chars), np.int8))
+        char = ranked(np.concatenate([r[:, 4:6], r[:, 6:8]]).astype(np.int64).view(U))
         place = merged(r[:, 0], r[:, 1], char[: len(r)], r[:, 2], char[len(r) :], r[:, 3])
         ordered = r[np.argsort(place)]
         group = np.cumsum(np.r_[True, ordered[1:, 8] != ordered[:-1, 8]]) if len(r) else np.zeros(0, np.int64)
