@@ -63,9 +63,13 @@ def value_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified_fields(fields(spark, sf_dir))
+
+
+def classified_fields(d: DataFrame) -> DataFrame:
     """Fields with field, value and effective class, tier and outcome; ordinals per session and class in order of id."""
     fc = pii.classify_field(F.col("tag"), F.col("type"), F.col("autocomplete"), F.col("name"), F.col("label"))
-    d = fields(spark, sf_dir).withColumn("field_class", fc).withColumn("value_class", pii.classify_value(F.col("value"), TODAY))
+    d = d.withColumn("field_class", fc).withColumn("value_class", pii.classify_value(F.col("value"), TODAY))
     plain = pii.as_class(F.col("field_class"))
     d = d.withColumn("effective", pii.most_protective(plain, F.col("value_class")))
     d = d.withColumn("disagreement", (plain != "UNKNOWN") & (F.col("value_class") != "UNKNOWN") & (plain != F.col("value_class")))
