@@ -29,11 +29,11 @@ PASSAGE = 100
 #: Bytes of an anchor's gram, in the first and in the second filter.
 GRAMS = (20, 80)
 #: Text that is scanned at once; a longer text is scanned in parts that overlap.
-SLAB = 4_000_000
+SLAB = 1_000_000
 #: A gram with so many different units in one slab is dealt by units, and these are sorted without a look at the rest.
 HEAVY = 32
 #: Units or keys that one task takes, about, and bytes of text of a chunk to be sorted.
-TASK_ROWS, CHUNK = 1_000_000, 250_000
+TASK_ROWS, CHUNK = 500_000, 250_000
 #: Prefixes that may be sampled for the ranges.
 SAMPLE = 20_000
 #: Bytes of a character; three make a triple.
