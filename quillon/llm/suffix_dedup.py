@@ -354,7 +354,7 @@ class Step:
         """answers: of each step before, the names of the chunk's distinct keys, bucket by bucket."""
         at = c.at[c.cover]
         v = words8(c.b)
-        keys = np.stack([v[at], v[at + 8], v[at + 16], v[at + 24], v[at + 28]], 1)  # 36 bytes
+        keys = np.stack([v[at], v[at + 8], v[at + 16], v[at + 24], v[at + 28] & U(0xFFFFFFFF)], 1)  # 36 bytes
         self.ask(keys, c, at, short, not answers)
         if answers:  # triples of names, at the places that cover the names' strings
             name, every = c.spread(at, self.answered(answers[0])), at
@@ -380,7 +380,7 @@ class Step:
         keys = keys.view(np.int64)
         heads, self.inverse = distinct(keys)
         bucket = placed(c, at[heads], splitters)
-        self.order = np.argsort(bucket, kind="stable")
+        self.order = np.lexsort((keys[heads, 0].view(U), bucket))  # near to sorted, so that runs shrink well
         if last:
             self.keys, self.bucket = keys[heads][self.order], bucket[self.order]
 
