@@ -44,13 +44,18 @@ BAD_WORDS = {
 }
 #: A class or id that begins so says what its element has or has not, not what it is.
 ABOUT = {"no", "non", "not", "has", "with", "without", "is", "hide", "hides"}
+#: A class or id made of these words alone, one of TALK among them, names what readers wrote, whatever its tag.
+TALK = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+TALK_PARTS = TALK | {"list", "lists", "area", "section", "box", "wrap", "wrapper", "container", "thread", "threads", "block", "item", "items", "body", "author", "content", "meta", "count", "counter", "form", "the", "user", "users", "reader", "readers", "div", "li", "all", "id", "text", "title", "template", "holder", "panel", "children", "inner", "outer", "main", "post"}
+#: A name with such a word says how its element's comments are set, not that it holds them.
+STATES = {"open", "closed", "enabled", "disabled", "on", "off", "allowed", "active"}
 #: How sure it is that a group is no article: by its tag, role or style, or by words, which the wrapper may overrule.
 SURE, PERHAPS = 2, 1
 #: Alignment keeps at most so many different groups at one place, and so deep: beyond it the wrapper leaves out classes, or
 #: takes what is deeper as text of the deepest group. Pages are read whole whatever the wrapper keeps.
 MOST_KINDS, DEEPEST = 64, 60
 #: A text is the template's if so many pages and such a share of the host's pages show it, always alike, and it is the smaller part.
-LITERAL_PAGES, LITERAL_PART, LITERAL_SHARE = 5, 0.8, 0.5
+LITERAL_PAGES, LITERAL_PART, LITERAL_SHARE = 2, 0.8, 0.5
 #: Words are overruled where what is left without their group is a smaller part; in a page that would be empty, by a group with so many characters a page.
 LEAST_LEFT, LONG_SLOT = 0.2, 400
 #: A group is a menu if so much of its text is links, and it repeats them.
@@ -73,11 +78,17 @@ def no_article(value: str, root: bool) -> bool:
     """Whether a class or id names what is no article; of an element marked as one only if a name as a whole does."""
     for name in value.split():
         parts = [w for w in re.split(r"[^a-z]+", name) if w]
-        if parts and parts[0] not in ABOUT and not BAD_WORDS.isdisjoint(parts) and (len(parts) == 1 or not root):
+        if parts and parts[0] not in ABOUT and parts[-1] not in STATES and not BAD_WORDS.isdisjoint(parts) and (len(parts) == 1 or not root):
             return True
     return False
 
 
+def talk(value: str) -> bool:
+    """Whether a class or id names readers' comments."""
+    names = ([w for w in re.split(r"[^a-z]+", name) if w] for name in value.split())
+    return any(not TALK.isdisjoint(parts) and TALK_PARTS.issuperset(parts) for parts in names)
+
+
 def opened(tag: str, attributes: str, in_article: bool) -> Group:
     """The group that a tag opens. A header inside an article is the article's own and holds its title."""
     sure, root, shown, names = tag in BAD_TAGS and not (tag == "header" and in_article), tag in ("article", "main"), "", []
@@ -92,7 +103,9 @@ def opened(tag: str, attributes: str, in_article: bool) -> Group:
             root |= value in ("main", "article")
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             sure = True
-    perhaps = tag not in ("html", "body") and any(no_article(v, root) for v in names)
+    inner = tag not in ("html", "body")
+    sure |= inner and any(map(talk, names))
+    perhaps = inner and any(no_article(v, root) for v in names)
     if len(shown) > 60:  # a long name by its hash: the key only tells groups apart
         shown = "." + hashlib.blake2b(shown.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
     return Group(tag + shown, tag, SURE if sure else PERHAPS if perhaps else 0, root)
