@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.binding import bound
+
 
 @dataclass(frozen=True)
 class Box:
@@ -122,17 +124,21 @@ def pieces(box: Box, hole: Box) -> Column:
 
 
 def union_area(boxes: Column) -> Column:
-    """Area of the union of an array of boxes, by strips between their vertical edges."""
-    edges = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x"]), F.transform(boxes, lambda b: b["x"] + b["w"]))))
+    """Area of the union of an array of boxes, by strips between neighbours of their vertical edges."""
+    def strips(shape: Column) -> Column:
+        boxes, edges = shape["boxes"], shape["edges"]
 
-    def strip(a: Column, i: Column) -> Column:
-        b = F.get(edges, i + 1)
-        spans = F.array_sort(F.transform(F.filter(boxes, lambda s: (s["x"] <= a) & (s["x"] + s["w"] >= b)), lambda s: F.struct(s["y"].cast("long").alias("lo"), (s["y"] + s["h"]).cast("long").alias("hi"))))
-        start = F.struct(F.lit(-(1 << 40)).cast("long").alias("reach"), F.lit(0).cast("long").alias("sum"))
-        total = F.aggregate(spans, start, lambda acc, s: F.struct(F.greatest(acc["reach"], s["hi"]).alias("reach"), (acc["sum"] + F.greatest(s["hi"] - F.greatest(s["lo"], acc["reach"]), F.lit(0).cast("long"))).alias("sum")), lambda acc: acc["sum"])
-        return F.coalesce((b - a) * total, F.lit(0)).cast("long")
+        def strip(a: Column, b: Column) -> Column:
+            spans = F.array_sort(F.transform(F.filter(boxes, lambda s: (s["x"] <= a) & (s["x"] + s["w"] >= b)), lambda s: F.struct(s["y"].cast("long").alias("lo"), (s["y"] + s["h"]).cast("long").alias("hi"))))
+            start = F.struct(F.lit(-(1 << 40)).cast("long").alias("reach"), F.lit(0).cast("long").alias("sum"))
+            total = F.aggregate(spans, start, lambda acc, s: F.struct(F.greatest(acc["reach"], s["hi"]).alias("reach"), (acc["sum"] + F.greatest(s["hi"] - F.greatest(s["lo"], acc["reach"]), F.lit(0).cast("long"))).alias("sum")), lambda acc: acc["sum"])
+            return F.coalesce((b - a) * total, F.lit(0)).cast("long")
 
-    return F.aggregate(F.transform(edges, strip), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        return F.zip_with(edges, F.slice(edges, F.lit(2), F.size(edges)), strip)
+
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x"]), F.transform(boxes, lambda b: b["x"] + b["w"]))))
+    shape = F.struct(boxes.alias("boxes"), edges.alias("edges"))
+    return F.when(boxes.isNotNull(), F.aggregate(bound(shape, strips), F.lit(0).cast("long"), lambda acc, x: acc + x))
 
 
 def focal(z: Column, t: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.binding import bound
+
 # Keys of the two kinds of findings, classes and causes.
 UNREAD_KEYS = ("kind", "box", "score", "regionId", "treatment")
 READ_KEYS = ("kind", "box", "length", "piiClass", "ref")
@@ -49,9 +51,17 @@ def box_is_sound(json: Column, v: Column, path: str) -> Column:
     return F.coalesce(sound, F.lit(False))
 
 
+def parsed(json: Column) -> Column:
+    """A record parsed once: v, its variant, and keys, those of its top."""
+    return F.struct(F.try_parse_json(json).alias("v"), F.json_object_keys(json).alias("keys"))
+
+
 def finding_cause(json: Column) -> Column:
     """OK, or the code of the first defect of a text finding."""
-    v, keys = F.try_parse_json(json), F.json_object_keys(json)
+    return bound(parsed(json), lambda r: _finding_cause(json, r["v"], r["keys"]))
+
+
+def _finding_cause(json: Column, v: Column, keys: Column) -> Column:
     kind = text_at(v, "$.kind")
 
     def fields(prefix: str, allowed: tuple[str, ...]) -> Column:
@@ -77,18 +87,20 @@ def finding_cause(json: Column) -> Column:
 
 def must_redact(json: Column) -> Column:
     """What is unread always; what was read if it has a class."""
-    v = F.try_parse_json(json)
-    return F.when(text_at(v, "$.kind") == "UNREAD_REGION", True).otherwise(text_at(v, "$.piiClass").isNotNull())
+    return bound(F.try_parse_json(json), lambda v: F.when(text_at(v, "$.kind") == "UNREAD_REGION", True).otherwise(text_at(v, "$.piiClass").isNotNull()))
 
 
-def answer_cause(answer: Column, request: dict[str, Column], bound: tuple[tuple[str, str], ...], yes: str, more: tuple[str, ...], no: str, malformed: str, declined: str) -> Column:
+def answer_cause(answer: Column, request: dict[str, Column], bound_keys: tuple[tuple[str, str], ...], yes: str, more: tuple[str, ...], no: str, malformed: str, declined: str) -> Column:
     """OK, or why an answer does not accept a request.
 
     An answer of kind yes has exactly the bound keys, kind and more, all strings, and repeats the request's values, each
     with its cause if it does not; one of kind no has the first bound key and kind.
     """
-    v, keys = F.try_parse_json(answer), F.json_object_keys(answer)
-    kind, first = F.coalesce(text_at(v, "$.kind"), F.lit("")), bound[0]
+    return bound(parsed(answer), lambda r: _answer_cause(r["v"], r["keys"], request, bound_keys, yes, more, no, malformed, declined))
+
+
+def _answer_cause(v: Column, keys: Column, request: dict[str, Column], bound_keys: tuple[tuple[str, str], ...], yes: str, more: tuple[str, ...], no: str, malformed: str, declined: str) -> Column:
+    kind, first = F.coalesce(text_at(v, "$.kind"), F.lit("")), bound_keys[0]
 
     def exact(allowed: tuple[str, ...]) -> Column:
         strings = F.lit(True)
@@ -98,8 +110,8 @@ def answer_cause(answer: Column, request: dict[str, Column], bound: tuple[tuple[
 
     found = F.when(F.coalesce(kind_of(v, "$") != "OBJECT", F.lit(True)), malformed)
     found = found.when((kind == no) & ~exact((first[0], "kind")), malformed).when((kind == no) & (text_at(v, f"$.{first[0]}") != request[first[0]]), first[1]).when(kind == no, declined)
-    found = found.when((kind != yes) | ~exact((*(k for k, _ in bound), "kind", *more)), malformed)
-    for name, cause in bound:
+    found = found.when((kind != yes) | ~exact((*(k for k, _ in bound_keys), "kind", *more)), malformed)
+    for name, cause in bound_keys:
         found = found.when(text_at(v, f"$.{name}") != request[name], cause)
     return found.otherwise("OK")
 
@@ -122,8 +134,10 @@ def output_cause(dims: Column, data: Column, height: Column, width: Column) -> C
 
 def exact_record(json: Column, allowed: tuple[str, ...]) -> Column:
     """array<string>: fields of a record of numbers that are not permitted, or not finite numbers."""
-    v = F.try_parse_json(json)
-    keys = F.json_object_keys(json)
+    return bound(parsed(json), lambda r: _exact_record(r["v"], r["keys"], allowed))
+
+
+def _exact_record(v: Column, keys: Column, allowed: tuple[str, ...]) -> Column:
     reasons = [F.when(F.array_contains(keys, k) & number_at(v, f"$.{k}").isNull(), f"box field {k} is not a finite number") for k in allowed]
     extra = F.transform(F.array_sort(F.array_except(keys, listed(allowed))), lambda k: F.concat(F.lit("box field "), k, F.lit(" is not permitted")))
     return F.concat(extra, F.array_compact(F.array(*reasons)))
