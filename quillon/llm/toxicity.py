@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import small_batches, text_or_empty
+from quillon.llm.base import cut, drop_cut, small_batches, text_or_empty
 
 #: A sentence ends after these or at a line's end; a text without either is one sentence.
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -22,6 +22,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 FEATURES, LEAST_DOCS = 4096, 5
 #: Labelled documents that the sentence model is fitted on at most: a documented bound, drawn by hash of the id.
 TRAIN_DOCS = 40_000
+#: Numbers of features that these may have in all.
+TRAIN_FEATURES = 10_000_000
 PREFIX = (4, 5)
 EPOCHS, RATE, L2 = 400, 0.15, 1e-4
 
@@ -128,30 +130,42 @@ def _bags(index: dict[str, int]) -> Callable:
     return run
 
 
+class Bags:
+    """Documents as bags of sentences, in flat arrays: of each sentence with features its document, of each feature its sentence."""
+
+    def __init__(self, toxic: np.ndarray, plain: np.ndarray, hits: list[list[list[int]]]) -> None:
+        self.y, self.plain = toxic.astype(float), plain
+        self.doc = np.array([d for d, rows in enumerate(hits) for _ in rows], dtype=np.int64)
+        flat = [(s, f) for s, row in enumerate(r for rows in hits for r in rows) for f in row]
+        self.sentence, self.feature = (np.array([x[k] for x in flat], dtype=np.int64) for k in (0, 1))
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """Of the mean negative log-likelihood, with L2 on the weights; the last of w is the bias."""
+        n = len(self.y)
+        z = w[-1] + np.bincount(self.sentence, w[self.feature], len(self.doc))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p0 = 1 / (1 + np.exp(-w[-1]))
+        log_miss = np.bincount(self.doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n) + self.plain * np.log1p(-p0)
+        toxic = np.clip(-np.expm1(log_miss), 1e-9, 1 - 1e-9)
+        # d loss / d log_miss; d log_miss / d z of a sentence is -p
+        g_doc = np.where(self.y > 0, (1 - toxic) / toxic, -1.0)
+        g_sentence = -g_doc[self.doc] * p
+        g = np.empty_like(w)
+        g[:-1] = np.bincount(self.feature, g_sentence[self.sentence], len(w) - 1) / n + L2 * w[:-1]
+        g[-1] = (g_sentence.sum() - (g_doc * self.plain * p0).sum()) / n
+        return g
+
+
 def fit_bags(toxic: np.ndarray, plain: np.ndarray, hits: list[list[list[int]]], n_features: int) -> tuple[float, np.ndarray]:
     """Noisy-or likelihood by Adam. Weights of features start at nothing and only evidence moves them."""
-    sent_doc = np.array([d for d, rows in enumerate(hits) for _ in rows], dtype=np.int64)
-    flat = [(s, f) for s, row in enumerate(r for rows in hits for r in rows) for f in row]
-    si, fi = (np.array([x[k] for x in flat], dtype=np.int64) for k in (0, 1))
-    n_sent, n_doc = len(sent_doc), len(toxic)
     if len(np.unique(toxic)) < 2:
         raise ValueError("documents of both labels are needed")
+    bags = Bags(toxic, plain, hits)
     w = np.zeros(n_features + 1)
     w[-1] = -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    y = toxic.astype(float)
     for t in range(1, EPOCHS + 1):
-        z = w[-1] + np.bincount(si, w[fi], n_sent)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        p0 = 1 / (1 + np.exp(-w[-1]))
-        log_miss = np.bincount(sent_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n_doc) + plain * np.log1p(-p0)
-        doc = np.clip(-np.expm1(log_miss), 1e-9, 1 - 1e-9)
-        # d loss / d log_miss; d log_miss / d z of a sentence is -p
-        g_doc = np.where(y > 0, (1 - doc) / doc, -1.0)
-        g_sent = -g_doc[sent_doc] * p
-        g = np.empty_like(w)
-        g[:-1] = np.bincount(fi, g_sent[si], n_features) / n_doc + L2 * w[:-1]
-        g[-1] = (g_sent.sum() - (g_doc * plain * p0).sum()) / n_doc
+        g = bags.gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return float(w[-1]), w[:-1]
@@ -162,12 +176,13 @@ def prior(n: dict[int, int]) -> Model:
     return Model(math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_features: int = TRAIN_FEATURES) -> Model:
     """Fits the model on labelled documents that are not held out.
 
     About train_docs of them are used at most, chosen by a hash of the id (all, if there are fewer). Features are the words
     and prefixes most over-represented in toxic ones by a log-odds score, at most FEATURES: the driver gets these and,
-    of each training document, the numbers of its kept features. Rows without id, label or with an unknown label are
+    of each training document, the numbers of its kept features, of about train_features in all at most: beyond that,
+    fewer documents by the same hash. Rows of one id are one document, the text that sorts last. Rows without id, label or with an unknown label are
     left out. Without labels of both kinds the score is the share of toxic ones (0.5 if none) whatever the text.
     """
     ids = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -181,14 +196,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ids = ids.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(train_docs / total * (1 << 20)))
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # the sample is bounded whatever the corpus, so its ids may go to every task and no text is shuffled for it
-    train = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
+    train = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).groupBy("label_id", "toxic").agg(F.max("text").alias("text"))
+    train = cut(train, "labelled")
     seen = train.mapInArrow(_feature_rows, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     lift = F.log((F.col("a") + 0.5) / n[1]) - F.log((F.col("b") + 0.5) / n[0])
     top = seen.where(F.col("a") >= LEAST_DOCS).withColumn("score", lift * F.sqrt("a")).where(lift > 1.0)
     names = [r["feature"] for r in top.orderBy(F.desc("score"), "feature").limit(FEATURES).select("feature").collect()]
     index = {f: i for i, f in enumerate(names)}
-    # one bag for an id before any reaches the driver: an id may come very often
-    bags = train.mapInArrow(_bags(index), "label_id long, toxic int, plain int, hits array<array<int>>").dropDuplicates(["label_id"]).orderBy("label_id").select("toxic", "plain", "hits").toArrow()
+    bags = train.mapInArrow(_bags(index), "label_id long, toxic int, plain int, hits array<array<int>>").withColumn("size", F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + F.size(h) + 1))
+    bags = cut(bags, "bags")
+    size = bags.agg(F.sum("size")).first()[0] or 0
+    chosen = bags if size <= train_features else bags.where(F.pmod(F.xxhash64("label_id", F.lit("bag")), F.lit(1 << 20)) < int(train_features / size * (1 << 20)))
+    table = chosen.orderBy("label_id").select("toxic", "plain", "hits").toArrow()
+    drop_cut(train)
+    drop_cut(bags)
+    bags = table
     toxic = np.array(bags["toxic"].to_pylist(), dtype=np.int64)
     if len(np.unique(toxic)) < 2:
         return prior({k: int((toxic == k).sum()) for k in (0, 1)})

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import changes, hard_negatives, line_dedup, mixing, suffix_dedup
+from quillon.llm import changes, hard_negatives, line_dedup, mixing, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, marks string, bucket string, label string"
 
@@ -262,3 +262,47 @@ def test_crowded_stretches_lose_no_template(spark, monkeypatch):
     linked = {i for i in range(len(lines)) for j in range(i) if agree(tokens[i], tokens[j])}
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(make(spark, list(enumerate(lines)))).collect()}
     assert {i for i, n in got.items() if n} == linked
+
+
+def test_the_gradient_is_that_of_the_plain_likelihood():
+    rnd = random.Random(3)
+    hits = [[[f for f in range(5) if rnd.random() < 0.4] or [0] for _ in range(rnd.randint(0, 4))] for _ in range(12)]
+    toxic, plain = np.array([rnd.randint(0, 1) for _ in hits]), np.array([rnd.randint(0, 3) + (not h) for h in hits])
+
+    def loss(w):
+        total = 0.0
+        for y, n, rows in zip(toxic, plain, hits, strict=True):
+            miss = (1 - 1 / (1 + math.exp(-w[-1]))) ** n
+            for row in rows:
+                miss *= 1 - 1 / (1 + math.exp(-w[-1] - sum(w[f] for f in row)))
+            total -= math.log(1 - miss) if y else math.log(miss)
+        return total / len(hits) + toxicity.L2 * sum(x * x for x in w[:-1]) / 2
+
+    w = np.array([rnd.uniform(-1, 1) for _ in range(5)] + [-0.7])
+    g = toxicity.Bags(toxic, plain, hits).gradient(w)
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-6
+        assert abs((loss(w + e) - loss(w - e)) / 2e-6 - g[k]) < 1e-6
+
+
+def test_an_id_that_comes_often_counts_once(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    docs = [(i, " ".join(word() for _ in range(12)) + (". you vile fool" if i % 2 else "")) for i in range(400)]
+    flood = [(2, docs[2][1] + " harmlessword" * 3)] * 300
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    once = toxicity.fit(make(spark, docs[:2] + flood[:1] + docs[3:]), labels)
+    often = toxicity.fit(make(spark, docs[:2] + flood + docs[3:]), labels)
+    assert once.bias == often.bias and once.weights == often.weights
+    few = toxicity.fit(make(spark, docs), labels, train_features=300)
+    assert few.document("you vile fool")[0] > few.document("a b c")[0]
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = [(i, ("you vile fool. " if i % 2 else "a kind word. ") * (1 + i % 3)) for i in range(200)] + [(500, None), (501, ""), (None, "you vile fool"), (502, "a kind word " * 60_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (3, None), (7, 5)], "doc_id long, toxic int")
+    df = make(spark, docs).withColumn("toxic", F.lit("x")).withColumn("score", F.lit(1)).withColumn("label_id", F.lit(2))
+    model = toxicity.fit(df, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert len(got) == 204 and got[None] >= 0.5 > got[502] and got[500] == got[501] and all(0 <= x <= 1 for x in got.values())
+    assert toxicity.passing(df, model).columns == df.columns
