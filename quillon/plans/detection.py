@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.geometry import Box, contrast, letterbox, union_area
 from quillon.operators.matching import greedy_match, suppress
+from quillon.operators.ranking import reverse_maximum, running
 from quillon.plans.boxes import BOXES, at_least_half, inter, iou
 from quillon.registry import both, query, run_sql, table
 
@@ -92,7 +93,20 @@ METRICS_OUT = """select cls, ground_truth, predictions, cast(true_positives as b
 
 @query("class_metrics", "A-06 A-07 A-08 W-03 W-04 W-05", f"with recursive {DUCK_MATCH}, {METRICS} {METRICS_OUT}")
 def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_matches(spark, sf_dir, f"{METRICS} {METRICS_OUT}".replace('"precision"', "`precision`"))
+    """Counts, average precision, recall and precision of every class; running sums and envelopes in two levels, so that no task holds a class."""
+    o = pred(spark, sf_dir).join(matched(spark, sf_dir).select("lid", "rid"), F.col("pid") == F.col("lid"), "left").select("cls", "pid", "conf", "sample", "x", "y", F.when(F.col("rid").isNull(), 0).otherwise(1).alias("tp"))
+    order = [F.desc("conf"), F.col("sample"), F.col("x"), F.col("y"), F.col("pid")]
+    c = running(o, "cls", order, {"tps": F.col("tp"), "seen": F.lit(1)}).withColumn("prec", F.col("tps").cast("double") / F.col("seen"))
+    c = reverse_maximum(c, "cls", order, "prec", "env")
+    # recall rises at the claims that hit, each time by one in g
+    per = c.groupBy("cls").agg(F.count("*").alias("predictions"), F.sum("tp").alias("tp"), F.sum(F.when(F.col("tp") == 1, F.col("env")).otherwise(0.0)).alias("area"))
+    k = per.join(gt(spark, sf_dir).groupBy(F.col("cls").alias("gc")).agg(F.count("*").alias("g")), F.col("cls") == F.col("gc")).withColumn("ap", F.col("area") / F.col("g"))
+    k = k.crossJoin(k.agg(F.avg("ap").alias("mean")))  # one row
+    ratio = lambda n: F.round(F.col("tp").cast("double") / F.nullif(F.col(n), F.lit(0)), 9)
+    return k.select(
+        "cls", F.col("g").alias("ground_truth"), "predictions", F.col("tp").alias("true_positives"), (F.col("predictions") - F.col("tp")).alias("false_positives"), (F.col("g") - F.col("tp")).alias("false_negatives"),
+        F.round("ap", 9).alias("ap50"), ratio("g").alias("recall"), ratio("predictions").alias("precision"), F.round("mean", 9).alias("map50"),
+    )
 
 
 @query("threshold_sweep", "A-09 A-10 A-11", f"""with recursive {DUCK_MATCH}, t as (select unnest([10, 30, 50, 70, 90]) threshold),

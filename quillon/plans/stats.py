@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.ranking import selected
 from quillon.registry import both, query, table
 
 
@@ -16,9 +17,18 @@ def nearest(p: float, v: str = "v") -> str:
 both("summary_by_type", "A-01 A-02 E-12", f"""select event_type, count(value) n, {nearest(0.5, 'value')} p50, {nearest(0.95, 'value')} p95, min(value) lo, max(value) hi, round(avg(value), 6) mean,
   {nearest(0.3, 'value')} p30, {nearest(1.0, 'value')} p100 from events group by event_type""")
 
-both("upper_median_spread", "A-13 E-12 A-17", """with r as (select l_returnflag k, l_extendedprice v, row_number() over (partition by l_returnflag order by l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) rn, count(*) over (partition by l_returnflag) n from lineitem)
+#: Places of the order statistics, by a group's size.
+_PLACES = {"upper_median": "floor(n / 2) + 1", "q90": "floor(0.9 * (n - 1) + 0.5) + 1", "q50": "floor(0.5 * (n - 1) + 0.5) + 1", "floor_p99": "floor(0.99 * n) + 1"}
+
+
+@query("upper_median_spread", "A-13 E-12 A-17", """with r as (select l_returnflag k, l_extendedprice v, row_number() over (partition by l_returnflag order by l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) rn, count(*) over (partition by l_returnflag) n from lineitem)
 select k, max(case when rn = cast(floor(n / 2) as bigint) + 1 then v end) upper_median, max(case when rn = cast(floor(0.9 * (n - 1) + 0.5) as bigint) + 1 then v end) q90,
   max(case when rn = cast(floor(0.5 * (n - 1) + 0.5) as bigint) + 1 then v end) q50, max(case when rn = cast(floor(0.99 * n) as bigint) + 1 then v end) floor_p99, max(v) - min(v) spread from r group by k""")
+def upper_median_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order statistics of each group, found by bracketing their places, and the spread."""
+    found = selected(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {name: F.expr(at) for name, at in _PLACES.items()})
+    return found.select("k", *_PLACES, (F.col("hi") - F.col("lo")).alias("spread"))
+
 
 STAGES = "('observe', event_id % 17 + 0.5), ('sanitise', event_id % 31 * 1.5), ('plan', event_id % 101 + 0.25)"
 both(
