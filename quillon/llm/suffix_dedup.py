@@ -33,7 +33,7 @@ SLAB = 1_000_000
 #: A gram with so many different units in one slab is dealt by units, and these are sorted without a look at the rest.
 HEAVY = 32
 #: Units or keys that one task takes, about, and bytes of text of a chunk to be sorted.
-TASK_ROWS, CHUNK = 500_000, 250_000
+TASK_ROWS, CHUNK = 1_000_000, 400_000
 #: Prefixes that may be sampled for the ranges.
 SAMPLE = 20_000
 #: Bytes of a character; three make a triple.
@@ -251,6 +251,16 @@ def _sorted_out(pieces: DataFrame, marks: DataFrame) -> DataFrame:
 # --- the suffix order ---
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with h, the least hash of their grams: those that are alike mostly have the same, and come to lie in one chunk, where what they share is one key."""
+    for batch in batches:
+        _, where, data = batch.column("body").buffers()
+        where = np.frombuffer(where, np.int32)[batch.column("body").offset : batch.column("body").offset + batch.num_rows + 1].astype(np.int64)
+        h = grams(np.frombuffer(data, np.uint8)[where[0] : where[-1]], GRAMS[0])
+        least = np.minimum.reduceat(np.r_[h, np.full(GRAMS[0], h.max() if len(h) else 0, U)], where[:-1] - where[0]) if batch.num_rows else np.zeros(0, U)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((least >> U(1)).astype(np.int64))], names=[*batch.schema.names, "h"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces as chunks: k1, k2, base, length of each piece, and their bytes."""
 
@@ -348,64 +358,79 @@ def grown(blob: bytes, width: int, kind: type = np.int64) -> np.ndarray:
 
 
 class Step:
-    """What a chunk asks at one step: bucket and key of each of its positions, from what it knows so far."""
-
-    def __init__(self, c: Chunk, answers: list[list[bytes]], short: np.ndarray, long: np.ndarray) -> None:
-        """answers: of each step before, the names of the chunk's distinct keys, bucket by bucket."""
-        at = c.at[c.cover]
-        v = words8(c.b)
-        keys = np.stack([v[at], v[at + 8], v[at + 16], v[at + 24], v[at + 28] & U(0xFFFFFFFF)], 1)  # 36 bytes
-        self.ask(keys, c, at, short, not answers)
-        if answers:  # triples of names, at the places that cover the names' strings
-            name, every = c.spread(at, self.answered(answers[0])), at
-            kinds = c.i[c.cover] // (3 * CHAR) % 3
-            at = every[kinds > 0]
-            self.ask(np.stack([name[at], name[at + 3 * CHAR], name[at + 6 * CHAR]], 1), c, at, long, len(answers) == 1)
-        if len(answers) > 1:  # the names' other suffixes, as far as a passage leans on them
-            rank = c.spread(at, self.answered(answers[1]))
-            near = c.i[c.cover] <= c.lens[c.piece[c.cover]] - PASSAGE + 2 * CHAR
-            at, kind, step = every[near], kinds[near], 3 * CHAR
-            # kind, own rank, first symbol, rank after it, second symbol, rank after both; what is not known is 0
-            keys = [kind, np.where(kind > 0, rank[at], 0), name[at], np.where(kind < 2, rank[at + step], 0), np.where(kind != 1, name[at + step], 0), np.where(kind != 1, rank[at + 2 * step], 0)]
-            self.ask(np.stack(keys, 1), c, at, long, len(answers) == 2)
-        if len(answers) > 2:  # the passages' suffixes
-            rank = c.spread(at, self.answered(answers[2]))
-            at, kind = c.at[c.start], c.i[c.start] // CHAR % 3
-            self.bucket = placed(c, at, long)
-            self.kind, self.at = kind, at
-            self.r = [np.where(kind > 0, rank[at], 0), np.where(kind < 2, rank[at + CHAR], 0), np.where(kind != 1, rank[at + 2 * CHAR], 0)]
+    """What a chunk asks at one step, and what it will want to know of itself at the next."""
 
-    def ask(self, keys: np.ndarray, c: Chunk, at: np.ndarray, splitters: np.ndarray, last: bool) -> None:
-        """Distinct keys by bucket. A key decides its bucket, so only one position of each is placed; and only what is asked now."""
+    def __init__(self, c: Chunk, keys: np.ndarray, at: np.ndarray, splitters: np.ndarray, *own: np.ndarray) -> None:
+        """Distinct keys by bucket; a key decides its bucket, so only one position of each is placed. own: what to keep besides."""
         keys = keys.view(np.int64)
-        heads, self.inverse = distinct(keys)
+        heads, inverse = distinct(keys)
         bucket = placed(c, at[heads], splitters)
-        self.order = np.lexsort((keys[heads, 0].view(U), bucket))  # near to sorted, so that runs shrink well
-        if last:
-            self.keys, self.bucket = keys[heads][self.order], bucket[self.order]
-
-    def answered(self, blobs: list[bytes]) -> np.ndarray:
-        names = np.empty(len(self.order), np.int64)
-        names[self.order] = np.concatenate([grown(x, 1)[:, 0] for x in blobs]) if blobs else 0
-        return names[self.inverse]
+        order = np.lexsort((keys[heads, 0].view(U), bucket))  # near to sorted, so that runs shrink well
+        self.keys, self.bucket = keys[heads][order], bucket[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.state = [back[inverse], *own]
+
+
+def step_of(number: int, c: Chunk, state: list[np.ndarray], answer: np.ndarray, short: np.ndarray, long: np.ndarray) -> Step:
+    """The chunk's step of that number; answer: what the step before asked, state: what it kept."""
+    every, step = c.at[c.cover], 3 * CHAR
+    kinds = c.i[c.cover] // step % 3
+    if number == 0:  # triples of characters
+        v = words8(c.b)
+        return Step(c, np.stack([v[every], v[every + 8], v[every + 16], v[every + 24], v[every + 28] & U(0xFFFFFFFF)], 1), every, short)  # 36 bytes
+    if number == 1:  # triples of names, at the places that cover the names' strings
+        names = answer[state[0]]
+        name, at = c.spread(every, names), every[kinds > 0]
+        return Step(c, np.stack([name[at], name[at + step], name[at + 2 * step]], 1), at, long, names)
+    # the names' other suffixes, as far as a passage leans on them
+    rank, name = c.spread(every[kinds > 0], answer[state[0]]), c.spread(every, state[1])
+    near = leaning(c)
+    at, kind = every[near], kinds[near]
+    # kind, own rank, first symbol, rank after it, second symbol, rank after both; what is not known is 0
+    keys = [kind, np.where(kind > 0, rank[at], 0), name[at], np.where(kind < 2, rank[at + step], 0), np.where(kind != 1, name[at + step], 0), np.where(kind != 1, rank[at + 2 * step], 0)]
+    return Step(c, np.stack(keys, 1), at, long)
+
+
+def leaning(c: Chunk) -> np.ndarray:
+    return c.i[c.cover] <= c.lens[c.piece[c.cover]] - PASSAGE + 2 * CHAR
+
+
+def kept_state(arrays: list[np.ndarray]) -> bytes:
+    blobs = [shrunk(x[:, None]) for x in arrays]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in blobs)
+
+
+def found_state(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(grown(blob[at + 8 : at + 8 + n], 1)[:, 0])
+        at += 8 + n
+    return out
 
 
-def _asks(short: np.ndarray, long: np.ndarray) -> Callable:
-    """Rows of chunks (step -1) with the answers to their earlier steps become asks: bucket, chunk, blob."""
+def _asks(number: int, short: np.ndarray, long: np.ndarray) -> Callable:
+    """Chunks with the answers to their step before ask at the next: bucket, chunk, blob. A chunk's own state goes along, to a bucket that passes it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (chunk,), c, answers in _with_answers(batches):
-            step = Step(c, answers, short, long)
+        for chunk, c, state, answer in _with_answers(batches):
+            step = step_of(number, c, state, answer, short, long)
             out = _sent(step.bucket, step.keys)
-            yield pa.RecordBatch.from_arrays([out.column(0), pa.array([chunk] * out.num_rows, pa.int64()), out.column(1)], names=["bucket", "chunk", "blob"])
+            blobs = [*out.column(1).to_pylist(), kept_state(step.state)]
+            own = [*[False] * out.num_rows, True]
+            buckets = [*out.column(0).to_pylist(), chunk % (len(long) + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array(own), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "own", "blob"])
 
     return run
 
 
-def _with_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Chunk, list[list[bytes]]]]:
-    for key, rows in _by_key(batches, "chunk"):
-        answers = [[r["blob"] for r in group] for _, group in groupby(rows[1:], lambda r: r["step"])]
-        yield key, Chunk(rows[0]["head"], rows[0]["blob"]), answers
+def _with_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, list[np.ndarray], np.ndarray]]:
+    """(chunk, its text, its state, the answers in the order of its keys): rows come by chunk and bucket, the text as bucket -2, the state as -1."""
+    for (chunk,), rows in _by_key(batches, "chunk"):
+        state = [x for r in rows if r["bucket"] == -1 for x in found_state(r["blob"])]
+        parts = [grown(r["blob"], 1)[:, 0] for r in rows if r["bucket"] >= 0]
+        yield chunk, Chunk(rows[0]["head"], rows[0]["blob"]), state, np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _answered(kind: str) -> Callable:
@@ -413,6 +438,12 @@ def _answered(kind: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in _by_key(batches, "bucket"):
+            own = [r for r in rows if r["own"]]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in own], pa.int64()), pa.array([-1] * len(own), pa.int32()), pa.array([r["blob"] for r in own], pa.binary())], names=["chunk", "bucket", "blob"])
+            rows = [r for r in rows if not r["own"]]
+            if not rows:
+                continue
             width = {"bytes": 5, "names": 3, "merge": 6}[kind]
             parts = [grown(r["blob"], width, U if kind == "bytes" else np.int64) for r in rows]
             keys = np.concatenate(parts)
@@ -450,23 +481,24 @@ def merged(kind: np.ndarray, r0: np.ndarray, s0: np.ndarray, r1: np.ndarray, s1:
 _RECORD = 12
 
 
-def _passages(short: np.ndarray, long: np.ndarray) -> Callable:
+def _passages(long: np.ndarray) -> Callable:
     """Passages to be merged, the first of equal ones of a chunk; the others' marks go along as records of kind 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, answers in _with_answers(batches):
-            s = Step(c, answers, short, long)
-            at = s.at
+        for _, c, state, answer in _with_answers(batches):
+            rank = c.spread(c.at[c.cover][leaning(c)], answer[state[0]])
+            at, kind = c.at[c.start], c.i[c.start] // CHAR % 3
+            ranks = [np.where(kind > 0, rank[at], 0), np.where(kind < 2, rank[at + CHAR], 0), np.where(kind != 1, rank[at + 2 * CHAR], 0)]
             v = words8(c.b)
             first, second = (np.stack([v[p] , v[p + 4] & U(0xFFFFFFFF)], 1) for p in (at, at + CHAR))
             fp = grams(c.b, PASSAGE)[at]
             piece = c.piece[c.start]
             k1, k2, start = c.k1[piece], c.k2[piece], c.base[piece] + c.i[c.start]
             order = np.lexsort((start, k2, k1, fp))
-            record = np.stack([x.view(np.int64) for x in (s.kind, *s.r, *first.T, *second.T, fp, k1, k2, start)], 1)[order]
+            record = np.stack([x.view(np.int64) for x in (kind, *ranks, *first.T, *second.T, fp, k1, k2, start)], 1)[order]
             same = np.r_[False, record[1:, 8] == record[:-1, 8]] if len(record) else np.zeros(0, bool)
             record[same, 0] = 3
-            yield _sent(s.bucket[order], record)
+            yield _sent(placed(c, at, long)[order], record)
 
     return run
 
@@ -511,20 +543,20 @@ def _splitters(prefixes: list[bytes], tasks: int, n: int) -> np.ndarray:
 def repeated(pieces: DataFrame, label: str = "suffix") -> DataFrame:
     """Marks of the passages of pieces (k1, k2, base, body) that also start earlier, by (k1, k2, place in the document)."""
     spark = pieces.sparkSession
-    chunks = cut(pieces.mapInArrow(_packed, "head binary, body binary").withColumn("chunk", F.monotonically_increasing_id()), f"{label}-chunks")
+    like = pieces.mapInArrow(_keyed, f"{PIECES}, h long").repartitionByRange("h", "k1", "k2", "base").sortWithinPartitions("h", "k1", "k2", "base")
+    chunks = cut(like.mapInArrow(_packed, "head binary, body binary").withColumn("chunk", F.monotonically_increasing_id()), f"{label}-chunks")
     size = chunks.agg(F.sum(F.length("body"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_ROWS + 1)
     prefixes = [bytes(r["prefix"]) for r in chunks.mapInArrow(_sampled(max(1, size // SAMPLE)), "prefix binary").collect()]
     long, short = (_splitters(prefixes, tasks, n) for n in (PASSAGE, 3 * CHAR))
-    nothing = F.lit(None).cast("binary")
-    told = chunks.select("chunk", F.lit(-1).alias("step"), F.lit(-1).alias("bucket"), "head", F.col("body").alias("blob"))
-    drops = [chunks]
-    for step, kind in enumerate(("bytes", "names", "merge")):
-        asks = told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "step", "bucket").mapInArrow(_asks(short, long), "bucket int, chunk long, blob binary")
+    texts = chunks.select("chunk", F.lit(-2).alias("bucket"), "head", F.col("body").alias("blob"))
+    told, drops = texts, [chunks]
+    for number, kind in enumerate(("bytes", "names", "merge")):
+        asks = told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_asks(number, short, long), "bucket int, chunk long, own boolean, blob binary")
         names = asks.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answered(kind), "chunk long, bucket int, blob binary")
         drops.append(cut(names, f"{label}-names"))
-        told = told.union(drops[-1].select("chunk", F.lit(step), "bucket", nothing, "blob"))
-    asks = told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "step", "bucket").mapInArrow(_passages(short, long), "bucket int, blob binary")
+        told = texts.union(drops[-1].select("chunk", "bucket", F.lit(None).cast("binary"), "blob"))
+    asks = told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_passages(long), "bucket int, blob binary")
     marks = cut(asks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, MARKS), f"{label}-marks")
     for table in drops:
         drop_cut(table)
