@@ -23,8 +23,12 @@ every as (select * from ins union all select sample, uid, cls, area, c, r from n
 select sample, c, r, uid, cls, claims from k where rn = 1""")
 def target_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The element each cell of a screen is trained on: the largest whose box holds the cell's centre; an element that holds none takes the nearest cell. claims counts collisions."""
-    g = gt(spark, sf_dir)
+    top = F.max(F.struct("area", "uid", "cls")).alias("t")
+    return claims(gt(spark, sf_dir)).groupBy("sample", "c", "r").agg(top, F.count("*").alias("claims")).select("sample", "c", "r", "t.uid", "t.cls", "claims")
 
+
+def claims(g: DataFrame) -> DataFrame:
+    """sample, uid, cls, area, c, r, fallback: the cells that each element claims."""
     def centres(lo: Column, size: Column, n: int) -> Column:
         """Cells whose centre is within [lo, lo + size]."""
         first, last = F.greatest(F.ceil((lo - STRIDE / 2) / STRIDE), F.lit(0)), F.least(F.floor((lo + size - STRIDE / 2) / STRIDE), F.lit(n - 1))
@@ -38,9 +42,94 @@ def target_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cs, rs = centres(b.x, b.w, COLS), centres(b.y, b.h, ROWS)
     some = (F.size(cs) > 0) & (F.size(rs) > 0)
     d = g.withColumn("cs", F.when(some, cs).otherwise(F.array(nearest(b.x, b.w, COLS)))).withColumn("rs", F.when(some, rs).otherwise(F.array(nearest(b.y, b.h, ROWS))))
-    d = d.select("sample", "uid", "cls", (b.w * b.h).alias("area"), F.explode("cs").alias("c"), "rs").select("sample", "uid", "cls", "area", "c", F.explode("rs").alias("r"))
-    top = F.max(F.struct("area", "uid", "cls")).alias("t")
-    return d.groupBy("sample", "c", "r").agg(top, F.count("*").alias("claims")).select("sample", "c", "r", "t.uid", "t.cls", "claims")
+    d = d.select("sample", "uid", "cls", (b.w * b.h).alias("area"), (~some).alias("fallback"), F.explode("cs").alias("c"), "rs")
+    return d.select("sample", "uid", "cls", "area", "fallback", "c", F.explode("rs").alias("r"))
+
+
+def pairs_that_touch(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pairs) of boxes (keys, c0, c1, r0, r1: cells from and to) that share a cell, counted without making a pair.
+
+    What two boxes share is a rectangle of cells, or nothing; of any rectangle the cells, less the edges between two of them,
+    plus the corners where four meet, are one. So pairs are counted per cell, per edge and per corner, by what covers these.
+    """
+    span = lambda a, b, less: F.when(F.col(a) <= F.col(b) - less, F.sequence(F.col(a), F.col(b) - less)).otherwise(F.array().cast("array<bigint>"))
+    parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(sign).alias("sign"), span("c0", "c1", i).alias("cs"), span("r0", "r1", j).alias("rs")) for k, sign, i, j in ((0, 1, 0, 0), (1, -1, 1, 0), (2, -1, 0, 1), (3, 1, 1, 1))])
+    d = boxes.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.kind", "p.sign", F.explode("p.cs").alias("c"), F.col("p.rs").alias("rs")).select(*keys, "kind", "sign", "c", F.explode("rs").alias("r"))
+    n = d.groupBy(*keys, "kind", "sign", "c", "r").agg(F.count("*").alias("n"))
+    return n.groupBy(*keys).agg(F.sum(F.col("sign") * F.floor(F.col("n") * (F.col("n") - 1) / 2)).cast("long").alias("pairs"))
+
+
+_TOUCH = f"""tb as (select sample, uid, cls, least(cast(floor((x + w / 2.0::double) / {STRIDE}) as bigint), {COLS - 1}) cc, least(cast(floor((y + h / 2.0::double) / {STRIDE}) as bigint), {ROWS - 1}) cr,
+  greatest(cast(floor(x / {STRIDE}.0::double) as bigint), 0) c0, least(cast(ceil((x + w) / {STRIDE}.0::double) as bigint) - 1, {COLS - 1}) c1, greatest(cast(floor(y / {STRIDE}.0::double) as bigint), 0) r0, least(cast(ceil((y + h) / {STRIDE}.0::double) as bigint) - 1, {ROWS - 1}) r1 from gt)"""
+_CLAIMS = f"""grid as (select c.c, r.r, c.c * 32 + 16 px, r.r * 32 + 16 py from (select unnest(range({COLS})) c) c, (select unnest(range({ROWS})) r) r),
+ins as (select g.sample, g.uid, g.cls, g.w * g.h area, grid.c, grid.r, false fallback from gt g join grid on px >= g.x and px <= g.x + g.w and py >= g.y and py <= g.y + g.h),
+lost as (select g.* from gt g where g.uid not in (select uid from ins)), near as (select l.sample, l.uid, l.cls, l.w * l.h area, grid.c, grid.r, true fallback, row_number() over (partition by l.uid order by (px - l.x - l.w / 2.0::double) ** 2 + (py - l.y - l.h / 2.0::double) ** 2, grid.r, grid.c) rn from lost l, grid),
+every as (select * from ins union all select sample, uid, cls, area, c, r, fallback from near where rn = 1),
+k as (select *, row_number() over (partition by sample, c, r order by area desc, uid desc) rn, count(*) over (partition by sample, c, r) n from every),
+bound as (select g.uid, grid.c, grid.r, (g.w * g.h) / ((g.w + greatest(0, g.x - px, px - g.x - g.w)) * (g.h + greatest(0, g.y - py, py - g.y - g.h)))::double iou from gt g, grid),
+best as (select uid, max(iou) any_cell from bound group by uid),
+o as (select k.uid, any_value(k.sample) sample, any_value(k.cls) cls, any_value(k.fallback) fallback, count(*) claimed, count(*) filter (k.rn = 1) owned, bool_or(k.n > 1) collides, max(b.iou) assigned from k join bound b on b.uid = k.uid and b.c = k.c and b.r = k.r group by k.uid)"""
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid, sample, cls, w, h, fallback, claimed, owned, collides, assigned, any_cell of every element.
+
+    A prediction always holds its cell's centre, so of all boxes that one cell can give the best is the element's own, widened to the
+    centre: that bounds the overlap a cell can reach. It is a product over the two axes, so the best cell of all is the nearest on each.
+    """
+    g = gt(spark, sf_dir)
+    per_cell = claims(g)
+    cells = per_cell.groupBy("sample", "c", "r").agg(F.max(F.struct("area", "uid")).alias("t"), F.count("*").alias("n")).select(F.col("sample").alias("s"), F.col("c").alias("cc"), F.col("r").alias("cr"), F.col("t.uid").alias("winner"), "n")
+    k = per_cell.join(cells, (F.col("sample") == F.col("s")) & (F.col("c") == F.col("cc")) & (F.col("r") == F.col("cr")))
+    boxes = g.select(F.col("uid").alias("gid"), *[F.col(x).cast("double").alias(x) for x in "xywh"])
+
+    def beside(lo: Column, size: Column, at: Column) -> Column:
+        return F.greatest(F.lit(0.0), lo - at, at - lo - size)
+
+    def least_beside(lo: Column, size: Column, n: int) -> Column:
+        return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: beside(lo, size, (i * STRIDE + STRIDE / 2).cast("double"))))
+
+    x, y, w, h = (F.col(c) for c in "xywh")
+    iou = w * h / ((w + beside(x, w, F.col("c") * STRIDE + STRIDE / 2)) * (h + beside(y, h, F.col("r") * STRIDE + STRIDE / 2)))
+    o = k.join(boxes, F.col("uid") == F.col("gid")).withColumn("iou", iou)
+    any_cell = w * h / ((w + least_beside(x, w, COLS)) * (h + least_beside(y, h, ROWS)))
+    o = o.groupBy("sample", "uid", "cls", "x", "y", "w", "h").agg(F.bool_or("fallback").alias("fallback"), F.count("*").alias("claimed"), F.count_if(F.col("winner") == F.col("uid")).alias("owned"), F.bool_or(F.col("n") > 1).alias("collides"), F.max("iou").alias("assigned"))
+    return o.withColumn("any_cell", any_cell)
+
+
+@query("assignment_pairs", "D-18", f"""with {BOXES}, {_TOUCH}, pr as (select a.sample, count(*) filter (a.cc = b.cc and a.cr = b.cr) same_centre, count(*) filter (a.cc = b.cc and a.cr = b.cr and a.cls <> b.cls) same_centre_cross,
+  count(*) filter (greatest(a.c0, b.c0) <= least(a.c1, b.c1) and greatest(a.r0, b.r0) <= least(a.r1, b.r1)) touching, count(*) filter (greatest(a.c0, b.c0) <= least(a.c1, b.c1) and greatest(a.r0, b.r0) <= least(a.r1, b.r1) and a.cls <> b.cls) touching_cross
+  from tb a join tb b on a.sample = b.sample and a.uid < b.uid group by a.sample)
+select s.sample, coalesce(same_centre, 0) same_centre, coalesce(same_centre_cross, 0) same_centre_cross, coalesce(touching, 0) touching, coalesce(touching_cross, 0) touching_cross from (select distinct sample from gt) s left join pr on pr.sample = s.sample""")
+def assignment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a screen's elements with their centres in one cell, and that touch a cell together; and how many of these are of two classes."""
+    g = gt(spark, sf_dir)
+    cell = lambda v, n: F.least(F.floor(v / STRIDE), F.lit(n - 1))
+    low, high = (lambda v: F.greatest(F.floor(v / STRIDE), F.lit(0))), (lambda v, n: F.least(F.ceil(v / STRIDE) - 1, F.lit(n - 1)))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    b = g.select("sample", "cls", cell(x + w / 2, COLS).alias("cc"), cell(y + h / 2, ROWS).alias("cr"), low(x).alias("c0"), high(x + w, COLS).alias("c1"), low(y).alias("r0"), high(y + h, ROWS).alias("r1"))
+    two = lambda n: F.floor(F.col(n) * (F.col(n) - 1) / 2).cast("long")
+    centre = b.groupBy("sample", "cc", "cr", "cls").agg(F.count("*").alias("n")).groupBy("sample", "cc", "cr").agg(F.sum("n").alias("n"), F.sum(two("n")).alias("alike"))
+    centre = centre.groupBy("sample").agg(F.sum(two("n")).alias("same_centre"), F.sum(two("n") - F.col("alike")).alias("same_centre_cross"))
+    every, alike = pairs_that_touch(b, ["sample"]), pairs_that_touch(b, ["sample", "cls"]).groupBy(F.col("sample").alias("s")).agg(F.sum("pairs").alias("alike"))
+    out = centre.join(every, "sample", "left").join(alike, F.col("sample") == F.col("s"), "left")
+    pairs = F.coalesce("pairs", F.lit(0)).cast("long")
+    return out.select("sample", "same_centre", "same_centre_cross", pairs.alias("touching"), (pairs - F.coalesce("alike", F.lit(0))).cast("long").alias("touching_cross"))
+
+
+@query("assignment_audit", "D-18", f"""with {BOXES}, {_CLAIMS}, z as (select o.*, best.any_cell, case when least(g.w, g.h) < 44 then 'small' when least(g.w, g.h) < 60 then 'medium' else 'large' end bucket from o join gt g on g.uid = o.uid join best on best.uid = o.uid)
+select cls, bucket, count(*) objects, sum(claimed)::bigint claimed, sum(owned)::bigint owned, count(*) filter (fallback) fallback, count(*) filter (collides) in_collision, count(*) filter (owned < claimed) lost_any, count(*) filter (owned = 0) lost_all,
+  round(min(assigned), 9) least_assigned_iou, round(avg(assigned), 9) mean_assigned_iou, round(min(any_cell), 9) least_iou_of_any_cell from z group by cls, bucket""")
+def assignment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each class and size: cells claimed and kept, elements in collisions and those that lose some or all cells, and the overlap that their cells can reach at best."""
+    o = audited(spark, sf_dir)
+    short = F.least("w", "h")
+    o = o.withColumn("bucket", F.when(short < 44, "small").when(short < 60, "medium").otherwise("large"))
+    return o.groupBy("cls", "bucket").agg(
+        F.count("*").alias("objects"), F.sum("claimed").alias("claimed"), F.sum("owned").alias("owned"), F.count_if("fallback").alias("fallback"), F.count_if("collides").alias("in_collision"),
+        F.count_if(F.col("owned") < F.col("claimed")).alias("lost_any"), F.count_if(F.col("owned") == 0).alias("lost_all"), F.round(F.min("assigned"), 9).alias("least_assigned_iou"), F.round(F.avg("assigned"), 9).alias("mean_assigned_iou"),
+        F.round(F.min("any_cell"), 9).alias("least_iou_of_any_cell"),
+    )
 
 
 @query("planned_vs_placed", "J-21 D-12", """with p as (select p_brand cls, p_size % 4 bucket, count(*) * 25 planned from part where p_size % 11 <> 0 group by 1, 2), q as (select p.p_brand cls, p.p_size % 4 bucket, count(*) placed from lineitem l join part p on p.p_partkey = l.l_partkey where p.p_size % 13 <> 0 group by 1, 2)

@@ -139,6 +139,8 @@ def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Fusion: elements claim detections of any class strictly over half, in element order; what is left is vision only.
 FUSE_OVER = f"2 * {inter('g', 'p')} > g.w * g.h + p.w * p.h - {inter('g', 'p')}"
+# Between a fifth and a half a detection is no match, but a sign that something lies over the element.
+FUSE_BAND = f"5 * {inter('g', 'p')} > g.w * g.h + p.w * p.h - {inter('g', 'p')} and 2 * {inter('g', 'p')} <= g.w * g.h + p.w * p.h - {inter('g', 'p')}"
 
 
 @query("fusion", "J-04 U-01", f"""with recursive {BOXES}, g4 as (select * from gt), p4 as (select * from pred),
@@ -147,17 +149,24 @@ ranked as materialized (select *, row_number() over (partition by sample order b
 walk as (select sample, 0::bigint rn, []::bigint[] claimed, null::bigint uid, null::bigint pid from ranked where rn = 1
   union all select r.sample, r.rn, case when f.pick is null then w.claimed else list_append(w.claimed, f.pick) end, r.uid, f.pick
   from walk w join ranked r on r.sample = w.sample and r.rn = w.rn + 1, lateral (select list_filter(r.c, lambda x: not list_contains(w.claimed, x))[1] pick) f),
-m as (select uid, pid from walk where pid is not null)
-select 'dom' || case when m.pid is not null then '+vision' else '' end src, g.sample, g.uid id, m.pid from g4 g left join m using (uid)
-union all select 'vision', p.sample, null, p.pid from p4 p where p.pid not in (select pid from m)""")
+m as (select uid, pid from walk where pid is not null),
+sus as (select distinct g.uid from g4 g join p4 p on p.sample = g.sample and {FUSE_BAND} left join m c on c.pid = p.pid where (c.uid is null or c.uid > g.uid) and g.uid not in (select uid from m))
+select 'dom' || case when m.pid is not null then '+vision' else '' end src, g.sample, g.uid id, m.pid, sus.uid is not null suspected from g4 g left join m using (uid) left join sus using (uid)
+union all select 'vision', p.sample, null, p.pid, false from p4 p where p.pid not in (select pid from m)""")
 def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements with the detection that each claims, and whether one without a claim may be covered: a detection nobody before it has claimed overlaps it, but not enough."""
     g, p = gt(spark, sf_dir), pred(spark, sf_dir)
     a, b = Box.of(), Box.of("o")
-    over = 2 * a.overlap(b) > a.w * a.h + b.w * b.h - a.overlap(b)
+    either = a.w * a.h + b.w * b.h - a.overlap(b)
     right = p.select("sample", F.col("pid").alias("rid"), F.col("pid").alias("ordinal"), *[F.col(c).alias("o" + c) for c in "xywh"])
-    m = greedy_match(g.withColumnRenamed("uid", "lid"), right, ["sample"], [F.col("lid")], over).select(F.col("lid").alias("uid"), F.col("rid").alias("pid"))
-    dom = g.select("sample", "uid").join(m, "uid", "left").select(F.when(F.col("pid").isNull(), "dom").otherwise("dom+vision").alias("src"), "sample", F.col("uid").alias("id"), "pid")
-    alone = p.join(m.select("pid"), "pid", "left_anti").select(F.lit("vision").alias("src"), "sample", F.lit(None).cast("bigint").alias("id"), "pid")
+    m = greedy_match(g.withColumnRenamed("uid", "lid"), right, ["sample"], [F.col("lid")], 2 * a.overlap(b) > either).select(F.col("lid").alias("uid"), F.col("rid").alias("pid"))
+    # claims go by element, so a detection was free for an element if nobody or only a later one has claimed it
+    left = g.join(m.select("uid"), "uid", "left_anti").join(right, "sample").where((5 * a.overlap(b) > either) & (2 * a.overlap(b) <= either))
+    claims = m.select(F.col("uid").alias("by"), F.col("pid").alias("rid"))
+    suspected = left.join(claims, "rid", "left").where("by is null or by > uid").select(F.col("uid").alias("sid")).distinct()
+    dom = g.select("sample", "uid").join(m, "uid", "left").join(suspected, F.col("uid") == F.col("sid"), "left")
+    dom = dom.select(F.when(F.col("pid").isNull(), "dom").otherwise("dom+vision").alias("src"), "sample", F.col("uid").alias("id"), "pid", F.col("sid").isNotNull().alias("suspected"))
+    alone = p.join(m.select("pid"), "pid", "left_anti").select(F.lit("vision").alias("src"), "sample", F.lit(None).cast("bigint").alias("id"), "pid", F.lit(False).alias("suspected"))
     return dom.unionByName(alone)
 
 
