@@ -10,6 +10,18 @@ from quillon.functions.geometry import Box
 # What may be done, how far a target may move, and the roles and names that need a confirmation.
 ALLOWED = ("click", "focus", "scroll")
 MAX_SHIFT, MIN_IOU = 2.0, 0.8
+# Names of controls that a human confirms.
+CONFIRMED_NAMES = (
+    r"\bsubmit\b",
+    r"\bsend\b",
+    r"\bpay\b|\bpayment\b",
+    r"\bpurchase\b|\bbuy\b|\border\b|\bcheckout\b",
+    r"\bdelete\b|\bremove\b|\berase\b",
+    r"\btransfer\b|\bwithdraw\b|\bdeposit\b",
+    r"\bsign\s?in\b|\bsign\s?out\b|\blog\s?in\b|\blog\s?out\b|\blogin\b|\blogout\b",
+    r"\bauthorise\b|\bauthorize\b|\bauthenticate\b",
+    r"\bconfirm\b|\bapprove\b|\baccept\b|\bagree\b",
+)
 
 
 def finite(*cols: Column) -> Column:

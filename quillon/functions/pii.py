@@ -28,7 +28,9 @@ KEYWORDS = (
     ("NAME", r"(?i)\bname\b"),
 )
 NAME_QUALIFIER = r"(?i)\b(father'?s?|mother'?s?|spouse'?s?|guardian'?s?|nominee'?s?|company|organi[sz]ation|business|file|user|display|first|last|middle)\b"
+# Shapes of sensitive values in any text.
 TRIPWIRES = (("PHONE", r"\b[6-9]\d{9}\b"), ("AADHAAR", r"\b[2-9]\d{3}\s?\d{4}\s?\d{4}\b"), ("DOB", r"\b(?:19|20)\d{2}-\d{2}-\d{2}\b"), ("OTP", r"\b\d{6}\b"))
+# Shapes of secrets, by name.
 SECRET_SHAPES = (
     ("github_token", r"gh[pousr]_[A-Za-z0-9]{20,}"),
     ("github_pat", r"github_pat_[A-Za-z0-9_]{20,}"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.actions import STATES, bind_decision, freshness, hit_agreement, holds_now, transition
+from quillon.functions.actions import CONFIRMED_NAMES, STATES, bind_decision, freshness, hit_agreement, holds_now, transition
 from quillon.plans.events import DUCK_E, SPARK_E
 from quillon.plans.records import LINES
 from quillon.registry import query, run_sql
@@ -20,7 +20,7 @@ CLAIMS = f"""{LINES}, claims as (select l.l_orderkey * 100 + l.l_linenumber id,
   cast(case when l_quantity = 31 then 0 else 20 + p.p_size % 15 end as double) h, l_returnflag <> 'R' has_point, cast((l.l_partkey * 37) % 400 + l_quantity as double) px, cast((l.l_partkey * 53) % 300 + 8 as double) py, l_quantity <> 37 watching, case when l_quantity = 41 then 2 else 1 end seq,
   cast(l_quantity * 60 as double) answer_ms, case when l_quantity < 4 then null when l_quantity < 10 then l.l_partkey + 1 else l.l_partkey end topmost from li l join part p on p.p_partkey = l.l_partkey)"""
 
-_TIER = r"\b(submit|send|pay|payment|purchase|buy|order|checkout|delete|remove|erase|transfer|withdraw|deposit|sign\s?in|sign\s?out|log\s?in|log\s?out|login|logout|authorise|authorize|authenticate|confirm|approve|accept|agree)\b"
+_TIER = "|".join(CONFIRMED_NAMES)
 
 
 @query("claim_freshness", "T-05 T-06 E-15 F-19 F-11", f"""with {NODES}, {CLAIMS}, j as (select c.*, n.node found, n.role nrole, n.name nname, n.enabled, n.evidence, n.frame nframe, n.x nx, n.y ny, n.w nw, n.h nh from claims c left join nodes n on n.node = c.node),
@@ -109,7 +109,7 @@ def vault_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLANS = f"""{LINES}, ps as (select l_orderkey plan, l_linenumber n, case when l_shipmode in ('MAIL', 'TRUCK') then 'insert' when l_shipmode = 'SHIP' then 'done' else 'click' end op, l_partkey % 11 target, case when l_tax < 0.02 then '98765' || cast(10000 + l_partkey % 90000 as string) when l_tax < 0.04 then 'plain text' end literal,
-  '<PII:PHONE:' || cast(1 + l_discount * 100 % 2 as bigint) || '>' ref from li where l_linenumber <= 3),
+  '<PII:PHONE:' || cast(1 + l_discount * 100 % 2 as bigint) || '>' ref from li),
 live as (select n_nationkey target, n_nationkey % 4 <> 1 actionable, n_nationkey % 3 = 0 redacted, case when n_nationkey % 2 = 0 then '<PII:PHONE:1>' end grounded from nation where n_nationkey <> 7),
 heads as (select o_orderkey plan, o_orderstatus st, o_custkey % 31 c from orders)"""
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 
 from quillon.registry import both, query, run_sql
 
@@ -20,19 +22,28 @@ w as (select doc, rn, id, ms, true accepted, ms last_ok, ms last_hash, true hash
  from w join o on o.doc = w.doc and o.rn = w.rn + 1, lateral (select o.ms - w.last_ok >= {DEBOUNCE_MS} and not (o.kind = 'STRUCTURAL' and o.mutations = 0) and not (o.kind = 'VISUAL' and o.h_old = o.h_new) ok) d)
 select id, doc, accepted, hashed from w""")
 def change_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First signal of a document passes; later ones only after the debounce and if they changed something. Also when a full hash is due."""
-    s = run_sql(spark, sf_dir, f"with {SPARK_E}, {SIGNALS} select * from s")
-    rows = F.array_sort(F.collect_list(F.struct("ms", "id", "kind", "mutations", "h_old", "h_new")))
-    kind = "array<struct<id:bigint,accepted:boolean,hashed:boolean>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("ok"), F.lit(None).cast("bigint").alias("hash"), F.array().cast(kind).alias("out"))
+    """First signal of a document passes; later ones only after the debounce and if they changed something. Also when a full hash is due.
 
-    def step(a: Column, r: Column) -> Column:
-        real = ~((r["kind"] == "STRUCTURAL") & (r["mutations"] == 0)) & ~((r["kind"] == "VISUAL") & (r["h_old"] == r["h_new"]))
-        ok = a["ok"].isNull() | ((r["ms"] - a["ok"] >= DEBOUNCE_MS) & real)
-        due = a["hash"].isNull() | (r["ms"] - a["hash"] >= INTERVAL_MS)
-        return F.struct(F.when(ok, r["ms"]).otherwise(a["ok"]).alias("ok"), F.when(due, r["ms"]).otherwise(a["hash"]).alias("hash"), F.array_append(a["out"], F.struct(r["id"].alias("id"), ok.alias("accepted"), due.alias("hashed"))).alias("out"))
-
-    return s.groupBy("doc").agg(rows.alias("rows")).select("doc", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("o")).select("o.id", "doc", "o.accepted", "o.hashed")
+    Documents are dealt out and their signals sorted by Spark; a task goes through them with two numbers as its state, so no
+    document's history is gathered.
+    """
+    s = run_sql(spark, sf_dir, f"with {SPARK_E}, {SIGNALS} select * from s")
+    return s.repartition("doc").sortWithinPartitions("doc", "ms", "id").mapInPandas(gated, "id bigint, doc bigint, accepted boolean, hashed boolean")
+
+
+def gated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Signals that come by doc, ms and id, with what the gate says of each."""
+    doc = accepted = hashed = None
+    for f in frames:
+        out = []
+        for r in f.itertuples(index=False):
+            if r.doc != doc:
+                doc, accepted, hashed = r.doc, None, None
+            idle = (r.kind == "STRUCTURAL" and r.mutations == 0) or (r.kind == "VISUAL" and r.h_old == r.h_new)
+            ok, due = accepted is None or (r.ms - accepted >= DEBOUNCE_MS and not idle), hashed is None or r.ms - hashed >= INTERVAL_MS
+            accepted, hashed = (r.ms if ok else accepted), (r.ms if due else hashed)
+            out.append((r.id, r.doc, ok, due))
+        yield pd.DataFrame(out, columns=["id", "doc", "accepted", "hashed"])
 
 
 def signals_query(name: str, covers: str, body: str) -> None:

@@ -44,10 +44,6 @@ both(
 select id, loopback, case when id % 13 = 0 then 'HANDOFF_NOT_VERIFIED' when not loopback then 'DESTINATION_NOT_LOOPBACK' when id % 7 = 0 then 'UNDECLARED_TOKEN' when id % 5 = 0 then 'VAULT_VALUE_IN_PAYLOAD' else 'SENT' end status from v""",
 )
 
-FINDINGS = """f as (select event_id id, event_id % 2 = 0 unread, event_id % 10 w, event_id % 7 - 1 h, cast(event_id % 14 as double) / 10 score, case event_id % 9 when 0 then '' else 'canvas:1' end region, event_id % 8 - 1 len,
-  case event_id % 5 when 0 then null when 1 then 'PHONE' when 2 then 'UNKNOWN' when 3 then 'CARD' else 'OTP' end cls, event_id % 17 = 0 extra, event_id % 19 = 0 missing, case when event_id % 23 = 0 then null when event_id % 29 = 0 then 'BLUR' else 'REDACT_UNREAD' end treatment from events)"""
-
-
 both("element_graph", "J-01", """with n as (select p_partkey id, case when p_partkey % 10 = 0 then null else cast(floor(p_partkey / 10) as bigint) * 10 end parent, p_name name, p_size size from part),
 k as (select parent, count(*) kids, min(id) first_kid, max(id) last_kid from n where parent is not null group by parent)
 select n.id, n.parent, p.name parent_name, coalesce(k.kids, 0) kids, k.first_kid, k.last_kid, case when n.name like '%red%' then 'CONFIRM' when n.name like '%blue%' then 'WARN' else 'NONE' end tier from n left join n p on p.id = n.parent left join k on k.parent = n.id""")

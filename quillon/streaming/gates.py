@@ -52,10 +52,3 @@ def one_use_permits(ops: DataFrame, lifetime_ms: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["permit", "id", "op", "state"])
 
     return ops.groupBy("permit").applyInPandasWithState(step, PERMIT_OUT, "minted long, spent boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def stale_frames(frames: DataFrame, ttl: str = "2 seconds") -> DataFrame:
-    """The last capture of each document per window of the lifetime; older ones are stale. frames (doc, captured_at)."""
-    from pyspark.sql import functions as F
-
-    return frames.withWatermark("captured_at", ttl).groupBy(F.window("captured_at", ttl), "doc").agg(F.max("captured_at").alias("last"))
