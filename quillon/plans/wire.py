@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.binding import bound
 from quillon.functions.records import kind_of, listed, text_at
 from quillon.plans.boxes import BOXES
 from quillon.plans.detection import gt
@@ -28,11 +29,11 @@ _BAD_TEXT = r""""(?i:{})"\s*:|:\s*"data:|[\[,]\s*"data:|[A-Za-z0-9+/]{{200,}}"""
 
 @query("manifest_parse", "F-14 P-11", f"""with {MANIFESTS}, e as (select id, unnest(json_extract(j, '$.elements[*]')) e, unnest(range(len(json_extract(j, '$.elements[*]')))) n from mj),
 eb as (select id, n, case when json_type(e) <> 'OBJECT' then '' when len(list_filter({list(ELEMENT_KEYS)}, lambda k: not list_contains(json_keys(e), k))) > 0 then '.' || list_filter(['id', 'role', 'name', 'source', 'visible', 'offscreen', 'enabled'], lambda k: not list_contains(json_keys(e), k))[1]
-  when json_extract_string(e, '$.id') = '' then '.id' when json_extract_string(e, '$.source') not in ('dom', 'vision', 'dom+vision') then '.source' when json_type(e, '$.visible') <> 'BOOLEAN' then '.visible' end bad from e), ef as (select id, '$.elements[' || min(n) || ']' || arg_min(bad, n) p from eb where bad is not null group by id)
-select m.id, case when trim(json_extract_string(j, '$.goal')) = '' then 'MISSING_GOAL' when regexp_matches(j, '"(?i:{'|'.join(FORBIDDEN)})"\\s*:') or contains(j, '"data:') or regexp_matches(j, '[A-Za-z0-9+/]{{200}}') then 'PLAINTEXT_IN_MANIFEST' when json_extract_string(j, '$.manifest_version') <> '1.2' or d in (3, 4, 5, 6, 7, 8, 9, 10, 16, 17, 18, 19, 20) or ef.p is not null then 'MALFORMED_MANIFEST' else 'OK' end code,
-  case when trim(json_extract_string(j, '$.goal')) = '' then '$.goal' when d in (21, 22, 23, 24) then '$' when len(list_filter(json_keys(j), lambda k: k not in {ROOT_KEYS})) > 0 then '$.' || list_filter(json_keys(j), lambda k: k not in {ROOT_KEYS})[1] when json_extract_string(j, '$.manifest_version') <> '1.2' then '$.manifest_version' when json_extract_string(j, '$.capture.format') not in ('webp', 'none') then '$.capture.format'
+  when json_extract_string(e, '$.id') = '' then '.id' when json_extract_string(e, '$.source') not in ('dom', 'vision', 'dom+vision') then '.source' when json_type(e, '$.visible') <> 'BOOLEAN' then '.visible' end bad from e), ef as (select id, '$.elements[' || min(n) || ']' || arg_min(bad, n) p from eb where bad is not null group by id),
+  ap as (select m.id, case when trim(json_extract_string(j, '$.goal')) = '' then '$.goal' when regexp_matches(j, '"(?i:{'|'.join(FORBIDDEN)})"\\s*:') or contains(j, '"data:') or regexp_matches(j, '[A-Za-z0-9+/]{{200}}') then '$' when len(list_filter(json_keys(j), lambda k: k not in {ROOT_KEYS})) > 0 then '$.' || list_filter(json_keys(j), lambda k: k not in {ROOT_KEYS})[1] when json_extract_string(j, '$.manifest_version') <> '1.2' then '$.manifest_version' when json_extract_string(j, '$.capture.format') not in ('webp', 'none') then '$.capture.format'
   when json_extract_string(j, '$.capture.format') = 'webp' then '$.capture.q' when json_type(j, '$.capture.w') = 'VARCHAR' then '$.capture.w' when json_extract_string(j, '$.capture.w') = '0' then '$.capture' when json_type(j, '$.capture.scroll.y') = 'NULL' then '$.capture.scroll.y' when json_extract_string(j, '$.capability.backend') not in ('wasm', 'webgpu', 'none') then '$.capability.backend' when json_type(j, '$.redactions') <> 'ARRAY' then '$.redactions' when ef.p is not null then ef.p
-  when not regexp_matches(json_extract_string(j, '$.visual_masks[0].region_id'), '^canvas:[0-9]+$') then '$.visual_masks[0].region_id' when json_extract_string(j, '$.visual_masks[0].method') <> 'opaque_fill' then '$.visual_masks[0].method' when json_type(j, '$.visual_masks[0].bbox[3]') = 'VARCHAR' then '$.visual_masks[0].bbox[3]' when json_type(j, '$.verified') <> 'BOOLEAN' then '$.verified' when json_extract_string(j, '$.request.session') = '' then '$.request.session' else '' end path from mj m left join ef on ef.id = m.id""")
+  when not regexp_matches(json_extract_string(j, '$.visual_masks[0].region_id'), '^canvas:[0-9]+$') then '$.visual_masks[0].region_id' when json_extract_string(j, '$.visual_masks[0].method') <> 'opaque_fill' then '$.visual_masks[0].method' when json_type(j, '$.visual_masks[0].bbox[3]') = 'VARCHAR' then '$.visual_masks[0].bbox[3]' when json_type(j, '$.verified') <> 'BOOLEAN' then '$.verified' when json_extract_string(j, '$.request.session') = '' then '$.request.session' else '' end path from mj m left join ef on ef.id = m.id)
+select id, case path when '' then 'OK' when '$.goal' then 'MISSING_GOAL' when '$' then 'PLAINTEXT_IN_MANIFEST' else 'MALFORMED_MANIFEST' end code, path from ap""")
 def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a manifest is one, strictly: what it may not carry at any depth, then field by field; a refusal names the path."""
     d = run_sql(spark, sf_dir, f"with {MANIFESTS} select id, j from mj").withColumn("v", F.try_parse_json("j"))
@@ -49,12 +50,11 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         items = F.from_json(F.get_json_object(j, path), "array<string>")
 
         def bad(item: Column) -> Column:
-            own = F.json_object_keys(item)
-            missing, extra = F.array_except(listed(order), own), F.array_except(own, listed(keys))
-            out = F.when(own.isNull(), "").when(F.size(extra) > 0, F.concat(F.lit("."), F.get(extra, F.lit(0)))).when(F.size(missing) > 0, F.concat(F.lit("."), F.get(missing, F.lit(0))))
+            first = lambda names: F.when(F.size(names) > 0, F.concat(F.lit("."), F.get(names, F.lit(0))))
+            off = bound(F.json_object_keys(item), lambda own: F.when(own.isNull(), "").otherwise(F.coalesce(first(F.array_except(own, listed(keys))), first(F.array_except(listed(order), own)))))
             for field, sound in rules:
-                out = out.when(~F.coalesce(sound(item), F.lit(False)), "." + field)
-            return out
+                off = F.coalesce(off, F.when(~F.coalesce(sound(item), F.lit(False)), "." + field))
+            return off
 
         found = F.transform(items, lambda item, i: F.concat(F.lit(path + "["), i.cast("string"), F.lit("]"), bad(item)))
         return F.get(F.array_compact(found), F.lit(0))
@@ -70,7 +70,9 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = each("$.visual_masks", MASK_KEYS, ("region_id", "kind", "bbox", "method", "reason"), [
         ("kind", lambda m: text("kind")(m).isin("canvas", "img")), ("region_id", lambda m: text("region_id")(m).rlike("^(canvas|img):[0-9]+$") & text("region_id")(m).startswith(text("kind")(m))), ("method", lambda m: text("method")(m) == "opaque_fill"),
         *[(f"bbox[{k}]", lambda m, k=k: ~F.get_json_object(m, "$.bbox").rlike(r'^\[(?:[^,]*,){%d}\s*"' % k)) for k in range(4)]])
-    extra = F.array_except(F.json_object_keys(j), listed(ROOT_KEYS))
+    # what several rules read is a column of its own first, and so is the path that the code is read off
+    d = d.select("id", "j", "v", elements.alias("elements"), masks.alias("masks"), F.array_except(F.json_object_keys(j), listed(ROOT_KEYS)).alias("extra"))
+    elements, masks, extra = F.col("elements"), F.col("masks"), F.col("extra")
     path = (
         F.when(F.trim(F.coalesce(text_at(v, "$.goal"), F.lit(""))) == "", "$.goal").when(j.rlike(_BAD_TEXT), "$").when(F.size(extra) > 0, F.concat(F.lit("$."), F.get(extra, F.lit(0))))
         .when(~among("$.manifest_version", "1.2"), "$.manifest_version").when(~among("$.capture.format", "webp", "none"), "$.capture.format").when(among("$.capture.format", "webp") & ~number("$.capture.q"), "$.capture.q")
@@ -78,8 +80,9 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(~among("$.capability.backend", "wasm", "webgpu", "none"), "$.capability.backend").when(kind_of(v, "$.redactions") != "ARRAY", "$.redactions").when(elements.isNotNull(), elements).when(masks.isNotNull(), masks)
         .when(kind_of(v, "$.verified") != "BOOLEAN", "$.verified").when(F.coalesce(text_at(v, "$.request.session"), F.lit("")) == "", "$.request.session").otherwise("")
     )
-    code = F.when(path == "", "OK").when(path == "$.goal", "MISSING_GOAL").when(path == "$", "PLAINTEXT_IN_MANIFEST").otherwise("MALFORMED_MANIFEST")
-    return d.select("id", code.alias("code"), path.alias("path"))
+    at = F.col("path")
+    code = F.when(at == "", "OK").when(at == "$.goal", "MISSING_GOAL").when(at == "$", "PLAINTEXT_IN_MANIFEST").otherwise("MALFORMED_MANIFEST")
+    return d.select("id", path.alias("path")).select("id", code.alias("code"), "path")
 
 
 @query("multipart_bodies", "S-10 S-11", """with p as (select c_custkey id, '{"id":' || c_custkey || '}' manifest, c_name || c_phone_ frame from (select *, 'x' || c_nationkey::varchar c_phone_ from customer)), b as (select *, 'b' || substr(sha256(manifest || frame), 1, 32) boundary from p),
