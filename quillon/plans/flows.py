@@ -113,7 +113,7 @@ def reference_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc", F.when(F.col("f").isNull(), "NO_PHONE_FIELD").when(F.col("t").isNull(), "NO_PHONE_REFERENCE").when(F.col("b").isNull(), "NO_SUBMIT").otherwise(plan).alias("plan"))
 
 
-@query("act_results", "T-09 T-10 T-08", f"""with {NODES}, {CLAIMS}, a as (select c.*, n.node found, n.name nname, n.role nrole, n.enabled, (select count(*) from nodes m where m.node = c.node and m.frame = 'f0') same from claims c left join nodes n on n.node = c.node where kind <> 'type' and has_claim),
+@query("act_results", "T-09 T-10", f"""with {NODES}, {CLAIMS}, a as (select c.*, n.node found, n.name nname, n.role nrole, n.enabled, (select count(*) from nodes m where m.node = c.node and m.frame = 'f0') same from claims c left join nodes n on n.node = c.node where kind <> 'type' and has_claim),
 g as (select *, case when found is null then 'VALIDATE' when role = 'link' and not has_point then 'AUTHORISE' when topmost is null or answer_ms > 2000 or topmost <> node then 'HIT_TEST' when seq <> 1 then 'PERMIT' when not enabled then 'ACT' end failed from a)
 select id, coalesce(failed, '-') failed_stage, case when failed = 'ACT' then 'NOT_CONFIRMED:ACTION_NOT_DISPATCHED' when failed is not null then 'NOT_RUN' when not watching then 'UNKNOWN:DISPATCH_OUTCOME_UNKNOWN' when frame = 'f1' then 'UNKNOWN:OBSERVATION_STALE' when same = 0 then 'UNKNOWN:TARGET_ABSENT_AFTER_ACTION' when nrole <> role then 'UNKNOWN:TARGET_IDENTITY_CHANGED'
   when kind = 'focus' then case when not has_point then 'UNKNOWN:FOCUS_NOT_OBSERVED' else 'CONFIRMED' end when nname = name then 'CONFIRMED' else 'NOT_CONFIRMED:STATE_DIFFERS' end verification from g""")
