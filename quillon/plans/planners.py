@@ -10,7 +10,9 @@ from quillon.plans.actions import plan_checks
 from quillon.registry import ORACLES, query, run_sql
 
 # Refusals of a plan that say that something is wrong which a second plan would only hide.
-HOSTILE_REFUSALS = ("LITERAL_REFUSED", "PRIVACY_REFUSED", "NOT_A_PARSED_PLAN", "REFERENCE_NOT_GROUNDED", "NOT_THE_GROUNDED_REFERENCE")
+HOSTILE_CAUSES = ("LITERAL_REFUSED", "PRIVACY_REFUSED", "NOT_A_PARSED_PLAN", "REFERENCE_NOT_GROUNDED")
+#: As plan_checks names them, which calls the last one otherwise.
+HOSTILE_REFUSALS = (*HOSTILE_CAUSES, "NOT_THE_GROUNDED_REFERENCE")
 #: Responses as they were recorded, one for each event: nothing came, for one reason or another, or something did, of whatever kind.
 _RESPONSES = """rs as (select event_id id, case when event_type = 'error' then '{"received":false,"cause":' || case when value < 10 then '"REASONER_TIMEOUT"' when value < 20 then 'null' else '"REASONER_THREW"' end || '}'
   else '{"received":true' || case event_id % 11 when 0 then '' when 1 then ',"raw":null' when 2 then ',"raw":"plan"' when 3 then ',"raw":7' when 4 then ',"raw":[1]' when 5 then ',"raw":true' else ',"raw":{"steps":[' || cast(user_id as string) || ']}' end || ',"elapsedMs":' || cast(cast(floor(value * 10) as bigint) as string) || '}' end j from events)"""
