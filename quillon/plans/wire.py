@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.binding import bound
+from quillon.functions.canonical import canonical, quoted
 from quillon.functions.records import kind_of, listed, text_at
 from quillon.plans.boxes import BOXES
 from quillon.plans.detection import gt
@@ -27,16 +28,25 @@ mj as (select id, d, '{{"manifest_version":"' || case d when 1 then '1.1' else '
 _BAD_TEXT = r""""(?i:{})"\s*:|:\s*"data:|[\[,]\s*"data:|[A-Za-z0-9+/]{{200,}}""".format("|".join(FORBIDDEN))
 
 
-@query("manifest_parse", "F-14 P-11", f"""with {MANIFESTS}, e as (select id, unnest(json_extract(j, '$.elements[*]')) e, unnest(range(len(json_extract(j, '$.elements[*]')))) n from mj),
+#: What is wrong with the documents of mj (id, j): the path of the first defect, as ap (id, path).
+_DEFECTS = f"""e as (select id, unnest(json_extract(j, '$.elements[*]')) e, unnest(range(len(json_extract(j, '$.elements[*]')))) n from mj),
 eb as (select id, n, case when json_type(e) <> 'OBJECT' then '' when len(list_filter({list(ELEMENT_KEYS)}, lambda k: not list_contains(json_keys(e), k))) > 0 then '.' || list_filter(['id', 'role', 'name', 'source', 'visible', 'offscreen', 'enabled'], lambda k: not list_contains(json_keys(e), k))[1]
   when json_extract_string(e, '$.id') = '' then '.id' when json_extract_string(e, '$.source') not in ('dom', 'vision', 'dom+vision') then '.source' when json_type(e, '$.visible') <> 'BOOLEAN' then '.visible' end bad from e), ef as (select id, '$.elements[' || min(n) || ']' || arg_min(bad, n) p from eb where bad is not null group by id),
   ap as (select m.id, case when trim(json_extract_string(j, '$.goal')) = '' then '$.goal' when regexp_matches(j, '"(?i:{'|'.join(FORBIDDEN)})"\\s*:') or contains(j, '"data:') or regexp_matches(j, '[A-Za-z0-9+/]{{200}}') then '$' when len(list_filter(json_keys(j), lambda k: k not in {ROOT_KEYS})) > 0 then '$.' || list_filter(json_keys(j), lambda k: k not in {ROOT_KEYS})[1] when json_extract_string(j, '$.manifest_version') <> '1.2' then '$.manifest_version' when json_extract_string(j, '$.capture.format') not in ('webp', 'none') then '$.capture.format'
-  when json_extract_string(j, '$.capture.format') = 'webp' then '$.capture.q' when json_type(j, '$.capture.w') = 'VARCHAR' then '$.capture.w' when json_extract_string(j, '$.capture.w') = '0' then '$.capture' when json_type(j, '$.capture.scroll.y') = 'NULL' then '$.capture.scroll.y' when json_extract_string(j, '$.capability.backend') not in ('wasm', 'webgpu', 'none') then '$.capability.backend' when json_type(j, '$.redactions') <> 'ARRAY' then '$.redactions' when ef.p is not null then ef.p
-  when not regexp_matches(json_extract_string(j, '$.visual_masks[0].region_id'), '^canvas:[0-9]+$') then '$.visual_masks[0].region_id' when json_extract_string(j, '$.visual_masks[0].method') <> 'opaque_fill' then '$.visual_masks[0].method' when json_type(j, '$.visual_masks[0].bbox[3]') = 'VARCHAR' then '$.visual_masks[0].bbox[3]' when json_type(j, '$.verified') <> 'BOOLEAN' then '$.verified' when json_extract_string(j, '$.request.session') = '' then '$.request.session' else '' end path from mj m left join ef on ef.id = m.id)
-select id, case path when '' then 'OK' when '$.goal' then 'MISSING_GOAL' when '$' then 'PLAINTEXT_IN_MANIFEST' else 'MALFORMED_MANIFEST' end code, path from ap""")
+  when json_extract_string(j, '$.capture.format') = 'webp' and coalesce(json_type(j, '$.capture.q'), 'NULL') not in ('UBIGINT', 'BIGINT', 'DOUBLE') then '$.capture.q' when json_type(j, '$.capture.w') = 'VARCHAR' then '$.capture.w' when json_extract_string(j, '$.capture.w') = '0' then '$.capture' when json_type(j, '$.capture.scroll.y') = 'NULL' then '$.capture.scroll.y' when json_extract_string(j, '$.capability.backend') not in ('wasm', 'webgpu', 'none') then '$.capability.backend' when json_type(j, '$.redactions') <> 'ARRAY' then '$.redactions' when ef.p is not null then ef.p
+  when not regexp_matches(coalesce(json_extract_string(j, '$.visual_masks[0].region_id'), 'canvas:0'), '^' || coalesce(json_extract_string(j, '$.visual_masks[0].kind'), 'canvas') || ':[0-9]+$') then '$.visual_masks[0].region_id' when json_extract_string(j, '$.visual_masks[0].method') <> 'opaque_fill' then '$.visual_masks[0].method' when json_type(j, '$.visual_masks[0].bbox[3]') = 'VARCHAR' then '$.visual_masks[0].bbox[3]' when json_type(j, '$.verified') <> 'BOOLEAN' then '$.verified' when json_extract_string(j, '$.request.session') = '' then '$.request.session' else '' end path from mj m left join ef on ef.id = m.id)"""
+_CODE = "case path when '' then 'OK' when '$.goal' then 'MISSING_GOAL' when '$' then 'PLAINTEXT_IN_MANIFEST' else 'MALFORMED_MANIFEST' end"
+
+
+@query("manifest_parse", "F-14 P-11", f"with {MANIFESTS}, {_DEFECTS} select id, {_CODE} code, path from ap")
 def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a manifest is one, strictly: what it may not carry at any depth, then field by field; a refusal names the path."""
-    d = run_sql(spark, sf_dir, f"with {MANIFESTS} select id, j from mj").withColumn("v", F.try_parse_json("j"))
+    return judged_manifests(run_sql(spark, sf_dir, f"with {MANIFESTS} select id, j from mj"))
+
+
+def judged_manifests(d: DataFrame) -> DataFrame:
+    """(id, code, path) of documents (id, j)."""
+    d = d.withColumn("v", F.try_parse_json("j"))
     v, j = F.col("v"), F.col("j")
 
     def number(path: str) -> Column:
@@ -85,6 +95,46 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", path.alias("path")).select("id", code.alias("code"), "path")
 
 
+# Handoffs from orders, and of their lines the rectangles that the frame's masks cover, in its pixels. Some handoffs were never verified, some
+# frames not attested, some orders have no frame; some goals are blank or carry data, and a detector that failed masks a whole region.
+_HANDOFFS = """hd as (select o_orderkey id, o_orderkey % 13 <> 0 verified, case o_orderkey % 5 when 0 then 'NONE' when 1 then 'UNATTESTED' else 'ATTESTED' end frame, case o_orderkey % 17 when 0 then ' ' when 1 then 'data:image/png;x' when 2 then 'Say "hi"' else 'Pay the bill' end goal,
+  o_orderkey % 7 = 0 fail_closed, case o_orderkey % 3 when 0 then 'TIMEOUT' when 1 then 'SOMETHING' end reason, case o_orderkey % 2 when 0 then 0.5e0 else 0.25e0 end scale from orders where o_orderkey % 5 <> 1 or o_orderkey % 2 = 0),
+rc as (select l_orderkey id, case when l_partkey % 4 = 0 then 'img:' else 'canvas:' end || cast(l_linenumber as string) region, l_linenumber n, l_partkey pk, l_suppkey sk, cast(l_partkey % 300 as bigint) x, cast(l_suppkey % 200 as bigint) y, cast(l_quantity as bigint) w, 12 h from lineitem)"""
+# Why a mask may be there.
+MASK_REASONS = ("DETECTED", "FAIL_CLOSED:UNAVAILABLE", "FAIL_CLOSED:ERROR", "FAIL_CLOSED:TIMEOUT", "FAIL_CLOSED:MALFORMED")
+_BOX = "regexp_replace(printf('%.6f', {} * scale), '[.]?0+$', '')"
+
+
+@query("manifest_build", "P-11", f"""with {_HANDOFFS}, rs as (select *, case when not fail_closed then 'DETECTED' when 'FAIL_CLOSED:' || coalesce(reason, 'ERROR') in {MASK_REASONS} then 'FAIL_CLOSED:' || coalesce(reason, 'ERROR') else 'FAIL_CLOSED:ERROR' end why from hd),
+ms as (select rs.id, string_agg('{{"bbox":[' || {_BOX.format('x')} || ',' || {_BOX.format('y')} || ',' || {_BOX.format('w')} || ',' || {_BOX.format('h')} || '],"kind":"' || split_part(region, ':', 1) || '","method":"opaque_fill","reason":"' || why || '","region_id":"' || region || '"}}', ',' order by n, pk, sk, x, y, w) j from rs join rc on rc.id = rs.id where frame = 'ATTESTED' group by rs.id),
+mj as (select rs.id, '{{"capability":{{"backend":"wasm","tiers_fired":["T0"]}},"capture":{{"dpr":2,"format":"' || case when frame = 'NONE' then 'none' else 'webp' end || '","h":600,"origin":"https://h.example"' || case when frame = 'NONE' then '' else ',"q":62' end || ',"scale_to_css":0.5,"scroll":{{"x":0,"y":12}},"w":800,"zoom":1}},"elements":[],"goal":"' || regexp_replace(goal, '(["\\\\])', '\\\\\\1', 'g') || '","manifest_version":"1.2","redactions":[],"request":{{"id":"r' || rs.id || '","session":"s"}},"verified":' || (frame = 'NONE')::varchar || ',"visual_masks":[' || coalesce(ms.j, '') || ']}}' j from rs left join ms on ms.id = rs.id),
+{_DEFECTS}
+select hd.id, case when not verified then 'HANDOFF_NOT_VERIFIED' when frame = 'UNATTESTED' then 'FRAME_NOT_MASK_VERIFIED' else {_CODE} end code, case when verified and frame <> 'UNATTESTED' then path end path, case when verified and frame <> 'UNATTESTED' and path = '' then sha256(mj.j) end manifest_sha256, case when verified and frame <> 'UNATTESTED' and path = '' then strlen(mj.j) end::bigint bytes from hd join mj on mj.id = hd.id join ap on ap.id = hd.id""")
+def manifest_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of verified handoffs, with the masks of an attested frame in CSS pixels or without any; each goes through the parser, so that none is built which that refuses."""
+    t = {n: run_sql(spark, sf_dir, f"with {_HANDOFFS} select * from {n}") for n in ("hd", "rc")}
+    why = F.concat(F.lit("FAIL_CLOSED:"), F.coalesce("reason", F.lit("ERROR")))
+    h = t["hd"].withColumn("why", F.when(~F.col("fail_closed"), "DETECTED").when(why.isin(*MASK_REASONS), why).otherwise("FAIL_CLOSED:ERROR"))
+    masks = h.where("frame = 'ATTESTED'").select("id", "scale", "why").join(t["rc"], "id")
+    mask = F.struct(F.array(*[F.col(c) * F.col("scale") for c in "xywh"]).alias("bbox"), F.split("region", ":")[0].alias("kind"), F.lit("opaque_fill").alias("method"), F.col("why").alias("reason"), F.col("region").alias("region_id"))
+    masks = masks.groupBy(F.col("id").alias("mid")).agg(F.array_sort(F.collect_list(F.struct("n", "pk", "sk", "x", "y", "w", mask.alias("m"))))["m"].alias("masks"))
+    framed = F.col("frame") != "NONE"
+    capture = F.concat(F.lit('{"dpr":2,"format":"'), F.when(framed, "webp").otherwise("none"), F.lit('","h":600,"origin":"https://h.example"'), F.when(framed, ',"q":62').otherwise(""), F.lit(',"scale_to_css":0.5,"scroll":{"x":0,"y":12},"w":800,"zoom":1}'))
+    d = h.join(masks, F.col("id") == F.col("mid"), "left")
+    listed_masks = F.coalesce(canonical(F.col("masks"), d.schema["masks"].dataType), F.lit("null"))
+    j = F.concat(
+        F.lit('{"capability":{"backend":"wasm","tiers_fired":["T0"]},"capture":'), capture, F.lit(',"elements":[],"goal":'), quoted(F.col("goal")), F.lit(',"manifest_version":"1.2","redactions":[],"request":{"id":"r'), F.col("id").cast("string"),
+        F.lit('","session":"s"},"verified":'), (~framed).cast("string"), F.lit(',"visual_masks":'), F.when(F.col("masks").isNull(), "[]").otherwise(listed_masks), F.lit("}"),
+    )
+    d = d.select("id", "verified", "frame", j.alias("j"))
+    judged = judged_manifests(d.select("id", "j")).select(F.col("id").alias("jid"), F.col("code").alias("parsed"), "path")
+    d = d.join(judged, F.col("id") == F.col("jid"))
+    able = F.col("verified") & (F.col("frame") != "UNATTESTED")
+    code = F.when(~F.col("verified"), "HANDOFF_NOT_VERIFIED").when(F.col("frame") == "UNATTESTED", "FRAME_NOT_MASK_VERIFIED").otherwise(F.col("parsed"))
+    sent = able & (F.col("path") == "")
+    return d.select("id", code.alias("code"), F.when(able, F.col("path")).alias("path"), F.when(sent, F.sha2("j", 256)).alias("manifest_sha256"), F.when(sent, F.octet_length("j").cast("long")).alias("bytes"))
+
+
 @query("multipart_bodies", "S-10 S-11", """with p as (select c_custkey id, '{"id":' || c_custkey || '}' manifest, c_name || c_phone_ frame from (select *, 'x' || c_nationkey::varchar c_phone_ from customer)), b as (select *, 'b' || substr(sha256(manifest || frame), 1, 32) boundary from p),
 w as (select *, '--' || boundary || chr(13) || chr(10) || 'name=manifest' || chr(13) || chr(10) || chr(13) || chr(10) || manifest || chr(13) || chr(10) || '--' || boundary || chr(13) || chr(10) || 'name=frame' || chr(13) || chr(10) || chr(13) || chr(10) || frame || chr(13) || chr(10) || '--' || boundary || '--' || chr(13) || chr(10) body from b)
 select id, boundary, sha256(body) body_sha256, strlen(body)::bigint n_bytes, id % 7 <> 0 as sound, case when id % 7 <> 0 then manifest else '' end manifest, case when id % 7 <> 0 then frame else '' end frame from w""")
