@@ -39,11 +39,13 @@ def running(df: DataFrame, key: str, order: Sequence[Column], sums: dict[str, Co
 
 def reverse_maximum(rows: DataFrame, key: str, order: Sequence[Column], value: str, name: str) -> DataFrame:
     """rows of running() with the greatest value from each row to its key's last."""
-    own = Window.partitionBy("__p", key).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # from the end of the order on: a frame that ends with the range would be gone through anew for every row
+    place = F.row_number().over(Window.partitionBy("__p", key).orderBy(*order))
+    own = Window.partitionBy("__p", key).orderBy(F.desc("__place")).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("__k").orderBy("__q").rowsBetween(1, Window.unboundedFollowing)
     per = rows.groupBy(F.col(key).alias("__k"), F.col("__p").alias("__q")).agg(F.max(value).alias("__most"))
     per = per.select("__k", "__q", F.max("__most").over(after).alias("__after"))
-    rows = rows.withColumn(name, F.max(value).over(own)).join(per, (F.col(key) == F.col("__k")) & (F.col("__p") == F.col("__q")))
+    rows = rows.withColumn("__place", place).withColumn(name, F.max(value).over(own)).drop("__place").join(per, (F.col(key) == F.col("__k")) & (F.col("__p") == F.col("__q")))
     return rows.withColumn(name, F.greatest(name, "__after")).drop("__k", "__q", "__after")
 
 
