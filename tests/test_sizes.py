@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quillon.operators.ranking import reverse_maximum, running
-from quillon.plans.privacy import classified
+from quillon.plans.privacy import classified, fields
 from quillon.queries import ORACLES, QUERIES
 from quillon.registry import TABLES
 from test_parity import rows
@@ -64,3 +64,7 @@ def test_no_frame_ends_with_its_range(spark):
     out = reverse_maximum(running(df, "g", [F.col("id")], {"seen": F.lit(1)}), "g", [F.col("id")], "v", "most")
     frames = [w for w in plan(out.select("g", "id", "v", "most")).split("== Physical Plan ==")[-1].split("windowspecdefinition") if "__p" in w.split(")")[0]]
     assert frames and not any("unboundedfollowing" in f.lower() for f in frames)
+
+
+def test_customers_are_dealt_before_they_are_judged(spark):
+    assert fields(spark, SF).rdd.getNumPartitions() == 4
