@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.geometry import Box, letterbox, pieces, union_area
 from quillon.operators.matching import greedy_match
+from quillon.operators.rasters import Touching, by_group
 from quillon.plans.boxes import BOXES, at_least_half, inter, iou
 from quillon.plans.curation import mulberry
 from quillon.plans.detection import DUCK_MATCH, gt, matched, pred
@@ -46,19 +47,6 @@ def claims(g: DataFrame) -> DataFrame:
     return d.select("sample", "uid", "cls", "area", "fallback", "c", F.explode("rs").alias("r"))
 
 
-def pairs_that_touch(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pairs) of boxes (keys, c0, c1, r0, r1: cells from and to) that share a cell, counted without making a pair.
-
-    What two boxes share is a rectangle of cells, or nothing; of any rectangle the cells, less the edges between two of them,
-    plus the corners where four meet, are one. So pairs are counted per cell, per edge and per corner, by what covers these.
-    """
-    span = lambda a, b, less: F.when(F.col(a) <= F.col(b) - less, F.sequence(F.col(a), F.col(b) - less)).otherwise(F.array().cast("array<bigint>"))
-    parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(sign).alias("sign"), span("c0", "c1", i).alias("cs"), span("r0", "r1", j).alias("rs")) for k, sign, i, j in ((0, 1, 0, 0), (1, -1, 1, 0), (2, -1, 0, 1), (3, 1, 1, 1))])
-    d = boxes.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.kind", "p.sign", F.explode("p.cs").alias("c"), F.col("p.rs").alias("rs")).select(*keys, "kind", "sign", "c", F.explode("rs").alias("r"))
-    n = d.groupBy(*keys, "kind", "sign", "c", "r").agg(F.count("*").alias("n"))
-    return n.groupBy(*keys).agg(F.sum(F.col("sign") * F.floor(F.col("n") * (F.col("n") - 1) / 2)).cast("long").alias("pairs"))
-
-
 _TOUCH = f"""tb as (select sample, uid, cls, least(cast(floor((x + w / 2.0::double) / {STRIDE}) as bigint), {COLS - 1}) cc, least(cast(floor((y + h / 2.0::double) / {STRIDE}) as bigint), {ROWS - 1}) cr,
   greatest(cast(floor(x / {STRIDE}.0::double) as bigint), 0) c0, least(cast(ceil((x + w) / {STRIDE}.0::double) as bigint) - 1, {COLS - 1}) c1, greatest(cast(floor(y / {STRIDE}.0::double) as bigint), 0) r0, least(cast(ceil((y + h) / {STRIDE}.0::double) as bigint) - 1, {ROWS - 1}) r1 from gt)"""
 _CLAIMS = f"""grid as (select c.c, r.r, c.c * 32 + 16 px, r.r * 32 + 16 py from (select unnest(range({COLS})) c) c, (select unnest(range({ROWS})) r) r),
@@ -107,14 +95,9 @@ def assignment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda v, n: F.least(F.floor(v / STRIDE), F.lit(n - 1))
     low, high = (lambda v: F.greatest(F.floor(v / STRIDE), F.lit(0))), (lambda v, n: F.least(F.ceil(v / STRIDE) - 1, F.lit(n - 1)))
     x, y, w, h = (F.col(c) for c in "xywh")
-    b = g.select("sample", "cls", cell(x + w / 2, COLS).alias("cc"), cell(y + h / 2, ROWS).alias("cr"), low(x).alias("c0"), high(x + w, COLS).alias("c1"), low(y).alias("r0"), high(y + h, ROWS).alias("r1"))
-    two = lambda n: F.floor(F.col(n) * (F.col(n) - 1) / 2).cast("long")
-    centre = b.groupBy("sample", "cc", "cr", "cls").agg(F.count("*").alias("n")).groupBy("sample", "cc", "cr").agg(F.sum("n").alias("n"), F.sum(two("n")).alias("alike"))
-    centre = centre.groupBy("sample").agg(F.sum(two("n")).alias("same_centre"), F.sum(two("n") - F.col("alike")).alias("same_centre_cross"))
-    every, alike = pairs_that_touch(b, ["sample"]), pairs_that_touch(b, ["sample", "cls"]).groupBy(F.col("sample").alias("s")).agg(F.sum("pairs").alias("alike"))
-    out = centre.join(every, "sample", "left").join(alike, F.col("sample") == F.col("s"), "left")
-    pairs = F.coalesce("pairs", F.lit(0)).cast("long")
-    return out.select("sample", "same_centre", "same_centre_cross", pairs.alias("touching"), (pairs - F.coalesce("alike", F.lit(0))).cast("long").alias("touching_cross"))
+    cells = {"cls": F.col("cls"), "cc": cell(x + w / 2, COLS), "cr": cell(y + h / 2, ROWS), "c0": low(x), "c1": high(x + w, COLS), "r0": low(y), "r1": high(y + h, ROWS)}
+    b = g.select("sample", *[c.cast("long").alias(n) for n, c in cells.items()])
+    return by_group(b, "sample", [], lambda: Touching(COLS, ROWS), "sample long, same_centre long, same_centre_cross long, touching long, touching_cross long")
 
 
 @query("assignment_audit", "D-18", f"""with {BOXES}, {_CLAIMS}, z as (select o.*, best.any_cell, case when least(g.w, g.h) < 44 then 'small' when least(g.w, g.h) < 60 then 'medium' else 'large' end bucket from o join gt g on g.uid = o.uid join best on best.uid = o.uid)

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import duckdb
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -68,3 +69,17 @@ def test_no_frame_ends_with_its_range(spark):
 
 def test_customers_are_dealt_before_they_are_judged(spark):
     assert fields(spark, SF).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", ["assignment_pairs", "set_verdicts"])
+def test_a_large_screen_goes_through_one_shuffle_of_boxes(spark, tmp_path, name):
+    """A third of the rows are one screen's; boxes are dealt once by their screen, and nothing larger than a box is."""
+    remade(tmp_path, "lineitem", "select * replace (case when l_partkey % 3 = 0 then 1000000007 else l_orderkey end as l_orderkey) from {t}")
+    against_duckdb(spark, tmp_path, name)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        physical = plan(QUERIES[name](spark, str(tmp_path))).split("== Physical Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "MapInArrow" in physical and "collect_list" not in physical and "Generate" not in physical
