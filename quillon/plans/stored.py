@@ -7,10 +7,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.registry import query, run_sql
+from quillon.operators.ranking import written
+from quillon.registry import query, run_sql, table
 from quillon.sources.named_files import registered
 from quillon.streaming.runs import shared_dir
 
+
+
+def shuffles(spark: SparkSession) -> int:
+    """Partitions to deal rows to whose work is much larger than their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 #: Samples of a manifest.
 PER_MANIFEST = 40
 # Manifests from the parts: a part is a sample with one or two annotations, forty are a manifest. Here and there a manifest breaks a rule,
@@ -38,7 +46,8 @@ def manifest_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sample of the manifests beside its frame: there, missing, or other bytes than recorded; frames that no sample has; and manifests that are refused, with the rule."""
     registered(spark)
     root = f"{shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
-    u = run_sql(spark, sf_dir, f"with {_SAMPLES} select * from u")
+    parts = shuffles(spark)
+    u = run_sql(spark, sf_dir, f"with {_SAMPLES} select * from u").repartition(parts, "d")
     sample = F.format_string('{"id":"%s","split":"%s","framePath":"%s","frame":{"w":320,"h":200,"sha256":"%s"},"annotations":%s}', "own", "split", "path", F.sha2("body", 256), "notes")
     text = F.concat(F.lit('{"name":"synthetic","version":"2","split":"'), F.when(F.max("brk") == 6, "dev").otherwise("train"), F.lit('","samples":['), F.array_join(F.array_sort(F.collect_list(F.struct("i", sample.alias("j"))))["j"], ","), F.lit("]}"))
     # a manifest is a document of PER_MANIFEST samples, so a group is one document
@@ -47,11 +56,12 @@ def manifest_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = u.where(F.col("k") % 31 != 0).select(F.concat(F.lit("m"), "d", F.lit("/"), "path").alias("name"), body.alias("body"))
     spare = u.where(F.col("k") % 37 == 0).select(F.format_string("m%s/frames-train/spare-%s.png", "d", "k").alias("name"), F.lit(b"x").alias("body"))
     for batch, files in (("manifests", manifests), ("frames", frames.union(spare))):
-        files.select("name", F.sha2("body", 256).alias("sha256"), "body").write.format("named_files").option("path", root).option("batch", batch).mode("append").save()
-    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(f"{root}/batch=frames")
-    at = lambda k: F.regexp_extract("path", "/(m[0-9]+)/(frames-[a-z]+/[^/]+[.]png)$", k)
-    found = parts.select(at(1).alias("fd"), at(2).alias("fp"), F.sha2("content", 256).alias("seen"))
-    samples = spark.read.format("split_manifest").option("split", "train").option("onProblem", "report").load(f"{root}/batch=manifests")
+        files.select("name", F.sha2("body", 256).alias("sha256"), "body").repartition(parts, "name").write.format("named_files").option("path", root).option("batch", batch).mode("append").save()
+    # each file and each manifest is read once
+    stored = spark.read.format("named_files").option("batch", "frames").load(root)
+    at = lambda k: F.regexp_extract("name", "^(m[0-9]+)/(frames-[a-z]+/[^/]+[.]png)$", k)
+    found = written(stored.where("name like '%.png'").select(at(1).alias("fd"), at(2).alias("fp"), F.col("sha256").alias("seen")), "frames-found")
+    samples = written(spark.read.format("split_manifest").option("split", "train").option("onProblem", "report").load(f"{root}/batch=manifests"), "samples")
     good = samples.where("problem is null")
     both = good.join(found, (F.col("document") == F.col("fd")) & (F.col("frame_path") == F.col("fp")), "left")
     out = both.select("document", "id", F.when(F.col("seen").isNull(), "MISSING").when(F.col("seen") != F.col("frame_sha256"), "OTHER_BYTES").otherwise("PRESENT").alias("frame"), F.size("annotations").alias("annotations"))

@@ -33,9 +33,13 @@ def opened(path: str):
 SAMPLES = "document string, problem string, name string, version string, split string, id string, frame_path string, frame_sha256 string, w int, h int, annotations array<struct<id:string,cls:string,x:double,y:double,w:double,h:double>>"
 
 
+#: Partitions that documents are dealt to at most, so that many small ones take no task each.
+PARTITIONS = 200
+
+
 @dataclass
-class Document(InputPartition):
-    folder: str
+class Documents(InputPartition):
+    folders: list[str]
 
 
 def checked(folder: str, split: str, manifest: object) -> Iterator[tuple]:
@@ -75,32 +79,34 @@ class ManifestReader(DataSourceReader):
         if self.split not in OPEN_SPLITS:  # refused before anything is opened
             raise ValueError(f"manifests of {', '.join(OPEN_SPLITS)} may be opened, not of {self.split!r}")
 
-    def partitions(self) -> list[Document]:
-        """One for each manifest of the split below the path; names are listed, and no other file is opened."""
+    def partitions(self) -> list[Documents]:
+        """The manifests of the split below the path, dealt in turn; names are listed, and no other file is opened."""
         from pyarrow import fs
 
         store, root = opened(self.path)
-        return [Document(f.path.rpartition("/")[0]) for f in sorted(store.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda f: f.path) if f.base_name == f"manifest-{self.split}.json"]
+        found = sorted(f.path.rpartition("/")[0] for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.base_name == f"manifest-{self.split}.json")
+        return [Documents(found[k::PARTITIONS]) for k in range(min(PARTITIONS, len(found)))]
 
-    def read(self, partition: Document) -> Iterator[tuple]:
+    def read(self, partition: Documents) -> Iterator[tuple]:
         store, _ = opened(self.path)
-        with store.open_input_stream(f"{partition.folder}/manifest-{self.split}.json") as f:
-            text = f.read()
-        try:
-            manifest = json.loads(text)
-        except ValueError:
-            manifest = None
-        for row in checked(partition.folder.rsplit("/", 1)[-1], self.split, manifest):
-            if row[1] and not self.report:
-                raise ValueError(f"{row[0]}: {row[1]}")
-            yield row
+        for folder in partition.folders:
+            with store.open_input_stream(f"{folder}/manifest-{self.split}.json") as f:
+                text = f.read()
+            try:
+                manifest = json.loads(text)
+            except ValueError:
+                manifest = None
+            for row in checked(folder.rsplit("/", 1)[-1], self.split, manifest):
+                if row[1] and not self.report:
+                    raise ValueError(f"{row[0]}: {row[1]}")
+                yield row
 
 
 class SplitManifest(DataSource):
     """spark.read.format("split_manifest").option("split", "train").load(path): samples of the manifests below path.
 
-    A manifest that breaks a rule ends the read, or with onProblem=report gives one row that names the rule. Each
-    manifest is one partition and is held by one task.
+    A manifest that breaks a rule ends the read, or with onProblem=report gives one row that names the rule. A task
+    holds one manifest at a time.
     """
 
     @classmethod
@@ -212,11 +218,40 @@ class FileStreamWriter(DataSourceStreamWriter):
         self.attempts.clear("_attempt-stream-")
 
 
+@dataclass
+class Part(InputPartition):
+    folder: str
+
+
+class FileReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.path, self.batch = options["path"], options.get("batch")
+
+    def partitions(self) -> list[Part]:
+        """One for each part of a batch, or of all: a task lists its files itself, the driver no file."""
+        from pyarrow import fs
+
+        store, root = opened(self.path)
+        below = lambda p: [f.path for f in store.get_file_info(fs.FileSelector(p, allow_not_found=True)) if f.type == fs.FileType.Directory]
+        batches = [f"{root}/batch={self.batch}"] if self.batch is not None else [p for p in below(root) if p.rpartition("/")[2].startswith("batch=")]
+        return [Part(p) for b in sorted(batches) for p in sorted(below(b))]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        store, _ = opened(self.path)
+        for f in store.get_file_info(fs.FileSelector(partition.folder, recursive=True)):
+            if f.type == fs.FileType.File:
+                with store.open_input_stream(f.path) as s:
+                    body = s.read()
+                yield f.path[len(partition.folder) + 1 :], hashlib.sha256(body).hexdigest(), body
+
+
 class NamedFiles(DataSource):
     """df.write.format("named_files").option("batch", id).mode("append").save(path), and the same as a streaming sink.
 
     Rows are (name, sha256, body); a body that is not what its hash says ends the write. The files of a batch are in
-    path/batch=<id>/part-<k>/<name>; writing a batch again changes nothing.
+    path/batch=<id>/part-<k>/<name>; writing a batch again changes nothing. Read, they are the rows that the files now are.
     """
 
     @classmethod
@@ -226,6 +261,9 @@ class NamedFiles(DataSource):
     def schema(self) -> str:
         return "name string, sha256 string, body binary"
 
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return FileReader(self.options)
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return FileWriter(self.options)
 

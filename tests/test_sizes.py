@@ -12,6 +12,7 @@ from quillon.operators.ranking import reverse_maximum, running
 from quillon.plans.privacy import classified, fields
 from quillon.queries import ORACLES, QUERIES
 from quillon.registry import TABLES
+from quillon.sources.named_files import PARTITIONS, ManifestReader, registered
 from test_parity import rows
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +84,22 @@ def test_a_large_screen_goes_through_one_shuffle_of_boxes(spark, tmp_path, name)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert "MapInArrow" in physical and "collect_list" not in physical and "Generate" not in physical
+
+
+def test_many_small_manifests_take_few_partitions(tmp_path):
+    for k in range(PARTITIONS + 30):
+        (tmp_path / f"m{k}").mkdir()
+        (tmp_path / f"m{k}" / "manifest-train.json").write_text("{}")
+    parts = ManifestReader({"path": str(tmp_path), "split": "train", "onproblem": "report"}).partitions()
+    assert len(parts) == PARTITIONS and sum(len(p.folders) for p in parts) == PARTITIONS + 30
+
+
+def test_files_are_read_as_they_are(spark, tmp_path):
+    registered(spark)
+    rows_ = [(f"a/{k}.png", hashlib.sha256(b"%d" % k).hexdigest(), b"%d" % k) for k in range(20)]
+    spark.createDataFrame(rows_, "name string, sha256 string, body binary").repartition(3).write.format("named_files").option("path", str(tmp_path)).option("batch", "0").mode("append").save()
+    changed = next(tmp_path.glob("batch=0/*/a/7.png"))
+    changed.write_bytes(b"other")
+    got = {r["name"]: (r["sha256"], bytes(r["body"])) for r in spark.read.format("named_files").load(str(tmp_path)).collect()}
+    want = {n: (h, b) for n, h, b in rows_} | {"a/7.png": (hashlib.sha256(b"other").hexdigest(), b"other")}
+    assert got == want
