@@ -114,7 +114,9 @@ def attested_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     registered(spark)
     root = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
-    run_sql(spark, sf_dir, f"with {_SPARK_FRAMES} select k, b, w, h, mx, my, mw, mh, dw, clean, seen from v").write.parquet(f"{root}-pixels")
+    part = table(spark, sf_dir, "part").select("p_partkey").repartition(shuffles(spark), "p_partkey")
+    frames = f"with {_SPARK_FRAMES} select k, b, w, h, mx, my, mw, mh, dw, clean, seen from v"
+    spark.sql(frames.replace("from part)", "from {part})"), part=part).write.parquet(f"{root}-pixels")
     v = spark.read.parquet(f"{root}-pixels")
     hexes = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 2, "0")), "")
     little = lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(4)])
@@ -141,11 +143,11 @@ def attested_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.try_parse_url("destination", F.lit("HOST"))
     still = (F.substring("hx", 25, 8) == "5650384C") & (number(9) == F.length("bytes") - 8) & (number(43).bitwiseAND(16383) + 1 == F.col("w")) & (F.shiftright(number(43), 14).bitwiseAND(16383) + 1 == F.col("h"))
     cause = F.when(F.col("code").isNotNull(), "FRAME_NOT_MASK_VERIFIED").when(~F.coalesce(host.isin("127.0.0.1", "localhost"), F.lit(False)), "DESTINATION_NOT_LOOPBACK").when(F.sha2("now", 256) != F.col("webp"), "PAYLOAD_HASH_MISMATCH").when(~F.coalesce(still, F.lit(False)), "NOT_A_STILL_WEBP")
-    judged = sent.withColumn("cause", cause)
+    judged = written(sent.withColumn("cause", cause).select("k", "code", "cause", "webp", "clean_sha", "seen_sha", "inner", "edge", "now"), "judged")
     kept = judged.where("cause is null").select(F.format_string("f%s.webp", "k").alias("name"), F.col("webp").alias("sha256"), F.col("now").alias("body"))
     kept.write.format("named_files").option("path", root).option("batch", "0").mode("append").save()
-    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.webp").load(f"{root}/batch=0")
-    receipts = stored.select(F.regexp_extract("path", "/f([0-9]+)[.]webp$", 1).cast("long").alias("rk"), F.sha2("content", 256).alias("peer_sha"), F.col("length").alias("peer_bytes"))
+    stored = spark.read.format("named_files").option("batch", "0").load(root)
+    receipts = stored.select(F.regexp_extract("name", "^f([0-9]+)[.]webp$", 1).cast("long").alias("rk"), F.col("sha256").alias("peer_sha"), F.octet_length("body").cast("long").alias("peer_bytes"))
     out = judged.join(receipts, F.col("k") == F.col("rk"), "left")
     attested = lambda c: F.when(F.col("code").isNull(), F.col(c))
     return out.select(
