@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import canaries, pixels, redaction
+from quillon.operators.rasters import whole_groups
 from quillon.plans.boxes import BOXES
 from quillon.registry import both, query, run_sql, table
 
@@ -58,19 +59,19 @@ def frame_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("redaction_masks", "M-10 K-05")
 def redaction_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = run_sql(spark, sf_dir, f"with {BOXES} select sample, x, y, w, h from pred where cls = 2")
-    return d.groupBy("sample").applyInPandas(redaction.masks_of, "sample long, ord long, x double, y double, w double, h double")
+    return whole_groups(d, "sample", [], redaction.masks_of, "sample long, ord long, x double, y double, w double, h double")
 
 
 @query("redaction_scores", "A-22")
 def redaction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = run_sql(spark, sf_dir, f"with {BOXES} select sample, 0 side, cls, x, y, w, h from pred union all select sample, 1, cls, x, y, w, h from gt")
-    return d.groupBy("sample").applyInPandas(redaction.image_scores, "sample long, exposed long, over_mask double, largest_share double, glyphs long, passed boolean")
+    return whole_groups(d, "sample", [], redaction.image_scores, "sample long, exposed long, over_mask double, largest_share double, glyphs long, passed boolean")
 
 
 @query("page_layouts", "D-09 K-08")
 def page_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = run_sql(spark, sf_dir, f"with {BOXES} select uid, sample, w, h from gt")
-    return d.groupBy("sample").applyInPandas(redaction.page_layout, "uid long, sample long, region int, x double, y double")
+    d = run_sql(spark, sf_dir, f"with {BOXES} select sample, uid, w, h from gt")
+    return whole_groups(d, "sample", ["uid"], redaction.page_layouts, "uid long, sample long, region int, x double, y double")
 
 
 both("placement_order", "K-05 K-08", f"""with {BOXES} select sample, uid, cast(row_number() over (partition by sample order by y, x, w, h, uid) as bigint) by_position, cast(row_number() over (partition by sample order by w * h desc, uid) as bigint) by_area from gt""")

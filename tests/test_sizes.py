@@ -4,11 +4,14 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from quillon.operators import pixels, redaction
 from quillon.operators.ranking import reverse_maximum, running
+from quillon.operators.rasters import whole_groups
 from quillon.plans.privacy import classified, fields
 from quillon.queries import ORACLES, QUERIES
 from quillon.registry import TABLES
@@ -103,3 +106,49 @@ def test_files_are_read_as_they_are(spark, tmp_path):
     got = {r["name"]: (r["sha256"], bytes(r["body"])) for r in spark.read.format("named_files").load(str(tmp_path)).collect()}
     want = {n: (h, b) for n, h, b in rows_} | {"a/7.png": (hashlib.sha256(b"other").hexdigest(), b"other")}
     assert got == want
+
+
+def test_images_are_merged_together_as_each_alone():
+    """One image of many boxes, one beyond the places of a round, one of equal boxes; and scores as score_image() has them."""
+    rng, boxes, image = np.random.default_rng(4), [], []
+    for k in range(40):
+        n = pixels.MOST_BOXES + 3 if k == 7 else int(rng.integers(1, 40))
+        b = np.c_[rng.integers(-9, 400, n), rng.integers(-6, 300, n), rng.integers(20, 90, (n, 2))]
+        b[0, 0] = pixels.MOST_PLACE if k == 9 else b[0, 0]
+        boxes.append(np.repeat(b[:1], n, axis=0) if k == 11 else b)
+        image += [k] * n
+    of, m = pixels.redaction_masks(np.vstack(boxes), np.array(image), redaction.PAGE)
+    for k, b in enumerate(boxes):
+        want = pixels.redaction_mask(b, redaction.PAGE)
+        assert m[of == k].tolist() == want[np.lexsort((want[:, 3], want[:, 2], want[:, 0], want[:, 1]))].tolist()
+
+    image, all_ = np.array(image), np.vstack(boxes)
+    side, cls = rng.integers(0, 2, len(all_)), rng.integers(0, 3, len(all_))
+    side[image == 3], side[image == 5] = 0, 1
+    got = redaction.image_scores(image, [image * 10, side, cls, *all_.T])
+    for k in range(40):
+        pred_, gt_, c = all_[(image == k) & (side == 0)], all_[(image == k) & (side == 1)], cls[(image == k) & (side == 1)]
+        glyphs = [((float(x), float(y), 10.0, 10.0), bool(z == 0)) for (x, y, _, _), z in zip(gt_, c, strict=True) if x + 10 <= 400 and y + 10 <= 300]
+        want = redaction.score_image(pred_, redaction.PAGE, glyphs, gt_)
+        row = [v[k].item() for v in got]
+        assert row[0] == k * 10 and [None if v != v else v for v in row[1:]] == list(want.values())
+
+
+@pytest.mark.parametrize("name", ["redaction_masks", "redaction_scores", "page_layouts"])
+def test_many_images_in_a_call(spark, name):
+    physical = plan(QUERIES[name](spark, SF)).split("== Physical Plan ==")[-1]
+    assert "MapInArrow" in physical and "FlatMapGroups" not in physical
+
+
+def test_groups_are_whole_whatever_the_batches(spark):
+    df = spark.range(400).selectExpr("case when id < 300 then id % 3 else id div 7 end as g", "id as v")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        def sums(n, c):
+            return [c[0][np.flatnonzero(np.r_[True, n[1:] != n[:-1]])], np.bincount(n, c[1]).astype(np.int64), np.bincount(n)]
+
+        got = {tuple(r) for r in whole_groups(df, "g", ["v"], sums, "g long, s long, n long").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {tuple(r) for r in df.groupBy("g").agg(F.sum("v"), F.count("*")).collect()}
