@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillon.operators import pixels, redaction
+from quillon.operators import pixels, redaction, tiles
 from quillon.operators.ranking import reverse_maximum, running
 from quillon.operators.rasters import whole_groups
 from quillon.plans.privacy import classified, fields
@@ -152,3 +152,12 @@ def test_groups_are_whole_whatever_the_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {tuple(r) for r in df.groupBy("g").agg(F.sum("v"), F.count("*")).collect()}
+
+
+def test_layouts_meet_in_tiles(spark, tmp_path, monkeypatch):
+    """Many tiles, runs of few pairs, and one layout larger than a run; no pair of elements is shuffled."""
+    monkeypatch.setattr(tiles, "TILE", 40)
+    monkeypatch.setattr(tiles, "PAIRS", 700)
+    remade(tmp_path, "lineitem", "select * replace (case when l_orderkey < 40 then 7 else l_orderkey end as l_orderkey) from {t} where l_orderkey < 900")
+    assert len(against_duckdb(spark, tmp_path, "layout_similarity"))
+    assert "Join" not in plan(QUERIES["layout_similarity"](spark, str(tmp_path))).split("== Physical Plan ==")[-1]
