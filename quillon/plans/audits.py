@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.geometry import Box, letterbox, pieces, union_area
@@ -29,7 +29,7 @@ def target_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(g: DataFrame) -> DataFrame:
-    """sample, uid, cls, area, c, r, fallback: the cells that each element claims."""
+    """sample, uid, cls, area, x, y, w, h, c, r, fallback: the cells that each element claims. Elements are dealt by their screen first, so what is made per screen or cell moves no claim."""
     def centres(lo: Column, size: Column, n: int) -> Column:
         """Cells whose centre is within [lo, lo + size]."""
         first, last = F.greatest(F.ceil((lo - STRIDE / 2) / STRIDE), F.lit(0)), F.least(F.floor((lo + size - STRIDE / 2) / STRIDE), F.lit(n - 1))
@@ -42,9 +42,9 @@ def claims(g: DataFrame) -> DataFrame:
     b = Box.of()
     cs, rs = centres(b.x, b.w, COLS), centres(b.y, b.h, ROWS)
     some = (F.size(cs) > 0) & (F.size(rs) > 0)
-    d = g.withColumn("cs", F.when(some, cs).otherwise(F.array(nearest(b.x, b.w, COLS)))).withColumn("rs", F.when(some, rs).otherwise(F.array(nearest(b.y, b.h, ROWS))))
-    d = d.select("sample", "uid", "cls", (b.w * b.h).alias("area"), (~some).alias("fallback"), F.explode("cs").alias("c"), "rs")
-    return d.select("sample", "uid", "cls", "area", "fallback", "c", F.explode("rs").alias("r"))
+    d = g.repartition("sample").withColumn("cs", F.when(some, cs).otherwise(F.array(nearest(b.x, b.w, COLS)))).withColumn("rs", F.when(some, rs).otherwise(F.array(nearest(b.y, b.h, ROWS))))
+    d = d.select("sample", "uid", "cls", *"xywh", (b.w * b.h).alias("area"), (~some).alias("fallback"), F.explode("cs").alias("c"), "rs")
+    return d.select("sample", "uid", "cls", *"xywh", "area", "fallback", "c", F.explode("rs").alias("r"))
 
 
 _TOUCH = f"""tb as (select sample, uid, cls, least(cast(floor((x + w / 2.0::double) / {STRIDE}) as bigint), {COLS - 1}) cc, least(cast(floor((y + h / 2.0::double) / {STRIDE}) as bigint), {ROWS - 1}) cr,
@@ -65,11 +65,8 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     A prediction always holds its cell's centre, so of all boxes that one cell can give the best is the element's own, widened to the
     centre: that bounds the overlap a cell can reach. It is a product over the two axes, so the best cell of all is the nearest on each.
     """
-    g = gt(spark, sf_dir)
-    per_cell = claims(g)
-    cells = per_cell.groupBy("sample", "c", "r").agg(F.max(F.struct("area", "uid")).alias("t"), F.count("*").alias("n")).select(F.col("sample").alias("s"), F.col("c").alias("cc"), F.col("r").alias("cr"), F.col("t.uid").alias("winner"), "n")
-    k = per_cell.join(cells, (F.col("sample") == F.col("s")) & (F.col("c") == F.col("cc")) & (F.col("r") == F.col("cr")))
-    boxes = g.select(F.col("uid").alias("gid"), *[F.col(x).cast("double").alias(x) for x in "xywh"])
+    cell = Window.partitionBy("sample", "c", "r")
+    k = claims(gt(spark, sf_dir)).withColumn("winner", F.max(F.struct("area", "uid")).over(cell)["uid"]).withColumn("n", F.count("*").over(cell))
 
     def beside(lo: Column, size: Column, at: Column) -> Column:
         return F.greatest(F.lit(0.0), lo - at, at - lo - size)
@@ -77,9 +74,9 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     def least_beside(lo: Column, size: Column, n: int) -> Column:
         return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: beside(lo, size, (i * STRIDE + STRIDE / 2).cast("double"))))
 
-    x, y, w, h = (F.col(c) for c in "xywh")
+    x, y, w, h = (F.col(c).cast("double") for c in "xywh")
     iou = w * h / ((w + beside(x, w, F.col("c") * STRIDE + STRIDE / 2)) * (h + beside(y, h, F.col("r") * STRIDE + STRIDE / 2)))
-    o = k.join(boxes, F.col("uid") == F.col("gid")).withColumn("iou", iou)
+    o = k.withColumn("iou", iou)
     any_cell = w * h / ((w + least_beside(x, w, COLS)) * (h + least_beside(y, h, ROWS)))
     o = o.groupBy("sample", "uid", "cls", "x", "y", "w", "h").agg(F.bool_or("fallback").alias("fallback"), F.count("*").alias("claimed"), F.count_if(F.col("winner") == F.col("uid")).alias("owned"), F.bool_or(F.col("n") > 1).alias("collides"), F.max("iou").alias("assigned"))
     return o.withColumn("any_cell", any_cell)

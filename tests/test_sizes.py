@@ -161,3 +161,22 @@ def test_layouts_meet_in_tiles(spark, tmp_path, monkeypatch):
     remade(tmp_path, "lineitem", "select * replace (case when l_orderkey < 40 then 7 else l_orderkey end as l_orderkey) from {t} where l_orderkey < 900")
     assert len(against_duckdb(spark, tmp_path, "layout_similarity"))
     assert "Join" not in plan(QUERIES["layout_similarity"](spark, str(tmp_path))).split("== Physical Plan ==")[-1]
+
+
+@pytest.mark.parametrize(("name", "shuffles", "joins"), [("assignment_audit", 3, 0), ("run_changes", 14, 5), ("run_change_totals", 15, 5), ("miss_attribution", 8, 2), ("miss_kinds", 20, 6)])
+def test_rows_stay_with_their_screen(spark, name, shuffles, joins):
+    """What is worked out per screen is not dealt again by element; nothing is broadcast, as in large tables."""
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        physical = plan(QUERIES[name](spark, SF)).split("== Physical Plan ==")[-1]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert physical.count("Exchange hashpartitioning") <= shuffles and physical.count("Join") <= joins
+
+
+def test_claims_are_made_where_their_screen_is(spark):
+    assert re.search(r"Exchange hashpartitioning\(sample", plan(QUERIES["target_cells"](spark, SF))) and not re.search(r"hashpartitioning\(sample[^,]*, c#", plan(QUERIES["target_cells"](spark, SF)))
