@@ -135,8 +135,9 @@ def miss_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = g.join(m.select(F.col("rid").alias("uid")), "uid", "left_anti")
     o = p.select("sample", "pid", F.col("cls").alias("pcls"), *[F.col(c).alias("o" + c) for c in "xywh"])
     a, b = Box.of(), Box.of("o")
-    over = left.join(o, "sample").where(a.overlap(b) > 0).groupBy("uid").agg(F.max(a.iou(b)).alias("any"), F.max(F.when(F.col("pcls") == F.col("cls"), a.iou(b)).otherwise(0.0)).alias("same"))
-    fn = left.join(over, "uid", "left").withColumn("kind", F.when(F.coalesce("any", F.lit(0.0)) < 0.1, "noOverlapAtAll").when((F.col("same") < 0.5) & (F.col("any") >= 0.5), "overlappedWrongClass").otherwise("overlappedPoorLocalization"))
+    # per screen first, so pairs stay where the screen's join has them; an iou is 0 where nothing meets
+    over = left.join(o, "sample", "left").groupBy("sample", "uid", "cls").agg(F.max(a.iou(b)).alias("any"), F.max(F.when(F.col("pcls") == F.col("cls"), a.iou(b)).otherwise(0.0)).alias("same"))
+    fn = over.groupBy("uid", "cls").agg(F.max("any").alias("any"), F.max("same").alias("same")).withColumn("kind", F.when(F.coalesce("any", F.lit(0.0)) < 0.1, "noOverlapAtAll").when((F.col("same") < 0.5) & (F.col("any") >= 0.5), "overlappedWrongClass").otherwise("overlappedPoorLocalization"))
     fn = fn.groupBy(F.lit("miss").alias("side"), "kind", F.col("cls").cast("string").alias("who")).agg(F.count("*").alias("n"))
     wrong = o.join(m.select(F.col("lid").alias("pid")), "pid", "left_anti")
     f = wrong.join(g, "sample").where(a.overlap(b) > 0).groupBy("pid", "pcls").agg(F.max(F.struct(a.iou(b).alias("v"), (-F.col("cls")).alias("c"))).alias("t"), F.max(F.when(F.col("pcls") == F.col("cls"), a.iou(b)).otherwise(0.0)).alias("same"))
