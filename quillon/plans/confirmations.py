@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from quillon.plans.events import DUCK_E, SPARK_E
 from quillon.registry import query, run_sql
-from quillon.streaming.confirmations import OPS, at_of, confirmed
+from quillon.streaming.confirmations import OPS, at_of, confirmed_in_buckets
 from quillon.streaming.runs import run_to_end, shared_dir
 
 #: After its end a confirmation is remembered for so long.
 KEEP_MS = 40_000_000
+#: Operations of a bucket, about: a task holds one bucket at a time.
+BUCKET_ROWS = 10_000
 #: Eight operations in the order of their ids are about one confirmation. A subject is read off the event; its operations name it again, some of them another.
 OPERATIONS = """o as (select event_id id, cast(floor(event_id / 8) as bigint) confirmation, event_id % 8 k, cast(floor(epoch_us / 1000) as bigint) ms, user_id, event_type, value from e),
 f as (select confirmation, user_id u, event_type t, value v from o where k = 0),
@@ -42,9 +44,9 @@ def human_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = run_sql(spark, sf_dir, f"with {SPARK_E}, {OPERATIONS} select confirmation, id, ms, op, selector, role, name, origin, cast(frame as bigint) frame, cast(node as bigint) node, purpose, ttl_ms from p")
     ops = ops.withColumn("at", at_of(F.col("ms"))).select(*[c.split()[0] for c in OPS.split(", ")])
     root = f"{shared_dir(spark)}/confirmations-{uuid.uuid4().hex}"
-    low, high = ops.agg(F.min("ms"), F.max("ms")).first()
+    low, high, n = run_sql(spark, sf_dir, f"with {SPARK_E}, {OPERATIONS} select min(ms), max(ms), count(*) from o").first()
     half = (low + high) // 2 if low is not None else 0
     for part in (F.col("ms") < half, F.col("ms") >= half):
         ops.where(part).write.mode("append").parquet(f"{root}/in")
-        run_to_end(confirmed(spark.readStream.schema(OPS).parquet(f"{root}/in"), KEEP_MS), f"{root}/out", f"{root}/checkpoint")
+        run_to_end(confirmed_in_buckets(spark.readStream.schema(OPS).parquet(f"{root}/in"), KEEP_MS, n // BUCKET_ROWS + 1), f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema("confirmation long, id long, op string, verdict string, purpose string").parquet(f"{root}/out")

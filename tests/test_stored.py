@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.operators import automaton
 from quillon.plans.confirmations import KEEP_MS
 from quillon.sources.named_files import Attempts, ManifestReader, checked, registered
-from quillon.streaming.confirmations import OPS, at_of, confirmed
+from quillon.streaming.confirmations import OPS, at_of, confirmed, confirmed_in_buckets
 from quillon.streaming.runs import run_to_end
 
 
@@ -125,6 +125,25 @@ def test_timers_clear_what_is_over(spark, tmp_path):
     assert {r["id"]: r["verdict"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}[4] == "LIVE"
 
 
+def test_confirmations_share_the_state_of_their_bucket(spark, tmp_path):
+    """Many confirmations are one key of the state; what they hear is what each hears by itself, over starts and after the timers."""
+    rnd, n = random.Random(2), 40
+    kinds = ("RECORD", "STATE", "COVERS", "MINT", "SPEND")
+    parts = [[op(rnd.randrange(n), 1000 * at + i, 20_000 * at + rnd.randrange(20_000), rnd.choice(kinds), ttl_ms=rnd.choice([500.0, 9000.0, 90_000.0]), frame=rnd.choice([1, 1, 2])) for i in range(120)] for at in range(3)]
+    runs = {"each": lambda d: confirmed(d, 1000), "dealt": lambda d: confirmed_in_buckets(d, 1000, 2)}
+    got = {}
+    for name, run in runs.items():
+        for part in parts:
+            spark.createDataFrame(part, OPS).withColumn("at", at_of(F.col("ms"))).write.mode("append").parquet(str(tmp_path / name / "in"))
+            run_to_end(run(spark.readStream.schema(OPS).parquet(str(tmp_path / name / "in"))), str(tmp_path / name / "out"), str(tmp_path / name / "ck"))
+        got[name] = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / name / "out")).select("id", "confirmation", "op", "verdict", "purpose").collect())
+    assert got["dealt"] == got["each"] and len(got["each"]) == 360 and {"MINTED", "ALREADY_SPENT", "EXPIRED", "DIFFERENT_FRAME"} <= {r[3] for r in got["each"]}
+    held = {name: spark.read.format("statestore").option("stateVarName", "recorded").load(str(tmp_path / name / "ck")) for name in ("each", "dealt")}
+    assert {r["key"]["bucket"] for r in held["dealt"].collect()} <= {0, 1}
+    # the timers left what is live: the same confirmations either way
+    assert {r["list_element"]["confirmation"] for r in held["dealt"].collect()} == {r["key"]["confirmation"] for r in held["each"].collect()}
+
+
 def test_held_values_in_texts(spark, monkeypatch):
     monkeypatch.setattr(automaton, "VALUES", 3)
     monkeypatch.setattr(automaton, "TEXTS", 5)
