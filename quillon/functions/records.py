@@ -19,20 +19,29 @@ def listed(values: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def type_at(v: Column, path: str) -> Column:
+    """The type's name of what a variant holds at a path, as Spark writes it; null if there is nothing."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
 def kind_of(v: Column, path: str) -> Column:
     """The type of what a variant holds at a path: OBJECT, ARRAY, STRING, NUMBER, BOOLEAN, VOID for null; null if there is nothing."""
-    name = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     # one pass over the name: a branch for each kind would look the type up anew
-    return F.regexp_replace(F.regexp_replace(name, "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "NUMBER"), "(?s)^(OBJECT|ARRAY)<.*$", "$1")
+    return F.regexp_replace(F.regexp_replace(type_at(v, path), "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "NUMBER"), "(?s)^(OBJECT|ARRAY)<.*$", "$1")
+
+
+def is_number(v: Column, path: str) -> Column:
+    """Whether a number stands at a path; null if nothing does. Every numeric type's name begins with one of these."""
+    return type_at(v, path).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)")
 
 
 def text_at(v: Column, path: str) -> Column:
     """A string at a path, null if there is something else."""
-    return F.when(kind_of(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+    return F.when(type_at(v, path) == "STRING", F.try_variant_get(v, path, "string"))
 
 
 def number_at(v: Column, path: str) -> Column:
-    return F.when(kind_of(v, path) == "NUMBER", F.try_variant_get(v, path, "double"))
+    return F.when(is_number(v, path), F.try_variant_get(v, path, "double"))
 
 
 def key_difference(keys: Column, allowed: tuple[str, ...]) -> tuple[Column, Column]:
@@ -45,7 +54,7 @@ def box_is_sound(json: Column, v: Column, path: str) -> Column:
     keys = F.json_object_keys(F.get_json_object(json, path))
     extra, missing = key_difference(keys, BOX_KEYS)
     numbers = [number_at(v, f"{path}.{k}") for k in BOX_KEYS]
-    sound = (kind_of(v, path) == "OBJECT") & (F.size(extra) == 0) & (F.size(missing) == 0) & (numbers[2] > 0) & (numbers[3] > 0)
+    sound = type_at(v, path).startswith("OBJECT<") & (F.size(extra) == 0) & (F.size(missing) == 0) & (numbers[2] > 0) & (numbers[3] > 0)
     for n in numbers:
         sound &= n.isNotNull() & (F.abs(n) != float("inf"))
     return F.coalesce(sound, F.lit(False))
@@ -73,13 +82,13 @@ def _finding_cause(json: Column, v: Column, keys: Column) -> Column:
         F.when(F.coalesce(text_at(v, "$.treatment"), F.lit("")) != "REDACT_UNREAD", "UNREAD_REGION_TREATMENT").when(~sound, "UNREAD_REGION_GEOMETRY")
         .when(score.isNull() | ~score.between(0, 1), "UNREAD_REGION_SCORE").when(F.coalesce(text_at(v, "$.regionId"), F.lit("")) == "", "UNREAD_REGION_REGION")
     )
-    cls = F.coalesce(kind_of(v, "$.piiClass") == "VOID", F.lit(False)) | F.coalesce(text_at(v, "$.piiClass").isin(*CLASSES), F.lit(False))
+    cls = F.coalesce(type_at(v, "$.piiClass") == "VOID", F.lit(False)) | F.coalesce(text_at(v, "$.piiClass").isin(*CLASSES), F.lit(False))
     read = (
         F.when(~sound, "READ_TEXT_GEOMETRY").when(length.isNull() | (length != F.floor(length)) | (length < 0), "READ_TEXT_LENGTH")
-        .when(~cls, "READ_TEXT_UNKNOWN_CLASS").when(~F.coalesce(kind_of(v, "$.ref").isin("VOID", "STRING"), F.lit(False)), "READ_TEXT_REF")
+        .when(~cls, "READ_TEXT_UNKNOWN_CLASS").when(~F.coalesce(type_at(v, "$.ref").isin("VOID", "STRING"), F.lit(False)), "READ_TEXT_REF")
     )
     return (
-        F.when(F.coalesce(kind_of(v, "$") != "OBJECT", F.lit(True)), "NOT_AN_OBJECT").when(~F.array_contains(keys, "kind"), "MISSING_KIND")
+        F.when(F.coalesce(~type_at(v, "$").startswith("OBJECT<"), F.lit(True)), "NOT_AN_OBJECT").when(~F.array_contains(keys, "kind"), "MISSING_KIND")
         .when(kind == "UNREAD_REGION", F.coalesce(fields("UNREAD_REGION", UNREAD_KEYS), unread, F.lit("OK")))
         .when(kind == "READ_TEXT", F.coalesce(fields("READ_TEXT", READ_KEYS), read, F.lit("OK"))).otherwise("UNKNOWN_KIND")
     )
@@ -108,7 +117,7 @@ def _answer_cause(v: Column, keys: Column, request: dict[str, Column], bound_key
             strings &= text_at(v, f"$.{k}").isNotNull()
         return F.coalesce(F.array_sort(keys) == listed(tuple(sorted(allowed))), F.lit(False)) & strings
 
-    found = F.when(F.coalesce(kind_of(v, "$") != "OBJECT", F.lit(True)), malformed)
+    found = F.when(F.coalesce(~type_at(v, "$").startswith("OBJECT<"), F.lit(True)), malformed)
     found = found.when((kind == no) & ~exact((first[0], "kind")), malformed).when((kind == no) & (text_at(v, f"$.{first[0]}") != request[first[0]]), first[1]).when(kind == no, declined)
     found = found.when((kind != yes) | ~exact((*(k for k, _ in bound_keys), "kind", *more)), malformed)
     for name, cause in bound_keys:

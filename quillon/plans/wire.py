@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.binding import bound
 from quillon.functions.canonical import canonical, quoted
-from quillon.functions.records import kind_of, listed, text_at
+from quillon.functions.records import is_number, listed, text_at, type_at
 from quillon.plans.boxes import BOXES
 from quillon.plans.detection import gt
 from quillon.plans.records import LINES
@@ -25,7 +27,10 @@ mj as (select id, d, '{{"manifest_version":"' || case d when 1 then '1.1' else '
   ',"elements":[' || {_ELEMENT} || case d when 11 then ',{{"id":"#b","role":"link"}}' when 12 then ',' || replace({_ELEMENT}, '"source":"dom"', '"source":"ocr"') when 13 then ',' || replace({_ELEMENT}, '"visible":true', '"visible":1') when 14 then ',7' when 15 then ',' || replace({_ELEMENT}, '"id":"#a"', '"id":""') else '' end ||
   '],"visual_masks":[{{"region_id":"' || case d when 16 then 'img:1' else 'canvas:' || cast(c % 4 as string) end || '","kind":"canvas","bbox":[' || cast(c % 90 * 0.5 as string) || ',2,3,' || case d when 17 then '"4"' else '4' end || '],"method":"' || case d when 18 then 'blur' else 'opaque_fill' end || '","reason":"DETECTED"}}],"request":{{"id":"r1","session":"' || case d when 19 then '' else 's1' end || '"}}' ||
   case d when 20 then ',"extra":1' when 21 then ',"html":"<p>"' when 22 then ',"note":{{"deep":[{{"Value":1}}]}}' when 23 then ',"note":"data:image/png"' when 24 then ',"note":"' || repeat('QUJD', 60) || '"' else '' end || '}}' j from mf)"""
-_BAD_TEXT = r""""(?i:{})"\s*:|:\s*"data:|[\[,]\s*"data:|[A-Za-z0-9+/]{{200,}}""".format("|".join(FORBIDDEN))
+_BAD_KEY, _DATA_URL = r""""(?i:{})"\s*:""".format("|".join(FORBIDDEN)), r"""[:\[,]\s*"data:"""
+#: A run is looked at from its first character only, so the text is read once; characters one by one are a table in Java's classes, ranges are tests in turn.
+_RUN = string.ascii_letters + string.digits + "+/"
+_LONG_RUN = f"(?:^|[^{_RUN}])[{_RUN}]{{200}}"
 
 
 #: What is wrong with the documents of mj (id, j): the path of the first defect, as ap (id, path).
@@ -44,55 +49,56 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_manifests(run_sql(spark, sf_dir, f"with {MANIFESTS} select id, j from mj"))
 
 
-def judged_manifests(d: DataFrame) -> DataFrame:
-    """(id, code, path) of documents (id, j)."""
-    d = d.withColumn("v", F.try_parse_json("j"))
+def judged_manifests(d: DataFrame, *carried: str) -> DataFrame:
+    """(id, code, path) of documents (id, j), and columns of d that go along."""
+    d = d.withColumn("v", F.try_parse_json("j")).withColumn("lists", F.from_json("j", "struct<elements array<string>, visual_masks array<string>>"))
     v, j = F.col("v"), F.col("j")
 
     def number(path: str) -> Column:
-        return F.coalesce(kind_of(v, path) == "NUMBER", F.lit(False))
+        return F.coalesce(is_number(v, path), F.lit(False))
 
     def among(path: str, *values: str) -> Column:
         return F.coalesce(text_at(v, path).isin(*values), F.lit(False))
 
     def each(path: str, keys: tuple[str, ...], order: tuple[str, ...], rules: list) -> Column:
         """Path of the first defect in a list of records: not a record, a field that lacks or is unknown, or a rule (field, test of the record's text)."""
-        items = F.from_json(F.get_json_object(j, path), "array<string>")
+        read = f"struct<{', '.join(f'{k} string' for k in keys)}>"
 
         def bad(item: Column) -> Column:
             first = lambda names: F.when(F.size(names) > 0, F.concat(F.lit("."), F.get(names, F.lit(0))))
             off = bound(F.json_object_keys(item), lambda own: F.when(own.isNull(), "").otherwise(F.coalesce(first(F.array_except(own, listed(keys))), first(F.array_except(listed(order), own)))))
-            for field, sound in rules:
-                off = F.coalesce(off, F.when(~F.coalesce(sound(item), F.lit(False)), "." + field))
-            return off
 
-        found = F.transform(items, lambda item, i: F.concat(F.lit(path + "["), i.cast("string"), F.lit("]"), bad(item)))
-        return F.get(F.array_compact(found), F.lit(0))
+            def by_field(r: Column) -> Column:
+                none = F.lit(None).cast("string")
+                return F.coalesce(*[F.when(~F.coalesce(sound(r, item), F.lit(False)), "." + field) for field, sound in rules], none)
 
-    def text(name: str):
-        return lambda item: F.get_json_object(item, f"$.{name}")
+            # a record is read once, whatever the number of its rules
+            return F.coalesce(off, bound(F.from_json(item, read), by_field))
+
+        found = F.transform(F.col("lists")[path.removeprefix("$.")], lambda item, i: F.concat(F.lit(path + "["), i.cast("string"), F.lit("]"), bad(item)))
+        return F.get(F.array_compact(found), F.lit(0))
 
     def flag(name: str):
-        return (name, lambda item: item.rlike(rf'"{name}"\s*:\s*(true|false)'))
+        return (name, lambda _, item: item.rlike(rf'"{name}"\s*:\s*(true|false)'))
 
     elements = each("$.elements", (*ELEMENT_KEYS, "bbox"), ("id", "role", "name", "source", "visible", "offscreen", "enabled"), [
-        ("id", lambda e: text("id")(e) != ""), ("role", lambda e: text("role")(e) != ""), ("source", lambda e: text("source")(e).isin("dom", "vision", "dom+vision")), flag("visible"), flag("offscreen"), flag("enabled")])
+        ("id", lambda e, _: e["id"] != ""), ("role", lambda e, _: e["role"] != ""), ("source", lambda e, _: e["source"].isin("dom", "vision", "dom+vision")), flag("visible"), flag("offscreen"), flag("enabled")])
     masks = each("$.visual_masks", MASK_KEYS, ("region_id", "kind", "bbox", "method", "reason"), [
-        ("kind", lambda m: text("kind")(m).isin("canvas", "img")), ("region_id", lambda m: text("region_id")(m).rlike("^(canvas|img):[0-9]+$") & text("region_id")(m).startswith(text("kind")(m))), ("method", lambda m: text("method")(m) == "opaque_fill"),
-        *[(f"bbox[{k}]", lambda m, k=k: ~F.get_json_object(m, "$.bbox").rlike(r'^\[(?:[^,]*,){%d}\s*"' % k)) for k in range(4)]])
+        ("kind", lambda m, _: m["kind"].isin("canvas", "img")), ("region_id", lambda m, _: m["region_id"].rlike("^(canvas|img):[0-9]+$") & m["region_id"].startswith(m["kind"])), ("method", lambda m, _: m["method"] == "opaque_fill"),
+        *[(f"bbox[{k}]", lambda m, _, k=k: m["bbox"].isNotNull() & ~(m["bbox"].contains('"') & m["bbox"].rlike(r'^\[(?:[^,]*,){%d}\s*"' % k))) for k in range(4)]])
     # what several rules read is a column of its own first, and so is the path that the code is read off
-    d = d.select("id", "j", "v", elements.alias("elements"), masks.alias("masks"), F.array_except(F.json_object_keys(j), listed(ROOT_KEYS)).alias("extra"))
+    d = d.select(*dict.fromkeys(("id", *carried, "j", "v")), elements.alias("elements"), masks.alias("masks"), F.array_except(F.json_object_keys(j), listed(ROOT_KEYS)).alias("extra"))
     elements, masks, extra = F.col("elements"), F.col("masks"), F.col("extra")
     path = (
-        F.when(F.trim(F.coalesce(text_at(v, "$.goal"), F.lit(""))) == "", "$.goal").when(j.rlike(_BAD_TEXT), "$").when(F.size(extra) > 0, F.concat(F.lit("$."), F.get(extra, F.lit(0))))
+        F.when(F.trim(F.coalesce(text_at(v, "$.goal"), F.lit(""))) == "", "$.goal").when(j.rlike(_BAD_KEY) | (j.contains('"data:') & j.rlike(_DATA_URL)) | j.rlike(_LONG_RUN), "$").when(F.size(extra) > 0, F.concat(F.lit("$."), F.get(extra, F.lit(0))))
         .when(~among("$.manifest_version", "1.2"), "$.manifest_version").when(~among("$.capture.format", "webp", "none"), "$.capture.format").when(among("$.capture.format", "webp") & ~number("$.capture.q"), "$.capture.q")
         .when(~number("$.capture.w"), "$.capture.w").when(~number("$.capture.h"), "$.capture.h").when(F.try_variant_get(v, "$.capture.w", "double") <= 0, "$.capture").when(~number("$.capture.scroll.x"), "$.capture.scroll.x").when(~number("$.capture.scroll.y"), "$.capture.scroll.y")
-        .when(~among("$.capability.backend", "wasm", "webgpu", "none"), "$.capability.backend").when(kind_of(v, "$.redactions") != "ARRAY", "$.redactions").when(elements.isNotNull(), elements).when(masks.isNotNull(), masks)
-        .when(kind_of(v, "$.verified") != "BOOLEAN", "$.verified").when(F.coalesce(text_at(v, "$.request.session"), F.lit("")) == "", "$.request.session").otherwise("")
+        .when(~among("$.capability.backend", "wasm", "webgpu", "none"), "$.capability.backend").when(~type_at(v, "$.redactions").startswith("ARRAY<"), "$.redactions").when(elements.isNotNull(), elements).when(masks.isNotNull(), masks)
+        .when(type_at(v, "$.verified") != "BOOLEAN", "$.verified").when(F.coalesce(text_at(v, "$.request.session"), F.lit("")) == "", "$.request.session").otherwise("")
     )
     at = F.col("path")
     code = F.when(at == "", "OK").when(at == "$.goal", "MISSING_GOAL").when(at == "$", "PLAINTEXT_IN_MANIFEST").otherwise("MALFORMED_MANIFEST")
-    return d.select("id", path.alias("path")).select("id", code.alias("code"), "path")
+    return d.select("id", *carried, path.alias("path")).select("id", code.alias("code"), "path", *carried)
 
 
 # Handoffs from orders, and of their lines the rectangles that the frame's masks cover, in its pixels. Some handoffs were never verified, some
@@ -117,18 +123,19 @@ def manifest_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = t["hd"].withColumn("why", F.when(~F.col("fail_closed"), "DETECTED").when(why.isin(*MASK_REASONS), why).otherwise("FAIL_CLOSED:ERROR"))
     masks = h.where("frame = 'ATTESTED'").select("id", "scale", "why").join(t["rc"], "id")
     mask = F.struct(F.array(*[F.col(c) * F.col("scale") for c in "xywh"]).alias("bbox"), F.split("region", ":")[0].alias("kind"), F.lit("opaque_fill").alias("method"), F.col("why").alias("reason"), F.col("region").alias("region_id"))
-    masks = masks.groupBy(F.col("id").alias("mid")).agg(F.array_sort(F.collect_list(F.struct("n", "pk", "sk", "x", "y", "w", mask.alias("m"))))["m"].alias("masks"))
+    # a mask's text is made per line, before they are gathered
+    masks = masks.withColumn("m", mask)
+    masks = masks.withColumn("m", canonical(F.col("m"), masks.schema["m"].dataType))
+    masks = masks.groupBy(F.col("id").alias("mid")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "pk", "sk", "x", "y", "w", "m")))["m"], ",").alias("masks"))
     framed = F.col("frame") != "NONE"
     capture = F.concat(F.lit('{"dpr":2,"format":"'), F.when(framed, "webp").otherwise("none"), F.lit('","h":600,"origin":"https://h.example"'), F.when(framed, ',"q":62').otherwise(""), F.lit(',"scale_to_css":0.5,"scroll":{"x":0,"y":12},"w":800,"zoom":1}'))
     d = h.join(masks, F.col("id") == F.col("mid"), "left")
-    listed_masks = F.coalesce(canonical(F.col("masks"), d.schema["masks"].dataType), F.lit("null"))
     j = F.concat(
         F.lit('{"capability":{"backend":"wasm","tiers_fired":["T0"]},"capture":'), capture, F.lit(',"elements":[],"goal":'), quoted(F.col("goal")), F.lit(',"manifest_version":"1.2","redactions":[],"request":{"id":"r'), F.col("id").cast("string"),
-        F.lit('","session":"s"},"verified":'), (~framed).cast("string"), F.lit(',"visual_masks":'), F.when(F.col("masks").isNull(), "[]").otherwise(listed_masks), F.lit("}"),
+        F.lit('","session":"s"},"verified":'), (~framed).cast("string"), F.lit(',"visual_masks":['), F.coalesce("masks", F.lit("")), F.lit("]}"),
     )
     d = d.select("id", "verified", "frame", j.alias("j"))
-    judged = judged_manifests(d.select("id", "j")).select(F.col("id").alias("jid"), F.col("code").alias("parsed"), "path")
-    d = d.join(judged, F.col("id") == F.col("jid"))
+    d = judged_manifests(d, "verified", "frame", "j").withColumnRenamed("code", "parsed")
     able = F.col("verified") & (F.col("frame") != "UNATTESTED")
     code = F.when(~F.col("verified"), "HANDOFF_NOT_VERIFIED").when(F.col("frame") == "UNATTESTED", "FRAME_NOT_MASK_VERIFIED").otherwise(F.col("parsed"))
     sent = able & (F.col("path") == "")

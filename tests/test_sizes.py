@@ -178,5 +178,11 @@ def test_rows_stay_with_their_screen(spark, name, shuffles, joins):
     assert physical.count("Exchange hashpartitioning") <= shuffles and physical.count("Join") <= joins
 
 
+def test_manifests_are_judged_where_they_are_built(spark):
+    """A manifest is put together once: its lines come in by one join, and no join brings it together with its verdict."""
+    optimized = QUERIES["manifest_build"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin (?:Inner|LeftOuter)", optimized)) == 2 and "get_json_object" not in optimized
+
+
 def test_claims_are_made_where_their_screen_is(spark):
     assert re.search(r"Exchange hashpartitioning\(sample", plan(QUERIES["target_cells"](spark, SF))) and not re.search(r"hashpartitioning\(sample[^,]*, c#", plan(QUERIES["target_cells"](spark, SF)))
