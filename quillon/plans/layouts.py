@@ -28,6 +28,7 @@ select s.sample, g.kept, s.elements, g.n copies, g.splits > 1 leaks, s.signature
 def layout_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screens whose layout another one has: the first of them, how many there are, and whether they lie in two splits. Counts come first, so a layout that many share is one row."""
     s = signatures(run_sql(spark, sf_dir, f"with {_LAYOUTS} select * from lay"))
-    per_split = s.groupBy("signature", (F.col("sample") % 3).alias("split")).agg(F.count("*").alias("n"), F.min("sample").alias("kept"))
-    g = per_split.groupBy(F.col("signature").alias("g")).agg(F.sum("n").alias("copies"), F.min("kept").alias("kept"), (F.count("*") > 1).alias("leaks")).where("copies > 1")
-    return s.join(g, F.col("signature") == F.col("g")).select("sample", "kept", "elements", "copies", "leaks", "signature")
+    # both sides read the same columns of the signatures, so Spark shuffles elements once for them; a signature has one number of elements
+    per_split = s.groupBy("signature", "elements", (F.col("sample") % 3).alias("split")).agg(F.count("*").alias("n"), F.min("sample").alias("kept"))
+    g = per_split.groupBy(F.col("signature").alias("g"), F.col("elements").alias("ge")).agg(F.sum("n").alias("copies"), F.min("kept").alias("kept"), (F.count("*") > 1).alias("leaks")).where("copies > 1")
+    return s.join(g, (F.col("signature") == F.col("g")) & (F.col("elements") == F.col("ge"))).select("sample", "kept", "elements", "copies", "leaks", "signature")

@@ -194,6 +194,14 @@ def test_a_region_meets_the_boxes_that_touch_it(spark, tmp_path):
     assert against_duckdb(spark, tmp_path, "text_region_screen")["regions"].max() > 20
 
 
+def test_signatures_are_gathered_once(spark):
+    """Twins are joined to the counts of their signatures; the elements behind both are shuffled once."""
+    got = QUERIES["layout_twins"](spark, SF)
+    assert len(got.collect())
+    ran = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("ShuffleQueryStage") <= 6
+
+
 def test_manifests_are_judged_where_they_are_built(spark):
     """A manifest is put together once: its lines come in by one join, and no join brings it together with its verdict."""
     optimized = QUERIES["manifest_build"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
