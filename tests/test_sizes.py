@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from quillon.operators import pixels, redaction, tiles
@@ -210,3 +211,18 @@ def test_manifests_are_judged_where_they_are_built(spark):
 
 def test_claims_are_made_where_their_screen_is(spark):
     assert re.search(r"Exchange hashpartitioning\(sample", plan(QUERIES["target_cells"](spark, SF))) and not re.search(r"hashpartitioning\(sample[^,]*, c#", plan(QUERIES["target_cells"](spark, SF)))
+
+
+def test_fusion_deals_lines_once_and_makes_no_pair_rows(spark, tmp_path):
+    """Ids of long orders come in two screens, and some boxes have no area."""
+    remade(tmp_path, "lineitem", "select * replace (l_orderkey % 25 as l_orderkey, case when l_suppkey % 9 = 0 then l_quantity - 100 else l_quantity end as l_quantity) from {t} where l_orderkey % 4 = 0")
+    assert len(against_duckdb(spark, tmp_path, "fusion")) > 100
+    seen = []
+    write = DataFrameWriter.parquet
+    try:
+        DataFrameWriter.parquet = lambda self, *a, **b: (seen.append(plan(self._df)), write(self, *a, **b))[1]
+        QUERIES["fusion"](spark, SF)
+    finally:
+        DataFrameWriter.parquet = write
+    physical = seen[0].split("== Physical Plan ==")[-1]
+    assert physical.count("Exchange") == 1 and "Join" not in physical
