@@ -226,3 +226,13 @@ def test_fusion_deals_lines_once_and_makes_no_pair_rows(spark, tmp_path):
         DataFrameWriter.parquet = write
     physical = seen[0].split("== Physical Plan ==")[-1]
     assert physical.count("Exchange") == 1 and "Join" not in physical
+
+
+def test_fields_are_judged_after_they_are_dealt(spark, tmp_path):
+    """Nothing above the dealing asks for a class below it, where one task reads the table."""
+    remade(tmp_path, "customer", "select * replace (c_custkey % 60 as c_nationkey) from {t}")
+    got = against_duckdb(spark, tmp_path, "field_fill")
+    assert got["fill"].notna().any()
+    physical = plan(QUERIES["field_fill"](spark, SF)).split("== Physical Plan ==")[-1]
+    filters = [l for l in physical.splitlines() if re.match(r"[ :+*()0-9-]*Filter ", l)]
+    assert not any("rlike" in l.lower() for l in filters) and "Window" not in physical
