@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import pii
 from quillon.operators.automaton import LEAST, held
-from quillon.plans.privacy import DUCK_CLASSIFIED, FIELDS, TODAY, classified_fields
+from quillon.plans.privacy import DUCK_CLASSIFIED, FIELDS, TODAY, classified_fields, fields
 from quillon.registry import query, run_sql
 from quillon.streaming.runs import shared_dir
 
@@ -47,7 +47,7 @@ sn as (select *, coalesce(held_class, nullif(own_class, 'UNKNOWN')) scrub, case
 
 def tables(spark: SparkSession, sf_dir: str, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(classified fields, elements, goals, what stored value each element and goal holds); fields are read and classified once, into a table."""
-    classified_fields(run_sql(spark, sf_dir, _FIELDS)).write.parquet(f"{root}/fields")
+    classified_fields(fields(spark, sf_dir, _FIELDS)).write.parquet(f"{root}/fields")
     c = spark.read.parquet(f"{root}/fields")
     c.createOrReplaceTempView("fv")
     elements = run_sql(spark, sf_dir, f"with {_ELEMENTS} select * from el")

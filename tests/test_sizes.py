@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.operators import pixels, redaction, tiles
 from quillon.operators.ranking import reverse_maximum, running
 from quillon.operators.rasters import whole_groups
+from quillon.plans import sanitise
 from quillon.plans.privacy import classified, fields
 from quillon.queries import ORACLES, QUERIES
 from quillon.registry import TABLES
@@ -236,3 +237,8 @@ def test_fields_are_judged_after_they_are_dealt(spark, tmp_path):
     physical = plan(QUERIES["field_fill"](spark, SF)).split("== Physical Plan ==")[-1]
     filters = [l for l in physical.splitlines() if re.match(r"[ :+*()0-9-]*Filter ", l)]
     assert not any("rlike" in l.lower() for l in filters) and "Window" not in physical
+
+
+def test_pages_are_judged_by_many_tasks(spark, tmp_path):
+    against_duckdb(spark, tmp_path, "sanitised_pages")
+    assert fields(spark, SF, sanitise._FIELDS).rdd.getNumPartitions() == 4
