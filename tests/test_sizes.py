@@ -242,3 +242,10 @@ def test_fields_are_judged_after_they_are_dealt(spark, tmp_path):
 def test_pages_are_judged_by_many_tasks(spark, tmp_path):
     against_duckdb(spark, tmp_path, "sanitised_pages")
     assert fields(spark, SF, sanitise._FIELDS).rdd.getNumPartitions() == 4
+
+
+def test_a_claim_is_put_together_once(spark, tmp_path):
+    """Rules that each write a claim out make a method too long to be compiled."""
+    remade(tmp_path, "part", "select * replace (p_size % 6 as p_size) from {t}")
+    assert against_duckdb(spark, tmp_path, "claim_freshness")["reason"].nunique() > 5
+    assert plan(QUERIES["claim_freshness"](spark, SF)).split("== Physical Plan ==")[-1].count("CASE WHEN has_claim") == 1
