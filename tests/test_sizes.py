@@ -249,3 +249,11 @@ def test_a_claim_is_put_together_once(spark, tmp_path):
     remade(tmp_path, "part", "select * replace (p_size % 6 as p_size) from {t}")
     assert against_duckdb(spark, tmp_path, "claim_freshness")["reason"].nunique() > 5
     assert plan(QUERIES["claim_freshness"](spark, SF)).split("== Physical Plan ==")[-1].count("CASE WHEN has_claim") == 1
+
+
+def test_a_log_is_sorted_once(spark, tmp_path):
+    """Vaults of many operations, after some of which they are gone."""
+    remade(tmp_path, "lineitem", "select * replace (l_orderkey % 100 as l_orderkey) from {t}")
+    assert against_duckdb(spark, tmp_path, "vault_log")["outcome"].nunique() > 7
+    physical = plan(QUERIES["vault_log"](spark, SF)).split("== Physical Plan ==")[-1]
+    assert physical.count("Sort ") == 1 and physical.count("Exchange") == 1
