@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import changes, hard_negatives, line_dedup, mixing, suffix_dedup, toxicity
+from quillon.llm import base, changes, hard_negatives, line_dedup, mixing, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, marks string, bucket string, label string"
 
@@ -306,3 +307,26 @@ def test_toxicity_of_odd_rows(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
     assert len(got) == 204 and got[None] >= 0.5 > got[502] and got[500] == got[501] and all(0 <= x <= 1 for x in got.values())
     assert toxicity.passing(df, model).columns == df.columns
+
+
+def test_a_sieve_loses_no_key(spark):
+    keys, others = (spark.range(a, b).select(F.xxhash64("id").alias("k")) for a, b in ((0, 3000), (5000, 25000)))
+    own, both = base.sieve(keys, "k"), keys.union(others)
+    assert base.sifted(keys, F.col("k"), own).count() == 3000 and base.sifted(others, F.col("k"), own).count() < 1000
+    assert base.sifted(both, F.col("k"), own).count() + base.sifted(both, F.col("k"), own, keep=False).count() == 23000
+    assert "hashpartitioning(k" not in base.sifted(both, F.col("k"), own)._jdf.queryExecution().toString()
+    none = base.sieve(keys.where("k is null"), "k")
+    assert base.sifted(both, F.col("k"), none).count() == 0 and base.sifted(both, F.col("k"), none, keep=False).count() == 23000
+
+
+def test_texts_of_lines_move_only_where_they_may_meet(spark, monkeypatch):
+    """However many leaves and lost lines there are: nothing but what passes a sieve is dealt by its leaf or its document."""
+    plans = {}
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(line_dedup, "cut", lambda df, label="cut", *a: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and base.cut(df, label, *a))
+    rows = [(i, f"the old house of number{chr(97 + i % 20)}x was sold\nrow {chr(97 + i % 26)}{chr(97 + i // 26)} alone here") for i in range(60)] + [(60, "nothing like it"), (61, None)]
+    out = line_dedup.line_dedup(make(spark, rows))
+    assert re.search(r"Join LeftSemi, .*words", plans["leaf-lines"]) and "wide_leaf" not in plans["leaf-lines"]
+    last = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in last and re.search(r"Join LeftAnti, .*words", last)
+    assert {r["doc_id"]: r["n_dropped"] for r in out.collect()} == {i: int(0 < i < 60) for i in range(62)}
