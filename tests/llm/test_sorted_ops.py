@@ -330,3 +330,12 @@ def test_texts_of_lines_move_only_where_they_may_meet(spark, monkeypatch):
     last = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in last and re.search(r"Join LeftAnti, .*words", last)
     assert {r["doc_id"]: r["n_dropped"] for r in out.collect()} == {i: int(0 < i < 60) for i in range(62)}
+
+
+def test_a_long_line_is_parted_in_proportion(spark, monkeypatch):
+    """The tokens after the first ones are made once a line, not once for each of its stretches."""
+    plans = {}
+    monkeypatch.setattr(line_dedup, "cut", lambda df, label="cut", *a: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and base.cut(df, label, *a))
+    line_dedup.line_dedup(make(spark, [(i, "a b c " + f"w{chr(97 + i)} " * 50) for i in range(4)]))
+    made = next(x for x in plans["stretches"].splitlines() if "Generate" in x)
+    assert "explode" in made and "token#" not in made
