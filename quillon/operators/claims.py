@@ -17,22 +17,26 @@ class Boxes:
         self.group, self.x, self.y, self.x1, self.y1, self.area = group, x, y, x + w, y + h, w * h
 
 
+def of_one_group(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, in b) of the pairs of one group; a and b are sorted group numbers. A bounded number of pairs at a time, but all of a row of a."""
+    first = np.searchsorted(b, a, "left")
+    n = np.searchsorted(b, a, "right") - first
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = 0
+    while at < len(n):
+        to = max(int(np.searchsorted(ends, ends[at] + PAIRS, "right")) - 1, at + 1)
+        i = np.repeat(np.arange(at, to), n[at:to])
+        yield i, np.arange(len(i)) + np.repeat(first[at:to] - (ends[at:to] - ends[at]), n[at:to])
+        at = to
+
+
 def meeting(a: Boxes, b: Boxes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(place in a, place in b, area in common, area of both) of the pairs of a group that have anything in common, a bounded number of pairs at a time.
 
     Boxes without an area, which odd tables have, meet all others, as a rule on sums of areas may hold for them.
     """
-    first = np.searchsorted(b.group, a.group, "left")
-    n = np.searchsorted(b.group, a.group, "right") - first
-    ends = np.concatenate([[0], np.cumsum(n)])
     sound = bool((a.area > 0).all() and (b.area > 0).all())
-    at = 0
-    while at < len(n):
-        to = max(int(np.searchsorted(ends, ends[at] + PAIRS, "right")) - 1, at + 1)
-        c = n[at:to]
-        i = np.repeat(np.arange(at, to), c)
-        j = np.arange(len(i)) + np.repeat(first[at:to] - (ends[at:to] - ends[at]), c)
-        at = to
+    for i, j in of_one_group(a.group, b.group):
         dx = np.fmin(a.x1[i], b.x1[j]) - np.fmax(a.x[i], b.x[j])
         if sound:
             near = np.flatnonzero(dx > 0)

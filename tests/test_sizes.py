@@ -265,3 +265,26 @@ def test_cells_of_a_mask_are_counted_without_joining_them(spark, tmp_path):
     against_duckdb(spark, tmp_path, "occlusion_ignore_mask")
     physical = plan(QUERIES["occlusion_ignore_mask"](spark, SF)).split("== Physical Plan ==")[-1]
     assert len(re.findall(r"\w*Join ", physical)) == 1
+
+
+@pytest.mark.parametrize("name", ["run_changes"])
+def test_runs_are_compared_where_their_screen_is(spark, tmp_path, name):
+    """Lines are dealt once and no pair moves; boxes without an area, ids that come twice on a screen or on two, nulls and dense screens are as in SQL."""
+    nulls = "case when l_suppkey % 31 = 0 then null else l_quantity end as l_quantity, case when l_suppkey % 17 = 0 then null else l_partkey end as l_partkey"
+    for k, odd in enumerate((
+        "l_orderkey % 25 as l_orderkey", "case when l_suppkey % 9 = 0 then l_quantity - 100 else l_quantity end as l_quantity", nulls, f"case when l_orderkey % 50 = 0 then null else l_orderkey % 300 end as l_orderkey, {nulls}",
+        "case when l_orderkey % 400 < 100 then 19 else l_orderkey % 1100 end as l_orderkey",
+    )):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        remade(folder, "lineitem", f"select * replace ({odd}) from {{t}} where l_orderkey % 4 = 0")
+        assert len(against_duckdb(spark, folder, name))
+    seen = []
+    write = DataFrameWriter.parquet
+    try:
+        DataFrameWriter.parquet = lambda self, *a, **b: (seen.append(plan(self._df)), write(self, *a, **b))[1]
+        out = QUERIES[name](spark, SF)
+    finally:
+        DataFrameWriter.parquet = write
+    physical = seen[0].split("== Physical Plan ==")[-1]
+    assert physical.count("Exchange") == 1 and "Join" not in physical + plan(out)
