@@ -267,7 +267,7 @@ def test_cells_of_a_mask_are_counted_without_joining_them(spark, tmp_path):
     assert len(re.findall(r"\w*Join ", physical)) == 1
 
 
-@pytest.mark.parametrize("name", ["run_changes"])
+@pytest.mark.parametrize("name", ["run_changes", "run_change_totals"])
 def test_runs_are_compared_where_their_screen_is(spark, tmp_path, name):
     """Lines are dealt once and no pair moves; boxes without an area, ids that come twice on a screen or on two, nulls and dense screens are as in SQL."""
     nulls = "case when l_suppkey % 31 = 0 then null else l_quantity end as l_quantity, case when l_suppkey % 17 = 0 then null else l_partkey end as l_partkey"
