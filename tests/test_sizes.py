@@ -288,3 +288,31 @@ def test_runs_are_compared_where_their_screen_is(spark, tmp_path, name):
         DataFrameWriter.parquet = write
     physical = seen[0].split("== Physical Plan ==")[-1]
     assert physical.count("Exchange") == 1 and "Join" not in physical + plan(out)
+
+
+def test_stretches_hold_all_halves_and_little_else():
+    """Of boxes of any sizes, some without an area, every pair of a class that overlaps by a half lies in a stretch, once; of like boxes stretches hold few others."""
+    rng = np.random.default_rng(8)
+    for like in (False, True):
+        def boxes(n, like=like):
+            size = rng.integers(40, 90, (2, n)) if like else rng.integers(-3, 120, (2, n)) * rng.choice([1, 1, 7], (2, n))
+            return [np.sort(rng.integers(0, n // 20 + 1, n)), rng.integers(0, 4, n) if like else rng.choice([-1, 2, 900], n), np.arange(n), *rng.integers(-300, 300, (2, n)), *size]
+
+        a, b = boxes(700), boxes(900)
+        a[1][:5] = 77  # a class that b lacks
+        row, start, n, order = tiles._stretches(a, b)
+        pairs = [(i, j) for i, s, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True) for j in order[s : s + k].tolist()]
+        assert len(pairs) == len(set(pairs))
+        inter = [np.clip(np.minimum(a[k][:, None] + a[k + 2][:, None], b[k] + b[k + 2]) - np.maximum(a[k][:, None], b[k]), 0, None) for k in (3, 4)]
+        half = (3 * inter[0] * inter[1] >= (a[5] * a[6])[:, None] + b[5] * b[6]) & (inter[0] * inter[1] > 0) & (a[1][:, None] == b[1])
+        want = set(zip(*(v.tolist() for v in np.nonzero(half)), strict=True))
+        assert len(want) > 50 and want <= set(pairs)
+        assert not like or len(pairs) < 4 * len(want)
+        i, j = tiles._halves([tiles._edges(a), tiles._edges([v[order] for v in b])], row, start, n)
+        assert set(zip(i.tolist(), order[j].tolist(), strict=True)) == want
+
+
+def test_each_pair_of_tiles_is_a_task(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "LEAST", 40)
+    df = QUERIES["layout_similarity"](spark, SF)
+    assert df.rdd.getNumPartitions() == 10
